@@ -3,11 +3,38 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, mixing, urls
+from . import chat, decontaminate, mixing, quality, simhash, urls
 from .session import table, text_batches
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    return simhash.against_edits(table(spark, sf_dir, "documents"))
+
+
+def simhash_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Block-table search: every document whose id is divisible by 20 against all."""
+    text_batches(spark)
+    return simhash.near_documents(table(spark, sf_dir, "documents"), F.col("doc_id") % 20 == 0)
+
+
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    scored = quality.score(docs, model)
+    return scored.select(
+        "doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), F.when(F.col("quality_score") >= 0.5, 1).otherwise(0).alias("predicted")
+    )
+
+
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -24,5 +51,16 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op2_pareto_mix, op6_chat_examples, op10_url_rules)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pareto_mix, op3_decontaminate, op6_chat_examples, op7_quality, op10_url_rules, simhash_near)}
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": r"""
+WITH items AS (SELECT row_number() OVER () AS r, item_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM benchmark),
+item_sets AS (SELECT r, item_id, least(5, len(w)) AS k, list_distinct([array_to_string(w[i:i + least(5, len(w)) - 1], ' ') FOR i IN range(1, len(w) - least(5, len(w)) + 2)]) AS s FROM items WHERE len(w) > 0),
+wanted AS (SELECT r, k, unnest(s) AS g FROM item_sets),
+docs AS (SELECT row_number() OVER () AS d, doc_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM documents),
+grams AS (SELECT DISTINCT d, k, array_to_string(w[i:i + k - 1], ' ') AS g FROM (SELECT d, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM item_sets) WHERE len(w) >= k)),
+hits AS (SELECT d, r, count(*) AS n FROM wanted JOIN grams USING (k, g) GROUP BY d, r)
+SELECT doc_id, item_id, CAST(len(s) AS BIGINT) AS n_item, n AS n_found, n / len(s) AS containment
+FROM hits JOIN item_sets USING (r) JOIN docs USING (d) WHERE n >= 0.8 * len(s) - 1e-9
+""",
+}
