@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, mixing, quality, secrets, simhash, urls
+from . import chat, decontaminate, mixing, pii, quality, secrets, simhash, urls
 from .session import table, text_batches
 
 
@@ -39,6 +39,11 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
 
@@ -55,7 +60,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pareto_mix, op3_decontaminate, op5_secrets, op6_chat_examples, op7_quality, op10_url_rules, simhash_near)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pareto_mix, op3_decontaminate, op4_pii, op5_secrets, op6_chat_examples, op7_quality, op10_url_rules, simhash_near)}
 ORACLES: dict[str, str] = {
     "op3_decontaminate": r"""
 WITH items AS (SELECT row_number() OVER () AS r, item_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM benchmark),
