@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, pii, quality, secrets, simhash, urls
+from . import chat, decontaminate, jaccard, mixing, pii, quality, repeats, secrets, simhash, urls
 from .session import table, text_batches
 
 
@@ -56,6 +56,11 @@ def op6_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.expand(turns))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    return repeats.remove(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_batches(spark)
     return jaccard.link(table(spark, sf_dir, "documents"), k=4, percent=85)
@@ -65,7 +70,7 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pareto_mix, op3_decontaminate, op4_pii, op5_secrets, op6_chat_examples, op7_quality, op9_jaccard, op10_url_rules, simhash_near)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pareto_mix, op3_decontaminate, op4_pii, op5_secrets, op6_chat_examples, op7_quality, op8_repeats, op9_jaccard, op10_url_rules, simhash_near)}
 _WORDS = r"[^\x20\x09-\x0D]+"
 ORACLES: dict[str, str] = {
     "op9_jaccard": rf"""
@@ -75,8 +80,8 @@ grams AS MATERIALIZED (SELECT doc_id, unnest(s) AS g FROM sets),
 common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 linked AS MATERIALIZED (SELECT a, b FROM common JOIN sets x ON x.doc_id = a JOIN sets y ON y.doc_id = b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
 edges AS MATERIALIZED (SELECT a, b FROM linked UNION SELECT b, a FROM linked),
-reach(doc_id, at) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.at = e.a)
-SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(r.at) AS component_id FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id
+reach(doc_id, hop) AS (SELECT doc_id, doc_id FROM sets UNION SELECT r.doc_id, e.b FROM reach r JOIN edges e ON r.hop = e.a)
+SELECT s.doc_id, CAST(len(any_value(s.s)) AS BIGINT) AS n_shingles, min(r.hop) AS component_id FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id
 """,
     "op3_decontaminate": r"""
 WITH items AS (SELECT row_number() OVER () AS r, item_id, regexp_extract_all(lower(text), '[^\x00-\x2f\x3a-\x60\x7b-\x7f]+') AS w FROM benchmark),
