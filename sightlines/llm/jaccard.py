@@ -117,11 +117,11 @@ def light_edges(sets: DataFrame, most: int, percent: int) -> DataFrame:
             keys, sub, left = [], [], []
             for key, small in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 v = mix64(np.array(small, np.int64).view(np.uint64))
-                total = v.sum(dtype=np.uint64)
+                whole = np.add.reduce(v, keepdims=True)
                 for d in range(missing(len(v), percent) + 1):
                     for out in itertools.combinations(range(len(v)), d):
                         keys.append(key)
-                        sub.append(int((total - v[list(out)].sum(dtype=np.uint64)).astype(np.int64)) if d else int(total.astype(np.int64)))
+                        sub.append(int((whole - np.add.reduce(v[list(out)], keepdims=True)).view(np.int64)[0]))
                         left.append(len(v) - d)
                 if len(keys) > 100_000:
                     yield _arrow(["key", "subset", "s"], [pa.array(keys, pa.int64()), pa.array(sub, pa.int64()), pa.array(left, pa.int64())])
@@ -301,3 +301,20 @@ def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     return all_.join(of_key, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns, with the smallest id of each component alone.
+
+    Rows alike in every column are copies: one stays.  Rows that repeat an id with
+    other texts share its fate.
+    """
+    found = kept(link(docs, k, percent).select(F.col("doc_id").alias("__id"), "component_id"), "components")
+    gone = found.filter("__id <> component_id").select("__id").distinct()
+    left = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    again = found.groupBy("__id").count().filter("count > 1").select("__id")
+    if not again.limit(1).count():
+        return left
+    again = kept(again, "again")
+    same = F.col("doc_id").eqNullSafe(F.col("__id"))
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates())

@@ -201,3 +201,14 @@ def score(docs: DataFrame, model: Trees) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p)], [*b.schema.names, name])
 
     return docs.mapInArrow(run, schema)
+
+
+def keep_good(docs: DataFrame, model: Trees, least: float = 0.5) -> DataFrame:
+    """docs, all columns, without the rows whose score is below least."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(model.predict(statistics(b.column(at))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
