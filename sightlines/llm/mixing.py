@@ -11,8 +11,8 @@ that every source comes near its target.
   target.  floor(m) whole copies are certain.
 * The rest is one unequal-probability sample of fixed size (in words): every
   document draws odds u/(1-u) divided by its inclusion odds p/(1-p), p = m -
-  floor(m), and the smallest are taken until the source's remaining words are
-  reached (nearest whole document).  u is a hash of seed and doc_id: reruns agree.
+  floor(m), and the smallest are taken while they fit in the source's
+  remaining words; where one does not fit, later ones that do fill the gap.  u is a hash of seed and doc_id: reruns agree.
 
 The running total over a source's order is found by histogram: words are summed
 in fixed bins of the order's rank value, only the bin that holds the cut is
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .session import kept
 
 WHITE = r"\x20\x09-\x0D"
-#: Bins of one look at a source's order, and rows that one cut bin may hold at the end.
-BINS, SMALL = 4096, 20_000
+#: Bins of one look at a source's order, rows that one cut bin may hold at the end, passes that fill it.
+BINS, SMALL, FILLS = 4096, 20_000, 6
 
 
 def word_count(text: Column) -> Column:
@@ -126,32 +126,35 @@ def sample_rest(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
         ),
         "rest",
     )
-    while True:  # narrow each source's bin; what lies below it is taken, what lies above is not
-        few = _few(left)
-        inside = drawn.filter("q is not null and size > 0").join(F.broadcast(left) if few else left, F.col("source").eqNullSafe(F.col("s")))
+    whole = drawn.filter("q is not null and size > 0").groupBy("source").count().select(F.col("source").alias("s2"), F.col("count").alias("rows"))
+    left = kept(left.join(whole, F.col("s").eqNullSafe(F.col("s2"))).drop("s2"), "cuts")
+    while left.filter((F.col("rows") > SMALL) & (F.col("high") - F.col("low") > 1e-13)).limit(1).count():  # narrow each large source's bin
+        open_ = (F.col("rows") > SMALL) & (F.col("high") - F.col("low") > 1e-13)
+        large = left.filter(open_).drop("rows")
+        inside = drawn.filter("q is not null and size > 0").join(F.broadcast(large) if _few(large) else large, F.col("source").eqNullSafe(F.col("s")))
         inside = inside.filter("q >= low and q < high")
         bins = inside.groupBy("s", F.floor((F.col("q") - F.col("low")) / (F.col("high") - F.col("low")) * BINS).alias("bin")).agg(
             F.sum("size").alias("words"), F.count("*").alias("rows"), F.first("rest").alias("rest"), F.first("low").alias("low"), F.first("high").alias("high")
         )
-        upto = F.sum("words").over(Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
-        cut = bins.withColumn("upto", upto).withColumn("reach", F.when(F.col("upto") >= F.col("rest"), F.col("bin")))
+        by_bin = Window.partitionBy("s").orderBy("bin")
+        cut = bins.withColumn("upto", F.sum("words").over(by_bin.rowsBetween(Window.unboundedPreceding, 0))).withColumn("last", F.lead("bin").over(by_bin).isNull())
         width = (F.col("high") - F.col("low")) / BINS
-        found = (
-            cut.withColumn("n", F.row_number().over(Window.partitionBy("s").orderBy(F.col("reach").isNull(), F.when(F.col("reach").isNull(), -F.col("bin")).otherwise(F.col("bin")))))
-            .filter("n = 1")
-            .select("s", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("rest"), (F.col("low") + F.col("bin") * width).alias("low"), (F.col("low") + (F.col("bin") + 1) * width).alias("high"), "rows")
+        found = cut.filter((F.col("upto") - F.col("words") <= F.col("rest")) & ((F.col("upto") > F.col("rest")) | F.col("last"))).select(
+            "s", (F.col("rest") - (F.col("upto") - F.col("words"))).alias("rest"), (F.col("low") + F.col("bin") * width).alias("low"), (F.col("low") + (F.col("bin") + 1) * width).alias("high"), "rows"
         )
-        left = kept(found, "cuts")
-        if (left.agg(F.max("rows")).first()[0] or 0) <= SMALL or not left.filter("high - low > 1e-13").limit(1).count():
-            left = left.drop("rows")
-            break
-        left = left.drop("rows")
+        left = kept(left.filter(~open_).select("s", "rest", "low", "high", "rows").unionByName(found), "cuts")
+    left = left.drop("rows")
     placed = drawn.join(F.broadcast(left) if _few(left) else left, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     in_cut = F.col("q").isNotNull() & (F.col("size") > 0) & (F.col("q") >= F.col("low")) & (F.col("q") < F.col("high"))
-    order = Window.partitionBy("source").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    opened = placed.filter(in_cut).withColumn("upto", F.sum("size").over(order))
-    nearest = F.when(F.col("upto") - F.col("size") / 2 <= F.col("rest"), 1).otherwise(0)
-    opened = opened.withColumn("extra", nearest).drop("upto")
+    opened = placed.filter(in_cut).withColumns({"extra": F.lit(0), "gap": F.col("rest")})
+    order = Window.partitionBy("source").orderBy("q", "doc_id", "size")
+    for _ in range(FILLS):  # take in order while it fits; then, of what follows, what still fits
+        can = (F.col("extra") == 0) & (F.col("size") <= F.col("gap"))
+        opened = opened.withColumn("upto", F.sum(F.when(can, F.col("size")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+        opened = opened.withColumn("now", F.when(can & (F.col("upto") <= F.col("gap")), 1).otherwise(0))
+        opened = opened.withColumn("gap", F.col("gap") - F.sum(F.col("now") * F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+        opened = opened.withColumn("extra", F.col("extra") + F.col("now"))
+    opened = opened.drop("upto", "now", "gap")
     below = F.col("q").isNotNull() & (F.col("size") > 0) & (F.col("q") < F.col("low"))
     others = placed.filter(F.coalesce(~in_cut, F.lit(True))).withColumn("extra", F.when(F.coalesce(below, F.lit(False)), 1).otherwise(0))
     return others.unionByName(opened).drop("rest", "low", "high", "q")
