@@ -1,0 +1,349 @@
+"""Registered queries of the page and URL operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from sightlines.functions import urls as U
+from sightlines.operators import pages as P
+
+from . import facts
+from .facts import AS_OF
+from .registry import query
+from .search_queries import R
+
+
+def pages(spark, d):
+    return spark.read.parquet(f"{d}/pages.parquet")
+
+
+def _strip(x: str) -> str:
+    for p in ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?s)<!--.*?-->", "(?is)<title[^>]*>.*?</title>", "(?s)<[^>]*>"):
+        x = f"regexp_replace({x}, '{p}', ' ', 'g')"
+    for e, c in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&amp;", "&")):
+        x = f"replace({x}, '{e}', '{c}')"
+    return f"trim(regexp_replace({x}, '\\s+', ' ', 'g'))"
+
+
+_HOST = "regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[/?#:].*$', ''), '^www\\.', '')"
+_PATH = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
+_HREFS = """regexp_extract_all(h, '(?is)<a\\b[^>]*?\\bhref\\s*=\\s*["'']([^"''#][^"'']*)["'']', 1)"""
+_FACTS = f"""fx AS (SELECT page_id, url, coalesce(html, '') AS h, {_HOST} AS host FROM pages),
+ f AS (SELECT page_id, url, host, length(h) > 0 AS has_html, trim(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title>', 1)) AS title, len(regexp_extract_all(h, '(?is)<(h1)\\b', 1)) AS h1_count, {_HREFS} AS hrefs,
+ len(regexp_extract_all(h, '(?is)(<img\\b[^>]*>)', 1)) AS images, len(list_filter(regexp_extract_all(h, '(?is)(<img\\b[^>]*>)', 1), lambda t: NOT regexp_matches(t, '(?is)\\balt\\s*='))) AS images_no_alt, regexp_extract(h, '(?is)<html[^>]*\\blang\\s*=\\s*["'']([^"'']*)["'']', 1) AS lang,
+ regexp_matches(h, '(?is)<meta[^>]*name\\s*=\\s*["'']viewport["'']') AS viewport, trim(regexp_extract(regexp_extract(h, '(?is)(<meta[^>]*(?:name|property)\\s*=\\s*["'']description["''][^>]*>)', 1), '(?is)\\bcontent\\s*=\\s*["'']([^"'']*)["'']', 1)) AS description, {_strip('h')} AS text FROM fx),
+ fact AS (SELECT *, len(list_filter(string_split(text, ' '), lambda w: w <> '')) AS words FROM f)"""
+
+
+@query(
+    "h1_page_facts",
+    f"WITH {_FACTS} SELECT page_id, url, host, has_html, title, CAST(h1_count AS INTEGER) AS h1_count, CAST(len(hrefs) AS INTEGER) AS links, CAST(images AS INTEGER) AS images, CAST(images_no_alt AS INTEGER) AS images_no_alt, lang, viewport, description, CAST(words AS INTEGER) AS words, sha256(text) AS text_sha FROM fact",
+)
+def h1_page_facts(spark, d):
+    f = P.page_facts(pages(spark, d))
+    return f.select("page_id", "url", "host", "has_html", "title", "h1_count", F.size("hrefs").alias("links"), "images", "images_no_alt", "lang", "viewport", "description", "words", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha"))
+
+
+_EDGES = f"""ed AS (SELECT DISTINCT url AS source, 'https://' || host || x AS target FROM (SELECT url, {_HOST} AS host, unnest({_HREFS.replace('(h,', "(coalesce(html, ''),")}) AS x FROM pages) WHERE x LIKE '/%')"""
+
+
+def edges(spark, d):
+    f = P.page_facts(pages(spark, d)).select("url", "host", F.explode("hrefs").alias("x")).filter("x like '/%'")
+    return f.select(F.col("url").alias("source"), F.concat(F.lit("https://"), "host", "x").alias("target")).distinct()
+
+
+_STATUS = "CASE page_id % 9 WHEN 1 THEN 404 WHEN 2 THEN 301 WHEN 3 THEN 0 ELSE 200 END"
+
+
+def _with_status(spark, d):
+    i = F.col("page_id") % 9
+    return pages(spark, d).withColumn("http_status", F.when(i == 1, 404).when(i == 2, 301).when(i == 3, 0).otherwise(200))
+
+
+_LINKED = f"""{_EDGES}, tg AS (SELECT url, min({_STATUS}) AS http_status FROM pages GROUP BY url), all_ed AS (SELECT a.url AS source, b.url AS target FROM (SELECT url, {_HOST} AS host, page_id FROM pages) a JOIN (SELECT url, {_HOST} AS host, page_id FROM pages) b ON a.host = b.host AND (a.page_id + b.page_id) % 3 = 0 WHERE a.url <> b.url GROUP BY ALL)"""
+
+
+def site_edges(spark, d):
+    """Links between pages of one host."""
+    p = pages(spark, d).select("url", U.norm_domain(F.col("url")).alias("host"), "page_id")
+    b = p.select(F.col("url").alias("target"), "host", F.col("page_id").alias("j"))
+    return p.join(b, "host").filter((F.col("page_id") + F.col("j")) % 3 == 0).select(F.col("url").alias("source"), "target")
+
+
+@query(
+    "j17_link_health",
+    f"""WITH {_LINKED}, bad AS (SELECT DISTINCT url FROM (SELECT url, {_STATUS} AS s FROM pages) WHERE s >= 400 OR s = 0), i AS (SELECT target AS url, count(*) AS inbound_links FROM all_ed GROUP BY 1), b AS (SELECT source AS url, count(*) AS broken_links FROM all_ed WHERE target IN (SELECT url FROM bad) GROUP BY 1)
+    SELECT url, coalesce(inbound_links, 0) AS inbound_links, coalesce(broken_links, 0) AS broken_links FROM (SELECT DISTINCT url FROM pages) LEFT JOIN i USING (url) LEFT JOIN b USING (url)""",
+)
+def j17_link_health(spark, d):
+    return P.link_health(site_edges(spark, d), _with_status(spark, d))
+
+
+@query("j17_page_links", f"WITH {_EDGES} SELECT source, count(*) AS links FROM ed GROUP BY source")
+def j17_page_links(spark, d):
+    return edges(spark, d).groupBy("source").agg(F.count("*").alias("links"))
+
+
+_HTML = "has_html AND s BETWEEN 200 AND 299"
+_RULES = [
+    ("http_error", "s >= 400"), ("fetch_failed", "s = 0"), ("redirect", "s BETWEEN 300 AND 399"), ("title_missing", f"{_HTML} AND title = ''"), ("title_too_long", f"{_HTML} AND length(title) > 65"), ("title_duplicate", f"{_HTML} AND copies > 1"),
+    ("description_missing", f"{_HTML} AND description = ''"), ("h1_missing", f"{_HTML} AND h1_count = 0"), ("h1_multiple", f"{_HTML} AND h1_count > 1"), ("canonical_missing", _HTML), ("thin_content", f"{_HTML} AND words < 150"), ("images_no_alt", f"{_HTML} AND images_no_alt > 0"),
+    ("viewport_missing", f"{_HTML} AND NOT viewport"), ("lang_missing", f"{_HTML} AND lang = ''"), ("open_graph_incomplete", _HTML),
+]
+_AUDIT = f"""{_FACTS}, st AS (SELECT fact.*, CASE page_id % 9 WHEN 1 THEN 404 WHEN 2 THEN 301 WHEN 3 THEN 0 ELSE 200 END AS s, count(CASE WHEN has_html AND title <> '' THEN 1 END) OVER (PARTITION BY host, lower(trim(title))) AS copies FROM fact),
+ iss AS (SELECT page_id, url, host, unnest(list_filter([{", ".join(f"CASE WHEN {p} THEN '{r}' END" for r, p in _RULES)}], lambda x: x IS NOT NULL)) AS rule FROM st)"""
+
+
+def audited(spark, d):
+    return P.audit_pages(P.page_facts(_with_status(spark, d)))
+
+
+@query("h6_audit_pages", f"WITH {_AUDIT} SELECT page_id, rule FROM iss")
+def h6_audit_pages(spark, d):
+    return audited(spark, d).select("page_id", F.explode("issues").alias("rule"))
+
+
+@query("a60_issues_by_rule", f"WITH {_AUDIT} SELECT host, rule, count(*) AS pages FROM iss GROUP BY ALL")
+def a60_issues_by_rule(spark, d):
+    return P.issues_by_rule(audited(spark, d), ["host"])
+
+
+_SEV = {r: s for r, s in (("http_error", "critical"), ("fetch_failed", "critical"), ("lang_missing", "info"), ("open_graph_incomplete", "info"))}
+
+
+@query(
+    "a21_audit_summary",
+    f"""WITH {_AUDIT}, x AS (SELECT s.host, s.page_id, i.rule, CASE WHEN rule IN ('http_error', 'fetch_failed') THEN 'critical' WHEN rule IN ('lang_missing', 'open_graph_incomplete') THEN 'info' WHEN rule IS NOT NULL THEN 'warning' END AS sev FROM st s LEFT JOIN iss i USING (page_id)),
+    p AS (SELECT host, page_id, count_if(sev = 'critical') AS c, count_if(sev = 'warning') AS w, count_if(sev = 'info') AS i, bool_or(coalesce(sev IN ('critical', 'warning') AND rule <> 'canonical_missing', FALSE)) AS bad FROM x GROUP BY ALL)
+    SELECT host, count(*) AS pages, CAST(sum(c) AS BIGINT) AS critical, CAST(sum(w) AS BIGINT) AS warning, CAST(sum(i) AS BIGINT) AS info, CAST(count_if(bad) AS BIGINT) AS pages_with_issues, {R('(1 - CAST(count_if(bad) AS DOUBLE) / count(*)) * 100', 0)} AS health FROM p GROUP BY host""",
+)
+def a21_audit_summary(spark, d):
+    return P.audit_summary(audited(spark, d).drop("load_ms"), ["host"])
+
+
+@query("a22_duplicate_titles", f"WITH {_AUDIT} SELECT host, lower(trim(title)) AS title, count(*) AS pages FROM st WHERE has_html AND title <> '' GROUP BY ALL HAVING count(*) > 1")
+def a22_duplicate_titles(spark, d):
+    f = P.page_facts(pages(spark, d)).filter("has_html and title <> ''")
+    return f.groupBy("host", F.lower(F.trim("title")).alias("title")).agg(F.count("*").alias("pages")).filter("pages > 1")
+
+
+@query("h8_finding_evidence", f"WITH {_AUDIT} SELECT i.page_id, i.rule, CASE i.rule WHEN 'title_too_long' THEN length(title) || ' chars' WHEN 'thin_content' THEN words || ' words' WHEN 'h1_multiple' THEN h1_count || ' h1' WHEN 'images_no_alt' THEN images_no_alt || ' of ' || images WHEN 'http_error' THEN s::VARCHAR WHEN 'open_graph_incomplete' THEN 'title,description,image' WHEN 'title_duplicate' THEN title ELSE '' END AS evidence FROM iss i JOIN st USING (page_id)")
+def h8_finding_evidence(spark, d):
+    a = audited(spark, d)
+    return P.finding_evidence(a.withColumn("url", F.col("page_id").cast("string"))).select(F.col("url").cast("bigint").alias("page_id"), "rule", "evidence")
+
+
+@query(
+    "h11_crawl_issues",
+    f"""WITH {_AUDIT} SELECT page_id, unnest(list_filter([CASE WHEN s >= 400 THEN 'http_error' END, CASE WHEN s BETWEEN 300 AND 399 THEN 'redirect' END, CASE WHEN {_HTML} AND title = '' THEN 'missing_title' END, CASE WHEN {_HTML} AND length(title) BETWEEN 1 AND 19 THEN 'short_title' END, CASE WHEN {_HTML} AND length(title) > 70 THEN 'long_title' END,
+    CASE WHEN {_HTML} AND description = '' THEN 'missing_description' END, CASE WHEN {_HTML} AND h1_count = 0 THEN 'missing_h1' END, CASE WHEN {_HTML} AND h1_count > 1 THEN 'multiple_h1' END, CASE WHEN {_HTML} THEN 'missing_canonical' END, CASE WHEN {_HTML} AND NOT viewport THEN 'missing_viewport' END, CASE WHEN {_HTML} AND images_no_alt > 0 THEN 'missing_alt' END, CASE WHEN {_HTML} THEN 'no_schema' END, CASE WHEN {_HTML} AND words < 150 THEN 'thin_content' END], lambda x: x IS NOT NULL)) AS issue FROM st""",
+)
+def h11_crawl_issues(spark, d):
+    f = P.page_facts(_with_status(spark, d)).withColumn("url", F.col("page_id").cast("string"))
+    return P.crawl_issues(f).select(F.col("url").cast("bigint").alias("page_id"), F.explode("issues").alias("issue"))
+
+
+@query("h3_main_content")
+def h3_main_content(spark, d):
+    return P.main_content(pages(spark, d))
+
+
+@query("h5_heading_sections")
+def h5_heading_sections(spark, d):
+    return P.heading_sections(pages(spark, d))
+
+
+@query("f23_content_fingerprint", f"WITH {_FACTS} SELECT fingerprint, count(*) AS pages, min(page_id) AS first_page FROM (SELECT page_id, sha256(trim(regexp_replace(lower(text), '\\s+', ' ', 'g'))) AS fingerprint FROM fact) GROUP BY fingerprint")
+def f23_content_fingerprint(spark, d):
+    f = P.page_facts(pages(spark, d)).select("page_id", P.content_fingerprint(F.col("text")).alias("fingerprint"))
+    return f.groupBy("fingerprint").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
+
+
+@query(
+    "h12_dedupe_pages",
+    """WITH p AS (SELECT url || '&id=' || page_id AS url, CASE WHEN page_id % 10 = 1 THEN url ELSE url || '&id=' || page_id || '/' END AS final_url, CASE WHEN page_id % 10 = 2 THEN 'https://canon.example/x' ELSE '' END AS canonical, 'f' || (page_id % 60) AS fingerprint, CASE WHEN page_id % 4 = 0 THEN 50 ELSE 300 END AS words FROM pages),
+    l AS (SELECT *, first(url) OVER (PARTITION BY fingerprint ORDER BY length(url), url) AS lead FROM p), s AS (SELECT *, rtrim(final_url, '/') <> rtrim(url, '/') AS al, canonical <> '' AS ca, words >= 100 AND lead <> url AS sa FROM l)
+    SELECT url, CASE WHEN al THEN 'redirect_alias' WHEN ca THEN 'canonical' WHEN sa THEN 'exact_content' ELSE 'unique' END AS decision, CASE WHEN al THEN final_url WHEN ca THEN canonical WHEN sa THEN lead END AS duplicate_of FROM s""",
+)
+def h12_dedupe_pages(spark, d):
+    i = F.col("page_id")
+    own = F.concat("url", F.lit("&id="), i.cast("string"))
+    p = pages(spark, d).select(own.alias("u"), F.when(i % 10 == 1, F.col("url")).otherwise(F.concat(own, F.lit("/"))).alias("final_url"), F.when(i % 10 == 2, "https://canon.example/x").otherwise("").alias("canonical"), F.concat(F.lit("f"), (i % 60).cast("string")).alias("fingerprint"), F.when(i % 4 == 0, 50).otherwise(300).alias("words"))
+    return P.dedupe_pages(p.withColumnRenamed("u", "url"))
+
+
+@query("h7_redirect_trace")
+def h7_redirect_trace(spark, d):
+    """Chains and loops among pages: each page redirects to the one with half its number, some in circles."""
+    i = F.col("page_id")
+    name = lambda x: F.concat(F.lit("u"), x.cast("bigint").cast("string"))
+    r = pages(spark, d).filter(i % 3 != 0).select(name(i).alias("url"), name(F.when(i % 8 == 7, i + 1).when(i % 8 == 0, i - 1).otherwise(F.floor(i / 2))).alias("target"))
+    return P.redirect_trace(r)
+
+
+@query("h14_scan_score", "WITH s AS (SELECT page, sum(CASE severity WHEN 'critical' THEN 12 WHEN 'high' THEN 5 ELSE 1 END) AS c FROM (SELECT page, severity FROM signal WHERE run_id = 'run01' AND status = 'FAIL') GROUP BY page) SELECT page, CAST(greatest(0, 100 - c) AS INTEGER) AS score FROM s", "signal")
+def h14_scan_score(spark, d):
+    s = facts.signal(spark, d).filter("run_id = 'run01' and status = 'FAIL'").withColumn("severity", F.when(F.col("severity") == "high", "warning").otherwise(F.col("severity")))
+    return s.groupBy("page").agg(F.collect_list("severity").alias("s")).select("page", P.scan_score(F.col("s")).alias("score"))
+
+
+@query("h13_unchanged", "WITH r AS (SELECT run_id, page AS url, CAST(count(*) AS VARCHAR) AS fingerprint, CASE WHEN count(*) % 5 = 0 THEN 304 ELSE 200 END AS http_status FROM signal GROUP BY ALL) SELECT *, http_status = 304 OR coalesce(lag(fingerprint) OVER (PARTITION BY url ORDER BY run_id) = fingerprint, FALSE) AS unchanged FROM r", "signal")
+def h13_unchanged(spark, d):
+    r = facts.signal(spark, d).groupBy("run_id", F.col("page").alias("url")).agg(F.count("*").cast("string").alias("fingerprint"), F.when(F.count("*") % 5 == 0, 304).otherwise(200).alias("http_status"))
+    return P.unchanged(r)
+
+
+@query("f28_fingerprints", "WITH p AS (SELECT 'h' || c_custkey AS host, 'pub-' || (1000000000 + c_custkey % 300) AS a, 'GTM-ABCD' || (c_custkey % 9) AS g FROM customer) SELECT host, 'ads' AS kind, a AS value, 'strong' AS strength FROM p UNION ALL SELECT host, 'tag_manager', g, 'weak' FROM p")
+def f28_fingerprints(spark, d):
+    k = F.col("c_custkey")
+    page = F.concat(F.lit("<script>x('pub-"), (k % 300 + 1000000000).cast("string"), F.lit("')</script> GTM-ABCD"), (k % 9).cast("string"), F.lit(" pub-"), (k % 300 + 1000000000).cast("string"))
+    return P.fingerprints(spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("h"), k.cast("string")).alias("host"), page.alias("html")))
+
+
+@query(
+    "f29_cloaking_diff",
+    """WITH v AS (SELECT 'u' || page_id AS url, page_id % 7 = 0 AS a, page_id % 5 = 0 AS b, page_id % 3 = 0 AS c, page_id % 11 = 0 AS e FROM pages)
+    SELECT url, (CASE WHEN a THEN 30 ELSE 0 END + CASE WHEN b THEN 15 ELSE 0 END + CASE WHEN c THEN 20 ELSE 0 END + CASE WHEN e THEN 10 ELSE 0 END)::INTEGER AS score, array_to_string(list_filter([CASE WHEN a THEN 'status' END, CASE WHEN b THEN 'title' END, CASE WHEN c THEN 'content' END, CASE WHEN e THEN 'robots' END], lambda x: x IS NOT NULL), ',') AS flags FROM v""",
+)
+def f29_cloaking_diff(spark, d):
+    i = F.col("page_id")
+    u = F.concat(F.lit("u"), i.cast("string")).alias("url")
+    human = pages(spark, d).select(u, F.lit("human").alias("view"), F.lit(200).alias("status"), F.lit("t").alias("title"), F.lit(100).alias("words"), F.lit("index").alias("robots"), F.lit("f").alias("final_url"))
+    bot = pages(spark, d).select(u, F.lit("bot").alias("view"), F.when(i % 7 == 0, 404).otherwise(200).alias("status"), F.when(i % 5 == 0, "x").otherwise("t").alias("title"), F.when(i % 3 == 0, 40).otherwise(90).alias("words"), F.when(i % 11 == 0, "noindex").otherwise("index").alias("robots"), F.lit("f").alias("final_url"))
+    return P.cloaking_diff(human.unionByName(bot)).withColumn("flags", F.array_join("flags", ","))
+
+
+@query(
+    "j18_reconcile_sitemap",
+    """WITH p AS (SELECT page_id, 'https://s.example/a' || page_id AS u FROM pages) SELECT u || '/' AS url, array_to_string(list_filter([CASE WHEN page_id % 4 = 0 THEN 'not_crawled' END, CASE WHEN page_id % 4 <> 0 AND page_id % 9 = 2 THEN 'redirect_in_sitemap' END, CASE WHEN page_id % 4 <> 0 AND page_id % 9 IN (1, 3) THEN 'error_in_sitemap' END, CASE WHEN page_id % 4 <> 0 AND page_id % 5 = 1 THEN 'not_html' END, CASE WHEN page_id % 3 = 0 THEN 'not_in_inventory' END], lambda x: x IS NOT NULL), ',') AS reasons FROM p""",
+)
+def j18_reconcile_sitemap(spark, d):
+    i = F.col("page_id")
+    p = _with_status(spark, d).select("page_id", "http_status", F.concat(F.lit("https://s.example/a"), i.cast("string")).alias("u"))
+    crawl = p.filter("page_id % 4 <> 0").select(F.concat(F.lit("http://www.s.example/x"), i.cast("string")).alias("url"), F.col("http_status").alias("status_code"), F.when(i % 5 == 1, "document").otherwise("html").alias("resource_type"), F.col("u").alias("final_url"), F.lit("").alias("canonical"))
+    r = P.reconcile_sitemap(p.select(F.concat("u", F.lit("/")).alias("url"), F.lit("m").alias("source_sitemap")), crawl, p.filter("page_id % 3 <> 0").select(F.col("u").alias("url")))
+    return r.select("url", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query("j26_auditable_pages", f"SELECT DISTINCT 'u' || page_id AS url FROM pages WHERE {_STATUS} BETWEEN 200 AND 399 OR (page_id % 2 = 0 AND ({_STATUS.replace('page_id', '(page_id // 2)')}) BETWEEN 200 AND 399 AND page_id % 2 = 0 AND page_id // 2 IN (SELECT page_id FROM pages)) AND FALSE")
+def j26_auditable_pages(spark, d):
+    p = _with_status(spark, d).select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), "http_status")
+    return P.auditable_pages(p.withColumn("final_url", F.lit(None).cast("string")), p.select("url").distinct())
+
+
+@query("j27_inventory_audit", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'audit' || page_id END AS audit FROM pages")
+def j27_inventory_audit(spark, d):
+    """Inventory with its audit row, whatever the last slash."""
+    key = lambda c: F.regexp_replace(c, "/+$", "")
+    p = pages(spark, d).select("page_id", F.concat(F.lit("https://s.example/"), F.col("page_id").cast("string"), F.lit("/")).alias("url"))
+    a = p.filter("page_id % 3 = 0").select(key(F.col("url")).alias("k"), F.concat(F.lit("audit"), F.col("page_id").cast("string")).alias("audit"))
+    return p.join(a, key(F.col("url")) == F.col("k"), "left").select("page_id", "audit")
+
+
+# ------------------------------------------------------------- url functions
+
+
+@query(
+    "f14_url_identity",
+    f"SELECT page_id, {_HOST} || rtrim({_PATH}, '/') AS page_identity, {_HOST} AS host, {_PATH} AS path FROM pages",
+)
+def f14_url_identity(spark, d):
+    u = F.col("url")
+    return pages(spark, d).select("page_id", U.page_identity(u).alias("page_identity"), U.norm_domain(u).alias("host"), U.path_of(u).alias("path"))
+
+
+@query("f14_crawl_identity", "SELECT page_id, 'https://x.example/' || page_id || '?a=1&b=' || page_id AS id FROM pages")
+def f14_crawl_identity(spark, d):
+    i = F.col("page_id").cast("string")
+    return pages(spark, d).select("page_id", U.crawl_identity(F.concat(F.lit("HTTPS://X.Example:443/"), i, F.lit("?b="), i, F.lit("&a=1#frag"))).alias("id"))
+
+
+_CLASS = f"""CASE WHEN regexp_matches(u, '(?i)\\.(pdf|docx?)$') THEN 'document' WHEN regexp_matches(u, '(?i)/(login|cart)(/|$)') THEN 'utility' WHEN list_has_any(sg, ['tag', 'category']) THEN 'taxonomy' WHEN list_has_any(sg, ['events']) THEN 'webcast' WHEN list_has_any(sg, ['news']) THEN 'news' WHEN list_has_any(sg, ['blog']) THEN 'article' WHEN len(sg) <= 1 THEN 'core' ELSE 'page' END"""
+_FORMS = ["/blog/post-{i}", "/news/2024/item-{i}-annual", "/tag/t{i}", "/doc{i}.pdf", "/login", "/about", "/a/b/c{i}?x=1&y=2&z=3", "/list/page/{i}", "/events/call-q1-{i}", "/shop/item{i}"]
+_URLS = "cu AS (SELECT page_id, 'https://s' || (page_id % 5) || '.example' || replace([" + ", ".join(f"'{f}'" for f in _FORMS) + "][1 + page_id % 10], '{i}', page_id::VARCHAR) AS u FROM pages), cs AS (SELECT page_id, u, regexp_extract(u, '^https://[^/]*([^?#]*)', 1) AS path, list_filter(string_split(lower(regexp_extract(u, '^https://[^/]*([^?#]*)', 1)), '/'), lambda s: s <> '') AS sg FROM cu)"
+
+
+def crawl_urls(spark, d):
+    i = F.col("page_id")
+    form = F.element_at(F.array(*[F.lit(f) for f in _FORMS]), (i % 10 + 1).cast("int"))
+    u = F.concat(F.lit("https://s"), (i % 5).cast("string"), F.lit(".example"), F.replace(form, F.lit("{i}"), i.cast("string")))
+    p = pages(spark, d).select("page_id", u.alias("url"))
+    return p.withColumns({"url_class": U.url_class(F.col("url")), "domain": U.norm_domain(F.col("url"))})
+
+
+_ELIG = "CASE WHEN k IN ('feed', 'utility', 'taxonomy', 'media') THEN 'excluded_' || k WHEN regexp_matches(u, '(?i)/page/[0-9]+/?$') THEN 'excluded_pagination' WHEN contains(u, '&z=') THEN 'excluded_parameters' ELSE 'eligible' END"
+_SCORED = f"""{_URLS}, ck AS (SELECT *, {_CLASS} AS k FROM cs), pr AS (SELECT page_id, u AS url, 's' || (page_id % 5) || '.example' AS domain, k AS url_class, {_ELIG} AS eligibility, CAST(greatest(CASE k WHEN 'core' THEN 60 WHEN 'page' THEN 40 WHEN 'article' THEN 40 WHEN 'news' THEN 25 WHEN 'webcast' THEN 25 WHEN 'document' THEN 15 ELSE 0 END + CASE page_id % 3 WHEN 0 THEN 20 WHEN 1 THEN 15 ELSE 5 END
+ + least(floor(log10(page_id % 50 + 1) * 10), 30) - greatest(len(sg) - 2, 0) * 5, 0) AS INTEGER) AS priority FROM ck)"""
+
+
+def scored_urls(spark, d):
+    i = F.col("page_id")
+    src = F.when(i % 3 == 0, "sitemap+ranking").when(i % 3 == 1, "ranking").otherwise("sitemap")
+    u = crawl_urls(spark, d)
+    return u.withColumns({"eligibility": U.eligibility(F.col("url"), F.col("url_class")), "priority": U.priority_score(F.col("url"), F.col("url_class"), src, i % 50)})
+
+
+@query("f16_url_class", f"WITH {_SCORED} SELECT page_id, url, url_class, domain, eligibility, priority FROM pr")
+def f16_url_class(spark, d):
+    """Class (F16), eligibility (P10) and priority (T7) of urls."""
+    return scored_urls(spark, d).select("page_id", "url", "url_class", "domain", "eligibility", "priority")
+
+
+_BATCH = f"""{_SCORED}, fa AS (SELECT *, CASE WHEN url_class IN ('news', 'webcast') THEN coalesce(nullif(array_to_string(list_filter(string_split(regexp_extract(url, '([^/?]*)$', 1), '-'), lambda w: w <> '' AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN ('q1', 'annual')), '-'), ''), url) ELSE url END AS family FROM pr),
+ f1 AS (SELECT * FROM fa QUALIFY row_number() OVER (PARTITION BY domain, url_class, family ORDER BY priority DESC, url) = 1), f2 AS (SELECT *, row_number() OVER (PARTITION BY domain, url_class ORDER BY priority DESC, url) <= CASE url_class WHEN 'core' THEN 3 WHEN 'article' THEN 2 WHEN 'news' THEN 2 ELSE 0 END AS in_quota FROM f1)"""
+
+
+@query("t5_select_crawl_batch", f"WITH {_BATCH} SELECT domain, url, url_class, priority, in_quota, CAST(row_number() OVER (PARTITION BY domain ORDER BY in_quota DESC, priority DESC, url) AS INTEGER) AS place FROM f2 QUALIFY place <= 12")
+def t5_select_crawl_batch(spark, d):
+    return P.select_crawl_batch(scored_urls(spark, d), {"core": 3, "article": 2, "news": 2}, 12)
+
+
+@query(
+    "t6_background_batch",
+    f"""WITH {_SCORED}, du AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'b' END AS source FROM pr WHERE eligibility = 'eligible' AND page_id % 5 < 3 AND (page_id % 4 = 0 OR DATE '2024-01-30' - 10 + CAST(page_id % 20 AS INTEGER) <= DATE '2024-01-30')),
+    n AS (SELECT *, row_number() OVER (PARTITION BY domain, url_class, source, coalesce(string_split(lower(regexp_extract(url, '^https://[^/]*/([^?#]*)', 1)), '/')[1], '') ORDER BY priority DESC, url) AS n FROM du)
+    SELECT domain, url, url_class, priority, CAST(row_number() OVER (PARTITION BY domain ORDER BY priority DESC, url) AS INTEGER) AS place FROM n WHERE url_class NOT IN ('news', 'webcast', 'article') OR n <= 3 QUALIFY place <= 20""",
+)
+def t6_background_batch(spark, d):
+    i = F.col("page_id")
+    inv = scored_urls(spark, d).withColumns({"retries": (i % 5).cast("int"), "source": F.when(i % 2 == 0, "a").otherwise("b"), "next_crawl_on": F.when(i % 4 != 0, F.date_add(F.lit(AS_OF), (i % 20 - 10).cast("int")))})
+    return P.background_batch(inv, AS_OF, 20)
+
+
+@query("p11_apply_crawl_policy", f"WITH {_SCORED} SELECT page_id, CASE WHEN url = 'https://s4.example/login' THEN 'eligible' WHEN regexp_matches(url, '/blog/') THEN 'excluded_policy' ELSE eligibility END AS eligibility FROM pr")
+def p11_apply_crawl_policy(spark, d):
+    return P.apply_crawl_policy(scored_urls(spark, d), [], ["/blog/"], ["https://s4.example/login"]).select("page_id", "eligibility")
+
+
+@query("f17_page_type", f"WITH {_URLS} SELECT page_id, CASE WHEN list_has_any(sg, ['blog', 'news']) THEN 'article' WHEN list_has_any(sg, ['shop']) THEN 'product' WHEN list_has_any(sg, ['about']) THEN 'about' ELSE 'webpage' END AS page_type FROM cs")
+def f17_page_type(spark, d):
+    return crawl_urls(spark, d).select("page_id", U.page_type(F.col("url"))["type"].alias("page_type"))
+
+
+_BOT = "CASE WHEN regexp_matches(lower(user_agent), 'googlebot') THEN 'google' WHEN regexp_matches(lower(user_agent), 'bingbot') THEN 'bing' WHEN regexp_matches(lower(user_agent), 'yandex') THEN 'yandex' WHEN regexp_matches(lower(user_agent), 'mail\\.ru') THEN 'mailru' WHEN regexp_matches(lower(user_agent), 'gptbot') THEN 'ai' WHEN regexp_matches(lower(user_agent), 'bot') THEN 'other' ELSE 'human' END"
+
+
+@query("f20_bot_type", f"SELECT {_BOT} AS bot_type, count(*) AS hits FROM hit GROUP BY 1", "hit")
+def f20_bot_type(spark, d):
+    return facts.hit(spark, d).groupBy(U.bot_type(F.col("user_agent")).alias("bot_type")).agg(F.count("*").alias("hits"))
+
+
+@query("f22_failure_kind", "SELECT CASE WHEN error = 'Timed out' THEN 'timeout' WHEN error = 'DNS failure' THEN 'dns' WHEN s = 404 THEN 'not_found' WHEN s = 503 THEN 'server_error' WHEN s = 418 THEN 'client_error' END AS kind, count(*) AS n FROM (SELECT CASE event_id % 6 WHEN 0 THEN 'Timed out' WHEN 1 THEN 'DNS failure' END AS error, [200, 404, 503, 418][1 + event_id % 4] AS s FROM event) GROUP BY 1", "event")
+def f22_failure_kind(spark, d):
+    i = F.col("event_id")
+    e = facts.event(spark, d).select(F.when(i % 6 == 0, "Timed out").when(i % 6 == 1, "DNS failure").alias("error"), F.element_at(F.array(*map(F.lit, (200, 404, 503, 418))), (i % 4 + 1).cast("int")).alias("s"))
+    return e.groupBy(U.failure_kind(F.col("s"), F.col("error")).alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("f31_market", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'NL' WHEN c_nationkey % 3 = 0 THEN 'DE' WHEN c_nationkey % 3 = 1 THEN 'FR' END AS market FROM customer")
+def f31_market(spark, d):
+    n = F.col("c_nationkey") % 3
+    host = F.concat(F.lit("https://www.shop."), F.when(n == 0, "de").when(n == 1, "fr").otherwise("example"), F.lit("/x"))
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", U.market(F.when(F.col("c_custkey") % 4 == 0, "nl"), host).alias("market"))
+
+
+@query("p8_has_tag", "SELECT c_custkey FROM customer WHERE c_custkey % 6 IN (1, 2)")
+def p8_has_tag(spark, d):
+    i = F.col("c_custkey") % 6
+    tags = F.when(i == 0, '["blog"]').when(i == 1, '["Shop", "blog"]').when(i == 2, "blog, shop").when(i == 3, "workshop").when(i == 4, "")
+    return spark.read.parquet(f"{d}/customer.parquet").filter(U.has_tag(tags, "shop")).select("c_custkey")
