@@ -130,4 +130,4 @@ def site_type(host: Column) -> Column:
 def has_tag(tags: Column, tag: str) -> Column:
     """Membership in a tag list kept as a JSON array or as comma-separated text."""
     as_json = F.when(F.startswith(F.trim(tags), F.lit("[")), F.from_json(tags, "array<string>"))
-    return F.coalesce(F.exists(F.coalesce(as_json, F.transform(F.split(tags, ","), F.trim)), lambda t: F.lower(t) == tag.lower()), F.lit(False))
+    return F.coalesce(F.exists(F.coalesce(as_json, F.transform(F.split(tags, ","), lambda t: F.trim(t))), lambda t: F.lower(t) == tag.lower()), F.lit(False))

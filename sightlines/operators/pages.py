@@ -128,7 +128,7 @@ def audit_rules() -> list[tuple[str, str, bool, Column]]:
     c = F.col
     html, js = c("has_html") & c("http_status").between(200, 299), c("js_rendered")
     root = F.regexp_replace(U.path_of(c("url")), "/", "") == ""
-    has = lambda word: F.arrays_overlap(F.transform(F.split("robots", ","), F.trim), F.array(F.lit(word)))
+    has = lambda word: F.arrays_overlap(F.transform(F.split("robots", ","), lambda w: F.trim(w)), F.array(F.lit(word)))
     org = F.array_join("jsonld", " ")
     bare = lambda x: F.regexp_replace(x, "/+$", "")
     return [
