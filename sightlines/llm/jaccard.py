@@ -311,7 +311,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """
     found = kept(link(docs, k, percent).select(F.col("doc_id").alias("__id"), "component_id"), "components")
     gone = found.filter("__id <> component_id").select("__id").distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("__id"), "left_anti")
+    left = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__id"), "left_anti")  # one plan at every size
     again = found.groupBy("__id").count().filter("count > 1").select("__id")
     if not again.limit(1).count():
         return left
