@@ -31,6 +31,11 @@ write {email:info(at)example(dot)net} today
 email {email:ana [AT] correo [DOT] example} hoy
 to {email:user42 [at] host7 [dot] example [dot] com} she wrote
 mail us: {email:press(at)news.example.org}
+mail {email:c.d@site.example.com} or {email:jane [at] place [dot] com}, call later
+ask {email:tom [at] work [dot] net} or {email:lea [at] home [dot] org}.
+the of {email:kim [at] lab [dot] edu}, and the
+send it to {email:eve (at) club (dot) com}, please
+or {email:joe [at] shop [dot] com} or else
 card {card:4111 1111 1111 1111} expires soon
 paid with {card:5500-0000-0000-0004} yesterday
 number {card:4012888888881881} on file

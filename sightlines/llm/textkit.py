@@ -101,7 +101,7 @@ def word_hashes(column: pa.Array, table: WordTable) -> tuple[np.ndarray, np.ndar
             while at < end:
                 cut = min(end, at + SEGMENT)
                 while cut < end and table.word[buf[cut]] and table.word[buf[cut - 1]]:
-                    gap = np.flatnonzero(~table.word[buf[cut : cut + SEGMENT]])
+                    gap = np.flatnonzero(~table.word[buf[cut : min(end, cut + SEGMENT)]])
                     cut = cut + int(gap[0]) if len(gap) else min(end, cut + SEGMENT)
                 h, _ = table.hashes(buf[at:cut])
                 parts.append(h)
