@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightlines.functions import urls as U
+from sightlines.functions.check_catalogue import EXPECTED, WEIGHTS, catalogue
 from sightlines.functions.numbers import js_round
 
 
@@ -73,6 +74,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
         F.transform(_all(h, r"(?is)<p\b[^>]*>(.*?)</p>"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " "))).alias("paragraphs"),
         visible_text(h).alias("text"),
         host.alias("host"),
+        h.alias("html"),
     )
     return base.withColumns(
         {
@@ -363,3 +365,42 @@ def apply_crawl_policy(urls: DataFrame, allowed: list[str], excluded: list[str],
 def candidate_score(url: Column, links_from_home: Column, depth: Column) -> Column:
     utility = url.rlike(U.UTILITY)
     return F.greatest(F.lit(0), 50 + F.least(links_from_home * 10, F.lit(30)) - depth * 8 - F.when(utility, 40).otherwise(0))
+
+
+def check_facts(pages: DataFrame) -> DataFrame:
+    """The facts of `page_facts` and those that the check catalogue asks for besides."""
+    f = page_facts(pages)
+    low, t = F.lower("html"), F.lower("text")
+    kind = U.page_type(F.col("url"))["type"]
+    levels = F.transform(F.regexp_extract_all(low, F.lit("<h([1-6])[ >]"), F.lit(1)), lambda x: x.cast("int"))
+    sentences = F.filter(F.split("text", r"[.!?]+\s"), lambda s: s != "")
+    paragraphs = F.filter("paragraphs", lambda p: p != "")
+    word_n = lambda c: F.size(F.split(c, r"\s+"))
+    mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0), lambda s, x: s + word_n(x)) / F.size(a)).otherwise(0.0)
+    asks = F.filter("headings", lambda h: h.endswith("?") | F.lower(h).rlike("^(how|what|why|when|where|who|which|can|does|is) "))
+    table = F.create_map(*[F.lit(x) for kv in EXPECTED.items() for x in kv])
+    return f.withColumns(
+        {
+            "html_low": low, "t": t, "ld": F.array_join("jsonld", " "), "links": F.lower(F.array_join("hrefs", " ")), "page_kind": kind, "expected_type": F.element_at(table, kind), "depth": F.size(U.segments(F.col("url"))),
+            "ld_name": F.regexp_extract(F.array_join("jsonld", " "), r'"name"\s*:\s*"([^"]{3,})"', 1), "numbers": F.size(F.regexp_extract_all("text", F.lit(r"(?<![\w.])(\d+(?:[.,]\d+)?%?)"), F.lit(1))), "attributed": t.rlike("according to|source:|study|research|report|survey|cited by"),
+            "dated": F.col("text").rlike(r"\b(19|20)\d{2}\b") | low.rlike("published_time|modified_time|<time"), "authored": F.col("text").rlike(r"\b([Bb]y|[Aa]uthor:?) [A-Z]\w+") | low.rlike('"author"|rel="author"'), "compares": t.rlike(r"compar|versus|\bvs\b|pros and cons|alternative"),
+            "faq": t.rlike(r"frequently asked|\bfaq\b") | (F.size(asks) >= 2), "procedure": (F.col("lists") > 0) & t.rlike(r"how to|\bsteps?\b|\bfirst\b|\bthen\b"), "questions": F.size(asks), "hops": F.lit(0),
+            "question_forms": F.size(F.array_distinct(F.transform(asks, lambda h: F.lower(F.regexp_extract(h, r"^(\w+)", 1))))), "opening": F.when(F.size(paragraphs) > 0, word_n(F.element_at(paragraphs, 1))).otherwise(0), "mean_paragraph": mean(paragraphs), "mean_sentence": mean(sentences),
+            "heading_ids": F.size(F.regexp_extract_all(low, F.lit(r"<h[1-6][^>]*\b(id)="), F.lit(1))), "jumps": F.exists(F.zip_with(levels, F.slice(levels, 2, F.greatest(F.size(levels), F.lit(1))), lambda a, b: b > a + 1), lambda x: F.coalesce(x, F.lit(False))),
+            "vague_links": low.rlike(r">\s*(click here|here|read more|more)\s*</a>"), "acronyms": F.size(F.regexp_extract_all("text", F.lit(r"\b([A-Z]{2,6})\b"), F.lit(1))), "long_headings": F.size(F.filter("headings", lambda h: word_n(h) > 12)),
+            "inputs": F.size(F.regexp_extract_all(low, F.lit(r"<(input|select|textarea)\b(?![^>]*type=.hidden)"), F.lit(1))), "labels": F.size(F.regexp_extract_all(low, F.lit(r"(<label\b|aria-label)"), F.lit(1))), "empty_buttons": low.rlike(r"<button[^>]*>\s*</button>"),
+        }
+    )
+
+
+def evaluate_checks(facts: DataFrame) -> DataFrame:
+    """The 116 checks of every page in long form: family, category, title, status, severity, weight."""
+    rows = []
+    for family, category, title, severity, passes, partly in catalogue():
+        if passes in ("manual", "unknown"):
+            status = F.lit("MANUAL_REVIEW" if passes == "manual" else "UNKNOWN")
+        else:
+            status = F.when(F.coalesce(F.expr(passes), F.lit(False)), "PASS")
+            status = (status.when(F.coalesce(F.expr(partly), F.lit(False)), "PARTIAL") if partly else status).otherwise("FAIL")
+        rows.append(F.struct(*[F.lit(v).alias(k) for k, v in (("family", family), ("category", category), ("title", title))], status.alias("status"), F.lit(severity).alias("severity"), F.lit(WEIGHTS[severity]).alias("weight")))
+    return facts.select("url", F.explode(F.array(*rows)).alias("c")).select("url", "c.*")

@@ -347,3 +347,23 @@ def p8_has_tag(spark, d):
     i = F.col("c_custkey") % 6
     tags = F.when(i == 0, '["blog"]').when(i == 1, '["Shop", "blog"]').when(i == 2, "blog, shop").when(i == 3, "workshop").when(i == 4, "")
     return spark.read.parquet(f"{d}/customer.parquet").filter(U.has_tag(tags, "shop")).select("c_custkey")
+
+
+_H9 = f"""{_FACTS}, hc AS (SELECT 'Page answers with success' AS title, count(*) AS passed FROM fact UNION ALL SELECT 'Has a title', count(*) FILTER (title <> '') FROM fact UNION ALL SELECT 'Enough text in the HTML', count(*) FILTER (words >= 200) FROM fact UNION ALL SELECT 'Has exactly one main heading', count(*) FILTER (h1_count = 1) FROM fact
+ UNION ALL SELECT 'Served over HTTPS', count(*) FILTER (url LIKE 'https://%') FROM fact UNION ALL SELECT 'Language is known', count(*) FILTER (lang <> '') FROM fact UNION ALL SELECT 'Title has a good length', count(*) FILTER (length(title) BETWEEN 15 AND 65) FROM fact UNION ALL SELECT 'Fits small screens', count(*) FILTER (viewport) FROM fact)"""
+
+
+def page_checks(spark, d):
+    p = pages(spark, d)
+    return P.evaluate_checks(P.check_facts(p.withColumn("url", F.concat(F.col("url"), F.when(F.col("url").contains("?"), "&id=").otherwise("?id="), F.col("page_id").cast("string")))))
+
+
+@query("h9_evaluate_checks")
+def h9_evaluate_checks(spark, d):
+    return page_checks(spark, d)
+
+
+@query("h9_checks_passed", f"WITH {_H9} SELECT * FROM hc")
+def h9_checks_passed(spark, d):
+    some = ["Page answers with success", "Has a title", "Enough text in the HTML", "Has exactly one main heading", "Served over HTTPS", "Language is known", "Title has a good length", "Fits small screens"]
+    return page_checks(spark, d).filter(F.col("title").isin(some)).groupBy("title").agg(F.count_if(F.col("status") == "PASS").alias("passed"))

@@ -111,6 +111,14 @@ def test_audit_of_a_healthy_and_an_empty_page(spark):
     assert len(pages.audit_rules()) == 31
 
 
+def test_every_page_gets_116_checks(spark):
+    p = spark.createDataFrame([("https://s.example/", "<title>T</title><h1>a</h1>"), ("http://s.example/x", None)], "url string, html string")
+    got = pages.evaluate_checks(pages.check_facts(p))
+    assert {r.url: r["count"] for r in got.groupBy("url").count().collect()} == {"https://s.example/": 116, "http://s.example/x": 116}
+    one_ = {r.title: r.status for r in got.filter("url = 'http://s.example/x'").collect()}
+    assert one_["Served over HTTPS"] == "FAIL" and one_["Robots file allows the page"] == "UNKNOWN"
+
+
 def test_urls(spark):
     assert one(spark, U.page_identity(F.lit("http://www.A.example/x/?q=1"))) == one(spark, U.page_identity(F.lit("https://a.example/x")))
     assert one(spark, U.crawl_identity(F.lit("https://A.example/x/?b=2&a=1#f"))) == "https://a.example/x/?a=1&b=2"
