@@ -124,3 +124,17 @@ def m4_model_stats(spark, d):
     model = keep(T.train_marker_model(h, m, size=2000))
     s = T.score_documents(held, model).join(held.select("doc_id", (F.col("quality") == 0).alias("machine")), "doc_id")
     return T.model_stats(model, s)
+
+
+@query("f1_clean_text", "SELECT doc_id, trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS clean FROM documents WHERE lang = 'en'")
+def f1_clean_text(spark, d):
+    from sightlines.functions.unicode import clean_text
+
+    return docs(spark, d).filter("lang = 'en'").select("doc_id", clean_text("text").alias("clean"))
+
+
+@query("f2_intent_tokens", "SELECT query, [query] AS tokens FROM page_query GROUP BY query", "page_query")
+def f2_intent_tokens(spark, d):
+    from sightlines.functions.unicode import word_tokens
+
+    return facts.page_query(spark, d).select("query").distinct().select("query", word_tokens("query").alias("tokens"))

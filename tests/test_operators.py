@@ -131,6 +131,15 @@ def test_text(spark):
     assert one(spark, text.numeric_facts(F.lit("1,200 units at 5% and 3.5"))) == ["1200", "3.5", "5%"]
 
 
+def test_unicode(spark):
+    from sightlines.functions import unicode as X
+
+    t = spark.createDataFrame([("Crème_Brûlée, 2x!", "bücher.example"), (None, None), ("北京天气 app", "plain.example")], "s string, h string")
+    got = t.select(X.clean_text("s").alias("c"), X.word_tokens("s").alias("w"), X.ascii_host("h").alias("h")).collect()
+    assert got[0].c == "creme brulee 2x" and got[0].h == "xn--bcher-kva.example" and (got[1].c, got[1].w, got[1].h) == ("", [], "")
+    assert got[2].w == ["北京", "京天", "天气", "app"]
+
+
 def test_exports_and_imports(spark, tmp_path):
     f = tmp_path / "k.csv"
     f.write_text("Keyword;Volume;Difficulty\nred shoes;1.2K;n/a\n")
