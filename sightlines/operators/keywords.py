@@ -11,6 +11,8 @@ from sightlines.functions.numbers import js_round
 
 # Fixed limits of a gap verdict.
 CLOSE_POSITION = 30
+# Name servers of these say nothing about who owns a domain.
+COMMON_DNS = ("cloudflare.com", "awsdns", "googledomains.com", "google.com", "domaincontrol.com", "registrar-servers.com", "namecheaphosting.com", "azure-dns", "digitalocean.com", "hostinger.com", "dnsimple.com", "nsone.net", "vercel-dns.com", "netlify.com")
 
 
 def keyword_gap(competitor: DataFrame, page_query: DataFrame, limit_position: int = CLOSE_POSITION) -> DataFrame:
@@ -121,17 +123,20 @@ def outreach_stats(prospects: DataFrame, backlinks: DataFrame, as_of: date) -> D
     return t.withColumn("conversion", js_round(F.when(F.col("prospects") > 0, F.col("won") / F.col("prospects") * 100).otherwise(0.0), 1))
 
 
-def related_domains(prints: DataFrame, most: int = 1000) -> DataFrame:
+def related_domains(prints: DataFrame) -> DataFrame:
     """Pairs of domains that share a fingerprint (domain, kind, value, strength), strong before weak.
 
-    A weak value on more than `most` domains says nothing and is left out, as the
-    definition has it.  Strong values of any size keep their group: each domain is paired
-    with the group's first one, so the links of a group stay linear in its size.
+    Left out, as the definition has it: name servers of providers that everybody uses, and
+    addresses that belong to a CDN (an optional column behind_cdn says so).  How many share a
+    value does not matter: each domain of a group is paired with the group's first one, so
+    the links of a group stay linear in its size.
     """
-    p = prints.select("domain", "kind", "value", "strength").distinct()
-    w = Window.partitionBy("kind", "value")
-    sized = p.withColumns({"n": F.count("*").over(w), "first": F.min("domain").over(w)}).filter((F.col("n") >= 2) & ((F.col("strength") == "strong") | (F.col("n") <= most)))
-    pairs = sized.filter("domain <> first").groupBy(F.col("first").alias("a"), F.col("domain").alias("b")).agg(
+    common = (F.col("kind") == "ns") & F.lower("value").rlike("|".join(x.replace(".", r"\.") for x in COMMON_DNS))
+    if "behind_cdn" in prints.columns:
+        common = common | ((F.col("kind") == "ip") & F.col("behind_cdn"))
+    p = prints.filter(~F.coalesce(common, F.lit(False))).select("domain", "kind", "value", "strength").distinct()
+    groups = p.groupBy("kind", "value").agg(F.min("domain").alias("first"), F.max("domain").alias("last")).filter("first <> last").drop("last")
+    pairs = p.join(groups, ["kind", "value"]).filter("domain <> first").groupBy(F.col("first").alias("a"), F.col("domain").alias("b")).agg(
         F.max(F.when(F.col("strength") == "strong", 2).otherwise(1)).alias("s"), F.count("*").alias("shared"), F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "kind", "value"))), "|").alias("values")
     )
     return pairs.select("a", "b", F.when(F.col("s") == 2, "strong").otherwise("weak").alias("strength"), "shared", "values")

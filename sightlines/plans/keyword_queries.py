@@ -175,7 +175,7 @@ def j22_related_domains(spark, d):
     tag = lambda p, x: F.concat(F.lit(p), x.cast("string"))
     kinds = F.array(F.struct(F.lit("ads").alias("kind"), tag("pub", key % 400).alias("value"), F.lit("strong").alias("strength")), F.struct(F.lit("ns").alias("kind"), tag("ns", F.col("c_nationkey")).alias("value"), F.lit("weak").alias("strength")), F.struct(F.lit("ip").alias("kind"), tag("ip", key % 300).alias("value"), F.lit("weak").alias("strength")))
     prints = c.select(tag("d", key).alias("domain"), F.explode(kinds).alias("x")).select("domain", "x.*")
-    return W.related_domains(prints, most=10)
+    return W.related_domains(prints)
 
 
 def serps(spark, d):
