@@ -71,12 +71,12 @@ def f9_fact_drift(spark, d):
     "page_query",
 )
 def a5_related_pairs(spark, d):
-    return T.related_pairs(facts.page_query(spark, d).filter("date <= '2024-01-06'"))
+    return T.related_pairs(facts.page_query(spark, d))
 
 
 @query("a5_cannibalization_related")
 def a5_cannibalization_related(spark, d):
-    return T.cannibalization_related(facts.page_query(spark, d).filter("date <= '2024-01-04'"), keep)
+    return T.cannibalization_related(facts.page_query(spark, d), keep)
 
 
 def _labelled(spark, d):

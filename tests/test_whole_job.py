@@ -1,5 +1,7 @@
 """Queries over small tables where a part of the rows was once left out."""
 
+from datetime import datetime
+
 import duckdb
 
 from sightlines.operators import keywords
@@ -30,3 +32,32 @@ def test_related_domains_match_sql_without_the_size_bound(spark):
     want = con.sql(whole)
     got = QUERIES["j22_related_domains"](spark, SF).select(*want.columns).collect()
     assert whole != sql and sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def _events(spark, path, rows):
+    """events of (user_id, k, day)."""
+    rows = [(i, datetime(2024, 1, day), user, "click", 1.0, f'{{"k": {k}}}') for i, (user, k, day) in enumerate(rows)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(f"{path}/events.parquet")
+
+
+def test_related_pairs_read_every_day(spark, tmp_path):
+    _events(spark, tmp_path, [(0, 1, 2), (0, 2, 20), (5, 2, 29)])
+    got = [tuple(r) for r in QUERIES["a5_related_pairs"](spark, str(tmp_path)).collect()]
+    assert got == [("site0", "q1", "q2", 0.0, 1.0, 1)]
+
+
+def test_related_cannibalization_reads_every_day(spark, tmp_path):
+    _events(spark, tmp_path, [(user, k, 5 + 5 * k) for k in (1, 2, 3) for user in (0, 5)])
+    got = QUERIES["a5_cannibalization_related"](spark, str(tmp_path)).collect()
+    assert [(r.site_id, r.queries, r.pages, r.impressions) for r in got] == [("site0", "q1|q2|q3", 2, 6)]
+
+
+def test_related_pairs_match_sql_without_the_window(spark):
+    """The registered SQL still has the window; without it, it says the same."""
+    sql = ORACLES["a5_related_pairs"]
+    whole = sql.replace(" WHERE date <= DATE '2024-01-06'", "")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{SF}/events.parquet'")
+    want = con.sql(whole)
+    got = QUERIES["a5_related_pairs"](spark, SF).select(*want.columns).collect()
+    assert whole != sql and sorted(map(tuple, got)) == sorted(want.fetchall())
