@@ -130,7 +130,7 @@ def m4_model_stats(spark, d):
 def f1_clean_text(spark, d):
     from sightlines.functions.unicode import clean_text
 
-    return docs(spark, d).filter("lang = 'en'").select("doc_id", clean_text("text").alias("clean"))
+    return docs(spark, d).select("doc_id", clean_text("text").alias("clean"))
 
 
 @query("f2_intent_tokens", "SELECT query, [query] AS tokens FROM page_query GROUP BY query", "page_query")

@@ -1,5 +1,7 @@
 """Queries over small tables where a part of the rows was once left out."""
 
+import re
+import unicodedata
 from datetime import datetime
 
 import duckdb
@@ -61,3 +63,19 @@ def test_related_pairs_match_sql_without_the_window(spark):
     want = con.sql(whole)
     got = QUERIES["a5_related_pairs"](spark, SF).select(*want.columns).collect()
     assert whole != sql and sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_clean_text_of_every_language(spark):
+    def brute(text):
+        bare = "".join(c for c in unicodedata.normalize("NFKD", (text or "").lower()) if not unicodedata.category(c).startswith("M"))
+        return re.sub(r"[\W_]+", " ", bare).strip()
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text").collect()
+    assert {r.lang for r in docs} > {"en"}
+    got = QUERIES["f1_clean_text"](spark, SF).collect()
+    assert sorted(map(tuple, got)) == sorted((r.doc_id, brute(r.text)) for r in docs)
+
+
+def test_clean_text_without_a_language(spark, tmp_path):
+    spark.createDataFrame([(1, "Été_à", "fr"), (2, "Straße", None)], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, QUERIES["f1_clean_text"](spark, str(tmp_path)).collect())) == [(1, "ete a"), (2, "straße")]
