@@ -194,12 +194,8 @@ def doc_windows(docs: DataFrame, size: int = 300) -> DataFrame:
     return t.select("doc_id", F.floor(F.col("i") / size).cast("int").alias("window"), "w")
 
 
-def train_marker_model(human: DataFrame, machine: DataFrame, least_docs: int = 3, size: int = 6000, smooth: float = 0.5) -> DataFrame:
-    """(w, weight, docs, human_docs): log-odds of machine against human text for the words that tell most.
-
-    Words in fewer than least_docs documents are left out, and of the others the `size`
-    with the largest |weight| * sqrt(documents) stay.
-    """
+def marker_weights(human: DataFrame, machine: DataFrame, least_docs: int = 3, smooth: float = 0.5) -> DataFrame:
+    """(w, weight, docs, human_docs): log-odds of machine against human text for every word in least_docs documents or more."""
     def side(df: DataFrame, name: str) -> DataFrame:
         w = df.select("doc_id", F.explode(tokens(F.col("text"))).alias("w"))
         return w.groupBy("w").agg(F.count("*").alias(f"{name}_n"), F.countDistinct("doc_id").alias(f"{name}_docs"))
@@ -209,7 +205,12 @@ def train_marker_model(human: DataFrame, machine: DataFrame, least_docs: int = 3
     t = j.join(F.broadcast(total))
     odds = lambda n, of: F.log((n + smooth) / (of + smooth * F.col("v")))
     t = t.select("w", js_round(odds(F.col("machine_n"), F.col("mn")) - odds(F.col("human_n"), F.col("hn")), 6).alias("weight"), (F.col("human_docs") + F.col("machine_docs")).alias("docs"), "human_docs")
-    t = t.filter(F.col("docs") >= least_docs).withColumn("pull", js_round(F.abs("weight") * F.sqrt("docs"), 6))
+    return t.filter(F.col("docs") >= least_docs)
+
+
+def train_marker_model(human: DataFrame, machine: DataFrame, least_docs: int = 3, size: int = 6000, smooth: float = 0.5) -> DataFrame:
+    """(w, weight, docs, human_docs) of the `size` words that tell most: those with the largest |weight| * sqrt(documents)."""
+    t = marker_weights(human, machine, least_docs, smooth).withColumn("pull", js_round(F.abs("weight") * F.sqrt("docs"), 6))
     return t.orderBy(F.desc("pull"), "w").limit(size).drop("pull")
 
 

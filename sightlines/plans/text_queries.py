@@ -97,31 +97,31 @@ _MODEL = f"""lb AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY
 @query("m1_train_marker_model", None)
 def m1_train_marker_model(spark, d):
     h, m, _ = _labelled(spark, d)
-    return T.train_marker_model(h, m, size=2000)
+    return T.train_marker_model(h, m)
 
 
 @query("m1_word_counts", f"WITH {_MODEL} SELECT w, human_docs, docs FROM wt WHERE docs >= 3")
 def m1_word_counts(spark, d):
     h, m, _ = _labelled(spark, d)
-    return T.train_marker_model(h, m, size=10_000_000).select("w", "human_docs", "docs")
+    return T.marker_weights(h, m).select("w", "human_docs", "docs")
 
 
 @query("m2_score_documents", None)
 def m2_score_documents(spark, d):
     h, m, _ = _labelled(spark, d)
-    return T.score_documents(docs(spark, d), keep(T.train_marker_model(h, m, size=2000)))
+    return T.score_documents(docs(spark, d), keep(T.train_marker_model(h, m)))
 
 
 @query("m3_ban_candidates", None)
 def m3_ban_candidates(spark, d):
     h, m, _ = _labelled(spark, d)
-    return T.ban_candidates(T.train_marker_model(h, m, size=2000), h.count())
+    return T.ban_candidates(T.train_marker_model(h, m), h.count())
 
 
 @query("m4_model_stats", None)
 def m4_model_stats(spark, d):
     h, m, held = _labelled(spark, d)
-    model = keep(T.train_marker_model(h, m, size=2000))
+    model = keep(T.train_marker_model(h, m))
     s = T.score_documents(held, model).join(held.select("doc_id", (F.col("quality") == 0).alias("machine")), "doc_id")
     return T.model_stats(model, s)
 

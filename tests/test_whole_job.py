@@ -1,10 +1,12 @@
 """Queries over small tables where a part of the rows was once left out."""
 
+import itertools
 import re
 import unicodedata
 from datetime import datetime
 
 import duckdb
+import pytest
 
 from sightlines.operators import keywords
 from sightlines.plans import ORACLES, QUERIES
@@ -79,3 +81,28 @@ def test_clean_text_of_every_language(spark):
 def test_clean_text_without_a_language(spark, tmp_path):
     spark.createDataFrame([(1, "Été_à", "fr"), (2, "Straße", None)], "doc_id bigint, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     assert sorted(map(tuple, QUERIES["f1_clean_text"](spark, str(tmp_path)).collect())) == [(1, "ete a"), (2, "straße")]
+
+
+@pytest.fixture(scope="module")
+def wordy(spark, tmp_path_factory):
+    """Ten labelled documents, two of them held out, that share 7,000 words; the good ones lack 2,500 of them."""
+    at = tmp_path_factory.mktemp("wordy")
+    words = ["".join(x) for x in itertools.islice(itertools.product("abcdefghij", repeat=4), 7000)]
+    rows = [(i, " ".join(words[: 4500 if i % 2 else 7000]), i % 2) for i in range(10)]
+    spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string").write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id bigint, quality int").write.parquet(f"{at}/labels.parquet")
+    return str(at)
+
+
+def test_marker_model_has_its_full_vocabulary(spark, wordy):
+    assert QUERIES["m1_train_marker_model"](spark, wordy).count() == 6000
+    assert QUERIES["m4_model_stats"](spark, wordy).first().vocabulary == 6000
+    scored = {r.doc_id: r.markers for r in QUERIES["m2_score_documents"](spark, wordy).collect()}
+    assert scored[0] == 6000 and scored[1] == 3500
+    assert QUERIES["m3_ban_candidates"](spark, wordy).count() == 50
+
+
+def test_word_counts_are_no_top_list(spark, wordy):
+    counts = QUERIES["m1_word_counts"](spark, wordy)
+    plan = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert counts.count() == 7000 and "Limit" not in plan and "Sort" not in plan
