@@ -17,6 +17,8 @@ that every source comes near its target.
 The running total over a source's order is found by histogram: words are summed
 in fixed bins of the order's rank value, only the bin that holds the cut is
 opened, again and again, until it is small.  No source is ever sorted whole.
+What the documents before that bin leave is filled from the bin and all later ones,
+in order, until nothing fits; bins and their bounds do not change what is taken.
 
 Defined cases: null or blank text has size 0 and is never taken; a null source
 is a source of its own, last in order; rows that repeat a doc_id are separate
@@ -26,16 +28,17 @@ target 0; an empty table gives an empty result.  Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import kept
 
 WHITE = r"\x20\x09-\x0D"
-#: Bins of one look at a source's order, rows that one cut bin may hold at the end, passes that fill it.
-BINS, SMALL, FILLS = 4096, 20_000, 6
+#: Bins of one look at a source's order, rows that one cut bin may hold at the end, shares that the documents of one size are dealt to.
+BINS, SMALL, SHARES = 4096, 20_000, 64
 
 
 def word_count(text: Column) -> Column:
@@ -126,8 +129,7 @@ def sample_rest(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
         ),
         "rest",
     )
-    whole = drawn.filter("q is not null and size > 0").groupBy("source").count().select(F.col("source").alias("s2"), F.col("count").alias("rows"))
-    left = kept(left.join(whole, F.col("s").eqNullSafe(F.col("s2"))).drop("s2"), "cuts")
+    left = kept(left.withColumn("rows", F.lit(1 << 62)), "cuts")  # every source is looked at once at least
     while left.filter((F.col("rows") > SMALL) & (F.col("high") - F.col("low") > 1e-13)).limit(1).count():  # narrow each large source's bin
         open_ = (F.col("rows") > SMALL) & (F.col("high") - F.col("low") > 1e-13)
         large = left.filter(open_).drop("rows")
@@ -145,19 +147,35 @@ def sample_rest(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
         left = kept(left.filter(~open_).select("s", "rest", "low", "high", "rows").unionByName(found), "cuts")
     left = left.drop("rows")
     placed = drawn.join(F.broadcast(left) if _few(left) else left, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    in_cut = F.col("q").isNotNull() & (F.col("size") > 0) & (F.col("q") >= F.col("low")) & (F.col("q") < F.col("high"))
-    opened = placed.filter(in_cut).withColumns({"extra": F.lit(0), "gap": F.col("rest")})
-    order = Window.partitionBy("source").orderBy("q", "doc_id", "size")
-    for _ in range(FILLS):  # take in order while it fits; then, of what follows, what still fits
-        can = (F.col("extra") == 0) & (F.col("size") <= F.col("gap"))
-        opened = opened.withColumn("upto", F.sum(F.when(can, F.col("size")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-        opened = opened.withColumn("now", F.when(can & (F.col("upto") <= F.col("gap")), 1).otherwise(0))
-        opened = opened.withColumn("gap", F.col("gap") - F.sum(F.col("now") * F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-        opened = opened.withColumn("extra", F.col("extra") + F.col("now"))
-    opened = opened.drop("upto", "now", "gap")
-    below = F.col("q").isNotNull() & (F.col("size") > 0) & (F.col("q") < F.col("low"))
-    others = placed.filter(F.coalesce(~in_cut, F.lit(True))).withColumn("extra", F.when(F.coalesce(below, F.lit(False)), 1).otherwise(0))
-    return others.unionByName(opened).drop("rest", "low", "high", "q")
+    counts = F.col("q").isNotNull() & (F.col("size") > 0)
+    placed = placed.withColumn("extra", F.when(counts & (F.col("q") < F.col("low")), 1).otherwise(0))
+    may = F.coalesce(counts & (F.col("q") >= F.col("low")) & (F.col("size") <= F.col("rest")), F.lit(False))
+    # The gap only shrinks, so documents of one size are taken in order until that size no longer fits:
+    # none after the first rest / size of them can be, in any of the shares that a size is dealt to.
+    share = Window.partitionBy("source", "size", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))).orderBy("q", "doc_id")
+    ahead = placed.filter(may).withColumn("nth", F.row_number().over(share))
+    first = F.col("nth") <= F.floor(F.col("rest") / F.col("size"))
+    tried = filled(ahead.filter(first).drop("nth"))
+    out = placed.filter(~may).unionByName(ahead.filter(~first).drop("nth")).unionByName(tried)
+    return out.drop("rest", "low", "high", "q")
+
+
+def filled(tried: DataFrame) -> DataFrame:
+    """Sets `extra` of documents in their source's order: each is taken that fits in what those before it left of `rest`."""
+    names = tried.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, gap = run, 0.0  # no source yet
+        for b in batches:
+            extra = []
+            for s, size, rest in zip(*(b.column(names.index(c)).to_pylist() for c in ("source", "size", "rest"))):
+                if s != source:
+                    source, gap = s, rest
+                extra.append(int(size <= gap))
+                gap -= size * extra[-1]
+            yield b.set_column(names.index("extra"), "extra", pa.array(extra, pa.int32()))
+
+    return tried.repartition("source").sortWithinPartitions("source", "q", "doc_id", "size").mapInArrow(run, tried.schema)
 
 
 def mix(
