@@ -15,8 +15,10 @@ nothing is trainable).  Conversations are dealt by id and read in turn order as
 a stream: a task holds the text of one conversation, not the rows of many.
 
 Defined cases: null role or text is empty; null conv_id is a conversation of
-its own; turns that repeat a number are ordered by role, then text; an assistant
-turn with empty text is an example with an empty target; no rows give no rows.
+its own; ids and turns are whole 64-bit numbers, nulls beside them change nothing;
+turns that repeat a number are ordered by role, then text; an assistant
+turn with empty text is an example with an empty target; no rows give no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ CHUNK = 4_000_000
 EXAMPLES = "conv_id bigint, example bigint, target_turn bigint, n_turns bigint, text string, loss_start bigint, loss_end bigint, last boolean"
 DIGEST = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, n_examples bigint"
 
+_ARROW = {"bigint": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+
 
 def escape(s: str, role: bool = False) -> str:
     s = s.replace("\\", "\\\\").replace("<|", "<\\|")
@@ -57,63 +61,52 @@ def parse(text: str) -> list[tuple[str, str]]:
     return out
 
 
-class _Sheet:
-    """Rows of examples until they are handed on."""
-
-    def __init__(self):
-        self.rows, self.chars = [], 0
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as an Arrow batch: numbers beside nulls stay whole."""
+    kinds = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], _ARROW[t]) for i, (_, t) in enumerate(kinds)], [n for n, _ in kinds])
 
-    def add(self, *row) -> bool:
-        self.rows.append(row)
-        self.chars += len(row[4])
-        return self.chars >= CHUNK
 
-    def take(self) -> pd.DataFrame:
-        rows, self.rows, self.chars = self.rows, [], 0
-        cols = [c.split()[0] for c in EXAMPLES.split(", ")]
-        return pd.DataFrame(rows, columns=cols).astype({"conv_id": "Int64", "target_turn": "Int64"})
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for b in batches:
+        yield from zip(*(c.to_pylist() for c in b.columns))
 
 
-def _expand(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sheet, now, prefix, turns, made, open_ = _Sheet(), object(), "", 0, 0, False
+def _examples(turns: Iterator[tuple]) -> Iterator[tuple]:
+    """Examples of conversations whose turns come together and in order; `last` is known one example late."""
+    held, now, prefix, n, made, open_ = None, object(), "", 0, 0, False
 
-    def finish():
-        # the last example of a conversation is only known when the next one begins
-        nonlocal held
+    def rest() -> Iterator[tuple]:
         if held is not None:
-            row, held = held, None
-            if open_:
-                full = sheet.add(*row, False)
-                return sheet.add(now, made, None, turns, prefix, len(prefix), len(prefix), True) or full
-            return sheet.add(*row, True)
-        if turns:
-            return sheet.add(now, made, None, turns, prefix, len(prefix), len(prefix), True)
-        return False
-
-    held = None
-    for frame in frames:
-        for conv, turn, role, text in zip(frame["conv_id"], frame["turn"], frame["role"], frame["text"]):
-            conv = None if pd.isna(conv) else int(conv)
-            if conv != now:
-                if finish():
-                    yield sheet.take()
-                now, prefix, turns, made, open_ = conv, "", 0, 0, False
-            role, text = role or "", text or ""
-            prefix += f"{OPEN}{escape(role, True)}\n"
-            start = len(prefix)
-            prefix += escape(text)
-            end = len(prefix)
-            prefix += CLOSE
-            turns, open_ = turns + 1, role != "assistant"
-            if not open_:
-                if held is not None:
-                    row, held = held, None
-                    if sheet.add(*row, False):
-                        yield sheet.take()
-                held = (conv, made, None if pd.isna(turn) else int(turn), turns, prefix, start, end)
-                made += 1
-    if finish() or sheet.rows:
-        yield sheet.take()
+            yield (*held, not open_)
+        if n and (open_ or held is None):
+            yield (now, made, None, n, prefix, len(prefix), len(prefix), True)
+
+    for conv, turn, role, text in turns:
+        if conv != now:
+            yield from rest()
+            held, now, prefix, n, made, open_ = None, conv, "", 0, 0, False
+        role = role or ""
+        head = f"{prefix}{OPEN}{escape(role, True)}\n"
+        body = head + escape(text or "")
+        prefix, n, open_ = body + CLOSE, n + 1, role != "assistant"
+        if not open_:
+            if held is not None:
+                yield (*held, False)
+            held = (conv, made, turn, n, prefix, len(head), len(body))
+            made += 1
+    yield from rest()
+
+
+def _expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows, chars = [], 0
+    for row in _examples(_values(batches)):
+        rows.append(row)
+        chars += len(row[4])
+        if chars >= CHUNK:
+            yield _batch(rows, EXAMPLES)
+            rows, chars = [], 0
+    yield _batch(rows, EXAMPLES)
 
 
 def expand(turns: DataFrame) -> DataFrame:
@@ -121,31 +114,26 @@ def expand(turns: DataFrame) -> DataFrame:
 
     The examples of a conversation stay together, in order, in one partition.
     """
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInPandas(_expand, EXAMPLES)
+    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_expand, EXAMPLES)
 
 
-def _read_back(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     out, loss, chars, total, n = [], hashlib.sha256(), 0, 0, 0
-    for frame in frames:
-        for conv, text, start, end, last in zip(frame["conv_id"], frame["text"], frame["loss_start"], frame["loss_end"], frame["last"]):
-            piece = unescape(text[start:end])
-            loss.update(piece.encode("utf-8", "surrogatepass"))
-            chars, total, n = chars + len(piece), total + len(text), n + 1
-            if last:
-                read, all_ = parse(text), hashlib.sha256()
-                for role, said in read:
-                    all_.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-                out.append((None if pd.isna(conv) else int(conv), len(read), all_.hexdigest(), chars, loss.hexdigest(), total, n))
-                loss, chars, total, n = hashlib.sha256(), 0, 0, 0
-        if len(out) >= 2000:
-            yield _digests(out)
-            out = []
-    yield _digests(out)
-
-
-def _digests(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
+    for conv, _, _, _, text, start, end, last in _values(batches):
+        piece = unescape(text[start:end])
+        loss.update(piece.encode("utf-8", "surrogatepass"))
+        chars, total, n = chars + len(piece), total + len(text), n + 1
+        if last:
+            read, all_ = parse(text), hashlib.sha256()
+            for role, said in read:
+                all_.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
+            out.append((conv, len(read), all_.hexdigest(), chars, loss.hexdigest(), total, n))
+            loss, chars, total, n = hashlib.sha256(), 0, 0, 0
+            if len(out) >= 2000:
+                yield _batch(out, DIGEST)
+                out = []
+    yield _batch(out, DIGEST)
 
 
 def read_back(examples: DataFrame) -> DataFrame:
@@ -153,4 +141,4 @@ def read_back(examples: DataFrame) -> DataFrame:
 
     formatted_chars counts the code points of all examples of the conversation.
     """
-    return examples.mapInPandas(_read_back, DIGEST)
+    return examples.mapInArrow(_read_back, DIGEST)

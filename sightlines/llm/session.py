@@ -6,10 +6,11 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch where a row holds a whole text.
-TEXT_BATCH = 512
+#: Rows and bytes of an Arrow batch where a row holds a whole text.
+TEXT_BATCH, TEXT_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,8 +18,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches of whole texts small."""
+    """Keeps Arrow batches of whole texts small, in rows and in bytes, for the rest of this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(TEXT_BYTES))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of df has it (Spark ignores case)."""
+    used = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
+    """Two 64-bit hashes that know a row by its columns; nulls and empty values differ."""
+    cols = [x for c in columns or df.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
+    return [F.xxhash64(F.lit(seed), *cols) for seed in (1, 2)]
 
 
 def shared_folder(spark: SparkSession) -> str:
