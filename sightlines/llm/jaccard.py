@@ -10,14 +10,17 @@ miss d(n) = n - ceil(n * percent / 100) of them.
 * Light: for sets of at most B shingles all subsets that miss at most d(n) are
   enumerated.  Two light sets link exactly if they share such a subset of enough
   size, so the smallest set of each subset's list, linked with the others, keeps
-  all connections and nothing has to be verified.
+  all connections.  Subsets are known by 128 bits.
 * Heavy: other sets go to inverted lists.  Shingles are dealt by hash; a
   shingle in one set only cannot be shared, so a set whose shared shingles are
   fewer than percent of all is dropped.  The rest are ordered rarest first and
   a set enters the lists of its first d(n) + 1 shingles, unshared ones counted first.
-  Two sets that link meet in such a list.  In each list, the set with the fewest unshared
-  shingles is held against all others; then those pairs of a list that are still in
-  different components and that size, unshared shingles and positions do not rule out.
+  Two sets that link meet in such a list.  A list is dealt to PARTS; in each part the set with
+  the fewest unshared shingles is held against the others, and the first of these against the rest.
+  Then come those pairs of a list that are still in different components and that size,
+  unshared shingles and positions do not rule out.  A list of more than LIST_MOST such sets is split
+  by a second common shingle (two sets that link share two of their first d(n) + 2), a third and a
+  fourth; only a list that four rare shingles leave long is paired whole.
   Every pair is verified by exact intersection.
 * The boundary B minimises the estimated cost over the sizes that occur; sets just
   below it take part in both ways, so that light-heavy pairs meet too.
@@ -40,11 +43,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .session import kept
+from .session import fresh, kept, row_key
 from .textkit import WordTable, mix64, shingle_hashes, unique_by_document, word_hashes
 
 #: Largest set that the light way is considered for; copies that a task remembers.
 LIGHT_MOST, SEEN_MOST = 26, 2_000_000
+#: Parts that a list is dealt to in its first round, sets of a list that are paired at once, common shingles that split a longer list.
+PARTS, LIST_MOST, DEEPEST = 32, 256, 4
 
 _WORDS = WordTable()
 
@@ -94,16 +99,19 @@ def _arrow(names: list[str], cols: list) -> pa.RecordBatch:
 
 
 def members(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, key, n of every document; small: the set itself where it has at most LIGHT_MOST shingles."""
+    """Columns of docs but text, and key, n; small: the set itself where it has at most LIGHT_MOST shingles."""
+    given = [c for c in docs.columns if c != "text"]
+    names = [*given, "key", "n", "small"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets, off = shingle_sets(b.column(1), k)
+            sets, off = shingle_sets(b.column(len(given)), k)
             n, keys = np.diff(off), set_keys(sets, off)
             small = [sets[off[i] : off[i + 1]].view(np.int64) if 0 < c <= LIGHT_MOST else None for i, c in enumerate(n.tolist())]
-            yield _arrow(["doc_id", "key", "n", "small"], [b.column(0), pa.array(keys), pa.array(n), pa.array(small, pa.list_(pa.int64()))])
+            yield _arrow(names, [*[b.column(i) for i in range(len(given))], pa.array(keys), pa.array(n), pa.array(small, pa.list_(pa.int64()))])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id bigint, key bigint, n bigint, small array<bigint>")
+    schema = ", ".join(f"{c} {t}" for c, t in docs.select(*given).dtypes)
+    return docs.select(*given, "text").mapInArrow(run, f"{schema}, key bigint, n bigint, small array<bigint>")
 
 
 # ------------------------------------------------------------------------ light
@@ -112,25 +120,29 @@ def members(docs: DataFrame, k: int) -> DataFrame:
 def light_edges(sets: DataFrame, most: int, percent: int) -> DataFrame:
     """Edges (a, b) among distinct sets (key, n, small) of at most `most` shingles."""
 
+    names = ["key", "subset", "subset2", "s"]
+
     def subsets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[list[int]] = [[], [], [], []]
+        take = lambda: _arrow(names, [pa.array(r, pa.int64()) for r in rows])
         for b in batches:
-            keys, sub, left = [], [], []
             for key, small in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 v = mix64(np.array(small, np.int64).view(np.uint64))
-                whole = np.add.reduce(v, keepdims=True)
+                both = np.stack([v, mix64(v ^ np.uint64(0x3C3C3C3C3C3C3C3C))], axis=1)  # 128 bits a shingle
+                whole = both.sum(0)
                 for d in range(missing(len(v), percent) + 1):
                     for out in itertools.combinations(range(len(v)), d):
-                        keys.append(key)
-                        sub.append(int((whole - np.add.reduce(v[list(out)], keepdims=True)).view(np.int64)[0]))
-                        left.append(len(v) - d)
-                if len(keys) > 100_000:
-                    yield _arrow(["key", "subset", "s"], [pa.array(keys, pa.int64()), pa.array(sub, pa.int64()), pa.array(left, pa.int64())])
-                    keys, sub, left = [], [], []
-            yield _arrow(["key", "subset", "s"], [pa.array(keys, pa.int64()), pa.array(sub, pa.int64()), pa.array(left, pa.int64())])
+                        one, two = (whole - both[list(out)].sum(0, dtype=np.uint64)).view(np.int64).tolist()
+                        for col, x in zip(rows, (key, one, two, len(v) - d)):
+                            col.append(x)
+                if len(rows[0]) > 100_000:
+                    yield take()
+                    rows = [[], [], [], []]
+        yield take()
 
     few = sets.filter(F.col("n").between(1, most))
-    listed = few.select("key", "small").mapInArrow(subsets, "key bigint, subset bigint, s bigint").join(few.select("key", "n"), "key")
-    first = F.min(F.struct("n", "key")).over(Window.partitionBy("subset", "s"))
+    listed = few.select("key", "small").mapInArrow(subsets, ", ".join(f"{c} bigint" for c in names)).join(few.select("key", "n"), "key")
+    first = F.min(F.struct("n", "key")).over(Window.partitionBy("subset", "subset2", "s"))
     star = listed.withColumn("f", first).filter("f.key <> key")
     return star.filter(F.col("s") * 100 >= (F.col("n") + F.col("f.n") - F.col("s")) * percent).select(F.col("f.key").alias("a"), F.col("key").alias("b"))
 
@@ -257,30 +269,54 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(i * 100 >= (F.col("n_a") + F.col("n_b") - i) * percent).select("a", "b")
 
 
+def longer_lists(lists: DataFrame, sets: DataFrame, level: int, percent: int) -> DataFrame:
+    """Entries (tok, at, key, n, alone, label) of the lists that a further common shingle splits lists into.
+
+    Sets that link share at least level + 1 of their first d(n) + level + 1 shingles.
+    """
+    start = F.col("at") - F.col("alone")  # place of the list's shingle in toks
+    count = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + level - F.col("alone") - start
+    nexts = F.slice("toks", (start + 2).cast("int"), F.greatest(F.lit(0), count).cast("int"))
+    return lists.join(sets.select("key", "toks"), "key").select("tok", "at", "key", "n", "alone", "label", F.posexplode(nexts).alias("j", "next")).select(
+        F.xxhash64("tok", "next").alias("tok"), (F.col("at") + 1 + F.col("j")).alias("at"), "key", "n", "alone", "label"
+    )
+
+
 def heavy_edges(sets: DataFrame, percent: int, light: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what links among the heavy sets, given those among the light ones."""
     lists = kept(sets.filter("size(prefix) > 0").select(F.col("key"), "n", "alone", F.explode("prefix").alias("p")).select("p.tok", "p.at", "key", "n", "alone"), "lists")
-    room = lambda a, b: F.least(a["n"] - a["at"], b["n"] - b["at"])  # shingles from the common one on
-    shared = lambda a, b: F.least(a["n"] - a["alone"], b["n"] - b["alone"])
-    can = lambda a, b: F.least(room(a, b), shared(a, b)) >= _need(a["n"], b["n"], percent)
-    me = F.struct("alone", "key", "n", "at")
-    first = F.min(me).over(Window.partitionBy("tok"))
-    star = lists.withColumns({"f": first, "m": me}).filter("f.key <> m.key")
+    # First round: a long list is dealt to PARTS; each part's first set is held against the part, the list's first set against those.
+    me = F.struct("alone", "key", "n")
+    dealt = lists.select("tok", me.alias("m"), F.pmod(F.xxhash64("key"), F.lit(PARTS)).alias("part")).withColumn("f", F.min("m").over(Window.partitionBy("tok", "part")))
+    heads = dealt.filter("f = m").withColumn("f", F.min("m").over(Window.partitionBy("tok")))
+    star = dealt.select("f", "m").unionByName(heads.select("f", "m")).filter("f.key <> m.key")
     shared_only = F.least(F.col("f.n") - F.col("f.alone"), F.col("m.n") - F.col("m.alone")) >= _need(F.col("f.n"), F.col("m.n"), percent)
     pairs = star.filter(shared_only).select(F.least("f.key", "m.key").alias("a"), F.greatest("f.key", "m.key").alias("b")).distinct()
     one = kept(verified(pairs, sets, percent), "star")
     label = kept(components(one.unionByName(light)), "labels")
-    tagged = lists.join(label, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key")).drop("node")
-    w = Window.partitionBy("tok")
-    split = kept(tagged.withColumns({"lo": F.min("label").over(w), "hi": F.max("label").over(w)}).filter("lo <> hi").drop("lo", "hi"), "split")
-    x, y = split.select("tok", F.struct("key", "n", "alone", "at", "label").alias("x")), split.select("tok", F.struct("key", "n", "alone", "at", "label").alias("y"))
-    rest = x.join(y, "tok").filter((F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & can(F.col("x"), F.col("y")))
-    two = verified(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), sets, percent)
-    return one.unionByName(two)
+    open_ = lists.join(label, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key")).drop("node")
+    # What is still in different components: short lists pair by pair, long ones split by a further common shingle.
+    out, level = one, 1
+    while True:
+        tall = open_.groupBy("tok").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("tok").alias("t"), "c")
+        split = kept(open_.join(tall, F.col("tok") == F.col("t")).drop("t"), "split")
+        last = level == DEEPEST
+        short = split if last else split.filter(F.col("c") <= LIST_MOST)
+        me = F.struct("key", "n", "alone", "at", "label")
+        x, y = short.select("tok", me.alias("x")), short.select("tok", me.alias("y"))
+        room = level - 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # what two sets of a list can share
+        can = F.least(room, F.col("x.n") - F.col("x.alone"), F.col("y.n") - F.col("y.alone")) >= _need(F.col("x.n"), F.col("y.n"), percent)
+        rest = x.join(y, "tok").filter((F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & can)
+        out = out.unionByName(verified(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), sets, percent))
+        long = split.filter(F.col("c") > LIST_MOST)
+        if last or not long.limit(1).count():
+            return out
+        open_ = longer_lists(long.drop("c"), sets, level, percent)
+        level += 1
 
 
 def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """(members, edges): the set key of every document, and edges between keys that connect all that links."""
+    """(members, edges): the set key of every row (columns of docs but text), and edges between keys that connect all that links."""
     all_ = kept(members(docs, k), "members")
     sets = kept(all_.filter("n > 0").groupBy("key").agg(F.first("n").alias("n"), F.first("small", ignorenulls=True).alias("small")).filter(F.col("n") <= LIGHT_MOST), "small")
     counts = {r.n: r["count"] for r in sets.groupBy("n").count().collect()}  # at most LIGHT_MOST rows
@@ -290,31 +326,40 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     return all_, kept(heavy_edges(heavy, percent, light).unionByName(light), "links")
 
 
+def classes(all_: DataFrame, edges: DataFrame, least: Column) -> DataFrame:
+    """k, lead: for each set key, the least value of `least` among the rows of its component."""
+    firsts = all_.filter("n > 0").groupBy("key").agg(F.min(least).alias("first"))
+    named = firsts.join(components(edges), F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key"))
+    lowest = named.groupBy("label").agg(F.min("first").alias("lead"))
+    return kept(named.join(lowest, "label").select(F.col("key").alias("k"), "lead"), "classes")
+
+
 def link(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) of every document."""
-    all_, edges = links(docs, k, percent)
-    label = components(edges)
-    firsts = all_.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("first"))
-    named = firsts.join(label, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key"))
-    lowest = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    of_key = kept(named.join(lowest, "label").select(F.col("key").alias("k"), "component_id"), "classes")
+    all_, edges = links(docs.select(F.col("doc_id").cast("long"), "text"), k, percent)
+    of_key = classes(all_, edges, F.col("doc_id"))
     return all_.join(of_key, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("lead", "doc_id").alias("component_id")
     )
 
 
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """docs, all columns, with the smallest id of each component alone.
+    """docs, all columns, with one row of each component alone: the least by doc_id (null last), then by row hash.
 
-    Rows alike in every column are copies: one stays.  Rows that repeat an id with
-    other texts share its fate.
+    Rows count by their content, not their id: a row that repeats an id with another text is judged
+    by that text.  Rows without a set (null or blank text) link with nothing and all stay.
     """
-    found = kept(link(docs, k, percent).select(F.col("doc_id").alias("__id"), "component_id"), "components")
-    gone = found.filter("__id <> component_id").select("__id").distinct()
-    left = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__id"), "left_anti")  # one plan at every size
-    again = found.groupBy("__id").count().filter("count > 1").select("__id")
-    if not again.limit(1).count():
-        return left
+    one, two = fresh(docs, "row1", "row2")
+    keyed = docs.withColumns(dict(zip((one, two), row_key(docs))))
+    all_, edges = links(keyed.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(one).alias("r1"), F.col(two).alias("r2"), "text"), k, percent)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")
+    of_key = classes(all_, edges, place)
+    found = all_.filter("n > 0").join(of_key, F.col("key") == F.col("k"))
+    gone = kept(found.filter((F.col("r1") != F.col("lead.r1")) | (F.col("r2") != F.col("lead.r2"))).select("r1", "r2").distinct(), "gone")
+    left = keyed.join(gone.hint("merge"), (F.col(one) == F.col("r1")) & (F.col(two) == F.col("r2")), "left_anti")  # one plan at every size
+    again = found.groupBy("r1", "r2").count().filter("count > 1").select("r1", "r2")
     again = kept(again, "again")
-    same = F.col("doc_id").eqNullSafe(F.col("__id"))
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates())
+    if not again.limit(1).count():
+        return left.drop(one, two)
+    same = (F.col(one) == F.col("r1")) & (F.col(two) == F.col("r2"))
+    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([one, two])).drop(one, two)
