@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import kept
+from .session import fresh, kept, row_key
 
 WHITE = r"\x20\x09-\x0D"
 #: Bins of one look at a source's order, rows that one cut bin may hold at the end, shares that the documents of one size are dealt to.
@@ -204,3 +204,28 @@ def mix(
     return done.join(F.broadcast(few) if _few(few) else few, F.col("source").eqNullSafe(F.col("s")), "left").select(
         "doc_id", "size", "source_size", "target", F.col("m").alias("wanted"), copies.alias("taken_copies"), (copies * F.col("size")).alias("taken"), "source"
     )
+
+
+def drawn(docs: DataFrame, **options) -> DataFrame:
+    """docs that the mix takes, all columns, with mix_copies (1 or more), the times it takes each; options are those of mix.
+
+    Rows are known by all their columns.  Of equal rows as many stay as the mix takes, each with its own
+    copies.  A column mix_copies of docs is replaced; docs without a row give none.
+    """
+    base = docs.select(*[c for c in docs.columns if c.lower() != "mix_copies"])
+    one, two = fresh(base, "row1", "row2")
+    keyed = base.withColumns(dict(zip((one, two), row_key(base))))
+    id_ = F.struct(one, two)
+    mixed = mix(keyed.select(id_.alias("doc_id"), "source", "text"), **options).filter("taken_copies > 0")
+    times = mixed.groupBy("doc_id", "taken_copies").agg(F.count("*").alias("n"))
+    times = times.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("taken_copies", "n"))).alias("t"))  # two values at most
+    taken = kept(times.select(F.col("doc_id")[one].alias("r1"), F.col("doc_id")[two].alias("r2"), "t"), "copies")
+    same = (F.col(one) == F.col("r1")) & (F.col(two) == F.col("r2"))
+    cols = [F.col(f"`{c}`") for c in base.columns]
+    single = (F.size("t") == 1) & (F.col("t")[0]["n"] == 1)
+    out = keyed.join(taken.filter(single), same).select(*cols, F.col("t")[0]["taken_copies"].alias("mix_copies"))
+    several = taken.filter(~single)
+    if not several.limit(1).count():
+        return out
+    each = F.explode(F.flatten(F.transform("t", lambda x: F.array_repeat(x["taken_copies"], x["n"].cast("int")))))
+    return out.unionByName(keyed.dropDuplicates([one, two]).join(several, same).select(*cols, each.alias("mix_copies")))

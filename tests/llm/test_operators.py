@@ -296,3 +296,58 @@ def test_pipeline_stages(spark, tmp_path):
     last = P.STAGES[-1][1](spark, docs, str(tmp_path)).collect()
     assert {r.doc_id for r in last} <= ids[3] and all(1 <= r.mix_copies <= 3 for r in last)
     assert sorted(r.doc_id for r in P.run(spark, str(tmp_path)).collect()) == sorted(r.doc_id for r in last)
+
+
+def test_op6_large_ids_beside_nulls_stay_apart(spark):
+    big = 2**60
+    rows = [(big + 1, 0, "user", "a"), (big + 3, big + 5, "assistant", "b"), (big + 3, big + 7, "assistant", "c"), (None, None, "assistant", "d")]
+    df = spark.createDataFrame([(*r, "x", 1.5) for r in rows], "conv_id bigint, turn bigint, role string, text string, example string, last double").coalesce(1)
+    ex = chat.expand(df)
+    assert sorted((r.conv_id or 0, r.target_turn or 0) for r in ex.filter("target_turn is not null or conv_id is null").collect()) == [(0, 0), (big + 3, big + 5), (big + 3, big + 7)]
+    got = {r.conv_id: r.n_turns for r in chat.read_back(ex).collect()}
+    assert got == {None: 1, big + 1: 1, big + 3: 2}
+
+
+def test_op9_long_lists_are_split(spark, monkeypatch):
+    r, rows = random.Random(6), []
+    core = [f"c{i}" for i in range(30)]
+    side = [f"s{i}" for i in range(14)]
+    for i in range(120):  # sets that share rare words in many ways and mostly do not link
+        w = core + r.sample(side, r.randrange(2, 9))
+        rows.append((i, " ".join(w[j] for j in range(len(w)))))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    want = brute_components(rows, 1, 90)
+    for most, deep in ((256, 4), (3, 3), (1, 4)):
+        monkeypatch.setattr(jaccard, "LIST_MOST", most)
+        monkeypatch.setattr(jaccard, "DEEPEST", deep)
+        monkeypatch.setattr(jaccard, "PARTS", 1 + most % 7)
+        assert sorted(tuple(x) for x in jaccard.link(df, 1, 90).collect()) == want
+
+
+def test_op9_rows_are_known_by_content(spark):
+    a, b = prose(50, random.Random(1)), prose(50, random.Random(2))
+    rows = [(1, a, "x"), (2, a, "y"), (2, b, "y"), (None, a, "z"), (None, b, "z"), (3, None, "n"), (3, None, "n"), (2, b, "other"), (2, b, "y")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, row1 string")
+    left = jaccard.one_of_each(df)
+    assert left.columns == df.columns
+    got = sorted((r.doc_id, r.text) for r in left.collect() if r.text)
+    assert got == sorted([(1, a), (2, b)]) and left.filter("text is null").count() == 2
+    assert jaccard.one_of_each(df.limit(0)).count() == 0
+
+
+def test_mix_takes_rows_not_ids(spark):
+    r = random.Random(3)
+    rows = [(7, prose(20, r), "a", "k1")] * 9 + [(7, prose(20, r), "a", "k2"), (None, prose(30, r), None, None), (8, None, "b", None)] + [(i, prose(r.randrange(5, 60), r), "abc"[i % 3], "k") for i in range(20, 60)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string, row1 string").withColumn("mix_copies", F.lit("clash"))
+    got = mixing.drawn(df)
+    out = got.collect()
+    mixed = mixing.mix(df).collect()
+    words = lambda t: len((t or "").split())
+    by, want = {}, {}
+    for x in out:
+        by[x.source] = by.get(x.source, 0) + x.mix_copies * words(x.text)
+    for x in mixed:
+        want[x.source] = x.target
+    assert all(abs(by.get(s, 0) - t) <= 60 for s, t in want.items())
+    assert 0 < sum(x.row1 == "k1" for x in out) <= 9 and all(1 <= x.mix_copies <= 3 for x in out)
+    assert mixing.drawn(df.limit(0)).count() == 0
