@@ -7,7 +7,6 @@ all their columns; the last adds how often the mix takes each.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sightlines.llm import decontaminate, jaccard, mixing, pii, quality
 from sightlines.llm.session import kept, table, text_batches
@@ -39,11 +38,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, with mix_copies, the times it takes each."""
-    row = F.xxhash64("doc_id", "text")
-    mixed = mixing.mix(docs.select(row.alias("doc_id"), "source", "text"))
-    copies = kept(mixed.filter("taken_copies > 0").groupBy(F.col("doc_id").alias("__row")).agg(F.max("taken_copies").alias("__copies")), "copies")
-    joined = docs.withColumn("__key", row).join(copies, F.col("__key") == F.col("__row"))
-    return joined.select(*[docs[c] for c in docs.columns if c != "mix_copies"], F.col("__copies").alias("mix_copies"))
+    return mixing.drawn(docs)
 
 
 STAGES = [
