@@ -9,8 +9,9 @@ Tokens are runs of digits, runs of letters and single other characters.  The
 model labels a token as outside, or as beginning or continuing one of the four
 kinds, from the shapes of the token and its neighbours.  A token farther than
 REACH tokens from any digit, `@` or bracketed at/dot is outside by constraint, so
-the chain of a text falls apart exactly into windows around those; windows of a batch are
-decoded together by Viterbi in numpy.
+the chain of a text falls apart exactly into windows around those; reach counts tokens, however long.
+Windows of a batch are decoded together by Viterbi in numpy; a text of any length is read in
+time that grows with it, in bounded tables.
 
 Added spans must pass their kind's test (digits, Luhn, four parts up to 255, an
 at-sign or its spelling) and never overlap a base span or each other.
@@ -22,9 +23,10 @@ texts get equal spans; an empty table gives no rows; other columns pass through.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,17 +39,19 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 REACH = 6
 
-# Fixed patterns of the base spans.
+# Fixed patterns of the base spans, e-mail addresses aside.
 BASE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "ip": re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),  # a match always begins where digits begin
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-_SOLID = re.compile(r"[^\s]*@[^\s]*")
+_LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _DIGIT = re.compile("[0-9]")
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\w\s]|[_]|\w")
 _ANCHOR = re.compile(r"[0-9]+|@|[\[(]\s?(?:at|AT|At|dot|DOT|Dot)\s?[\])]")
+#: Tokens of a window that is decoded by itself, tokens that wait for a common decoding, cells of a padded table, contexts whose scores a task remembers.
+LONG, WAITING, CELLS, KNOWN = 512, 20_000, 1 << 15, 50_000
 
 
 def digits(s: str) -> str:
@@ -73,31 +77,33 @@ def passes(kind: str, s: str) -> bool:
     return True
 
 
+def emails(text: str) -> list[tuple[int, int]]:
+    """Leftmost non-overlapping matches of local@domain, found from each at-sign: what stands before it and what follows is read once."""
+    out, end, at = [], 0, text.find("@")
+    while at >= 0:
+        start = at
+        while start > end and text[start - 1] in _LOCAL:
+            start -= 1
+        m = _DOMAIN.match(text, at + 1) if start < at else None
+        if m:
+            out.append((start, m.end()))
+            end = m.end()
+        else:
+            end = at + 1  # no later match reaches back over this sign
+        at = text.find("@", end)
+    return out
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the fixed patterns."""
-    out = []
-    if "@" in text:  # no address holds white space: look only at stretches around an at-sign
-        for m in _SOLID.finditer(text) if len(text) < 1 << 16 else _stretches(text):
-            out += [(m.start() + x.start(), m.start() + x.end(), "email") for x in BASE["email"].finditer(m[0])]
+    out = [(a, b, "email") for a, b in emails(text)]
     if _DIGIT.search(text):
-        for kind in ("ip", "card", "phone"):
+        for kind, pattern in BASE.items():
             if kind != "phone" or "+" in text:
-                out += [(m.start(), m.end(), kind) for m in BASE[kind].finditer(text) if passes(kind, m[0])]
+                out += [(m.start(), m.end(), kind) for m in pattern.finditer(text) if passes(kind, m[0])]
     return out
 
 
-def _stretches(text: str) -> Iterator[re.Match]:
-    """The solid stretches that hold an at-sign, without trying every start in a very long text."""
-    end = 0
-    while (at := text.find("@", end)) >= 0:
-        start = at
-        while start > end and not text[start - 1].isspace():
-            start -= 1
-        m = re.compile(r"\S+").match(text, start)
-        yield m
-        end = m.end()
-
-
 # --------------------------------------------------------------------- features
 
 _CUES = {
@@ -126,14 +132,22 @@ def shape(token: str) -> str:
     return c if ord(c) < 128 else "other"
 
 
-def features(shapes: list[str], gaps: list[bool], i: int) -> list[str]:
-    """Names of the features of token i; gaps tell whether white space stands before a token."""
-    at = lambda j: shapes[j] if 0 <= j < len(shapes) else "edge"
-    gap = lambda j: str(int(gaps[j])) if 0 <= j < len(gaps) else "e"
-    a, b, c, d, e = (at(i + j) for j in range(-2, 3))
+def context(shapes: list[str], gaps: list[bool], i: int) -> tuple[str, ...]:
+    """What the features of token i look at: five shapes around it, and whether white space stands before it and the next two."""
+    n = len(shapes)
+    if 2 <= i < n - 2:
+        near = shapes[i - 2 : i + 3]
+    else:
+        near = [shapes[j] if 0 <= j < n else "edge" for j in range(i - 2, i + 3)]
+    return (*near, *[("1" if gaps[j] else "0") if j < n else "e" for j in (i, i + 1, i + 2)])
+
+
+def features(about: tuple[str, ...]) -> list[str]:
+    """Names of the features of a token's context."""
+    a, b, c, d, e, g, g1, g2 = about
     return [
         "bias", f"0={c}", f"-1={b}", f"+1={d}", f"-2={a}", f"+2={e}", f"-10={b}|{c}", f"01={c}|{d}", f"-101={b}|{c}|{d}",
-        f"-2-1={a}|{b}", f"12={d}|{e}", f"g={gap(i)}{gap(i + 1)}|{c}", f"012={c}|{d}|{e}|{gap(i + 1)}{gap(i + 2)}",
+        f"-2-1={a}|{b}", f"12={d}|{e}", f"g={g}{g1}|{c}", f"012={c}|{d}|{e}|{g1}{g2}",
     ]
 
 
@@ -157,16 +171,19 @@ class Chain:
     index: dict[str, int]
     emit: np.ndarray  # features x labels
     move: np.ndarray  # labels x labels
-
-    def scores(self, rows: list[list[str]]) -> np.ndarray:
-        """Label scores of tokens given as feature names."""
-        ids, owner = [], []
-        for r, names in enumerate(rows):
-            found = [self.index[n] for n in names if n in self.index]
-            ids += found
-            owner += [r] * len(found)
-        out = np.zeros((len(rows), len(LABELS)))
-        np.add.at(out, owner, self.emit[ids])
+    known: dict[tuple[str, ...], np.ndarray] = field(default_factory=dict)
+
+    def scores(self, rows: list[tuple[str, ...]]) -> np.ndarray:
+        """Label scores of tokens given as contexts; those met before are remembered, KNOWN at most."""
+        out = np.empty((len(rows), len(LABELS)))
+        for r, about in enumerate(rows):
+            got = self.known.get(about)
+            if got is None:
+                ids = [self.index[n] for n in features(about) if n in self.index]
+                got = self.emit[ids].sum(0)
+                if len(self.known) < KNOWN:
+                    self.known[about] = got
+            out[r] = got
         return out
 
 
@@ -241,10 +258,10 @@ def tokens_of(text: str, start: int = 0, end: int | None = None) -> list[tuple[i
     return [m.span() for m in _TOKEN.finditer(text, start, len(text) if end is None else end)]
 
 
-def _described(text: str, spans: list[tuple[int, int]]) -> list[list[str]]:
+def _described(text: str, spans: list[tuple[int, int]]) -> list[tuple[str, ...]]:
     shapes = [shape(text[a:b]) for a, b in spans]
     gaps = [i > 0 and spans[i - 1][1] < spans[i][0] for i in range(len(spans))]
-    return [features(shapes, gaps, i) for i in range(len(spans))]
+    return [context(shapes, gaps, i) for i in range(len(spans))]
 
 
 def train(marked: list[str] | None = None) -> Chain:
@@ -262,58 +279,109 @@ def train(marked: list[str] | None = None) -> Chain:
         for a, _ in tokens:
             own = next((s for s in spans if s[0] <= a < s[1]), None)
             labels.append(0 if own is None else LABELS.index(("B-" if a == own[0] else "I-") + own[2]))
-        examples.append((_described(text, tokens), labels))
+        examples.append(([features(c) for c in _described(text, tokens)], labels))
     return fit(examples)
 
 
-def windows(text: str) -> Iterator[list[tuple[int, int]]]:
-    """Token runs within REACH tokens of a digit run, at-sign or bracketed at/dot."""
-    anchors = [m.span() for m in _ANCHOR.finditer(text)]
-    groups: list[list[int]] = []
-    for a, b in anchors:
-        if groups and len(tokens_of(text, groups[-1][1], min(a, groups[-1][1] + 400))) <= 2 * REACH and a - groups[-1][1] < 400:
-            groups[-1][1] = b
-        else:
-            groups.append([a, b])
-    for a, b in groups:
-        before = tokens_of(text, max(0, a - 200), a)[-REACH:]
-        after = tokens_of(text, b, min(len(text), b + 200))[:REACH]
-        yield before + tokens_of(text, a, b) + after
+def _last_tokens(text: str, low: int, end: int, n: int) -> list[tuple[int, int]]:
+    """The last n tokens of text[low:end], looking back no farther than they need."""
+    reach = 256
+    while True:
+        start = max(low, end - reach)
+        got = tokens_of(text, start, end)
+        if start == low or len(got) > n:  # the first one may be cut
+            return got[-n:]
+        reach *= 2
+
+
+def windows(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of text within REACH tokens of a digit run, at-sign or bracketed at/dot, as (start, end)."""
+    some = lambda a, b, n: [m.span() for m in itertools.islice(_TOKEN.finditer(text, a, b), n)]
+    group, done = None, 0
+    for m in itertools.chain(_ANCHOR.finditer(text), [None]):
+        if group is not None and m is not None and len(some(group[1], m.start(), 2 * REACH + 1)) <= 2 * REACH:
+            group[1] = m.end()
+            continue
+        if group is not None:
+            after = some(group[1], m.start() if m else len(text), REACH)
+            before = _last_tokens(text, done, group[0], REACH)
+            done = after[-1][1] if after else group[1]
+            yield (before[0][0] if before else group[0]), done
+        group = [m.start(), m.end()] if m else None
+
+
+def _long_labels(text: str, spans: np.ndarray, chain: Chain) -> np.ndarray:
+    """Best labels of one long window: scores are made LONG tokens at a time, back pointers take a few bytes a token."""
+    n, at = len(spans), 0
+    back, best = np.zeros((n, len(LABELS)), np.int8), None
+    while at < n:
+        low, high = max(0, at - 2), min(n, at + LONG + 2)
+        part = [(int(a), int(b)) for a, b in spans[low:high]]
+        shapes = [shape(text[a:b]) for a, b in part]
+        gaps = [low + i > 0 and int(spans[low + i - 1][1]) < a for i, (a, _) in enumerate(part)]
+        todo = range(at, min(n, at + LONG))
+        for i, score in zip(todo, chain.scores([context(shapes, gaps, i - low) for i in todo])):
+            if best is None:
+                best = score + chain.move[0]
+            else:
+                through = best[:, None] + chain.move
+                back[i] = through.argmax(0)
+                best = through.max(0) + score
+        at += LONG
+    out, now = np.zeros(n, np.int8), int((best + chain.move[:, 0]).argmax())
+    for i in range(n - 1, -1, -1):
+        out[i], now = now, back[i, now]
+    return out
+
+
+def _labelled_spans(text: str, spans: list | np.ndarray, labels: np.ndarray) -> Iterator[tuple[int, int, str]]:
+    """The labelled stretches that pass their kind's test."""
+    for i in np.flatnonzero(labels % 2 == 1).tolist():  # B-x
+        j = i + 1
+        while j < len(labels) and labels[j] == labels[i] + 1:
+            j += 1
+        start, end, kind = int(spans[i][0]), int(spans[j - 1][1]), LABELS[labels[i]][2:]
+        if added_passes(kind, text[start:end]):
+            yield start, end, kind
 
 
 def added_spans(texts: list[str], chain: Chain) -> list[list[tuple[int, int, str]]]:
-    """What the field finds in each text, tested but not yet held against base spans."""
+    """What the field finds in each text, tested but not yet held against base spans.
+
+    Short windows are decoded together in padded tables of at most CELLS tokens, long ones one by one.
+    """
     found: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    batch, size = [], 0
+    batch: list[tuple[int, list, list]] = []
+    size = 0
 
     def decode():
-        scores = chain.scores([names for _, spans, names_ in batch for names in names_])
+        scores = chain.scores([c for _, _, about in batch for c in about])
         lengths = np.array([len(s) for _, s, _ in batch])
         order = np.argsort(lengths, kind="stable")
-        first = np.concatenate(([0], np.cumsum(lengths)))
-        for at in range(0, len(order), 512):
-            part = order[at : at + 512]
+        first, at = np.concatenate(([0], np.cumsum(lengths))), 0
+        while at < len(order):
+            upto = at + 1
+            while upto < len(order) and (upto + 1 - at) * lengths[order[upto]] <= CELLS:
+                upto += 1
+            part = order[at:upto]
             padded = np.zeros((len(part), lengths[part].max(), len(LABELS)))
             for r, w in enumerate(part):
                 padded[r, : lengths[w]] = scores[first[w] : first[w + 1]]
             for w, labels in zip(part, viterbi(padded, lengths[part], chain.move)):
                 t, spans, _ = batch[w]
-                i = 0
-                while i < lengths[w]:
-                    name, j = LABELS[labels[i]], i + 1
-                    if name[0] == "B":
-                        while j < lengths[w] and LABELS[labels[j]] == "I" + name[1:]:
-                            j += 1
-                        start, end, kind = spans[i][0], spans[j - 1][1], name[2:]
-                        if added_passes(kind, texts[t][start:end]):
-                            found[t].append((start, end, kind))
-                    i = j
+                found[t] += _labelled_spans(texts[t], spans, labels[: lengths[w]])
+            at = upto
 
     for t, text in enumerate(texts):
-        for spans in windows(text):
+        for a, b in windows(text):
+            spans = [m.span() for m in itertools.islice(_TOKEN.finditer(text, a, b), LONG + 1)]
+            if len(spans) > LONG:
+                flat = np.fromiter((x for m in _TOKEN.finditer(text, a, b) for x in m.span()), np.int64)
+                found[t] += _labelled_spans(text, flat.reshape(-1, 2), _long_labels(text, flat.reshape(-1, 2), chain))
+                continue
             batch.append((t, spans, _described(text, spans)))
             size += len(spans)
-            if size > 20_000:
+            if size > WAITING:
                 decode()
                 batch, size = [], 0
     if batch:
@@ -338,9 +406,13 @@ def all_spans(texts: list[str], chain: Chain) -> list[tuple[list, list]]:
     out = []
     for text, more in zip(texts, added_spans(texts, chain)):
         base = base_spans(text)
-        extra = []
+        extra: list[tuple[int, int, str]] = []
+        taken, at, reached = sorted(base), 0, 0
         for s in sorted(more):
-            if not any(s[0] < b[1] and b[0] < s[1] for b in base) and (not extra or extra[-1][1] <= s[0]):
+            while at < len(taken) and taken[at][0] < s[1]:  # base spans that begin before this one ends
+                reached = max(reached, taken[at][1])
+                at += 1
+            if reached <= s[0] and (not extra or extra[-1][1] <= s[0]):
                 extra.append(s)
         out.append((base, extra))
     return out
