@@ -13,8 +13,8 @@ of the documents.  A token is random where the mean log-likelihood ratio of its
 pairs is above `margin` and it has a digit among its letters.
 
 Positions are code points, end exclusive.  They are found natively: one pattern
-anchored at the end of the last match yields what lies before each match and
-the match itself; running sums of their lengths give the offsets.
+anchored at the end of the last match yields what lies before each match with the
+match, and the match itself; running sums of their lengths, taken by blocks, give the offsets.
 
 Defined cases: null text is empty and has no spans; texts are read whole; equal
 texts get equal spans; an empty table gives no rows; without words to train on,
@@ -32,50 +32,70 @@ from pyspark.sql import functions as F
 from .session import kept
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS, HEX, TOKEN = "AKIA[A-Z0-9]+", "[0-9a-f]+", "[A-Za-z0-9+/_=-]{20,}"
+#: Runs are taken whole, so a run that is long enough is found by its length alone, where it begins.
+ACCESS, HEX, TOKEN = "AKIA[A-Z0-9]{16,}+", "(?<![0-9a-f])[0-9a-f]{24,}+", "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
+WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 KINDS = ("assign", "access", "hex", "random")
 
 #: Documents of the sample that identifiers are built from, random strings of each form, tokens of a model's alphabet.
 SAMPLE_DOCS, RANDOM_STRINGS, CODES = 2_000, 3_000, 128
+#: Lengths that are summed up together.
+BLOCK = 256
 
+_NONE = "cast(array() as array<struct<start:bigint,end:bigint,value:string>>)"
 
-def matches(text: Column, pattern: str, groups: int = 0) -> Column:
-    """array of struct(start, end, value) of all matches, leftmost first.
 
-    value is the pattern's last group where it has one, else the match.
-    """
-    step = rf"(?s)\G(.*?)(?:({pattern})|\z)"
-    last = 3 if groups else 2
-    before = F.regexp_extract_all(text, F.lit(step), F.lit(1))
-    got = F.regexp_extract_all(text, F.lit(step), F.lit(2))
-    value = F.regexp_extract_all(text, F.lit(step), F.lit(last)) if groups else got
-    both = F.arrays_zip(before.alias("b"), got.alias("m"), value.alias("v"))
-    empty = F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)")
-    none = F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans"))
+def _named(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.transform(F.array(value), use)[0]
+
+
+def running_sums(numbers: Column) -> Column:
+    """Sums of the first 1, 2, ... numbers, by blocks: an array grows by appending only within a block."""
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("sums"))
+
+    def step(acc: Column, x: Column) -> Column:
+        at = acc["at"] + x
+        return F.struct(at.alias("at"), F.array_append(acc["sums"], at).alias("sums"))
+
+    def total(runs: Column) -> Column:
+        before = F.aggregate(F.transform(runs, lambda r: r["at"]), none, step)["sums"]
+        return F.flatten(F.zip_with(runs, before, lambda r, upto: F.transform(r["sums"], lambda x: x + upto - r["at"])))
+
+    def blocks(all_: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(all_), F.lit(1)), F.lit(BLOCK))
+        return _named(F.transform(starts, lambda i: F.aggregate(F.slice(all_, i, F.lit(BLOCK)), none, step)), total)
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["b"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.when(x["m"] != "", F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    return _named(numbers, blocks)
 
-    return F.when(text.rlike(pattern), F.aggregate(both, none, add)["spans"]).otherwise(empty)
+
+def matches(text: Column, pattern: str, may: Column, groups: int = 0) -> Column:
+    """array of struct(start, end, value) of all matches, leftmost first; `may` says cheaply where there can be any.
+
+    value is the pattern's last group where it has one, else the match.
+    """
+    step = F.lit(rf"(?s)\G(.*?)(?:({pattern})|\z)")
+    whole = F.regexp_extract_all(text, step, F.lit(0))
+    got = F.regexp_extract_all(text, step, F.lit(2))
+    value = F.regexp_extract_all(text, step, F.lit(3)) if groups else got
+    ends = running_sums(F.transform(whole, lambda x: F.length(x).cast("long")))
+    spans = F.transform(F.arrays_zip(ends.alias("e"), got.alias("m"), value.alias("v")), lambda x: F.struct((x["e"] - F.length(x["m"])).alias("start"), x["e"].alias("end"), x["v"].alias("value")))
+    return F.when(may, F.filter(spans, lambda x: x["end"] > x["start"])).otherwise(F.expr(_NONE))
 
 
 def base_spans(text: Column) -> dict[str, Column]:
     """Spans of each base kind as array<struct<start,end,value>>."""
+    low = F.lower(text)
+    words = low.contains(WORDS[0])
+    for w in WORDS[1:]:
+        words = words | low.contains(w)
     return {
-        "assign": F.filter(matches(text, ASSIGN, 1), lambda m: F.length(m["value"]) >= 6),
-        "access": F.filter(_long(text, ACCESS, "AKIA[A-Z0-9]{16}"), lambda m: F.length(m["value"]) >= 20),
-        "hex": F.filter(_long(text, HEX, "[0-9a-f]{24}"), lambda m: F.length(m["value"]) >= 24),
+        "assign": F.filter(matches(text, ASSIGN, words, 1), lambda m: F.length(m["value"]) >= 6),
+        "access": matches(text, ACCESS, text.contains("AKIA")),
+        "hex": matches(text, HEX, text.rlike("[0-9a-f]{24}")),
     }
 
 
-def _long(text: Column, pattern: str, least: str) -> Column:
-    """All matches of pattern where any can be long enough, else none."""
-    return F.when(text.rlike(least), matches(text, pattern)).otherwise(F.expr("cast(array() as array<struct<start:bigint,end:bigint,value:string>>)"))
-
-
 # ------------------------------------------------------------------ the models
 
 
@@ -83,7 +103,7 @@ def labelled_strings(docs: DataFrame) -> DataFrame:
     """The default labelled sample: rows of string and label ('random' or 'plain')."""
     spark = docs.sparkSession
     n = docs.count()
-    some = docs if n <= SAMPLE_DOCS else docs.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < int(1e6 * SAMPLE_DOCS / n))
+    some = docs if n <= SAMPLE_DOCS else docs.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1_000_000)) < int(1e6 * SAMPLE_DOCS / n))
     words = some.select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("w")).filter("length(w) between 2 and 40").groupBy("w").count()
     keyed = words.select("w", F.xxhash64("w").alias("h"), F.lower("w").alias("l"), F.initcap("w").alias("c"))
     plain = keyed.select(F.explode(F.array("w", F.concat_ws("_", "l", F.lower("w")), F.concat("l", "c"), F.concat_ws("-", "l", F.pmod("h", F.lit(1000)).cast("string")))).alias("string"))
@@ -122,7 +142,7 @@ def ratio(token: Column, model: list[float]) -> Column:
 
 def random_spans(text: Column, model: list[float], margin: float) -> Column:
     shaped = lambda v: v.rlike("[0-9]") & v.rlike("[A-Za-z]")
-    return F.filter(_long(text, TOKEN, TOKEN), lambda m: shaped(m["value"]) & (ratio(m["value"], model) > margin))
+    return F.filter(matches(text, TOKEN, text.rlike(TOKEN)), lambda m: shaped(m["value"]) & (ratio(m["value"], model) > margin))
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, margin: float = 0.5) -> DataFrame:
