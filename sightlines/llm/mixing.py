@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import fresh, kept, row_key
+from .session import few, fresh, kept, row_key
 
 WHITE = r"\x20\x09-\x0D"
 #: Bins of one look at a source's order, rows that one cut bin may hold at the end, shares that the documents of one size are dealt to.
@@ -88,7 +88,7 @@ def wanted_copies(sized: DataFrame, targets: DataFrame, max_copies: int, size_po
     shape = F.pow(F.col("size").cast("double"), F.lit(size_power))
     level = targets.select(F.col("source").alias("s"), F.col("target").alias("goal"), F.lit(-1.0).alias("c"))
     while True:
-        rows = sized.filter("size > 0").join(F.broadcast(level) if _few(level) else level, F.col("source").eqNullSafe(F.col("s")))
+        rows = sized.filter("size > 0").join(F.broadcast(level) if few(level) else level, F.col("source").eqNullSafe(F.col("s")))
         free = (F.lit(float(max_copies)) / shape) > F.col("c")
         sums = rows.groupBy("s").agg(
             F.first("goal").alias("goal"),
@@ -104,16 +104,11 @@ def wanted_copies(sized: DataFrame, targets: DataFrame, max_copies: int, size_po
             break
         level = level.drop("more")
     level = level.select("s", "c")
-    out = sized.join(F.broadcast(level) if _few(level) else level, F.col("source").eqNullSafe(F.col("s")), "left")
+    out = sized.join(F.broadcast(level) if few(level) else level, F.col("source").eqNullSafe(F.col("s")), "left")
     m = F.least(F.lit(float(max_copies)), F.greatest(F.lit(0.0), F.col("c")) * shape)
     return out.withColumn("m", F.when(F.col("size") > 0, m).otherwise(0.0)).drop("s", "c")
 
 
-def _few(df: DataFrame, most: int = 100_000) -> bool:
-    """Whether a table of a row for each source is small enough to send to all executors."""
-    return df.limit(most + 1).count() <= most
-
-
 def sample_rest(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     """Adds `extra` (0 or 1): the order sample that fills what certain copies leave of each target."""
     spark = docs.sparkSession
@@ -133,7 +128,7 @@ def sample_rest(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     while left.filter((F.col("rows") > SMALL) & (F.col("high") - F.col("low") > 1e-13)).limit(1).count():  # narrow each large source's bin
         open_ = (F.col("rows") > SMALL) & (F.col("high") - F.col("low") > 1e-13)
         large = left.filter(open_).drop("rows")
-        inside = drawn.filter("q is not null and size > 0").join(F.broadcast(large) if _few(large) else large, F.col("source").eqNullSafe(F.col("s")))
+        inside = drawn.filter("q is not null and size > 0").join(F.broadcast(large) if few(large) else large, F.col("source").eqNullSafe(F.col("s")))
         inside = inside.filter("q >= low and q < high")
         bins = inside.groupBy("s", F.floor((F.col("q") - F.col("low")) / (F.col("high") - F.col("low")) * BINS).alias("bin")).agg(
             F.sum("size").alias("words"), F.count("*").alias("rows"), F.first("rest").alias("rest"), F.first("low").alias("low"), F.first("high").alias("high")
@@ -146,7 +141,7 @@ def sample_rest(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
         )
         left = kept(left.filter(~open_).select("s", "rest", "low", "high", "rows").unionByName(found), "cuts")
     left = left.drop("rows")
-    placed = drawn.join(F.broadcast(left) if _few(left) else left, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    placed = drawn.join(F.broadcast(left) if few(left) else left, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     counts = F.col("q").isNotNull() & (F.col("size") > 0)
     placed = placed.withColumn("extra", F.when(counts & (F.col("q") < F.col("low")), 1).otherwise(0))
     may = F.coalesce(counts & (F.col("q") >= F.col("low")) & (F.col("size") <= F.col("rest")), F.lit(False))
@@ -201,7 +196,7 @@ def mix(
     done = sample_rest(wanted, targets, seed)
     few = targets.select(F.col("source").alias("s"), "source_size", "target")
     copies = F.coalesce(F.col("certain"), F.lit(0)) + F.col("extra")
-    return done.join(F.broadcast(few) if _few(few) else few, F.col("source").eqNullSafe(F.col("s")), "left").select(
+    return done.join(F.broadcast(few) if few(few) else few, F.col("source").eqNullSafe(F.col("s")), "left").select(
         "doc_id", "size", "source_size", "target", F.col("m").alias("wanted"), copies.alias("taken_copies"), (copies * F.col("size")).alias("taken"), "source"
     )
 

@@ -62,6 +62,11 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, most: int = 100_000) -> bool:
+    """Whether df has so few rows that it may be sent to all executors."""
+    return df.limit(most + 1).count() <= most
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps, which it does once nothing refers to them."""
     gc.collect()

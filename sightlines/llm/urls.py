@@ -2,8 +2,8 @@
 
 `learn(labelled)` runs Spark's FP-growth over the tokens of labelled URLs plus
 one token for the label, and keeps the rules "token combination -> label" that
-pass minimal support and confidence.  `match(urls, rules)` finds, through an
-inverted index from token to rule, the rules whose tokens a URL all has; the
+pass minimal support (a share and a number of URLs) and confidence.  `match(urls, rules)` finds, through an
+inverted index from a rule's rarest token to the rule, the rules whose tokens a URL all has; the
 most confident one decides.  `judge(pages, policy)` puts fixed host/path rules
 before the learnt ones.
 
@@ -13,16 +13,20 @@ as `p=#`, the first extension as `x=html`) and query keys (`k=page`).
 
 Defined cases: a null url or one without `://` has empty host and path and no
 tokens, and is allowed; a URL that no rule matches is allowed; ties among rules go to
-higher confidence, then support, then block; equal URLs get equal verdicts; an
-empty or unlabelled table learns no rule.  Extra columns are ignored.
+higher confidence, then support, then block; equal URLs get equal verdicts and count
+once when rules are learnt; an empty or unlabelled table learns no rule.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import few, kept
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Fixed policy: (verdict, host, path).
@@ -59,37 +63,72 @@ def policy_rule(host: Column, path: Column, policy=POLICY) -> Column:
     return best
 
 
-def learn(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, max_tokens: int = 3) -> DataFrame:
-    """rule_id, tokens, label, confidence, support from rows of url and label ('block' or 'allow').
+def merged_tokens(rows: DataFrame) -> DataFrame:
+    """token, merged, members: tokens that the same labelled URLs have are one item, named after its least member.
+
+    Covers are compared by their size and two sums of 64-bit hashes, so no list of URLs is gathered.
+    """
+    cover = rows.select("url_key", F.explode("tokens").alias("token")).groupBy("token").agg(
+        F.count("*").alias("n"), F.sum(F.xxhash64("url_key").cast("decimal(38,0)")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "url_key")).alias("two")
+    )
+    groups = cover.groupBy("n", "one", "two").agg(F.array_sort(F.collect_set("token")).alias("members"))
+    return groups.select(F.explode("members").alias("token"), F.col("members")[0].alias("merged"), "members", F.col("n").alias("cover"))
+
+
+def learn(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_urls: int = 25) -> DataFrame:
+    """rule_id, tokens, rarest (of its tokens), label, confidence, support from rows of url and label ('block' or 'allow').
 
-    Support and confidence prune the rules; of rules with the same label, one
-    whose tokens include a shorter rule's and that is no more confident is left out.
+    A rule needs min_support of the labelled URLs and min_urls of them at least, and min_confidence; of rules
+    with the same label, one whose tokens include a shorter rule's and that is no more confident is left out.
+    Tokens with equal covers are merged before mining, and a rule asks for all that were merged; tokens that
+    every labelled URL has tell nothing and are left out.  A merged item has a token for each part of a URL at most.
     """
+    spark = labelled.sparkSession
     rows = labelled.filter("url is not null and label is not null").select(
-        F.array_append(F.array_sort(tokens_of(F.col("url"))), F.concat(F.lit("label="), F.col("label"))).alias("items")
+        tokens_of(F.col("url")).alias("tokens"), F.col("label").cast("string").alias("label"), F.xxhash64("url", "label").alias("url_key")
     )
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(rows)
-    found = model.associationRules.filter(F.col("consequent")[0].startswith("label=")).select(
+    rows = kept(rows.dropDuplicates(["url_key"]), "labelled")
+    total = rows.count()
+    kind = "rule_id bigint, tokens array<string>, rarest string, label string, confidence double, support double"
+    if total < min_urls:
+        return spark.createDataFrame([], kind)
+    least = max(min_urls, math.ceil(min_support * total))
+    names = kept(merged_tokens(rows).filter((F.col("cover") >= least) & (F.col("cover") < total)), "tokens")
+    bare = rows.select("url_key", "label", F.explode("tokens").alias("token")).join(names.filter("token = merged").select("token"), "token")
+    items = bare.groupBy("url_key").agg(F.array_append(F.array_sort(F.collect_list("token")), F.concat(F.lit("label="), F.min("label"))).alias("items"))
+    model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=min_confidence).fit(kept(items.select("items"), "items"))
+    found = model.associationRules.filter(F.col("consequent")[0].startswith("label=") & ~F.exists("antecedent", lambda t: t.startswith("label="))).select(
         F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 99).alias("label"), "confidence", "support"
     )
-    found = found.filter((F.size("tokens") <= max_tokens) & ~F.exists("tokens", lambda t: t.startswith("label=")))
-    found = found.withColumn("rule_id", F.xxhash64("tokens", "label"))
-    short = found.select(F.col("tokens").alias("t2"), F.col("label").alias("l2"), F.col("confidence").alias("c2"), F.explode("tokens").alias("t"))
-    inner = found.withColumn("t", F.explode("tokens")).join(short, "t").filter(
-        (F.col("label") == F.col("l2")) & (F.size("t2") < F.size("tokens")) & (F.size(F.array_except("t2", "tokens")) == 0) & (F.col("c2") >= F.col("confidence"))
-    )
-    return found.join(inner.select("rule_id").distinct(), "rule_id", "left_anti")
+    found = kept(found.withColumn("rule_id", F.xxhash64("tokens", "label")), "rules")
+    # A rule falls if leaving out one token, or several, keeps its confidence: looked up by the shorter token lists, not by shared tokens.
+    short = found.select(F.xxhash64("tokens", "label").alias("part"), F.col("confidence").alias("c2"))
+    parts = found.select("rule_id", "confidence", F.explode(proper_subsets(F.col("tokens"))).alias("sub"), "label").select("rule_id", "confidence", F.xxhash64("sub", "label").alias("part"))
+    beaten = parts.join(short, "part").filter("c2 >= confidence").select("rule_id").distinct()
+    best = found.join(beaten, "rule_id", "left_anti")
+    each = best.select("rule_id", F.explode("tokens").alias("merged")).join(names.filter("token = merged").select("merged", "members", "cover"), "merged")
+    whole = each.groupBy("rule_id").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("all"), F.min(F.struct("cover", "merged"))["merged"].alias("rarest"))
+    return kept(best.join(whole, "rule_id").select("rule_id", F.col("all").alias("tokens"), "rarest", "label", "confidence", "support"), "best")
+
+
+def proper_subsets(tokens: Column) -> Column:
+    """All non-empty proper subsets of a sorted array, in the array's order."""
+    n = F.size(tokens)
+    numbers = F.when(n > 1, F.sequence(F.lit(1), F.greatest(F.lit(1), F.pow(F.lit(2), n).cast("int") - 2))).otherwise(F.expr("cast(array() as array<int>)"))
+    return F.transform(numbers, lambda m: F.filter(tokens, lambda t, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1))
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """url, tokens_hit, label, confidence of the best rule that each distinct URL matches fully."""
-    index = rules.select("rule_id", F.size("tokens").alias("need"), "label", "confidence", "support", F.explode("tokens").alias("token"))
-    has = urls.select("url").filter("url is not null").distinct().withColumn("token", F.explode(tokens_of(F.col("url"))))
-    hits = has.join(index, "token").groupBy("url", "rule_id").agg(
-        F.count("*").alias("got"), F.first("need").alias("need"), F.first("label").alias("label"), F.first("confidence").alias("confidence"), F.first("support").alias("support")
-    )
-    best = F.max(F.struct("confidence", "support", (F.col("label") == "block").alias("b"), "label", "need", "rule_id"))
-    return hits.filter("got = need").groupBy("url").agg(best.alias("m")).select("url", F.col("m.label").alias("label"), "m.confidence", "m.rule_id")
+    """url, label, confidence, rule_id of the best rule that each distinct URL matches fully.
+
+    The inverted index holds each rule once, under its rarest token; a URL meets the rules of its own tokens
+    and each is then held against all of them.
+    """
+    index = rules.select("rule_id", F.col("tokens").alias("need"), "label", "confidence", "support", F.col("rarest").alias("token"))
+    has = urls.select("url").filter("url is not null").distinct().withColumn("tokens", tokens_of(F.col("url")))
+    hits = has.withColumn("token", F.explode("tokens")).join(F.broadcast(index) if few(index) else index, "token").filter(F.size(F.array_except("need", "tokens")) == 0)
+    best = F.max(F.struct("confidence", "support", (F.col("label") == "block").alias("b"), "label", "rule_id"))
+    return hits.groupBy("url").agg(best.alias("m")).select("url", F.col("m.label").alias("label"), "m.confidence", "m.rule_id")
 
 
 def judge(pages: DataFrame, policy=POLICY, labelled: DataFrame | None = None) -> DataFrame:
