@@ -18,9 +18,9 @@ miss d(n) = n - ceil(n * percent / 100) of them.
   Two sets that link meet in such a list.  A list is dealt to PARTS; in each part the set with
   the fewest unshared shingles is held against the others, and the first of these against the rest.
   Then come those pairs of a list that are still in different components and that size,
-  unshared shingles and positions do not rule out.  A list of more than LIST_MOST such sets is split
-  by a second common shingle (two sets that link share two of their first d(n) + 2), a third and a
-  fourth; only a list that four rare shingles leave long is paired whole.
+  unshared shingles and positions do not rule out.  A list is split by a second common shingle
+  (two sets that link share two of their first d(n) + 2), a third and a fourth, where that
+  is less work than its pairs.
   Every pair is verified by exact intersection.
 * The boundary B minimises the estimated cost over the sizes that occur; sets just
   below it take part in both ways, so that light-heavy pairs meet too.
@@ -48,8 +48,8 @@ from .textkit import WordTable, mix64, shingle_hashes, unique_by_document, word_
 
 #: Largest set that the light way is considered for; copies that a task remembers.
 LIGHT_MOST, SEEN_MOST = 26, 2_000_000
-#: Parts that a list is dealt to in its first round, sets of a list that are paired at once, common shingles that split a longer list.
-PARTS, LIST_MOST, DEEPEST = 32, 256, 4
+#: Parts that a list is dealt to in its first round, pairs that one entry of longer lists has to save, most common shingles of a list.
+PARTS, SPLIT_GAIN, DEEPEST = 32, 4, 4
 
 _WORDS = WordTable()
 
@@ -269,14 +269,15 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(i * 100 >= (F.col("n_a") + F.col("n_b") - i) * percent).select("a", "b")
 
 
-def longer_lists(lists: DataFrame, sets: DataFrame, level: int, percent: int) -> DataFrame:
-    """Entries (tok, at, key, n, alone, label) of the lists that a further common shingle splits lists into.
+def _further(level: int, percent: int) -> Column:
+    """How many shingles after an entry's own can be the next that it shares: the first d(n) + level + 1 hold level + 1 of them."""
+    return F.greatest(F.lit(0), F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + level - F.col("at")).cast("int")
 
-    Sets that link share at least level + 1 of their first d(n) + level + 1 shingles.
-    """
-    start = F.col("at") - F.col("alone")  # place of the list's shingle in toks
-    count = F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + level - F.col("alone") - start
-    nexts = F.slice("toks", (start + 2).cast("int"), F.greatest(F.lit(0), count).cast("int"))
+
+def longer_lists(lists: DataFrame, sets: DataFrame, level: int, percent: int) -> DataFrame:
+    """Entries (tok, at, key, n, alone, label) of the lists that a further common shingle splits lists into."""
+    start = (F.col("at") - F.col("alone") + 2).cast("int")  # the place after the list's shingle in toks
+    nexts = F.slice("toks", start, _further(level, percent))
     return lists.join(sets.select("key", "toks"), "key").select("tok", "at", "key", "n", "alone", "label", F.posexplode(nexts).alias("j", "next")).select(
         F.xxhash64("tok", "next").alias("tok"), (F.col("at") + 1 + F.col("j")).alias("at"), "key", "n", "alone", "label"
     )
@@ -295,23 +296,27 @@ def heavy_edges(sets: DataFrame, percent: int, light: DataFrame) -> DataFrame:
     one = kept(verified(pairs, sets, percent), "star")
     label = kept(components(one.unionByName(light)), "labels")
     open_ = lists.join(label, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key")).drop("node")
-    # What is still in different components: short lists pair by pair, long ones split by a further common shingle.
+    # What is still in different components: pair by pair, or split by a further common shingle where that is less work.
     out, level = one, 1
     while True:
-        tall = open_.groupBy("tok").agg(F.count("*").alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select(F.col("tok").alias("t"), "c")
+        of_label = open_.groupBy("tok", "label").agg(F.count("*").alias("c"), F.sum(_further(level, percent)).alias("more"), F.min("n").alias("n"))
+        tall = of_label.groupBy(F.col("tok").alias("t")).agg(
+            F.count("*").alias("labels"), ((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))) / 2).alias("pairs"), F.sum("more").alias("more"), F.min("n").alias("least")
+        )
+        gains = (F.col("pairs") > SPLIT_GAIN * F.col("more")) & (F.col("least") * percent > 100 * level)  # two sets that link share level + 1 then
+        tall = tall.filter("labels > 1").select("t", (gains if level < DEEPEST else F.lit(False)).alias("long"))
         split = kept(open_.join(tall, F.col("tok") == F.col("t")).drop("t"), "split")
-        last = level == DEEPEST
-        short = split if last else split.filter(F.col("c") <= LIST_MOST)
         me = F.struct("key", "n", "alone", "at", "label")
+        short = split.filter("not long")
         x, y = short.select("tok", me.alias("x")), short.select("tok", me.alias("y"))
         room = level - 1 + F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))  # what two sets of a list can share
         can = F.least(room, F.col("x.n") - F.col("x.alone"), F.col("y.n") - F.col("y.alone")) >= _need(F.col("x.n"), F.col("y.n"), percent)
         rest = x.join(y, "tok").filter((F.col("x.key") < F.col("y.key")) & (F.col("x.label") != F.col("y.label")) & can)
         out = out.unionByName(verified(rest.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), sets, percent))
-        long = split.filter(F.col("c") > LIST_MOST)
-        if last or not long.limit(1).count():
+        long = split.filter("long")
+        if level == DEEPEST or not long.limit(1).count():
             return out
-        open_ = longer_lists(long.drop("c"), sets, level, percent)
+        open_ = longer_lists(long.drop("long"), sets, level, percent)
         level += 1
 
 

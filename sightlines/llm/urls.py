@@ -75,7 +75,7 @@ def merged_tokens(rows: DataFrame) -> DataFrame:
     return groups.select(F.explode("members").alias("token"), F.col("members")[0].alias("merged"), "members", F.col("n").alias("cover"))
 
 
-def learn(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_urls: int = 25) -> DataFrame:
+def learn(labelled: DataFrame, min_support: float = 0.002, min_confidence: float = 0.8, min_urls: int = 20) -> DataFrame:
     """rule_id, tokens, rarest (of its tokens), label, confidence, support from rows of url and label ('block' or 'allow').
 
     A rule needs min_support of the labelled URLs and min_urls of them at least, and min_confidence; of rules

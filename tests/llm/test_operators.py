@@ -318,10 +318,10 @@ def test_op9_long_lists_are_split(spark, monkeypatch):
         rows.append((i, " ".join(w[j] for j in range(len(w)))))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = brute_components(rows, 1, 90)
-    for most, deep in ((256, 4), (3, 3), (1, 4)):
-        monkeypatch.setattr(jaccard, "LIST_MOST", most)
+    for gain, deep in ((4, 4), (0, 3), (-1, 2)):
+        monkeypatch.setattr(jaccard, "SPLIT_GAIN", gain)
         monkeypatch.setattr(jaccard, "DEEPEST", deep)
-        monkeypatch.setattr(jaccard, "PARTS", 1 + most % 7)
+        monkeypatch.setattr(jaccard, "PARTS", 1 + deep % 3)
         assert sorted(tuple(x) for x in jaccard.link(df, 1, 90).collect()) == want
 
 
@@ -399,3 +399,45 @@ def test_op5_positions_in_long_texts(spark):
         spans = [(m.start(), n, f"{k}:{m.start()}:{m.end()}") for n, (k, p) in enumerate(pats.items()) for m in re.finditer(p, t, re.A) if len(m[m.lastindex or 0]) >= (6, 20, 24)[n]]
         assert got[i].base_sha256 == hashlib.sha256(",".join(x for *_, x in sorted(spans)).encode()).hexdigest(), i
     assert secrets.digest(secrets.scan(docs.limit(0))).count() == 0
+
+
+def brute_rules(labelled, support, confidence, least_urls):
+    """Rules by trying every combination of merged tokens."""
+    rows = [(frozenset(t), lab) for t, lab in labelled]
+    n = len(rows)
+    cover = {}
+    for t in {x for s, _ in rows for x in s}:
+        cover[t] = frozenset(i for i, (s, _) in enumerate(rows) if t in s)
+    groups = {}
+    for t, c in cover.items():
+        groups.setdefault(c, []).append(t)
+    least = max(least_urls, -(-support * n // 1))
+    items = {min(m): (c, sorted(m)) for c, m in groups.items() if least <= len(c) < n}
+    found = {}
+    for k in range(1, len(items) + 1):
+        for combo in itertools.combinations(sorted(items), k):
+            inside = frozenset.intersection(*(items[t][0] for t in combo))
+            for lab in {x for _, x in rows}:
+                both = sum(rows[i][1] == lab for i in inside)
+                if both >= least and both / len(inside) >= confidence:
+                    found[combo, lab] = both / len(inside)
+    kept = {(c, lab): v for (c, lab), v in found.items() if not any(lab == l2 and set(c2) < set(c) and v2 >= v for (c2, l2), v2 in found.items())}
+    return {(tuple(sorted(x for t in c for x in items[t][1])), lab, round(v, 6)) for (c, lab), v in kept.items()}
+
+
+def test_op10_rules_equal_brute_force(spark):
+    r = random.Random(12)
+    seen = {}
+    for i in range(160):
+        url = f"http://{r.choice(['www.', 'm.', ''])}{r.choice(['spam-a', 'news', 'shop'])}.example.{r.choice(['com', 'net'])}/{r.choice(['en', 'de'])}/{i}{r.choice(['', '.html', '?page=1'])}"
+        seen[url] = r.choice(["block", "allow"]) if r.random() < 0.2 else ("block" if "spam" in url or "/de/" in url and ".net" in url else "allow")
+    df = spark.createDataFrame([*seen.items(), *list(seen.items())[:9], (None, "block"), ("http://x", None)], "url string, label string")
+    toks = {x.url: x.t for x in df.filter("url is not null").select("url", urls.tokens_of(F.col("url")).alias("t")).collect()}
+    got = {(tuple(x.tokens), x.label, round(x.confidence, 6)) for x in urls.learn(df, 0.02, 0.8, 8).collect()}
+    want = brute_rules([(toks[u], lab) for u, lab in seen.items()], 0.02, 0.8, 8)
+    assert got == want and len(got) > 5
+    hit = {x.url: (x.label, round(x.confidence, 6)) for x in urls.match(df, urls.learn(df, 0.02, 0.8, 8)).collect()}
+    for u, t in toks.items():
+        fits = [(c, lab) for need, lab, c in want if set(need) <= set(t)]
+        assert (u in hit) == bool(fits) and (not fits or hit[u][1] == max(c for c, _ in fits))
+    assert urls.learn(df.limit(0)).count() == 0
