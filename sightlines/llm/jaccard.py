@@ -49,7 +49,7 @@ from .textkit import WordTable, mix64, shingle_hashes, unique_by_document, word_
 #: Largest set that the light way is considered for; copies that a task remembers.
 LIGHT_MOST, SEEN_MOST = 26, 2_000_000
 #: Parts that a list is dealt to in its first round, pairs that one entry of longer lists has to save, most common shingles of a list.
-PARTS, SPLIT_GAIN, DEEPEST = 32, 4, 4
+PARTS, SPLIT_GAIN, DEEPEST = 32, 64, 4
 
 _WORDS = WordTable()
 
