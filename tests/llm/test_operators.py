@@ -2,8 +2,10 @@
 
 import hashlib
 import itertools
+import os
 import random
 import re
+import tempfile
 import time
 
 import numpy as np
@@ -11,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sightlines.llm import chat, decontaminate, jaccard, mixing, pii, quality, repeats, secrets, simhash, textkit, urls
+from sightlines.llm import chat, columns, decontaminate, jaccard, mixing, pii, quality, repeats, secrets, simhash, textkit, urls
 
 rnd = random.Random(5)
 VOCAB = ["alpha", "beta", "Gamma", "delta", "eps", "zeta", "éta", "theta", "iota", "kappa", "lam", "mu"]
@@ -209,13 +211,38 @@ def test_op8_matches_brute_force(spark, docs, texts, empty):
     assert sorted(tuple(x) for x in repeats.remove(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()) == brute_removed(rows)
 
 
-def test_op8_suffixes_are_in_order():
+def test_op8_transform_and_common_prefixes(monkeypatch, tmp_path):
     r = random.Random(2)
-    s = [bytes(r.choice(b"abc") for _ in range(r.randrange(1, 30))) for _ in range(40)]
-    buf, order, of = repeats.suffix_order(s)
-    end = np.cumsum([len(x) for x in s])
-    got = [bytes(buf[p : end[of[p]]]) for p in order]
-    assert got == sorted(got) and len(got) == len(buf)
+    for t in range(60):  # blocks of a few rows, in memory and in files
+        monkeypatch.setattr(columns, "BLOCK", [3, 7, 64, 1 << 16][t % 4])
+        monkeypatch.setattr(columns, "MEMORY", [0, 50, 1 << 27][t % 3])
+        s = [bytes(r.choice(b"abc"[: 1 + t % 3]) for _ in range(r.randrange(1, 30))) for _ in range(1 + t % 40)]
+        lens = np.array([len(x) for x in s])
+        end, of = np.cumsum(lens), np.repeat(np.arange(len(s)), lens)
+        blocks = list(columns.ordered_suffixes(np.frombuffer(b"".join(s), np.uint8), lens, str(tmp_path)))
+        got = [b"".join(s)[p : end[of[p]]] for at, _ in blocks for p in at]
+        assert got == sorted(got) and len(got) == end[-1]
+        assert [int(x) for _, lcp in blocks for x in lcp] == [0] + [len(os.path.commonprefix([a, b])) for a, b in itertools.pairwise(got)]
+    assert not list(tmp_path.iterdir())
+
+
+def test_op8_through_files(spark, monkeypatch):
+    r = random.Random(8)
+    part = ["".join(r.choice("ab ") for _ in range(r.randrange(20, 130))) for _ in range(12)]
+    rows = [(i, "".join(r.choice(part) for _ in range(r.randrange(1, 6)))) for i in range(40)]
+    monkeypatch.setattr(columns, "MEMORY", 0)
+    folder = tempfile.mkdtemp(prefix="spark-")
+    deal = repeats.Deal(folder)
+    texts = pa.array([t for _, t in rows])
+    for buf, doc, at, start, size, h in repeats.pieces(texts):
+        lens = size + 49
+        deal.add(doc, doc, start, np.arange(len(doc), dtype=np.int32), size, h, b"".join(buf[a : a + n].tobytes() for a, n in zip(at, lens)))
+    gone = {}
+    for rid, a, b in deal.runs():
+        for i, x, y in zip(rid.tolist(), a.tolist(), b.tolist()):
+            gone.setdefault(i, set()).update(range(x, y))
+    assert [(i, len(gone.get(i, ()))) for i, _ in rows] == [(x[0], x[2]) for x in brute_removed(rows)]
+    assert not os.listdir(folder)
 
 
 def brute_components(rows, k, percent):
