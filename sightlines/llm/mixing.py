@@ -194,9 +194,9 @@ def mix(
     targets = kept(water_fill(ranked, total, F.col("source_size") * float(max_copies), weight), "targets")
     wanted = wanted_copies(sized, targets, max_copies, size_power)
     done = sample_rest(wanted, targets, seed)
-    few = targets.select(F.col("source").alias("s"), "source_size", "target")
+    goals = targets.select(F.col("source").alias("s"), "source_size", "target")
     copies = F.coalesce(F.col("certain"), F.lit(0)) + F.col("extra")
-    return done.join(F.broadcast(few) if few(few) else few, F.col("source").eqNullSafe(F.col("s")), "left").select(
+    return done.join(F.broadcast(goals) if few(goals) else goals, F.col("source").eqNullSafe(F.col("s")), "left").select(
         "doc_id", "size", "source_size", "target", F.col("m").alias("wanted"), copies.alias("taken_copies"), (copies * F.col("size")).alias("taken"), "source"
     )
 
