@@ -22,14 +22,14 @@ GEO = {
     ],
     "Evidence & citations": [
         ("Links to outside sources", "medium", "external_links >= 2", "external_links = 1"), ("Numbers are attributed", "medium", "numbers = 0 OR attributed", None), ("Uses words of attribution", "low", "attributed", None), ("Shows dates", "low", "dated", None),
-        ("Article names its author", "medium", "page_kind <> 'article' OR authored", None), ("Has a list of references", "low", "t RLIKE 'references|sources|bibliography'", None), ("Sources support the claims", "high", "manual", None), ("Claims are up to date", "medium", "manual", None),
+        ("Article names its author", "medium", "page_kind <> 'blog_post' OR authored", None), ("Has a list of references", "low", "t RLIKE 'references|sources|bibliography'", None), ("Sources support the claims", "high", "manual", None), ("Claims are up to date", "medium", "manual", None),
     ],
     "Authority & trust": [
         ("About page is reachable", "medium", "links RLIKE 'about'", None), ("Contact page is reachable", "medium", "links RLIKE 'contact'", None), ("Privacy page is reachable", "medium", "links RLIKE 'privacy|terms|legal'", None), ("Names people", "medium", "authored", None),
         ("Shows certifications", "low", "t RLIKE 'certified|certification|accredited|licensed|award'", None), ("Shows attributable reviews", "low", "t RLIKE 'testimonial|reviews' OR ld RLIKE '\"(Review|AggregateRating)\"'", None), ("Has an editorial policy", "low", "links RLIKE 'editorial|corrections'", None), ("Reputation elsewhere", "medium", "manual", None),
     ],
     "Content depth": [
-        ("Is long enough for its kind", "high", "words >= CASE WHEN page_kind = 'article' THEN 500 ELSE 250 END", "words >= 120"), ("Title and heading are there", "medium", "title <> '' AND h1_count > 0", "title <> ''"), ("Has sections", "medium", "h2_count >= 2", "h2_count = 1"), ("Gives examples", "low", "t RLIKE 'for example|case study|such as'", None),
+        ("Is long enough for its kind", "high", "words >= CASE WHEN page_kind = 'blog_post' THEN 500 ELSE 250 END", "words >= 120"), ("Title and heading are there", "medium", "title <> '' AND h1_count > 0", "title <> ''"), ("Has sections", "medium", "h2_count >= 2", "h2_count = 1"), ("Gives examples", "low", "t RLIKE 'for example|case study|such as'", None),
         ("Compares, with a table", "low", "compares AND tables > 0", "compares OR tables > 0"), ("Answers frequent questions", "low", "faq", None), ("Has media", "low", "images > 0", None), ("Says something of its own", "high", "manual", None),
     ],
     "Technical delivery": [
@@ -40,7 +40,7 @@ GEO = {
 AEO = {
     "Question & intent": [
         ("Headings ask questions", "medium", "questions >= 2", "questions = 1"), ("Opens with a direct answer", "high", "opening BETWEEN 20 AND 120", "opening > 0"), ("Covers several question forms", "low", "question_forms >= 3", "question_forms >= 1"), ("Has a question section", "low", "faq", None), ("Marks questions up", "low", "ld LIKE '%FAQPage%'", None),
-        ("Compares alternatives", "low", "compares", None), ("Explains a procedure", "low", "procedure", None), ("States transactional facts", "low", "page_kind NOT IN ('product', 'service', 'local') OR t RLIKE 'price|cost|delivery|opening hours|[0-9]+ ?(eur|usd)'", None), ("Matches the intent of its queries", "high", "manual", None), ("Serves a clear audience", "medium", "manual", None),
+        ("Compares alternatives", "low", "compares", None), ("Explains a procedure", "low", "procedure", None), ("States transactional facts", "low", "page_kind NOT IN ('product', 'service') OR t RLIKE 'price|cost|delivery|opening hours|[0-9]+ ?(eur|usd)'", None), ("Matches the intent of its queries", "high", "manual", None), ("Serves a clear audience", "medium", "manual", None),
     ],
     "Extractability": [
         ("Paragraphs are short", "medium", "mean_paragraph <= 100", "mean_paragraph <= 160"), ("Has lists", "low", "lists > 0", None), ("Has tables", "low", "tables > 0", None), ("Gives definitions", "low", "t RLIKE ' (is a|means|refers to) '", None), ("States figures", "low", "numbers >= 2", "numbers = 1"),
@@ -64,7 +64,7 @@ AEO = {
     ],
 }
 WEIGHTS = {"critical": 4, "high": 3, "medium": 2, "low": 1}
-EXPECTED = {"homepage": "WebSite", "article": "Article", "product": "Product", "local": "LocalBusiness", "about": "AboutPage", "service": "Service", "webpage": "WebPage"}
+EXPECTED = {"homepage": "WebSite", "blog_post": "Article", "blog_index": "CollectionPage", "product": "Product", "service": "Service", "contact": "ContactPage", "unknown": "WebPage"}
 
 
 def catalogue() -> list[tuple[str, str, str, str, str, str | None]]:

@@ -31,6 +31,15 @@ def _pieces(s: str | None) -> list[str]:
     return list(out)
 
 
+def _intent(s: str | None, stop: frozenset) -> list[str]:
+    words = _clean(s).split()
+    out = dict.fromkeys(w for w in words if len(w) > 1 and w not in stop)
+    for w in words:  # languages that write without spaces: neighbouring letters
+        if len(w) > 2 and _HAN.search(w):
+            out.update(dict.fromkeys(w[i : i + 2] for i in range(len(w) - 1)))
+    return list(out)
+
+
 def _ascii_host(host: str | None) -> str:
     h = (host or "").strip().rstrip(".").lower()
     try:
@@ -51,6 +60,23 @@ def word_tokens(s: pd.Series) -> pd.Series:
     return s.map(_pieces)
 
 
+def intent_words(stop_words: list[str]):
+    """A function of a text column: its distinct words of two letters or more that are no stop words, and bigrams of words with Han letters."""
+    stop = frozenset(stop_words)
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def tokens(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: _intent(x, stop))
+
+    return tokens
+
+
+@F.pandas_udf(T.StringType())
+def compatible(s: pd.Series) -> pd.Series:
+    """Widths, ligatures and the like in their plain form (NFKC)."""
+    return s.map(lambda x: unicodedata.normalize("NFKC", x) if isinstance(x, str) else x)
+
+
 @F.pandas_udf(T.StringType())
 def ascii_host(s: pd.Series) -> pd.Series:
     """Host names in their ASCII form; what has none stays as it is."""

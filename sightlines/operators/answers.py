@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightlines.functions.numbers import js_round
+from sightlines.functions.urls import source_type
 
 
 def host_of(url: Column) -> Column:
@@ -67,7 +68,7 @@ def concept_metrics(concepts: DataFrame) -> DataFrame:
 
 def consistency_rollup(metrics: DataFrame, families: DataFrame) -> DataFrame:
     """Agreement by question family."""
-    m = metrics.join(F.broadcast(families), "question")
+    m = metrics.join(families, "question")
     mean = F.sum(F.round(F.col("consistency") * 1000).cast("bigint")) / (1000 * F.count("consistency"))
     return m.groupBy("family").agg(F.count("*").alias("questions"), js_round(mean, 3).alias("consistency"), F.sum("shared").alias("shared"), F.sum("specific").alias("specific"))
 
@@ -81,13 +82,40 @@ def share_of_voice(mentions: DataFrame, brands: DataFrame) -> DataFrame:
 
 
 def citation_landscape(citations: DataFrame) -> DataFrame:
-    """For each question: domains, citations, share of the three largest, and how far it can be trusted (0..100)."""
+    """For each question: domains, citations, their largest domain, and the percent that the three largest hold."""
     d = citations.withColumn("domain", host_of(F.col("url"))).groupBy("question", "domain").agg(F.count("*").alias("n"))
     place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("n"), "domain"))
     t = d.withColumn("place", place).groupBy("question").agg(F.count("*").alias("domains"), F.sum("n").alias("citations"), F.sum(F.when(F.col("place") <= 3, F.col("n"))).alias("top3"), F.max(F.when(F.col("place") == 1, F.col("domain"))).alias("top_domain"))
-    concentration = F.col("top3") / F.col("citations")
-    trust = 50 * F.least(F.col("domains") / 10.0, F.lit(1.0)) + 50 * (1 - concentration)
-    return t.select("question", "domains", "citations", "top_domain", js_round(concentration * 100, 1).alias("top3_share"), js_round(trust, 1).alias("trust"))
+    return t.select("question", "domains", "citations", "top_domain", js_round(F.col("top3") / F.col("citations") * 100).cast("int").alias("top3_share"))
+
+
+def _touched(citations: DataFrame, scanned: DataFrame, opened: DataFrame) -> DataFrame:
+    """(question, domain, cites, cited, scanned, opened) of every domain that an answer's research met."""
+    met = None
+    for name, rows in (("cited", citations), ("scanned", scanned), ("opened", opened)):
+        x = rows.select("question", host_of(F.col("url")).alias("domain"), F.lit(name).alias("how"))
+        met = x if met is None else met.unionByName(x)
+    has = lambda n: F.bool_or(F.col("how") == n).alias(n)
+    return met.groupBy("question", "domain").agg(F.count_if(F.col("how") == "cited").alias("cites"), has("cited"), has("scanned"), has("opened"))
+
+
+def source_types(citations: DataFrame, scanned: DataFrame, opened: DataFrame) -> DataFrame:
+    """For each question and type of source: citations, domains and percent of all citations."""
+    t = _touched(citations, scanned, opened).groupBy("question", source_type(F.col("domain")).alias("type")).agg(F.sum("cites").alias("cites"), F.count("*").alias("domains"))
+    total = F.sum("cites").over(Window.partitionBy("question"))
+    return t.withColumn("pct", F.when(total > 0, js_round(F.col("cites") / total * 100)).otherwise(0.0).cast("int"))
+
+
+def domain_trust(citations: DataFrame, scanned: DataFrame, opened: DataFrame, k: int = 12) -> DataFrame:
+    """The k most trusted domains of each question: half for being cited, the rest for its share of the most cited, for being found, opened and scanned."""
+    t = _touched(citations, scanned, opened)
+    most = F.greatest(F.lit(1), F.max("cites").over(Window.partitionBy("question")))
+    one = lambda c: F.col(c).cast("int")
+    # what a search found is what was scanned: both shares go together
+    trust = js_round(0.5 * one("cited") + 0.2 * F.col("cites") / most + 0.15 * one("scanned") + 0.10 * one("opened") + 0.05 * one("scanned"), 2)
+    t = t.withColumns({"trust": trust, "type": source_type(F.col("domain"))})
+    place = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("trust"), F.desc("cites"), "domain"))
+    return t.withColumn("place", place).filter(F.col("place") <= k).select("question", "domain", "type", "cited", "opened", "cites", "trust", "place")
 
 
 def answer_coverage(runs: DataFrame, expected: int) -> DataFrame:

@@ -10,11 +10,32 @@ from pyspark.sql import functions as F
 
 from sightlines.functions.numbers import js_round
 
+# Fixed names under which equal checks are reported, by normalised title.
+CHECK_ALIASES = {
+    "indexing permitted": "Page is technically indexable",
+    "page is technically indexable": "Page is technically indexable",
+    "search snippets are permitted": "Search snippets are permitted",
+    "snippet generation permitted": "Search snippets are permitted",
+    "one clear h1": "One clear H1",
+    "single primary heading": "One clear H1",
+    "canonical url declared": "Canonical URL declared",
+    "canonical relationship is explicit": "Canonical URL declared",
+    "relevant structured data is available": "Relevant structured data is available",
+    "machine readable structured data present": "Relevant structured data is available",
+    "structured data is syntactically valid": "Structured data is syntactically valid",
+    "json ld parses successfully": "Structured data is syntactically valid",
+    "mobile viewport declared": "Mobile viewport declared",
+    "responsive viewport is declared": "Mobile viewport declared",
+    "all images declare alt behavior": "Image text alternatives",
+    "informative images have text alternatives": "Image text alternatives",
+    "image text alternatives": "Image text alternatives",
+}
 # Fixed orders: worst first.
 STATUS_ORDER = ["FAIL", "PARTIAL", "MANUAL_REVIEW", "DATA_UNAVAILABLE", "PASS", "NOT_APPLICABLE"]
 SEVERITY_ORDER = ["critical", "high", "medium", "low", "info"]
-SEVERITY_POINTS = {"critical": 8.0, "high": 5.0, "medium": 3.0, "low": 1.0, "info": 0.0}
-STATUS_POINTS = {"FAIL": 1.0, "PARTIAL": 0.6, "MANUAL_REVIEW": 0.25}
+# Fixed factors of value to fix; any other severity counts 1, any other status 0.
+SEVERITY_POINTS = {"critical": 4.0, "high": 3.0, "medium": 2.0, "low": 1.0}
+STATUS_POINTS = {"FAIL": 1.0, "PARTIAL": 0.65}
 CREDIT = {"PASS": 1.0, "PARTIAL": 0.5, "FAIL": 0.0}
 
 
@@ -65,11 +86,10 @@ def domain_audit_summary(signals: DataFrame) -> DataFrame:
 def apply_applicability(signals: DataFrame, groups: DataFrame, overrides: DataFrame, enabled: list[str]) -> DataFrame:
     """NOT_APPLICABLE for checks of optional groups that are off and for excluded page types; domain checks get their scope.
 
-    groups: (title, check_group, scope); overrides: (title, page_type). Both are small.
+    groups: (title, check_group, scope); overrides: (title, page_type).
     """
-    g = F.broadcast(groups)
-    o = F.broadcast(overrides.select("title", "page_type", F.lit(True).alias("excluded")))
-    rows = signals.join(g, "title", "left").join(o, ["title", "page_type"], "left")
+    o = overrides.select("title", "page_type", F.lit(True).alias("excluded"))
+    rows = signals.join(groups, "title", "left").join(o, ["title", "page_type"], "left")
     off = F.col("check_group").isNotNull() & ~F.col("check_group").isin(enabled)
     return rows.withColumn("status", F.when(off | F.coalesce("excluded", F.lit(False)), "NOT_APPLICABLE").otherwise(F.col("status"))).withColumn("scope", F.coalesce("scope", F.lit("page"))).drop("check_group", "excluded")
 
@@ -78,13 +98,13 @@ def apply_exclusions(signals: DataFrame, exclusions: DataFrame) -> DataFrame:
     """Without what is excluded by (scope, value): a page, a check or a category."""
     out = signals
     for scope, c in (("page", "page"), ("check", "title"), ("category", "category")):
-        out = out.join(F.broadcast(exclusions.filter(F.col("scope") == scope).select(F.col("value").alias(c)).distinct()), c, "left_anti")
+        out = out.join(exclusions.filter(F.col("scope") == scope).select(F.col("value").alias(c)).distinct(), c, "left_anti")
     return out
 
 
 def merge_checks(signals: DataFrame, aliases: DataFrame, domain_titles: list[str] | None = None) -> DataFrame:
     """One row per canonical check of a run: pages affected, tested, to review, unavailable.  A domain-wide check counts one page."""
-    s = signals.join(F.broadcast(aliases), "title", "left").withColumn("check", F.coalesce("canonical", "title")).withColumn("s", normal_status(F.col("status")))
+    s = signals.join(aliases, "title", "left").withColumn("check", F.coalesce("canonical", "title")).withColumn("s", normal_status(F.col("status")))
     on = lambda c: F.countDistinct(F.when(c, F.col("page")))
     t = s.groupBy("run_id", "check").agg(
         rollup_status(F.col("status")).alias("status"), rollup_severity(F.col("severity")).alias("severity"), on(is_issue(F.col("s"))).alias("affected"),
@@ -114,12 +134,12 @@ def traffic_exposure(signals: DataFrame, page_impressions: DataFrame) -> DataFra
 def value_to_fix(severity: Column, status: Column, exposure: Column, affected: Column, tested: Column) -> Column:
     base = F.coalesce(F.element_at(_map(SEVERITY_POINTS), severity), F.lit(1.0)) * F.coalesce(F.element_at(_map(STATUS_POINTS), status), F.lit(0.0))
     prevalence = F.when(tested > 0, affected / tested).otherwise(0.0)
-    return js_round(base * (1 + 2 * exposure) * (1 + prevalence), 2)
+    return js_round(base * (1 + 2 * exposure) * (1 + prevalence), 3)
 
 
 def root_causes(checks: DataFrame, rules: DataFrame) -> DataFrame:
     """Issues by root cause (rules: check, root; a check without a rule is its own): worst severity, most pages, the checks."""
-    c = checks.filter(is_issue(F.col("status"))).join(F.broadcast(rules), "check", "left").withColumn("root", F.coalesce("root", "check"))
+    c = checks.filter(is_issue(F.col("status"))).join(rules, "check", "left").withColumn("root", F.coalesce("root", "check"))
     return c.groupBy("run_id", "root").agg(
         rollup_severity(F.col("severity")).alias("severity"), rollup_status(F.col("status")).alias("status"), F.max("affected").alias("affected"), F.countDistinct("check").alias("checks"), F.array_join(F.array_sort(F.collect_set("check")), "|").alias("titles")
     )
@@ -192,29 +212,67 @@ def rollup_changes(history: DataFrame, by: list[str]) -> DataFrame:
     return history.groupBy(*by).agg(label.alias("change"), F.countDistinct("page").alias("pages"))
 
 
-def pulse_summary(history: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def change_summary(history: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Unique pages by their retained change, over pages that the newest run of the check still assesses."""
-    newest = F.max("r").over(Window.partitionBy("title"))
-    t = last_material_change(history).withColumn("top", newest).filter("r = top")
+    newest = history.groupBy("title").agg(F.max("r").alias("top"))
+    t = last_material_change(history).join(newest, "title").filter("r = top")
     return t.groupBy(*by, F.coalesce("material", F.lit("none")).alias("material")).agg(F.countDistinct("page").alias("pages"), F.countDistinct(F.when(is_issue(F.col("status")), F.col("page"))).alias("open_pages"))
 
 
 def compare_snapshots(current: DataFrame, previous: DataFrame) -> DataFrame:
-    """Two runs by check over the pages both assessed: pages improved, regressed, unchanged."""
+    """(title, page, change, now, was) of every check and page that either of two runs assessed."""
     side = lambda df, name: df.groupBy("title", "page").agg(rollup_status(F.col("status")).alias(name))
-    both = side(current, "now").join(side(previous, "was"), ["title", "page"])
-    a, b = is_issue(F.col("now")), is_issue(F.col("was"))
-    worse = (a & ~b) | ((F.col("now") == "FAIL") & (F.col("was") == "PARTIAL"))
-    better = (~a & b) | ((F.col("now") == "PARTIAL") & (F.col("was") == "FAIL"))
-    return both.groupBy("title").agg(F.count("*").alias("pages"), F.count_if(better).alias("improved"), F.count_if(worse).alias("regressed"), F.count_if(~better & ~worse).alias("unchanged"))
+    both = side(current, "now").join(side(previous, "was"), ["title", "page"], "full_outer")
+    now, was = F.col("now"), F.col("was")
+    either = lambda s: (now == s) | (was == s)
+    change = (
+        F.when(now.isNull(), "no_longer_assessed")
+        .when(was.isNull(), F.when(is_issue(now), "new_issue").otherwise("new_page"))
+        .when(either("MANUAL_REVIEW"), "requires_review")
+        .when((now == "NOT_APPLICABLE") & (was != "NOT_APPLICABLE"), "no_longer_applicable")
+        .when(either("DATA_UNAVAILABLE"), "evidence_unavailable")
+        .when(now == was, "unchanged")
+        .when(is_issue(was) & (now == "PASS"), "resolved")
+        .when((was == "FAIL") & (now == "PARTIAL"), "improved")
+        .when(((was == "PARTIAL") & (now == "FAIL")) | ((was == "PASS") & is_issue(now)), "worsened")
+        .otherwise("requires_review")
+    )
+    return both.select("title", "page", change.alias("change"), "now", "was")
+
+
+# Fixed names of the counts of a comparison.
+COMPARED = {
+    "findings_resolved": "resolved",
+    "findings_improved": "improved",
+    "findings_worsened": "worsened",
+    "new_findings": "new_issue",
+    "unchanged_findings": "unchanged",
+    "requires_review": "requires_review",
+    "evidence_unavailable": "evidence_unavailable",
+    "no_longer_assessed": "no_longer_assessed",
+    "no_longer_applicable": "no_longer_applicable",
+}
+
+
+def snapshot_summary(changes: DataFrame) -> DataFrame:
+    """One row: findings by change, pages that only got better and pages where something got worse."""
+    of = lambda *c: F.col("change").isin(*c)
+    pages = changes.groupBy("page").agg(
+        *[F.count_if(of(c)).alias(name) for name, c in COMPARED.items()], F.bool_or(of("improved", "resolved")).alias("better"), F.bool_or(of("worsened")).alias("worse")
+    )
+    sums = [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in COMPARED]
+    return pages.agg(*sums, F.count_if(F.col("better") & ~F.col("worse")).alias("pages_improved"), F.count_if("worse").alias("pages_regressed"))
 
 
 def page_delta(history: DataFrame) -> DataFrame:
-    """For each check and run: pages newly observed and pages no longer assessed."""
-    sets = history.groupBy("title", "r", "run_id").agg(F.collect_set("page").alias("p"))
-    before = sets.select("title", (F.col("r") + 1).alias("r"), F.col("p").alias("b"))
-    j = sets.join(before, ["title", "r"])
-    return j.select("title", "run_id", F.size(F.array_except("p", "b")).alias("new_pages"), F.size(F.array_except("b", "p")).alias("gone_pages"))
+    """For each check and run after its first: pages newly observed and pages no longer assessed."""
+    seen = history.select("title", "page", "r").distinct()
+    runs = history.select("title", "r", "run_id").distinct()
+    now, was = seen.withColumn("now", F.lit(True)), seen.select("title", "page", (F.col("r") + 1).alias("r"), F.lit(True).alias("was"))
+    counts = now.join(was, ["title", "page", "r"], "full_outer").groupBy("title", "r").agg(
+        F.count_if(F.col("was").isNull()).alias("new_pages"), F.count_if(F.col("now").isNull()).alias("gone_pages")
+    )
+    return runs.filter("r > 1").join(counts, ["title", "r"]).select("title", "run_id", "new_pages", "gone_pages")
 
 
 def family_trend(signals: DataFrame) -> DataFrame:
@@ -225,7 +283,7 @@ def family_trend(signals: DataFrame) -> DataFrame:
 
 def recommendation_updates(recommendations: DataFrame, signals: DataFrame, roots: DataFrame) -> DataFrame:
     """implemented -> verified when all checks of the root pass; verified -> reopened when one fails."""
-    s = signals.join(F.broadcast(roots), "title").groupBy("root").agg(F.bool_and(F.col("status").isin("PASS", "NOT_APPLICABLE")).alias("clean"), F.bool_or(is_issue(F.col("status"))).alias("broken"))
+    s = signals.join(roots, "title").groupBy("root").agg(F.bool_and(F.col("status").isin("PASS", "NOT_APPLICABLE")).alias("clean"), F.bool_or(is_issue(F.col("status"))).alias("broken"))
     r = recommendations.join(s, "root", "left")
     state = F.when((F.col("state") == "implemented") & F.col("clean"), "verified").when((F.col("state") == "verified") & F.col("broken"), "reopened").otherwise(F.col("state"))
     return r.select("root", F.col("state").alias("old_state"), state.alias("state"))
@@ -255,7 +313,7 @@ def high_signal(checks: DataFrame, extra: DataFrame, k: int = 10) -> DataFrame:
 
 def executive_findings(checks: DataFrame, roots: DataFrame, k: int = 5) -> DataFrame:
     """The most valuable check of every root cause, top k by run."""
-    c = checks.filter(is_issue(F.col("status"))).join(F.broadcast(roots), "check", "left").withColumn("root", F.coalesce("root", "check"))
+    c = checks.filter(is_issue(F.col("status"))).join(roots, "check", "left").withColumn("root", F.coalesce("root", "check"))
     best = c.withColumn("n", F.row_number().over(Window.partitionBy("run_id", "root").orderBy(F.desc("value"), "check"))).filter("n = 1")
     return best.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("value"), "root"))).filter(F.col("place") <= k).select("run_id", "root", "check", "value", "place")
 
@@ -272,3 +330,38 @@ def monitoring_inventory(inventory: DataFrame, frontier: DataFrame, pages: DataF
     f = frontier.groupBy("url").agg(F.max("state").alias("state"))
     o = F.when(F.col("audited"), "audited").when(F.col("state") == "done", "crawled").when(F.col("state").isNotNull(), "queued").when(~F.col("eligible"), "excluded").otherwise("not_reached")
     return inventory.join(a, "url", "left").join(f, "url", "left").groupBy("url_class", o.alias("outcome")).agg(F.count("*").alias("urls"))
+
+
+# ---------------------------------------------------------------------- titles
+
+
+def normal_title(title: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(title, F.lit(""))), "[^a-z0-9]+", " "))
+
+
+def canonical_check_title(title: Column) -> Column:
+    """The name under which a check is reported."""
+    return F.coalesce(F.element_at(_map(CHECK_ALIASES), normal_title(title)), F.trim(F.coalesce(title, F.lit(""))))
+
+
+def overlap_candidates(titles: DataFrame, threshold: float = 0.72) -> DataFrame:
+    """(a, b, similarity, explicit_alias) of different titles that are alike by words, by spelling or by alias.
+
+    Similarity is the largest of word Jaccard, 1 less the edit distance over the longer
+    length, and 1 for titles with one canonical name.  Candidates share two neighbouring letters, a word
+    or a canonical name, as all titles do that reach 0.72.
+    """
+    t = titles.filter("title <> ''").select("title").distinct().withColumns({"norm": normal_title(F.col("title")), "name": canonical_check_title(F.col("title"))})
+    pairs_of = F.transform(F.sequence(F.lit(1), F.greatest(F.length("norm") - 1, F.lit(1))), lambda i: F.col("norm").substr(i, F.lit(2)))
+    keyed = t.withColumn("k", F.explode(F.array_distinct(F.concat(pairs_of, F.transform(F.split("norm", " "), lambda w: F.concat(F.lit("w="), w)), F.array(F.concat(F.lit("c="), "name"))))))
+    x = keyed.select("k", F.struct("title", "norm", "name").alias("x"))
+    pairs = x.join(x.withColumnRenamed("x", "y"), "k").filter("x.title < y.title").select("x", "y").distinct()
+    words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
+    a, b = words(F.col("x.norm")), words(F.col("y.norm"))
+    union = F.size(F.array_union(a, b))
+    jaccard = F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+    longest = F.greatest(F.length("x.norm"), F.length("y.norm"))
+    spelling = F.when(longest > 0, 1 - F.levenshtein(F.col("x.norm"), F.col("y.norm")) / longest).otherwise(1.0)
+    alias = F.col("x.name") == F.col("y.name")
+    rows = pairs.select(F.col("x.title").alias("a"), F.col("y.title").alias("b"), F.greatest(jaccard, spelling, F.when(alias, 1.0).otherwise(0.0)).alias("s"), alias.alias("explicit_alias"))
+    return rows.filter(F.col("s") >= threshold).select("a", "b", js_round("s", 3).alias("similarity"), "explicit_alias")

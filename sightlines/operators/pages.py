@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sightlines.functions import urls as U
+from sightlines.operators.keywords import COMMON_DNS
 from sightlines.functions.check_catalogue import EXPECTED, WEIGHTS, catalogue
 from sightlines.functions.numbers import js_round
 
@@ -293,14 +294,36 @@ def scan_score(severities: Column) -> Column:
 
 
 # Fixed patterns of analytics, ads and tag ids.
-ID_PATTERNS = {"analytics": r"\b(UA-\d{4,10}-\d{1,4}|G-[A-Z0-9]{6,12})\b", "tag_manager": r"\b(GTM-[A-Z0-9]{4,9})\b", "ads": r"\b((?:ca-)?pub-\d{10,20})\b", "ads_conversion": r"\b(AW-\d{6,12})\b", "pixel": r"fbq\(\s*['\"]init['\"]\s*,\s*['\"](\d{8,20})['\"]", "metrika": r"ym\(\s*(\d{5,10})\s*,"}
-
-
-def fingerprints(pages: DataFrame) -> DataFrame:
-    """(host, kind, value, strength) of every id in a page's source, each once."""
-    found = F.array(*[F.struct(F.lit(k).alias("kind"), F.array_distinct(_all(F.col("html"), p)).alias("values")) for k, p in ID_PATTERNS.items()])
-    t = pages.select("host", F.explode(found).alias("x")).select("host", "x.kind", F.explode("x.values").alias("value")).distinct()
-    return t.withColumn("strength", F.when(F.col("kind") == "tag_manager", "weak").otherwise("strong"))
+ID_PATTERNS = {
+    "ga4": [r"\b(G-[A-Z0-9]{6,12})\b"],
+    "ua": [r"\b(UA-\d{4,10}-\d{1,4})\b"],
+    "gtm": [r"\b(GTM-[A-Z0-9]{4,10})\b"],
+    "adsense": [r"\b(ca-pub-\d{10,20})\b"],
+    "metrica": [r"ym\(\s*(\d{6,10})\s*,", r"mc\.yandex\.ru/watch/(\d{6,10})"],
+    "pixel": [r"fbq\(\s*['\"]init['\"]\s*,\s*['\"](\d{10,20})['\"]"],
+    "hotjar": [r"hjid\s*[:=]\s*(\d{5,10})"],
+    "clarity": [r"(?i)clarity\.ms/tag/([a-z0-9]{8,14})"],
+}
+COPYRIGHT = r"(?i)(?:©|&copy;|Copyright)\s*([^<\n]{0,80})"
+
+
+def fingerprints(pages: DataFrame, most: int = 6) -> DataFrame:
+    """(host, kind, value, strength) of every id in a page's source, each once, the first `most` of a kind, and its copyright line.
+
+    Where pages has them, nameservers (ns, array) that are not everybody's and addresses (ips, array; not behind_cdn) are weak signs.
+    """
+    of = lambda ps: F.array_distinct(F.filter(F.transform(F.concat(*[_all(F.col("html"), p) for p in ps]), lambda v: F.trim(v)), lambda v: v != ""))
+    kinds = [F.struct(F.lit(k).alias("kind"), F.slice(of(ps), 1, most).alias("values"), F.lit("strong").alias("strength")) for k, ps in ID_PATTERNS.items()]
+    line = F.trim(F.regexp_extract("html", COPYRIGHT, 1))
+    kinds.append(F.struct(F.lit("copyright").alias("kind"), F.filter(F.array(line), lambda v: v != "").alias("values"), F.lit("weak").alias("strength")))
+    if "ns" in pages.columns:
+        common = lambda v: F.lower(v).rlike("|".join(x.replace(".", r"\.") for x in COMMON_DNS))
+        kinds.append(F.struct(F.lit("ns").alias("kind"), F.filter("ns", lambda v: ~common(v)).alias("values"), F.lit("weak").alias("strength")))
+    if "ips" in pages.columns:
+        cdn = F.coalesce(F.col("behind_cdn"), F.lit(False)) if "behind_cdn" in pages.columns else F.lit(False)
+        kinds.append(F.struct(F.lit("ip").alias("kind"), F.when(cdn, F.expr("cast(array() as array<string>)")).otherwise(F.col("ips")).alias("values"), F.lit("weak").alias("strength")))
+    t = pages.select("host", F.explode(F.array(*kinds)).alias("x")).select("host", "x.kind", F.explode("x.values").alias("value"), "x.strength")
+    return t.withColumn("value", F.lower("value")).distinct()
 
 
 def cloaking_diff(views: DataFrame) -> DataFrame:
@@ -338,7 +361,7 @@ def auditable_pages(crawl: DataFrame, pages: DataFrame) -> DataFrame:
 
 def select_crawl_batch(inventory: DataFrame, quotas: dict[str, int], target: int) -> DataFrame:
     """Urls of a crawl: up to a quota by class, one of each event family, then filled by priority."""
-    fam = F.when(F.col("url_class").isin("news", "webcast"), F.coalesce(F.nullif(U.event_family(F.col("url")), F.lit("")), F.col("url"))).otherwise(F.col("url"))
+    fam = F.when(F.col("url_class") == "news_release", F.coalesce(F.nullif(U.event_family(F.col("url")), F.lit("")), F.col("url"))).otherwise(F.col("url"))
     t = inventory.withColumn("family", fam).withColumn("f", F.row_number().over(Window.partitionBy("domain", "url_class", "family").orderBy(F.desc("priority"), "url"))).filter("f = 1")
     quota = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col("url_class")), F.lit(0))
     t = t.withColumn("c", F.row_number().over(Window.partitionBy("domain", "url_class").orderBy(F.desc("priority"), "url"))).withColumn("in_quota", F.col("c") <= quota)
@@ -350,7 +373,7 @@ def background_batch(inventory: DataFrame, as_of, day_budget: int, max_retries:
     due = inventory.filter((F.col("eligibility") == "eligible") & (F.col("retries") < max_retries) & (F.col("next_crawl_on").isNull() | (F.col("next_crawl_on") <= F.lit(as_of))))
     first = F.coalesce(F.try_element_at(U.segments(F.col("url")), F.lit(1)), F.lit(""))
     t = due.withColumn("segment", first).withColumn("n", F.row_number().over(Window.partitionBy("domain", "url_class", "source", "segment").orderBy(F.desc("priority"), "url")))
-    t = t.filter(~F.col("url_class").isin("news", "webcast", "article") | (F.col("n") <= per_template))
+    t = t.filter(~F.col("url_class").isin("news_release", "webcast", "article") | (F.col("n") <= per_template))
     return t.withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("priority"), "url"))).filter(F.col("place") <= day_budget).select("domain", "url", "url_class", "priority", "place")
 
 
@@ -362,11 +385,6 @@ def apply_crawl_policy(urls: DataFrame, allowed: list[str], excluded: list[str],
     )
 
 
-def candidate_score(url: Column, links_from_home: Column, depth: Column) -> Column:
-    utility = url.rlike(U.UTILITY)
-    return F.greatest(F.lit(0), 50 + F.least(links_from_home * 10, F.lit(30)) - depth * 8 - F.when(utility, 40).otherwise(0))
-
-
 def check_facts(pages: DataFrame) -> DataFrame:
     """The facts of `page_facts` and those that the check catalogue asks for besides."""
     f = page_facts(pages)

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from sightlines.functions.numbers import Windows, ctr, exact_sum, js_round, mean_position, pct_change, windows
 
-# Fixed click-through expectations of positions 1..10.
-EXPECTED_CTR = {1: 0.28, 2: 0.15, 3: 0.11, 4: 0.08, 5: 0.06, 6: 0.05, 7: 0.04, 8: 0.03, 9: 0.03, 10: 0.02}
+# Fixed click-through expectations of positions 1..10, in percent.
+EXPECTED_CTR = {1: 27.6, 2: 15.8, 3: 11.0, 4: 8.4, 5: 6.3, 6: 4.9, 7: 3.9, 8: 3.3, 9: 2.7, 10: 2.4}
 
 
 def grain(facts: DataFrame, which: str) -> DataFrame:
@@ -145,21 +145,20 @@ def striking_distance(page_query: DataFrame, low: float = 4.0, high: float = 20.
 
 
 def expected_ctr(position: Column) -> Column:
+    """Percent of clicks that the nearest of places 1..10 lets expect."""
     table = F.create_map(*[F.lit(x) for kv in EXPECTED_CTR.items() for x in kv])
-    return F.element_at(table, F.floor(position + 0.5).cast("int"))
+    place = F.greatest(F.lit(1), F.least(F.lit(10), js_round(position).cast("int")))
+    return F.element_at(table, place)
 
 
 def ctr_benchmark(page_query: DataFrame, min_impressions: int = 10) -> DataFrame:
-    """Click-through rate against what the rounded mean position (1..10) lets expect."""
-    t = page_query.filter(F.col("query") != "").groupBy("site_id", "query", "url").agg(
-        F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), mean_position("position").alias("mean")
-    )
-    t = t.filter((F.col("impressions") >= min_impressions) & F.floor(F.col("mean") + 0.5).between(1, 10))
-    actual, expected = F.col("clicks") / F.col("impressions"), expected_ctr(F.col("mean"))
-    return t.select(
-        "site_id", "query", "url", "clicks", "impressions", js_round("mean", 1).alias("position"), js_round(actual * 100, 2).alias("actual_ctr"),
-        js_round(expected * 100, 2).alias("expected_ctr"), js_round((actual - expected) * 100, 2).alias("difference"),
+    """Mean click-through rate of the rows on the first ten places against what the mean position lets expect, in percent."""
+    rows = page_query.filter((F.col("query") != "") & (F.col("url") != "") & F.col("position").between(1, 10))
+    t = rows.groupBy("site_id", "query", "url").agg(
+        F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), js_round(mean_position("position"), 1).alias("position"), mean_position(ctr("clicks", "impressions")).alias("rate")
     )
+    t = t.filter(F.col("impressions") >= min_impressions).withColumns({"actual_ctr": js_round(F.col("rate") * 1000) / 10, "expected_ctr": expected_ctr(F.col("position"))})
+    return t.drop("rate").withColumn("difference", js_round(F.col("actual_ctr") - F.col("expected_ctr"), 1))
 
 
 def search_performance(facts: DataFrame, dim: str, contains: str | None = None, start: date | None = None, end: date | None = None) -> DataFrame:

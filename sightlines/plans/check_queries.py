@@ -79,9 +79,9 @@ def a27_traffic_exposure(spark, d):
     return _exposed(spark, d)
 
 
-_SEV = "CASE severity WHEN 'critical' THEN 8.0::DOUBLE WHEN 'high' THEN 5.0 WHEN 'medium' THEN 3.0 WHEN 'low' THEN 1.0 ELSE 0.0 END"
-_STA = "CASE status WHEN 'FAIL' THEN 1.0::DOUBLE WHEN 'PARTIAL' THEN 0.6 WHEN 'MANUAL_REVIEW' THEN 0.25 ELSE 0.0 END"
-_VALUED = f"""vl AS (SELECT mg.*, coalesce(exposure, 0.0) AS exposure, {R(f"{_SEV} * {_STA} * (1 + 2 * coalesce(exposure, 0.0)) * (1 + CASE WHEN tested > 0 THEN CAST(affected AS DOUBLE) / tested ELSE 0.0 END)", 2)} AS value FROM mg LEFT JOIN ex ON ex.run_id = mg.run_id AND ex.title = mg."check")"""
+_SEV = "CASE severity WHEN 'critical' THEN 4.0::DOUBLE WHEN 'high' THEN 3.0 WHEN 'medium' THEN 2.0 ELSE 1.0 END"
+_STA = "CASE status WHEN 'FAIL' THEN 1.0::DOUBLE WHEN 'PARTIAL' THEN 0.65 ELSE 0.0 END"
+_VALUED = f"""vl AS (SELECT mg.*, coalesce(exposure, 0.0) AS exposure, {R(f"{_SEV} * {_STA} * (1 + 2 * coalesce(exposure, 0.0)) * (1 + CASE WHEN tested > 0 THEN CAST(affected AS DOUBLE) / tested ELSE 0.0 END)", 3)} AS value FROM mg LEFT JOIN ex ON ex.run_id = mg.run_id AND ex.title = mg."check")"""
 
 
 def _valued(spark, d):
@@ -191,29 +191,73 @@ def w3_rollup_changes(spark, d):
 
 
 @query(
-    "w4_pulse_summary",
+    "w4_change_summary",
     f"WITH {_HIST}, {_MAT}, t AS (SELECT * FROM mt QUALIFY r = max(r) OVER (PARTITION BY title)) SELECT family, coalesce(material, 'none') AS material, count(DISTINCT page) AS pages, count(DISTINCT CASE WHEN {_ISSUE} THEN page END) AS open_pages FROM t GROUP BY 1, 2",
     "signal",
 )
-def w4_pulse_summary(spark, d):
-    return K.pulse_summary(_history(spark, d), ("family",))
+def w4_change_summary(spark, d):
+    return K.change_summary(_history(spark, d), ("family",))
+
+
+_CMP = f"""a AS (SELECT title, page, {STATUS} AS now FROM signal WHERE run_id = 'run04' GROUP BY title, page), b AS (SELECT title, page, {STATUS} AS was FROM signal WHERE run_id = 'run02' GROUP BY title, page),
+ cmp AS (SELECT title, page, now, was, CASE WHEN now IS NULL THEN 'no_longer_assessed' WHEN was IS NULL AND now IN ('FAIL', 'PARTIAL') THEN 'new_issue' WHEN was IS NULL THEN 'new_page' WHEN 'MANUAL_REVIEW' IN (now, was) THEN 'requires_review' WHEN now = 'NOT_APPLICABLE' AND was <> 'NOT_APPLICABLE' THEN 'no_longer_applicable'
+  WHEN 'DATA_UNAVAILABLE' IN (now, was) THEN 'evidence_unavailable' WHEN now = was THEN 'unchanged' WHEN was IN ('FAIL', 'PARTIAL') AND now = 'PASS' THEN 'resolved' WHEN was = 'FAIL' AND now = 'PARTIAL' THEN 'improved' WHEN was = 'PARTIAL' AND now = 'FAIL' THEN 'worsened' WHEN was = 'PASS' AND now IN ('FAIL', 'PARTIAL') THEN 'worsened' ELSE 'requires_review' END AS change
+  FROM a FULL JOIN b USING (title, page))"""
+
+
+def _compared(spark, d):
+    s = facts.signal(spark, d)
+    return K.compare_snapshots(s.filter("run_id = 'run04'"), s.filter("run_id = 'run02'"))
+
+
+@query("w6_compare_snapshots", f"WITH {_CMP} SELECT * FROM cmp", "signal")
+def w6_compare_snapshots(spark, d):
+    return _compared(spark, d)
 
 
 @query(
-    "w6_compare_snapshots",
-    f"""WITH a AS (SELECT title, page, {STATUS} AS now FROM signal WHERE run_id = 'run04' GROUP BY title, page), b AS (SELECT title, page, {STATUS} AS was FROM signal WHERE run_id = 'run02' GROUP BY title, page),
-    j AS (SELECT title, now IN ('FAIL', 'PARTIAL') AS a, was IN ('FAIL', 'PARTIAL') AS b, now, was FROM a JOIN b USING (title, page)), k AS (SELECT title, (a AND NOT b) OR (now = 'FAIL' AND was = 'PARTIAL') AS worse, (NOT a AND b) OR (now = 'PARTIAL' AND was = 'FAIL') AS better FROM j)
-    SELECT title, count(*) AS pages, CAST(count_if(better) AS BIGINT) AS improved, CAST(count_if(worse) AS BIGINT) AS regressed, CAST(count_if(NOT better AND NOT worse) AS BIGINT) AS unchanged FROM k GROUP BY title""",
+    "w6_snapshot_summary",
+    f"""WITH {_CMP}, p AS (SELECT page, bool_or(change IN ('improved', 'resolved')) AND NOT bool_or(change = 'worsened') AS better, bool_or(change = 'worsened') AS worse FROM cmp GROUP BY page)
+    SELECT {", ".join(f"CAST(count_if(change = '{c}') AS BIGINT) AS {n}" for n, c in K.COMPARED.items())}, (SELECT CAST(count_if(better) AS BIGINT) FROM p) AS pages_improved, (SELECT CAST(count_if(worse) AS BIGINT) FROM p) AS pages_regressed FROM cmp""",
     "signal",
 )
-def w6_compare_snapshots(spark, d):
-    s = facts.signal(spark, d)
-    return K.compare_snapshots(s.filter("run_id = 'run04'"), s.filter("run_id = 'run02'"))
+def w6_snapshot_summary(spark, d):
+    return K.snapshot_summary(_compared(spark, d))
+
+
+_TITLES = "tt AS (SELECT DISTINCT CASE k % 6 WHEN 0 THEN 'Indexing permitted' WHEN 1 THEN 'Page is technically indexable!' WHEN 2 THEN 'Images of ' || url WHEN 3 THEN 'Images on ' || url WHEN 4 THEN 'Single primary heading' ELSE 'ONE clear h1' END AS title FROM event)"
+
+
+def _titles(spark, d):
+    k = F.col("k") % 6
+    e = facts.event(spark, d)
+    name = F.when(k == 0, "Indexing permitted").when(k == 1, "Page is technically indexable!").when(k == 2, F.concat(F.lit("Images of "), "url")).when(k == 3, F.concat(F.lit("Images on "), "url")).when(k == 4, "Single primary heading").otherwise("ONE clear h1")
+    return e.select(name.alias("title")).distinct()
+
+
+@query(
+    "f25_canonical_titles",
+    f"WITH {_TITLES} SELECT title, CASE trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in K.CHECK_ALIASES.items())} ELSE trim(title) END AS name FROM tt",
+    "event",
+)
+def f25_canonical_titles(spark, d):
+    return _titles(spark, d).select("title", K.canonical_check_title(F.col("title")).alias("name"))
+
+
+@query(
+    "f25_overlap_candidates",
+    f"""WITH {_TITLES}, n AS (SELECT title, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS n FROM tt), c AS (SELECT title, n, list_distinct(string_split(n, ' ')) AS w, CASE n {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in K.CHECK_ALIASES.items())} ELSE trim(title) END AS name FROM n),
+    s AS (SELECT x.title AS a, y.title AS b, x.name = y.name AS explicit_alias, greatest(CAST(len(list_intersect(x.w, y.w)) AS DOUBLE) / len(list_distinct(list_concat(x.w, y.w))), 1 - CAST(levenshtein(x.n, y.n) AS DOUBLE) / greatest(length(x.n), length(y.n)), CASE WHEN x.name = y.name THEN 1.0 ELSE 0.0 END) AS s FROM c x JOIN c y ON x.title < y.title)
+    SELECT a, b, explicit_alias, {R('s', 3)} AS similarity FROM s WHERE s >= 0.72""",
+    "event",
+)
+def f25_overlap_candidates(spark, d):
+    return K.overlap_candidates(_titles(spark, d))
 
 
 @query(
     "u3_page_delta",
-    f"""WITH {_HIST}, s AS (SELECT title, r, run_id, list(DISTINCT page) AS p FROM hs GROUP BY ALL) SELECT a.title, a.run_id, CAST(len(list_filter(a.p, lambda x: NOT list_contains(b.p, x))) AS INTEGER) AS new_pages, CAST(len(list_filter(b.p, lambda x: NOT list_contains(a.p, x))) AS INTEGER) AS gone_pages FROM s a JOIN s b ON a.title = b.title AND b.r = a.r - 1""",
+    f"""WITH {_HIST}, s AS (SELECT title, r, run_id, list(DISTINCT page) AS p FROM hs GROUP BY ALL) SELECT a.title, a.run_id, CAST(len(list_filter(a.p, lambda x: NOT list_contains(b.p, x))) AS BIGINT) AS new_pages, CAST(len(list_filter(b.p, lambda x: NOT list_contains(a.p, x))) AS BIGINT) AS gone_pages FROM s a JOIN s b ON a.title = b.title AND b.r = a.r - 1""",
     "signal",
 )
 def u3_page_delta(spark, d):

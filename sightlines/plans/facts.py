@@ -18,12 +18,22 @@ _EVENT = """SELECT event_id, ts, CAST(ts AS DATE) AS date, user_id, event_type,
   'https://site' || (user_id % 5) || '.example/p' || (user_id % 17) AS url FROM events"""
 _MEASURES = "CAST(count(*) AS BIGINT) AS impressions, CAST(count_if(event_type = 'click') AS BIGINT) AS clicks, CAST(10 + sum(event_id) % 300 AS BIGINT) AS pos10"
 
+# Words that queries are spelled out with.
+FIRST, SECOND, THIRD = ["best", "how to buy", "Compare", "red", "site2", "local", "the"], ["crm", "shoes", "café", "running shoes"], ["tools", "software", "prices", "near me", "guide"]
+_PICK = lambda xs, n: "[" + ", ".join(f"'{x}'" for x in xs) + f"][1 + {n} % {len(xs)}]"
+_SAID = f"{_PICK(FIRST, 'n')} || ' ' || {_PICK(SECOND, '(n // 2)')} || ' ' || {_PICK(THIRD, '(n // 3)')}"
+
 #: name -> (tables it needs, DuckDB SQL)
 SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "event": ((), _EVENT),
     "page_query": (("event",), f"SELECT *, pos10 / 10.0 AS position FROM (SELECT site_id, date, query, url, {_MEASURES} FROM event GROUP BY ALL)"),
     "page_day": (("event",), f"SELECT *, pos10 / 10.0 AS position FROM (SELECT site_id, date, url, {_MEASURES} FROM event GROUP BY ALL)"),
     "site_day": (("event",), f"SELECT *, pos10 / 10.0 AS position FROM (SELECT site_id, date, {_MEASURES} FROM event GROUP BY ALL)"),
+    # page_query with its queries spelled out in several words
+    "intent_query": (
+        ("page_query",),
+        f"SELECT site_id, date, n, {_SAID} AS query, url, impressions, clicks, position FROM (SELECT *, CAST(substr(query, 2) AS BIGINT) AS n FROM page_query)",
+    ),
     "rank_check": (
         ("event",),
         "SELECT event_id AS check_id, site_id, query AS keyword, ts AS checked_at, url, CASE WHEN event_type <> 'error' AND event_id % 11 <> 0 THEN 1 + event_id % 60 END AS position, CASE WHEN event_type = 'error' THEN 'timeout' END AS error FROM event",
@@ -84,6 +94,13 @@ def page_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(event(spark, sf_dir), "site_id", "date", "query", "url")
 
 
+def intent_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.substring(F.col("query"), 2, 9).cast("bigint")
+    pick = lambda xs, i: F.element_at(F.array(*[F.lit(x) for x in xs]), (i % len(xs) + 1).cast("int"))
+    said = F.concat_ws(" ", pick(FIRST, n), pick(SECOND, F.floor(n / 2)), pick(THIRD, F.floor(n / 3)))
+    return page_query(spark, sf_dir).select("site_id", "date", n.alias("n"), said.alias("query"), "url", "impressions", "clicks", "position")
+
+
 def page_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _measured(event(spark, sf_dir), "site_id", "date", "url")
 

@@ -166,7 +166,7 @@ def j28_outreach_stats(spark, d):
 @query(
     "j22_related_domains",
     """WITH p AS (SELECT DISTINCT 'd' || c_custkey AS domain, 'ads' AS kind, 'pub' || (c_custkey % 400) AS value, 'strong' AS strength FROM customer UNION SELECT DISTINCT 'd' || c_custkey, 'ns', 'ns' || c_nationkey, 'weak' FROM customer UNION SELECT 'd' || c_custkey, 'ip', 'ip' || (c_custkey % 300), 'weak' FROM customer),
-    s AS (SELECT *, count(*) OVER w AS n, min(domain) OVER w AS first FROM p WINDOW w AS (PARTITION BY kind, value) QUALIFY n >= 2 AND (strength = 'strong' OR n <= 10))
+    s AS (SELECT *, count(*) OVER w AS n, min(domain) OVER w AS first FROM p WINDOW w AS (PARTITION BY kind, value) QUALIFY n >= 2)
     SELECT first AS a, domain AS b, CASE WHEN bool_or(strength = 'strong') THEN 'strong' ELSE 'weak' END AS strength, count(*) AS shared, string_agg(DISTINCT kind || ':' || value, '|' ORDER BY kind || ':' || value) AS "values" FROM s WHERE domain <> first GROUP BY 1, 2""",
 )
 def j22_related_domains(spark, d):
@@ -317,13 +317,39 @@ def a35_share_of_voice(spark, d):
     "a36_citation_landscape",
     f"""WITH d AS (SELECT question, {_HOST} AS domain, count(*) AS n FROM citation GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY n DESC, domain) AS place FROM d),
     t AS (SELECT question, count(*) AS domains, CAST(sum(n) AS BIGINT) AS citations, CAST(sum(n) FILTER (place <= 3) AS DOUBLE) / sum(n) AS c, max(domain) FILTER (place = 1) AS top_domain FROM p GROUP BY question)
-    SELECT question, domains, citations, top_domain, {R('c * 100', 1)} AS top3_share, {R('50 * least(domains / 10.0::DOUBLE, 1.0::DOUBLE) + 50 * (1 - c)', 1)} AS trust FROM t""",
+    SELECT question, domains, citations, top_domain, CAST({R('c * 100', 0)} AS INTEGER) AS top3_share FROM t""",
     "citation",
 )
 def a36_citation_landscape(spark, d):
     return A.citation_landscape(facts.citation(spark, d))
 
 
+# What a search found is every citation's host and, of every seventh, a forum; what was opened is every third citation.
+_TOUCH = f"""sc AS (SELECT question, {_HOST} AS domain FROM citation UNION ALL SELECT question, 'forum' || (check_id % 5) || '.example' FROM citation WHERE check_id % 7 = 0), ci AS (SELECT question, {_HOST} AS domain FROM citation WHERE check_id % 2 = 0), op AS (SELECT question, {_HOST} AS domain FROM citation WHERE check_id % 3 = 0 AND check_id < 300),
+ tc AS (SELECT question, domain, CAST(count_if(how = 1) AS BIGINT) AS cites, bool_or(how = 1) AS cited, bool_or(how = 2) AS scanned, bool_or(how = 3) AS opened, CASE WHEN contains(domain, 'forum') THEN 'forum' ELSE 'other' END AS type FROM (SELECT *, 1 AS how FROM ci UNION ALL SELECT *, 2 FROM sc UNION ALL SELECT *, 3 FROM op) GROUP BY question, domain)"""
+
+
+def _research(spark, d):
+    c = facts.citation(spark, d)
+    forum = c.filter("check_id % 7 = 0").select("question", F.concat(F.lit("https://forum"), (F.col("check_id") % 5).cast("string"), F.lit(".example/t")).alias("url"))
+    return c.filter("check_id % 2 = 0"), c.select("question", "url").unionByName(forum), c.filter("check_id % 3 = 0 and check_id < 300")
+
+
+@query("a36_source_types", f"WITH {_TOUCH} SELECT question, type, CAST(sum(cites) AS BIGINT) AS cites, count(*) AS domains, CAST(CASE WHEN sum(sum(cites)) OVER (PARTITION BY question) > 0 THEN {R('CAST(sum(cites) AS DOUBLE) / sum(sum(cites)) OVER (PARTITION BY question) * 100', 0)} ELSE 0 END AS INTEGER) AS pct FROM tc GROUP BY question, type", "citation")
+def a36_source_types(spark, d):
+    return A.source_types(*_research(spark, d))
+
+
+@query(
+    "a36_domain_trust",
+    f"""WITH {_TOUCH}, t AS (SELECT *, {R('0.5::DOUBLE * cited::INT + 0.2::DOUBLE * cites / greatest(1, max(cites) OVER (PARTITION BY question)) + 0.15::DOUBLE * scanned::INT + 0.10::DOUBLE * opened::INT + 0.05::DOUBLE * scanned::INT', 2)} AS trust FROM tc)
+    SELECT question, domain, type, cited, opened, cites, trust, CAST(row_number() OVER (PARTITION BY question ORDER BY trust DESC, cites DESC, domain) AS INTEGER) AS place FROM t QUALIFY place <= 12""",
+    "citation",
+)
+def a36_domain_trust(spark, d):
+    return A.domain_trust(*_research(spark, d))
+
+
 @query(
     "a58_answer_coverage",
     """WITH t AS (SELECT site_id, count(DISTINCT engine) AS providers, count(*) AS runs, CAST(count_if(error IS NULL) AS BIGINT) AS valid, CAST(coalesce(sum(check_id % 3) FILTER (error IS NULL), 0) AS BIGINT) AS answers FROM aeo_check GROUP BY site_id) SELECT *, providers * 400 AS expected, answers >= providers * 400 AND valid = runs AS complete FROM t""",

@@ -193,11 +193,22 @@ def h13_unchanged(spark, d):
     return P.unchanged(r)
 
 
-@query("f28_fingerprints", "WITH p AS (SELECT 'h' || c_custkey AS host, 'pub-' || (1000000000 + c_custkey % 300) AS a, 'GTM-ABCD' || (c_custkey % 9) AS g FROM customer) SELECT host, 'ads' AS kind, a AS value, 'strong' AS strength FROM p UNION ALL SELECT host, 'tag_manager', g, 'weak' FROM p")
+@query(
+    "f28_fingerprints",
+    """WITH p AS (SELECT 'h' || c_custkey AS host, c_custkey AS k, CAST(1000000000 + c_custkey % 300 AS VARCHAR) AS n FROM customer)
+    SELECT host, 'adsense' AS kind, 'ca-pub-' || n AS value, 'strong' AS strength FROM p UNION ALL SELECT host, 'gtm', 'gtm-abcd' || (k % 9), 'strong' FROM p UNION ALL SELECT host, 'hotjar', n, 'strong' FROM p WHERE k % 3 = 0 UNION ALL SELECT host, 'clarity', 'abcdefg' || (1000 + k % 50), 'strong' FROM p WHERE k % 3 = 1
+    UNION ALL SELECT host, 'metrica', n, 'strong' FROM p UNION ALL SELECT host, 'copyright', '2024 owner ' || (k % 20), 'weak' FROM p WHERE k % 4 <> 0 UNION ALL SELECT host, 'ns', 'ns' || (k % 25) || '.own.example', 'weak' FROM p UNION ALL SELECT host, 'ip', '192.0.2.' || (k % 250), 'weak' FROM p WHERE k % 5 <> 0""",
+)
 def f28_fingerprints(spark, d):
     k = F.col("c_custkey")
-    page = F.concat(F.lit("<script>x('pub-"), (k % 300 + 1000000000).cast("string"), F.lit("')</script> GTM-ABCD"), (k % 9).cast("string"), F.lit(" pub-"), (k % 300 + 1000000000).cast("string"))
-    return P.fingerprints(spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("h"), k.cast("string")).alias("host"), page.alias("html")))
+    n = (k % 300 + 1000000000).cast("string")
+    page = F.concat(
+        F.lit("<script>x('ca-pub-"), n, F.lit("')</script> GTM-ABCD"), (k % 9).cast("string"), F.lit(" ca-pub-"), n, F.when(k % 3 == 0, F.concat(F.lit(" hjid: "), n)).when(k % 3 == 1, F.concat(F.lit(" CLARITY.ms/tag/ABCdefg"), (k % 50 + 1000).cast("string"))).otherwise(""),
+        F.when(k % 2 == 0, F.concat(F.lit(" ym("), n, F.lit(", 'init')"))).otherwise(F.concat(F.lit(" mc.yandex.ru/watch/"), n)), F.when(k % 4 != 0, F.concat(F.lit("<p>&copy; 2024 Owner "), (k % 20).cast("string"), F.lit("</p>"))).otherwise(""),
+    )
+    ns = F.array(F.concat(F.lit("ns"), (k % 25).cast("string"), F.lit(".own.example")), F.lit("ada.ns.CloudFlare.com"))
+    hosts = spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("h"), k.cast("string")).alias("host"), page.alias("html"), ns.alias("ns"), F.array(F.concat(F.lit("192.0.2."), (k % 250).cast("string"))).alias("ips"), (k % 5 == 0).alias("behind_cdn"))
+    return P.fingerprints(hosts)
 
 
 @query(
@@ -225,10 +236,14 @@ def j18_reconcile_sitemap(spark, d):
     return r.select("url", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query("j26_auditable_pages", f"SELECT DISTINCT 'u' || page_id AS url FROM pages WHERE {_STATUS} BETWEEN 200 AND 399 OR (page_id % 2 = 0 AND ({_STATUS.replace('page_id', '(page_id // 2)')}) BETWEEN 200 AND 399 AND page_id % 2 = 0 AND page_id // 2 IN (SELECT page_id FROM pages)) AND FALSE")
+@query(
+    "j26_auditable_pages",
+    f"""WITH p AS (SELECT 'u' || page_id AS url, {_STATUS} AS st, CASE WHEN page_id % 3 = 0 THEN 'u' || (page_id // 2) END AS final_url FROM pages), ok AS (SELECT url FROM p WHERE st BETWEEN 200 AND 399 UNION SELECT final_url FROM p WHERE st BETWEEN 200 AND 399 AND final_url IS NOT NULL)
+    SELECT DISTINCT url FROM p WHERE url IN (SELECT url FROM ok)""",
+)
 def j26_auditable_pages(spark, d):
-    p = _with_status(spark, d).select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), "http_status")
-    return P.auditable_pages(p.withColumn("final_url", F.lit(None).cast("string")), p.select("url").distinct())
+    p = _with_status(spark, d).select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("url"), "http_status", F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("u"), F.floor(F.col("page_id") / 2).cast("string"))).alias("final_url"))
+    return P.auditable_pages(p, p.select("url").distinct())
 
 
 @query("j27_inventory_audit", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'audit' || page_id END AS audit FROM pages")
@@ -252,57 +267,104 @@ def f14_url_identity(spark, d):
     return pages(spark, d).select("page_id", U.page_identity(u).alias("page_identity"), U.norm_domain(u).alias("host"), U.path_of(u).alias("path"))
 
 
-@query("f14_crawl_identity", "SELECT page_id, 'https://x.example/' || page_id || '?a=1&b=' || page_id AS id FROM pages")
+@query("f14_crawl_identity", "SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) || CASE WHEN regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) END || CASE WHEN regexp_extract(url, '\\?([^#]*)', 1) <> '' THEN '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda q: q <> '')), '&') ELSE '' END AS id FROM pages")
 def f14_crawl_identity(spark, d):
-    i = F.col("page_id").cast("string")
-    return pages(spark, d).select("page_id", U.crawl_identity(F.concat(F.lit("HTTPS://X.Example:443/"), i, F.lit("?b="), i, F.lit("&a=1#frag"))).alias("id"))
+    return pages(spark, d).select("page_id", U.crawl_identity(F.col("url")).alias("id"))
+
+
+@query(
+    "f14_candidate_identity",
+    """WITH u AS (SELECT page_id, regexp_extract(url, '^[^:]+://([^/?#]*)', 1) AS host, regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) AS path, list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda q: q <> '') AS q FROM pages)
+    SELECT page_id, CASE WHEN page_id % 4 <> 0 THEN 'https://' || regexp_replace(host, '^www\\.', '') || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '/{2,}', '/', 'g') END || coalesce('?' || nullif(array_to_string(list_sort(list_filter(q, lambda x: NOT regexp_matches(x, '^(utm_|pk_|mtm_)') AND string_split(x, '=')[1] NOT IN ('fbclid', 'gclid', 'dclid', 'msclkid', 'mc_cid', 'mc_eid', 'ref', 'source'))), '&'), ''), '') END AS id FROM u""",
+)
+def f14_candidate_identity(spark, d):
+    """Pages of their own domain (www aside); every fourth belongs to another one."""
+    own = F.regexp_replace(F.regexp_extract("url", "^[^:]+://([^/?#]*)", 1), r"^www\.", "")
+    return pages(spark, d).select("page_id", U.candidate_identity(F.col("url"), F.when(F.col("page_id") % 4 != 0, own).otherwise("other.example")).alias("id"))
 
 
-_CLASS = f"""CASE WHEN regexp_matches(u, '(?i)\\.(pdf|docx?)$') THEN 'document' WHEN regexp_matches(u, '(?i)/(login|cart)(/|$)') THEN 'utility' WHEN list_has_any(sg, ['tag', 'category']) THEN 'taxonomy' WHEN list_has_any(sg, ['events']) THEN 'webcast' WHEN list_has_any(sg, ['news']) THEN 'news' WHEN list_has_any(sg, ['blog']) THEN 'article' WHEN len(sg) <= 1 THEN 'core' ELSE 'page' END"""
-_FORMS = ["/blog/post-{i}", "/news/2024/item-{i}-annual", "/tag/t{i}", "/doc{i}.pdf", "/login", "/about", "/a/b/c{i}?x=1&y=2&z=3", "/list/page/{i}", "/events/call-q1-{i}", "/shop/item{i}"]
-_URLS = "cu AS (SELECT page_id, 'https://s' || (page_id % 5) || '.example' || replace([" + ", ".join(f"'{f}'" for f in _FORMS) + "][1 + page_id % 10], '{i}', page_id::VARCHAR) AS u FROM pages), cs AS (SELECT page_id, u, regexp_extract(u, '^https://[^/]*([^?#]*)', 1) AS path, list_filter(string_split(lower(regexp_extract(u, '^https://[^/]*([^?#]*)', 1)), '/'), lambda s: s <> '') AS sg FROM cu)"
+_QL = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_CLASS = f"""CASE WHEN contains(sm, 'news-release') OR contains(path, 'news-release') OR contains(path, '/press-release') THEN 'news_release' WHEN contains(sm, 'page-sitemap') THEN 'core_page' WHEN contains(sm, 'post-sitemap') THEN 'article' WHEN contains(sm, 'corporate-media') THEN 'corporate_media' WHEN contains(sm, 'article') THEN 'article' WHEN contains(sm, 'webcast') THEN 'webcast'
+ WHEN contains(sm, 'category') OR list_has_any(sg, {_QL(U.ARCHIVE_SEGMENTS)}) THEN 'archive_taxonomy' WHEN regexp_matches(path, '\\.(pdf|docx?|xlsx?)$') OR list_has_any(sg, {_QL(U.DISCLOSURE_SEGMENTS)}) THEN 'document_disclosure' WHEN list_has_any(sg, {_QL(U.CORE_SEGMENTS)}) OR len(sg) <= 1 THEN 'core_page'
+ WHEN list_has_any(sg, {_QL(U.NEWS_SEGMENTS)}) THEN 'news_release' WHEN list_has_any(sg, {_QL(U.EVIDENCE_SEGMENTS)}) THEN 'supporting_evidence' ELSE 'unknown' END"""
+_FORMS = ["/blog/post-{i}", "/media/2024/announces-item-{i}-pricing", "/x/tag/t{i}", "/files/doc{i}.PDF", "/x/login", "/about", "/a/b/c{i}?x=1&y=2&z=3&w=4", "/list/page/{i}", "/events/call-update-{i}", "/shop/item{i}?Page=2", "/x/evidence/e{i}", "/", "/news-release/deal-{i}-completed", "/a/feed"]
+_MAPS = ["", "post-sitemap.xml", "Page-sitemap.xml", "webcasts.xml", "", "article-1.xml", "", "corporate-media.xml", "x-category.xml", "", ""]
+_URLS = f"cu AS (SELECT page_id, 'https://s' || (page_id % 5) || '.example' || replace({_QL(_FORMS)}[1 + page_id % {len(_FORMS)}], '{{i}}', page_id::VARCHAR) AS u, lower({_QL(_MAPS)}[1 + page_id % {len(_MAPS)}]) AS sm FROM pages), cs AS (SELECT page_id, u, sm, lower(regexp_extract(u, '^https://[^/]*([^?#]*)', 1)) AS path, list_filter(string_split(lower(regexp_extract(u, '^https://[^/]*([^?#]*)', 1)), '/'), lambda s: s <> '') AS sg FROM cu)"
 
 
 def crawl_urls(spark, d):
     i = F.col("page_id")
-    form = F.element_at(F.array(*[F.lit(f) for f in _FORMS]), (i % 10 + 1).cast("int"))
-    u = F.concat(F.lit("https://s"), (i % 5).cast("string"), F.lit(".example"), F.replace(form, F.lit("{i}"), i.cast("string")))
-    p = pages(spark, d).select("page_id", u.alias("url"))
-    return p.withColumns({"url_class": U.url_class(F.col("url")), "domain": U.norm_domain(F.col("url"))})
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (i % len(xs) + 1).cast("int"))
+    u = F.concat(F.lit("https://s"), (i % 5).cast("string"), F.lit(".example"), F.replace(pick(_FORMS), F.lit("{i}"), i.cast("string")))
+    p = pages(spark, d).select("page_id", u.alias("url"), pick(_MAPS).alias("source_sitemap"))
+    return p.withColumns({"url_class": U.url_class(F.col("url"), F.col("source_sitemap")), "domain": U.norm_domain(F.col("url"))})
 
 
-_ELIG = "CASE WHEN k IN ('feed', 'utility', 'taxonomy', 'media') THEN 'excluded_' || k WHEN regexp_matches(u, '(?i)/page/[0-9]+/?$') THEN 'excluded_pagination' WHEN contains(u, '&z=') THEN 'excluded_parameters' ELSE 'eligible' END"
-_SCORED = f"""{_URLS}, ck AS (SELECT *, {_CLASS} AS k FROM cs), pr AS (SELECT page_id, u AS url, 's' || (page_id % 5) || '.example' AS domain, k AS url_class, {_ELIG} AS eligibility, CAST(greatest(CASE k WHEN 'core' THEN 60 WHEN 'page' THEN 40 WHEN 'article' THEN 40 WHEN 'news' THEN 25 WHEN 'webcast' THEN 25 WHEN 'document' THEN 15 ELSE 0 END + CASE page_id % 3 WHEN 0 THEN 20 WHEN 1 THEN 15 ELSE 5 END
- + least(floor(log10(page_id % 50 + 1) * 10), 30) - greatest(len(sg) - 2, 0) * 5, 0) AS INTEGER) AS priority FROM ck)"""
+_ELIG = f"CASE WHEN regexp_matches(path, '(/feed/?|\\.rss|\\.atom|\\.xml)$') THEN 'excluded:feed_or_machine_document' WHEN list_has_any(sg, {_QL(U.UTILITY_SEGMENTS)}) THEN 'excluded:utility_or_account_page' WHEN k = 'archive_taxonomy' THEN 'excluded:taxonomy_archive_default' WHEN contains(u, '?Page=') THEN 'excluded:pagination_query' WHEN regexp_matches(path, '/page/[0-9]+/?$') THEN 'excluded:pagination_path' WHEN contains(u, '&w=') THEN 'deferred:complex_parameter_variant' ELSE 'eligible:useful_content_candidate' END"
+_SCORED = f"""{_URLS}, ck AS (SELECT *, {_CLASS} AS k FROM cs), pr AS (SELECT page_id, u AS url, 's' || (page_id % 5) || '.example' AS domain, k AS url_class, string_split({_ELIG}, ':')[1] AS eligibility, string_split({_ELIG}, ':')[2] AS reason, CAST(CASE k {" ".join(f"WHEN '{c}' THEN {n}" for c, n in U.CLASS_PRIORITY.items())} END
+ + CASE page_id % 3 WHEN 0 THEN 2000 WHEN 1 THEN 250 ELSE 0 END + CASE WHEN len(sg) = 0 THEN 10000 ELSE 0 END + CASE WHEN page_id % 50 = 7 THEN 20000 ELSE 0 END + CASE WHEN page_id % 4 <> 0 THEN floor(least(1.0::DOUBLE, CAST(page_id % 7 AS DOUBLE) / 5) * 200) ELSE 0 END
+ - (page_id % 3) * 40 - greatest(0, len(sg) - 2) * 30 - CASE WHEN list_contains(sg, '2024') THEN 80 ELSE 0 END + CASE WHEN contains(path, 'completed') THEN 90 ELSE 0 END - CASE WHEN regexp_matches(path, 'proposed|announces-pricing|preliminary') THEN 40 ELSE 0 END AS INTEGER) AS priority FROM ck)"""
 
 
 def scored_urls(spark, d):
     i = F.col("page_id")
-    src = F.when(i % 3 == 0, "sitemap+ranking").when(i % 3 == 1, "ranking").otherwise("sitemap")
-    u = crawl_urls(spark, d)
-    return u.withColumns({"eligibility": U.eligibility(F.col("url"), F.col("url_class")), "priority": U.priority_score(F.col("url"), F.col("url_class"), src, i % 50)})
+    src = F.when(i % 3 == 0, "primary_navigation").when(i % 3 == 1, "sitemap").otherwise("unknown")
+    e = U.eligibility(F.col("url"), F.col("url_class"))
+    prio = U.priority_score(F.col("url"), F.col("url_class"), src, F.when(i % 4 != 0, (i % 7) / 5), i % 50 == 7, i % 3)
+    return crawl_urls(spark, d).withColumns({"eligibility": e["decision"], "reason": e["reason"], "priority": prio}).drop("source_sitemap")
 
 
-@query("f16_url_class", f"WITH {_SCORED} SELECT page_id, url, url_class, domain, eligibility, priority FROM pr")
+@query("f16_url_class", f"WITH {_SCORED} SELECT page_id, url, url_class, domain, eligibility, reason, priority FROM pr")
 def f16_url_class(spark, d):
     """Class (F16), eligibility (P10) and priority (T7) of urls."""
-    return scored_urls(spark, d).select("page_id", "url", "url_class", "domain", "eligibility", "priority")
+    return scored_urls(spark, d).select("page_id", "url", "url_class", "domain", "eligibility", "reason", "priority")
+
+
+@query(
+    "t8_candidate_score",
+    f"""WITH {_URLS} SELECT page_id, CAST(CASE WHEN len(sg) = 0 THEN 10000 WHEN list_has_any(sg, {_QL(U.UNSELECTED_SEGMENTS)}) THEN -10000 ELSE CASE WHEN page_id % 3 = 0 THEN 1000 ELSE 0 END + CASE WHEN page_id % 2 = 0 THEN 300 ELSE 0 END + greatest(0, 220 - len(sg) * 45) + CASE WHEN list_has_any(sg, {_QL(U.IMPORTANT_SEGMENTS)}) THEN 180 ELSE 0 END
+     - CASE WHEN list_contains(sg, '2024') THEN 80 ELSE 0 END - CASE WHEN len(sg) >= 4 THEN 100 ELSE 0 END END AS INTEGER) AS score FROM cs""",
+)
+def t8_candidate_score(spark, d):
+    u, i = crawl_urls(spark, d), F.col("page_id")
+    return u.select("page_id", U.candidate_score(F.col("url"), F.concat(F.lit("https://"), "domain", F.lit("/")), i % 3 == 0, i % 2 == 0).alias("score"))
+
+
+@query("t9_next_crawl", f"WITH {_SCORED} SELECT page_id, DATE '2024-01-30' + CASE WHEN url_class = 'core_page' THEN 7 WHEN page_id % 2 = 0 THEN 30 ELSE 90 END AS due FROM pr")
+def t9_next_crawl(spark, d):
+    return crawl_urls(spark, d).select("page_id", U.next_crawl(F.lit(AS_OF), F.col("url_class"), F.col("page_id") % 2 == 0).alias("due"))
+
 
+@query("f18_event_family", f"WITH {_URLS} SELECT page_id, array_to_string(list_filter(regexp_extract_all(coalesce(sg[-1], ''), '[a-z0-9]+'), lambda w: w NOT IN ({', '.join(repr(w) for w in U.STAGE_WORDS)}) AND NOT regexp_matches(w, '^20[0-9][0-9]$')), '-') AS family FROM cs")
+def f18_event_family(spark, d):
+    return crawl_urls(spark, d).select("page_id", U.event_family(F.col("url")).alias("family"))
 
-_BATCH = f"""{_SCORED}, fa AS (SELECT *, CASE WHEN url_class IN ('news', 'webcast') THEN coalesce(nullif(array_to_string(list_filter(string_split(regexp_extract(url, '([^/?]*)$', 1), '-'), lambda w: w <> '' AND NOT regexp_matches(w, '^[0-9]+$') AND w NOT IN ('q1', 'annual')), '-'), ''), url) ELSE url END AS family FROM pr),
- f1 AS (SELECT * FROM fa QUALIFY row_number() OVER (PARTITION BY domain, url_class, family ORDER BY priority DESC, url) = 1), f2 AS (SELECT *, row_number() OVER (PARTITION BY domain, url_class ORDER BY priority DESC, url) <= CASE url_class WHEN 'core' THEN 3 WHEN 'article' THEN 2 WHEN 'news' THEN 2 ELSE 0 END AS in_quota FROM f1)"""
+
+_TYPED = """CASE WHEN len(sg) = 0 THEN 'homepage:high' """ + " ".join(
+    f"WHEN list_has_any(sg, {_QL(w)}) AND len(sg) = 1 THEN 'blog_index:{c}' WHEN list_has_any(sg, {_QL(w)}) THEN 'blog_post:{c}'" if n == "blog" else f"WHEN list_has_any(sg, {_QL(w)}) THEN '{n}:{c}'" for n, c, w in U.PAGE_TYPES
+) + " ELSE 'unknown:low' END"
+
+
+@query("f17_page_type", f"WITH {_URLS} SELECT page_id, string_split({_TYPED}, ':')[1] AS page_type, string_split({_TYPED}, ':')[2] AS confidence FROM cs")
+def f17_page_type(spark, d):
+    t = U.page_type(F.col("url"))
+    return crawl_urls(spark, d).select("page_id", t["type"].alias("page_type"), t["confidence"].alias("confidence"))
+
+
+_BATCH = f"""{_SCORED}, fa AS (SELECT *, CASE WHEN url_class = 'news_release' THEN coalesce(nullif(array_to_string(list_filter(regexp_extract_all(lower(regexp_extract(url, '([^/?]*)(\\?.*)?$', 1)), '[a-z0-9]+'), lambda w: w NOT IN ({', '.join(repr(w) for w in U.STAGE_WORDS)}) AND NOT regexp_matches(w, '^20[0-9][0-9]$')), '-'), ''), url) ELSE url END AS family FROM pr),
+ f1 AS (SELECT * FROM fa QUALIFY row_number() OVER (PARTITION BY domain, url_class, family ORDER BY priority DESC, url) = 1), f2 AS (SELECT *, row_number() OVER (PARTITION BY domain, url_class ORDER BY priority DESC, url) <= CASE url_class WHEN 'core_page' THEN 3 WHEN 'article' THEN 2 WHEN 'news_release' THEN 2 ELSE 0 END AS in_quota FROM f1)"""
 
 
 @query("t5_select_crawl_batch", f"WITH {_BATCH} SELECT domain, url, url_class, priority, in_quota, CAST(row_number() OVER (PARTITION BY domain ORDER BY in_quota DESC, priority DESC, url) AS INTEGER) AS place FROM f2 QUALIFY place <= 12")
 def t5_select_crawl_batch(spark, d):
-    return P.select_crawl_batch(scored_urls(spark, d), {"core": 3, "article": 2, "news": 2}, 12)
+    return P.select_crawl_batch(scored_urls(spark, d), {"core_page": 3, "article": 2, "news_release": 2}, 12)
 
 
 @query(
     "t6_background_batch",
     f"""WITH {_SCORED}, du AS (SELECT *, CASE WHEN page_id % 2 = 0 THEN 'a' ELSE 'b' END AS source FROM pr WHERE eligibility = 'eligible' AND page_id % 5 < 3 AND (page_id % 4 = 0 OR DATE '2024-01-30' - 10 + CAST(page_id % 20 AS INTEGER) <= DATE '2024-01-30')),
     n AS (SELECT *, row_number() OVER (PARTITION BY domain, url_class, source, coalesce(string_split(lower(regexp_extract(url, '^https://[^/]*/([^?#]*)', 1)), '/')[1], '') ORDER BY priority DESC, url) AS n FROM du)
-    SELECT domain, url, url_class, priority, CAST(row_number() OVER (PARTITION BY domain ORDER BY priority DESC, url) AS INTEGER) AS place FROM n WHERE url_class NOT IN ('news', 'webcast', 'article') OR n <= 3 QUALIFY place <= 20""",
+    SELECT domain, url, url_class, priority, CAST(row_number() OVER (PARTITION BY domain ORDER BY priority DESC, url) AS INTEGER) AS place FROM n WHERE url_class NOT IN ('news_release', 'webcast', 'article') OR n <= 3 QUALIFY place <= 20""",
 )
 def t6_background_batch(spark, d):
     i = F.col("page_id")
@@ -310,14 +372,9 @@ def t6_background_batch(spark, d):
     return P.background_batch(inv, AS_OF, 20)
 
 
-@query("p11_apply_crawl_policy", f"WITH {_SCORED} SELECT page_id, CASE WHEN url = 'https://s4.example/login' THEN 'eligible' WHEN regexp_matches(url, '/blog/') THEN 'excluded_policy' ELSE eligibility END AS eligibility FROM pr")
+@query("p11_apply_crawl_policy", f"WITH {_SCORED} SELECT page_id, CASE WHEN url = 'https://s4.example/x/login' THEN 'eligible' WHEN regexp_matches(url, '/blog/') THEN 'excluded_policy' ELSE eligibility END AS eligibility FROM pr")
 def p11_apply_crawl_policy(spark, d):
-    return P.apply_crawl_policy(scored_urls(spark, d), [], ["/blog/"], ["https://s4.example/login"]).select("page_id", "eligibility")
-
-
-@query("f17_page_type", f"WITH {_URLS} SELECT page_id, CASE WHEN list_has_any(sg, ['blog', 'news']) THEN 'article' WHEN list_has_any(sg, ['shop']) THEN 'product' WHEN list_has_any(sg, ['about']) THEN 'about' ELSE 'webpage' END AS page_type FROM cs")
-def f17_page_type(spark, d):
-    return crawl_urls(spark, d).select("page_id", U.page_type(F.col("url"))["type"].alias("page_type"))
+    return P.apply_crawl_policy(scored_urls(spark, d), [], ["/blog/"], ["https://s4.example/x/login"]).select("page_id", "eligibility")
 
 
 _BOT = "CASE WHEN regexp_matches(lower(user_agent), 'googlebot') THEN 'google' WHEN regexp_matches(lower(user_agent), 'bingbot') THEN 'bing' WHEN regexp_matches(lower(user_agent), 'yandex') THEN 'yandex' WHEN regexp_matches(lower(user_agent), 'mail\\.ru') THEN 'mailru' WHEN regexp_matches(lower(user_agent), 'gptbot') THEN 'ai' WHEN regexp_matches(lower(user_agent), 'bot') THEN 'other' ELSE 'human' END"
@@ -335,6 +392,25 @@ def f22_failure_kind(spark, d):
     return e.groupBy(U.failure_kind(F.col("s"), F.col("error")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+_SITES = ["www.reddit.com", "shop.example", "amazon.de", "en.wikipedia.org", "forum.example", "trip.com", "news.example", "wikidata.org"]
+_PATHS = ["/review/x", "/top-10-tools", "/shop/p/1", "/how-to", "/x", "/official"]
+_HEADS = ["best hosts ranking", "обзор телефона", "Guide", "buy now", "story", "5 best things"]
+_MET = f"si AS (SELECT o_orderkey, {_QL(_SITES)}[1 + o_orderkey % {len(_SITES)}] AS host, {_QL(_PATHS)}[1 + o_orderkey % {len(_PATHS)}] AS path, {_QL(_HEADS)}[1 + (o_orderkey // 6) % {len(_HEADS)}] AS title FROM orders)"
+
+
+@query(
+    "f19_site_types",
+    f"""WITH {_MET} SELECT o_orderkey, CASE WHEN regexp_matches(host, '{"|".join(U.FORUM_SITES)}') THEN 'forum_ugc' WHEN regexp_matches(host, '{"|".join(U.AGGREGATOR_SITES)}') THEN 'aggregator' WHEN regexp_matches(lower(path || ' ' || title), '{"|".join(U.STORE_SIGNS)}') THEN 'official_store' END AS site_type,
+    CASE WHEN host IN ('en.wikipedia.org', 'wikidata.org') THEN 'wikipedia' WHEN host IN ('www.reddit.com', 'forum.example') THEN 'forum' WHEN host IN ('amazon.de', 'trip.com') THEN 'ecommerce' ELSE 'other' END AS source_type,
+    CASE WHEN path = '/review/x' OR title = 'обзор телефона' THEN 'review' WHEN path = '/top-10-tools' OR title IN ('best hosts ranking', '5 best things') THEN 'listicle' WHEN path = '/shop/p/1' OR title = 'buy now' THEN 'buy' WHEN title = 'Guide' THEN 'info' ELSE 'use_case' END AS intent FROM si""",
+)
+def f19_site_types(spark, d):
+    i = F.col("o_orderkey")
+    pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (n % len(xs) + 1).cast("int"))
+    o = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", pick(_SITES, i).alias("host"), pick(_PATHS, i).alias("path"), pick(_HEADS, F.floor(i / 6)).alias("title"))
+    return o.select("o_orderkey", U.site_type(F.col("host"), F.col("path"), F.col("title")).alias("site_type"), U.source_type(F.col("host")).alias("source_type"), U.serp_intent_of(F.col("path"), F.col("title")).alias("intent"))
+
+
 @query("f31_market", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'NL' WHEN c_nationkey % 3 = 0 THEN 'DE' WHEN c_nationkey % 3 = 1 THEN 'FR' END AS market FROM customer")
 def f31_market(spark, d):
     n = F.col("c_nationkey") % 3

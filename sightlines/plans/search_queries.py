@@ -139,9 +139,10 @@ def j6_position_moves(spark, d):
 
 @query(
     "a3_ctr_benchmark",
-    f"""WITH t AS (SELECT site_id, query, url, {SUM('clicks')} AS clicks, {SUM('impressions')} AS impressions, {POS()} AS mean FROM page_query GROUP BY ALL HAVING sum(impressions) >= 3),
-    e AS (SELECT *, [0.28, 0.15, 0.11, 0.08, 0.06, 0.05, 0.04, 0.03, 0.03, 0.02][CAST(floor(mean + 0.5) AS INTEGER)]::DOUBLE AS x, CAST(clicks AS DOUBLE) / impressions AS a FROM t WHERE floor(mean + 0.5) BETWEEN 1 AND 10)
-    SELECT site_id, query, url, clicks, impressions, {R('mean', 1)} AS position, {R('a * 100', 2)} AS actual_ctr, {R('x * 100', 2)} AS expected_ctr, {R('(a - x) * 100', 2)} AS difference FROM e""",
+    f"""WITH t AS (SELECT site_id, query, url, {SUM('clicks')} AS clicks, {SUM('impressions')} AS impressions, {R(POS(), 1)} AS position, CAST(sum(CAST(CASE WHEN impressions > 0 THEN CAST(clicks AS DOUBLE) / impressions ELSE 0 END AS DECIMAL(28,6))) AS DOUBLE) / count(*) AS rate
+    FROM page_query WHERE position BETWEEN 1 AND 10 GROUP BY ALL HAVING sum(impressions) >= 3),
+    e AS (SELECT * EXCLUDE (rate), {R('rate * 1000', 0)} / 10 AS actual_ctr, [27.6, 15.8, 11.0, 8.4, 6.3, 4.9, 3.9, 3.3, 2.7, 2.4][CAST(floor(position + 0.5) AS INTEGER)]::DOUBLE AS expected_ctr FROM t)
+    SELECT *, {R('actual_ctr - expected_ctr', 1)} AS difference FROM e""",
     "page_query",
 )
 def a3_ctr_benchmark(spark, d):

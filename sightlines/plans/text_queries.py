@@ -62,79 +62,161 @@ def f9_fact_drift(spark, d):
     return x.withColumn("severity", T.drift_severity(F.col("lost_numbers"), F.col("added_numbers"))).drop("a", "b")
 
 
-@query(
-    "a5_related_pairs",
-    """WITH q AS (SELECT site_id, query, list_sort(list(DISTINCT url)) AS urls FROM page_query WHERE date <= DATE '2024-01-06' GROUP BY ALL), n AS (SELECT site_id, count(*) AS n FROM q GROUP BY 1),
-    u AS (SELECT site_id, query, unnest(urls) AS u FROM q), p AS (SELECT DISTINCT a.site_id, a.query AS a, b.query AS b FROM u a JOIN u b ON a.site_id = b.site_id AND a.u = b.u AND a.query < b.query),
-    j AS (SELECT p.site_id, a, b, x.urls AS ua, y.urls AS ub, len(list_intersect(x.urls, y.urls)) AS s FROM p JOIN q x ON x.site_id = p.site_id AND x.query = a JOIN q y ON y.site_id = p.site_id AND y.query = b)
-    SELECT site_id, a, b, CAST(0 AS DOUBLE) AS lexical, CAST(s AS DOUBLE) / least(len(ua), len(ub)) AS url_overlap, CAST(s AS INTEGER) AS shared_urls FROM j WHERE CAST(s AS DOUBLE) / least(len(ua), len(ub)) >= 0.66""",
-    "page_query",
-)
+_CLEAN = "trim(regexp_replace(strip_accents(lower({0})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))".format
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+_PROFILE = f"""iq AS (SELECT *, {_CLEAN('query')} AS norm FROM intent_query), ac AS (SELECT site_id, norm, min(query) AS query, CAST(sum(impressions) AS BIGINT) AS i, list_sort(list(DISTINCT url)) AS urls, list_filter(list_distinct(string_split(norm, ' ')), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w)) AS tokens FROM iq WHERE NOT contains(norm, site_id) GROUP BY site_id, norm HAVING sum(impressions) >= 3),
+ nn AS (SELECT site_id, count(*) AS n FROM ac GROUP BY 1), tk AS (SELECT site_id, norm, unnest(tokens) AS t FROM ac), df AS (SELECT site_id, t, count(*) AS df FROM tk GROUP BY ALL), wt AS (SELECT site_id, t, df, CAST(round((ln(CAST(n + 1 AS DOUBLE) / (df + 1)) + 1) * 1000000) AS BIGINT) AS w FROM df JOIN nn USING (site_id)),
+ ur AS (SELECT site_id, norm, unnest(urls) AS t FROM ac), uf AS (SELECT site_id, t, count(*) AS df FROM ur GROUP BY ALL), ky AS (SELECT site_id, 't:' || t AS k, norm FROM tk JOIN wt USING (site_id, t) WHERE df BETWEEN 2 AND 200 UNION ALL SELECT site_id, 'u:' || t, norm FROM ur JOIN uf USING (site_id, t) WHERE df BETWEEN 2 AND 200),
+ pr AS (SELECT DISTINCT x.site_id, x.norm AS a, y.norm AS b FROM ky x JOIN ky y ON x.site_id = y.site_id AND x.k = y.k AND x.norm < y.norm), pj AS (SELECT p.site_id, a, b, x.tokens AS ta, y.tokens AS tb, x.urls AS ua, y.urls AS ub FROM pr p JOIN ac x ON x.site_id = p.site_id AND x.norm = a JOIN ac y ON y.site_id = p.site_id AND y.norm = b),
+ lx AS (SELECT p.site_id, a, b, sum(w) FILTER (list_contains(ta, t) AND list_contains(tb, t)) AS i, sum(w) AS u FROM pj p JOIN wt ON wt.site_id = p.site_id AND (list_contains(ta, t) OR list_contains(tb, t)) GROUP BY ALL),
+ ed AS (SELECT site_id, a, b, coalesce(CAST(i AS DOUBLE) / u, 0.0) AS lexical, CAST(len(list_intersect(ua, ub)) AS DOUBLE) / len(list_distinct(list_concat(ua, ub))) AS url_overlap, list_sort(list_intersect(ta, tb)) AS shared FROM pj JOIN lx USING (site_id, a, b))"""
+
+
+def _sites(spark, d):
+    """Every site's brand is its name."""
+    return facts.intent_query(spark, d).select("site_id").distinct().withColumn("terms", F.array("site_id"))
+
+
+@query("a5_related_pairs", f"WITH {_PROFILE} SELECT site_id, a, b, lexical, url_overlap, array_to_string(shared, '|') AS shared_tokens FROM ed WHERE lexical >= 0.45 OR (lexical >= 0.2 AND url_overlap >= 0.25) OR (len(shared) > 0 AND url_overlap >= 0.66)", "intent_query")
 def a5_related_pairs(spark, d):
-    return T.related_pairs(facts.page_query(spark, d))
+    return T.related_pairs(facts.intent_query(spark, d), _sites(spark, d)).withColumn("shared_tokens", F.array_join("shared_tokens", "|"))
 
 
 @query("a5_cannibalization_related")
 def a5_cannibalization_related(spark, d):
-    return T.cannibalization_related(facts.page_query(spark, d), keep)
+    """Over components of the pairs: beyond SQL that stays readable; the tests hold it against a brute-force version."""
+    return T.cannibalization_related(facts.intent_query(spark, d), keep, _sites(spark, d))
+
+
+@query(
+    "a5_flip_flops",
+    f"""WITH {_PROFILE}, dy AS (SELECT site_id, norm, date, url, sum(impressions) AS i, CAST(sum(CAST(position AS DECIMAL(18,6)) * greatest(1, impressions)) AS DOUBLE) / sum(greatest(1, impressions)) AS p FROM iq WHERE NOT contains(norm, site_id) GROUP BY ALL), wn AS (SELECT * FROM dy QUALIFY row_number() OVER (PARTITION BY site_id, norm, date ORDER BY i DESC, p, url) = 1),
+    lg AS (SELECT *, lag(url) OVER (PARTITION BY site_id, norm ORDER BY date) AS before FROM wn) SELECT site_id, norm, CAST(count_if(before <> url) AS BIGINT) AS flips FROM lg GROUP BY ALL""",
+    "intent_query",
+)
+def a5_flip_flops(spark, d):
+    return T.flip_flops(T._profiles(facts.intent_query(spark, d), _sites(spark, d)))
+
+
+_INTENTS = {k: "[" + ", ".join(f"'{w}'" for w in dict.fromkeys(ws)) + "]" for k, ws in T.INTENT_WORDS.items()}
+
+
+@query(
+    "f3_infer_intent",
+    f"""WITH q AS (SELECT DISTINCT query, list_distinct(string_split({_CLEAN('query')}, ' ')) AS w FROM intent_query), h AS (SELECT query, {", ".join(f"len(list_intersect(w, {ws})) AS {k}" for k, ws in _INTENTS.items())} FROM q)
+    SELECT query, CASE WHEN greatest({", ".join(_INTENTS)}) = 0 THEN 'mixed' {" ".join(f"WHEN {k} = greatest({', '.join(_INTENTS)}) THEN '{k}'" for k in _INTENTS)} END AS intent FROM h""",
+    "intent_query",
+)
+def f3_infer_intent(spark, d):
+    from sightlines.functions.unicode import clean_text
+
+    return facts.intent_query(spark, d).select("query").distinct().select("query", T.infer_intent(F.array_distinct(F.split(clean_text("query"), " "))).alias("intent"))
+
+
+_SPOTS = ["/", "/blog/x", "/products/y", "/tag/z", "/services", "/about", "/how-to/a", "/store"]
+
+
+@query(
+    "f4_page_role",
+    f"""WITH u AS (SELECT DISTINCT query, n % {len(_SPOTS)} AS k FROM intent_query) SELECT query, CAST(k AS BIGINT) AS k, CASE WHEN k = 0 THEN 'homepage' WHEN k IN (1, 6) OR regexp_matches(lower(query), 'how-to|tutorial|руковод') THEN 'guide' WHEN k IN (2, 7) OR regexp_matches(lower(query), 'купить|цена') THEN 'product' WHEN k = 3 THEN 'category' WHEN k = 4 THEN 'landing' ELSE 'other' END AS role FROM u""",
+    "intent_query",
+)
+def f4_page_role(spark, d):
+    u = facts.intent_query(spark, d).select("query", (F.col("n") % len(_SPOTS)).alias("k")).distinct()
+    url = F.concat(F.lit("https://s.example"), F.element_at(F.array(*[F.lit(x) for x in _SPOTS]), (F.col("k") + 1).cast("int")), F.lit("?q=1"))
+    return u.select("query", "k", T.page_role(url, F.array("query")).alias("role"))
 
 
 def _labelled(spark, d):
+    """Good documents, poor ones, and the held-out fifth of each, by the quality label."""
     lab = spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     x = docs(spark, d).join(lab, "doc_id").select("doc_id", "text", "quality")
-    return x.filter("quality = 1 and doc_id % 5 <> 4"), x.filter("quality = 0 and doc_id % 5 <> 4"), x.filter("doc_id % 5 = 4")
-
-
-def _tok(x: str) -> str:
-    return f"regexp_extract_all(lower(translate(coalesce({x}, ''), 'аеорсухіАВЕКМНОРСТХ', 'aeopcyxiABEKMHOPCTX')), '[\\p{{L}}'']{{2,}}')"
+    part = lambda q, held: x.filter((F.col("quality") == q) & ((F.col("doc_id") % 5 == 4) == held))
+    return part(1, False), part(0, False), part(1, True), part(0, True)
 
 
-_MODEL = f"""lb AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1), dx AS (SELECT doc_id, text, quality FROM documents JOIN lb USING (doc_id)), tw AS (SELECT doc_id, quality, unnest({_tok('text')}) AS w FROM dx WHERE doc_id % 5 <> 4),
- ct AS (SELECT w, count_if(quality = 1) AS hn, count(DISTINCT CASE WHEN quality = 1 THEN doc_id END) AS human_docs, count_if(quality = 0) AS mn, count(DISTINCT CASE WHEN quality = 0 THEN doc_id END) AS md FROM tw GROUP BY w), tt AS (SELECT sum(hn) AS th, sum(mn) AS tm, count(*) AS v FROM ct),
- wt AS (SELECT w, {R('ln((mn + 0.5) / (tm + 0.5 * v)) - ln((hn + 0.5) / (th + 0.5 * v))', 6)} AS weight, human_docs + md AS docs, human_docs FROM ct, tt), md AS (SELECT * FROM (SELECT *, {R('abs(weight) * sqrt(docs)', 6)} AS pull FROM wt WHERE docs >= 3) ORDER BY pull DESC, w LIMIT 2000)"""
+def _model(spark, d):
+    """(model, calibration), both of bounded size."""
+    h, m, hh, mh = _labelled(spark, d)
+    model = keep(T.train_marker_model(h, m))
+    return model, keep(T.calibrate(hh, mh, model))
 
 
-@query("m1_train_marker_model", None)
+def _tok(x: str) -> str:
+    out = f"coalesce({x}, '')"
+    for pattern, by in T.MARKUP:
+        flags = "g" + "".join(c for c in "im" if pattern.startswith("(?") and c in pattern[: pattern.index(")")])
+        bare = pattern[pattern.index(")") + 1 :] if pattern.startswith("(?") and flags != "g" else pattern
+        q = "'" + bare.replace("'", "''") + "'"
+        by = "'" + by.replace("$1", "\\1") + "'"
+        out = f"regexp_replace({out}, {q}, {by}, '{flags}')"
+    return f"regexp_extract_all(lower({out}), '[\\p{{L}}\\p{{N}}][\\p{{L}}\\p{{N}}''’-]*')"
+
+
+_COUNTS = f"""lb AS (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1), dk AS MATERIALIZED (SELECT doc_id, {_tok('text')} AS t FROM documents), dx AS (SELECT doc_id, quality, t, len(t) AS n FROM dk JOIN lb USING (doc_id)), tw AS (SELECT doc_id, quality, unnest(t) AS w FROM dx WHERE doc_id % 5 <> 4 AND n >= 120),
+ ct AS MATERIALIZED (SELECT w, CAST(count_if(quality = 1) AS BIGINT) AS human_n, count(DISTINCT CASE WHEN quality = 1 THEN doc_id END) AS human_docs, CAST(count_if(quality = 0) AS BIGINT) AS machine_n, count(DISTINCT CASE WHEN quality = 0 THEN doc_id END) AS machine_docs FROM tw WHERE quality IN (0, 1) GROUP BY w)"""
+_MODEL = f"""{_COUNTS}, kn AS (SELECT * FROM ct WHERE human_docs >= 3 OR machine_docs >= 3), oo AS (SELECT (SELECT sum(human_n) FROM ct) AS hn, (SELECT sum(machine_n) FROM ct) AS mn, (SELECT count(*) FROM kn) AS v, (SELECT count(*) FROM dx WHERE doc_id % 5 <> 4 AND n >= 120 AND quality = 1) AS hd),
+ rw AS (SELECT kn.*, hd, ln((machine_n + 0.5::DOUBLE) / (mn + 0.5::DOUBLE * v)) - ln((human_n + 0.5::DOUBLE) / (hn + 0.5::DOUBLE * v)) AS raw FROM kn, oo), md AS MATERIALIZED (SELECT w, {R('raw', 4)} AS weight, human_docs + machine_docs AS docs, human_docs, {R('CAST(human_docs AS DOUBLE) / hd', 2)} AS human_share FROM rw ORDER BY {R('abs(raw) * sqrt(human_docs + machine_docs)', 6)} DESC, w LIMIT 6000)"""
+_WINDOWS = f"""wi AS (SELECT doc_id, len(t) AS n, unnest(range(0, greatest(1, (len(t) + 299) // 300))) AS win, t FROM dk), wk AS (SELECT doc_id, win, t[win * 300 + 1 : win * 300 + 300] AS t FROM wi WHERE win = 0 OR least(n - win * 300, 300) >= 120), wu AS (SELECT doc_id, win, unnest(t) AS w FROM wk),
+ wl AS (SELECT doc_id, win, CAST(sum(CAST(round(weight * 10000) AS BIGINT)) AS DOUBLE) / (10000.0::DOUBLE * count(*)) AS llr FROM wu JOIN md USING (w) GROUP BY ALL), ws AS MATERIALIZED (SELECT wk.doc_id, wk.win, coalesce(llr, 0.0) AS llr FROM wk LEFT JOIN wl ON wl.doc_id = wk.doc_id AND wl.win = wk.win),
+ hs AS (SELECT quality, CAST(llr AS DECIMAL(24,12)) AS x FROM ws JOIN lb USING (doc_id) WHERE doc_id % 5 = 4), mm AS (SELECT CAST(sum(x) FILTER (quality = 1) AS DOUBLE) / count(*) FILTER (quality = 1) AS h, CAST(sum(x) FILTER (quality = 0) AS DOUBLE) / count(*) FILTER (quality = 0) AS m, stddev_samp(CAST(x AS DOUBLE)) FILTER (quality = 1) AS sh, stddev_samp(CAST(x AS DOUBLE)) FILTER (quality = 0) AS sm FROM hs),
+ ca AS (SELECT {R('h', 6)} AS cal_human, {R('m', 6)} AS cal_machine, {R('least(1.0::DOUBLE, abs(m - h) / greatest(sqrt((sh * sh + sm * sm) / 2), 0.000001::DOUBLE) / 4)', 3)} AS separation FROM mm)"""
+
+
+@query("m1_train_marker_model", f"WITH {_MODEL} SELECT * FROM md")
 def m1_train_marker_model(spark, d):
-    h, m, _ = _labelled(spark, d)
+    h, m, _, _ = _labelled(spark, d)
     return T.train_marker_model(h, m)
 
 
-@query("m1_word_counts", f"WITH {_MODEL} SELECT w, human_docs, docs FROM wt WHERE docs >= 3")
+@query("m1_word_counts", f"WITH {_COUNTS} SELECT * FROM ct")
 def m1_word_counts(spark, d):
-    h, m, _ = _labelled(spark, d)
-    return T.marker_weights(h, m).select("w", "human_docs", "docs")
+    h, m, _, _ = _labelled(spark, d)
+    return T.marker_counts(h, m)
 
 
-@query("m2_score_documents", None)
+@query(
+    "m2_score_documents",
+    f"""WITH {_MODEL}, {_WINDOWS}, sc AS (SELECT doc_id, CAST(greatest(0.0, least(100.0, {R('(llr - cal_human) / (cal_machine - cal_human) * 100', 0)})) AS BIGINT) AS s FROM ws, ca), pd AS (SELECT doc_id, CAST({R('CAST(sum(s) AS DOUBLE) / count(*)', 0)} AS INTEGER) AS score, count(*) AS windows FROM sc GROUP BY 1),
+    mk AS (SELECT doc_id, count(*) AS markers FROM (SELECT doc_id, unnest(t) AS w FROM dk) JOIN md USING (w) GROUP BY 1) SELECT doc_id, score, windows, CAST(len(t) AS INTEGER) AS words, coalesce(markers, 0) AS markers, CASE WHEN score < 15 THEN 'human' WHEN score < 40 THEN 'mixed' ELSE 'ai' END AS verdict FROM pd JOIN dk USING (doc_id) LEFT JOIN mk USING (doc_id)""",
+)
 def m2_score_documents(spark, d):
-    h, m, _ = _labelled(spark, d)
-    return T.score_documents(docs(spark, d), keep(T.train_marker_model(h, m)))
+    return T.score_documents(docs(spark, d), *_model(spark, d))
 
 
-@query("m3_ban_candidates", None)
+@query(
+    "m2_document_markers",
+    f"WITH {_MODEL}, c AS (SELECT doc_id, w, count(*) AS count FROM (SELECT doc_id, unnest(t) AS w FROM dk) GROUP BY ALL), x AS (SELECT doc_id, w, weight, count, {R('weight * count', 4)} AS contribution FROM c JOIN md USING (w)) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY contribution DESC, w) AS INTEGER) AS place FROM x WHERE contribution > 0 QUALIFY place <= 40",
+)
+def m2_document_markers(spark, d):
+    return T.document_markers(docs(spark, d), _model(spark, d)[0])
+
+
+@query(
+    "m2_missing_words",
+    f"WITH {_MODEL}, ne AS (SELECT list(w ORDER BY weight, w) AS ws FROM md WHERE weight < 0 AND length(w) > 2) SELECT doc_id, array_to_string(list_filter(ws, lambda x: NOT list_contains(t, x))[1:40], '|') AS words FROM dk, ne",
+)
+def m2_missing_words(spark, d):
+    return T.missing_words(docs(spark, d), _model(spark, d)[0]).withColumn("words", F.array_join("words", "|"))
+
+
+@query("m3_ban_candidates", f"WITH {_MODEL} SELECT * FROM md WHERE weight > 0 AND length(w) >= 4 AND NOT regexp_matches(w, '^[0-9]') AND human_share < 0.4 ORDER BY weight DESC, w LIMIT 60")
 def m3_ban_candidates(spark, d):
-    h, m, _ = _labelled(spark, d)
-    return T.ban_candidates(T.train_marker_model(h, m), h.count())
+    return T.ban_candidates(_model(spark, d)[0])
 
 
-@query("m4_model_stats", None)
+@query("m4_model_stats", f"WITH {_MODEL}, {_WINDOWS} SELECT (SELECT count(*) FROM md) AS vocabulary, ca.*, CASE WHEN separation >= 0.6 THEN 'good' WHEN separation >= 0.35 THEN 'fair' ELSE 'weak' END AS quality FROM ca")
 def m4_model_stats(spark, d):
-    h, m, held = _labelled(spark, d)
-    model = keep(T.train_marker_model(h, m))
-    s = T.score_documents(held, model).join(held.select("doc_id", (F.col("quality") == 0).alias("machine")), "doc_id")
-    return T.model_stats(model, s)
+    return T.model_stats(*_model(spark, d))
 
 
-@query("f1_clean_text", "SELECT doc_id, trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS clean FROM documents WHERE lang = 'en'")
+@query("f1_clean_text", "SELECT doc_id, trim(regexp_replace(strip_accents(lower(coalesce(text, ''))), '[^\\p{L}\\p{N}]+', ' ', 'g')) AS clean FROM documents")
 def f1_clean_text(spark, d):
     from sightlines.functions.unicode import clean_text
 
     return docs(spark, d).select("doc_id", clean_text("text").alias("clean"))
 
 
-@query("f2_intent_tokens", "SELECT query, [query] AS tokens FROM page_query GROUP BY query", "page_query")
+@query("f2_intent_tokens", f"SELECT DISTINCT query, array_to_string(list_sort(list_filter(list_distinct(string_split({_CLEAN('query')}, ' ')), lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))), '|') AS tokens FROM intent_query", "intent_query")
 def f2_intent_tokens(spark, d):
-    from sightlines.functions.unicode import word_tokens
-
-    return facts.page_query(spark, d).select("query").distinct().select("query", word_tokens("query").alias("tokens"))
+    return facts.intent_query(spark, d).select("query").distinct().select("query", F.array_join(F.array_sort(T.intent_tokens("query")), "|").alias("tokens"))
