@@ -218,7 +218,7 @@ def monitoring_changes(runs: DataFrame) -> DataFrame:
     w = Window.partitionBy("url").orderBy("run_id")
     prev = F.lag(F.struct("run_id", "status", "fingerprint")).over(w)
     order = runs.select("run_id").distinct().withColumn("r", F.dense_rank().over(Window.orderBy("run_id")))  # a row for each run
-    rows = runs.join(F.broadcast(order), "run_id").withColumns({"p": prev, "pr": F.lag("r").over(Window.partitionBy("url").orderBy("r"))})
+    rows = runs.join(order, "run_id").withColumns({"p": prev, "pr": F.lag("r").over(Window.partitionBy("url").orderBy("r"))})
     missed = F.col("p").isNull() | (F.col("pr") != F.col("r") - 1)
     change = F.when(missed, "new").when(~F.col("p.status").eqNullSafe(F.col("status")), "status_changed").when(~F.col("p.fingerprint").eqNullSafe(F.col("fingerprint")), "content_changed").otherwise("unchanged")
     return rows.select("run_id", "url", "status", change.alias("change"))

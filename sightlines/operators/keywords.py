@@ -44,7 +44,7 @@ def best_keyword_metric(cache: DataFrame) -> DataFrame:
 
 def metric_candidates(striking: DataFrame, markets: DataFrame, cache: DataFrame, as_of: date, ttl_days: int, budget: int) -> DataFrame:
     """Striking-distance queries to price: once for each market, without fresh ones, best first within each market's budget."""
-    rows = striking.join(F.broadcast(markets), "site_id").groupBy(F.lower("query").alias("keyword"), "country").agg(F.sum("impressions").alias("impressions"))
+    rows = striking.join(markets, "site_id").groupBy(F.lower("query").alias("keyword"), "country").agg(F.sum("impressions").alias("impressions"))
     fresh = cache.filter(F.datediff(F.lit(as_of), "checked_at") <= ttl_days).select("keyword", "country").distinct()
     left = rows.join(fresh, ["keyword", "country"], "left_anti")
     return left.withColumn("place", F.row_number().over(Window.partitionBy("country").orderBy(F.desc("impressions"), "keyword"))).filter(F.col("place") <= budget)
@@ -85,7 +85,7 @@ def demand_trend(points: Column) -> Column:
 def spend_by_month(ledger: DataFrame, caps: DataFrame) -> DataFrame:
     """Spend of each user, provider and month (refunds reduce it, never below zero) against the user's cap."""
     t = ledger.groupBy("user_id", "provider", F.date_format("ts", "yyyy-MM").alias("month")).agg(F.sum("units").alias("u"))
-    t = t.withColumn("units", F.greatest(F.col("u"), F.lit(0))).drop("u").join(F.broadcast(caps), "user_id", "left")
+    t = t.withColumn("units", F.greatest(F.col("u"), F.lit(0))).drop("u").join(caps, "user_id", "left")
     return t.withColumn("over_cap", F.coalesce(F.col("units") > F.col("cap"), F.lit(False)))
 
 
@@ -146,10 +146,19 @@ def related_domains(prints: DataFrame) -> DataFrame:
 
 
 def overlap_edges(serps: DataFrame, least: int) -> DataFrame:
-    """Keyword pairs that share at least `least` urls (keyword, url)."""
+    """Keyword pairs that share at least `least` urls (keyword, url).
+
+    Of a keyword's n urls, rarest first, only the first n - least + 1 make candidates: two keywords that
+    share enough meet there, so a url that everybody ranks with makes hardly any.
+    """
     s = serps.select("keyword", F.regexp_replace(F.lower("url"), "/+$", "").alias("url")).distinct()
-    a, b = s.select(F.col("keyword").alias("a"), "url"), s.select(F.col("keyword").alias("b"), "url")
-    return a.join(b, "url").filter("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+    df = s.groupBy("url").agg(F.count("*").alias("df")).filter("df > 1")
+    sets = s.join(df, "url").groupBy("keyword").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "url"))), lambda x: x["url"]).alias("urls")).filter(F.size("urls") >= least)
+    first = sets.select("keyword", F.explode(F.slice("urls", 1, F.size("urls") - (least - 1))).alias("url"))
+    pairs = first.select(F.col("keyword").alias("a"), "url").join(first.select(F.col("keyword").alias("b"), "url"), "url").filter("a < b").select("a", "b").distinct()
+    side = lambda x: sets.select(F.col("keyword").alias(x), F.col("urls").alias(f"u_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", F.size(F.array_intersect("u_a", "u_b")).cast("bigint").alias("shared"))
+    return both.filter(F.col("shared") >= least)
 
 
 def cluster_by_serp(serps: DataFrame, volumes: DataFrame, least: int = 3, keep=None) -> DataFrame:

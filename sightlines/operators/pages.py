@@ -72,7 +72,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
         h.rlike(r"""(?is)(src|href)\s*=\s*["']http://[^"']*\.(js|css|png|jpe?g|gif|svg)""").alias("http_resources"),
         F.size(_all(h, r"(?is)<(ul|ol)\b")).alias("lists"),
         F.size(_all(h, r"(?is)<(table)\b")).alias("tables"),
-        F.transform(_all(h, r"(?is)<p\b[^>]*>(.*?)</p>"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " "))).alias("paragraphs"),
+        F.transform(_all(h, r"(?is)<p\b[^>]*+>((?:(?!</?p\b).)*+)</p>"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " "))).alias("paragraphs"),
         visible_text(h).alias("text"),
         host.alias("host"),
         h.alias("html"),
@@ -182,16 +182,23 @@ def link_health(edges: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def redirect_trace(redirects: DataFrame, most: int = 10) -> DataFrame:
-    """final url, hops and loop flag of every redirecting url (url, target), by at most `most` joins; it ends when nothing moves."""
+    """final url, hops and loop flag of every redirecting url (url, target); more than `most` hops count as a loop, so does a return to the start.
+
+    Each join doubles the hops that are known at once, so ten hops take four joins.
+    """
     step = redirects.filter("target is not null and url <> target").groupBy("url").agg(F.min("target").alias("target"))
-    now = step.select("url", F.col("target").alias("final_url"), F.lit(1).alias("hops"), F.lit(False).alias("loop"))
-    nxt = step.select(F.col("url").alias("final_url"), F.col("target").alias("nx"))
-    for _ in range(most - 1):
-        moved = now.join(nxt, "final_url", "left")
-        go = F.col("nx").isNotNull() & ~F.col("loop")
-        now = moved.select("url", F.when(go, F.col("nx")).otherwise(F.col("final_url")).alias("final_url"), (F.col("hops") + go.cast("int")).alias("hops"), (F.col("loop") | (go & (F.col("nx") == F.col("url")))).alias("loop"))
-    over = now.join(nxt, "final_url", "left")
-    return over.select("url", "final_url", "hops", (F.col("loop") | F.col("nx").isNotNull()).alias("loop"))
+    way = step.select("url", F.array("target").alias("path"))  # the next urls, at most `most` of them
+    reach = 1
+    while reach < most:
+        ahead = way.select(F.col("url").alias("end"), F.col("path").alias("more"))
+        longer = F.concat("path", F.coalesce("more", F.expr("cast(array() as array<string>)")))
+        way = way.withColumn("end", F.element_at("path", -1)).join(ahead, "end", "left").select("url", F.slice(longer, 1, most).alias("path"))
+        reach *= 2
+    back = F.array_position("path", F.col("url"))  # where the way comes back to its start
+    path = F.when(back > 0, F.slice("path", 1, back.cast("int"))).otherwise(F.col("path"))
+    t = way.select("url", path.alias("path"), (back > 0).alias("loop")).withColumn("final_url", F.element_at("path", -1))
+    open_ = t.join(step.select(F.col("url").alias("final_url"), F.lit(True).alias("goes_on")), "final_url", "left")
+    return open_.select("url", "final_url", F.size("path").alias("hops"), (F.col("loop") | F.coalesce("goes_on", F.lit(False))).alias("loop"))
 
 
 def audit_pages(facts: DataFrame, health: DataFrame | None = None, traces: DataFrame | None = None) -> DataFrame:
@@ -422,3 +429,31 @@ def evaluate_checks(facts: DataFrame) -> DataFrame:
             status = (status.when(F.coalesce(F.expr(partly), F.lit(False)), "PARTIAL") if partly else status).otherwise("FAIL")
         rows.append(F.struct(*[F.lit(v).alias(k) for k, v in (("family", family), ("category", category), ("title", title))], status.alias("status"), F.lit(severity).alias("severity"), F.lit(WEIGHTS[severity]).alias("weight")))
     return facts.select("url", F.explode(F.array(*rows)).alias("c")).select("url", "c.*")
+
+
+# ------------------------------------------------------------- near duplicates
+
+
+def simhash(texts: DataFrame, key: str = "url", text: str = "text") -> DataFrame:
+    """key, fingerprint (64 bits): every word of a text votes on each bit of its hash; null where there is no word.
+
+    Words are counted before their votes are summed, so a hot word costs one row for each text.
+    """
+    words = texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("([a-z0-9]+)"), F.lit(1))).alias("w")).groupBy(key, "w").agg(F.count("*").alias("n"))
+    h = words.withColumn("h", F.xxhash64("w"))
+    votes = [F.sum(F.when(F.col("h").bitwiseAND(F.shiftleft(F.lit(1).cast("long"), i)) != 0, F.col("n")).otherwise(-F.col("n"))).alias(f"v{i}") for i in range(64)]
+    bits = F.lit(0).cast("long")
+    for i in range(64):
+        bits = bits.bitwiseOR(F.when(F.col(f"v{i}") >= 0, F.shiftleft(F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return texts.select(key).join(h.groupBy(key).agg(*votes).select(key, bits.alias("fingerprint")), key, "left")
+
+
+def hamming(a: Column, b: Column) -> Column:
+    """Bits in which two fingerprints differ; 64 where one is missing."""
+    return F.coalesce(F.bit_count(a.bitwiseXOR(b)), F.lit(64))
+
+
+def is_substantial(text: Column, words: int = 100, distinct: int = 40) -> Column:
+    """Whether a text is long and varied enough to tell that two pages are one."""
+    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
+    return (F.size(found) >= words) & (F.size(F.array_distinct(found)) >= distinct)

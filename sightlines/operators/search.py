@@ -24,6 +24,43 @@ def grain(facts: DataFrame, which: str) -> DataFrame:
     return facts.filter({"site": ~u & ~q, "page": u & ~q, "page_query": u & q}[which])
 
 
+def page_filter(facts: DataFrame, part: str | None) -> DataFrame:
+    """Rows whose url holds a text; no text keeps all."""
+    return facts.filter(F.col("url").contains(part.strip())) if part and part.strip() else facts
+
+
+def regex_filter(df: DataFrame, columns: list[str], pattern: str | None) -> DataFrame:
+    """Rows where any of the columns holds the pattern, in any case; a pattern that is none matches nothing, an empty one all that is not null."""
+    whole = f"(?i){pattern or ''}"
+    try:
+        df.sparkSession.range(1).select(F.lit("").rlike(whole)).collect()  # one constant: does it compile
+    except Exception as e:
+        if "INVALID_PARAMETER_VALUE" not in str(e) and "PatternSyntaxException" not in str(e):
+            raise
+        return df.filter(F.lit(False))
+    hit = F.lit(False)
+    for c in columns:
+        hit = hit | F.coalesce(F.col(c).cast("string").rlike(whole), F.lit(False))
+    return df.filter(hit)
+
+
+def in_order(df: DataFrame, column: str, values: list[str], *then: str) -> DataFrame:
+    """Sorted by a column's place in a list (case does not matter), others after the list by name, nulls last."""
+    low = F.lower(F.col(column))
+    place = F.array_position(F.array(*[F.lit(v.lower()) for v in values]), low)
+    return df.orderBy(F.when(place > 0, place).otherwise(len(values) + 1).asc_nulls_last(), low.asc_nulls_last(), *then)
+
+
+def listing(df: DataFrame, order: list, page: int = 1, size: int = 50) -> DataFrame:
+    """One page of an ordered table; pages count from 1."""
+    return df.orderBy(*order).offset((max(1, page) - 1) * size).limit(size)
+
+
+def breakdown(facts: DataFrame, dim: str, as_of: date, days: int) -> DataFrame:
+    """A dimension's values (country, device) in both windows of a site, with their changes."""
+    return compare_periods(facts, dim, as_of, days)
+
+
 def _two(facts: DataFrame, w: Windows) -> DataFrame:
     return facts.filter(w.covers("date")).withColumn("side", w.when("date")).filter("side is not null")
 
@@ -285,7 +322,7 @@ def keywords_export(page_query: DataFrame) -> DataFrame:
 def report_window(obs: DataFrame, days: int = 28) -> DataFrame:
     """Totals by site of the `days` days that end at the site's last date."""
     last = obs.groupBy("site_id").agg(F.max("date").alias("window_end"))
-    rows = obs.join(F.broadcast(last), "site_id").filter(F.col("date") > F.date_sub("window_end", days))
+    rows = obs.join(last, "site_id").filter(F.col("date") > F.date_sub("window_end", days))
     return rows.groupBy("site_id", "window_end").agg(
         F.date_sub(F.first("window_end"), days - 1).alias("window_start"), F.countDistinct("query").alias("queries"), F.countDistinct("url").alias("pages"),
         F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), js_round(mean_position("position", "impressions"), 2).alias("position"),
@@ -387,7 +424,7 @@ def event_impact(site_day: DataFrame, updates: DataFrame, days: int = 14, least:
 
     `updates` (update_id, start, end) is a small table; windows stop at its neighbours.
     """
-    e = F.broadcast(with_neighbours(updates))
+    e = with_neighbours(updates)
     lo, hi = F.coalesce("prev_end", F.lit(date(1900, 1, 1))), F.coalesce("next_start", F.lit(date(9999, 1, 1)))
     far = F.lit(8 * days)
     before = (F.col("date") < F.col("start")) & (F.col("date") > lo) & (F.datediff("start", "date") <= far)
@@ -405,7 +442,7 @@ def event_impact(site_day: DataFrame, updates: DataFrame, days: int = 14, least:
 
 def note_impact(site_day: DataFrame, notes: DataFrame, days: int = 7) -> DataFrame:
     """Clicks of the calendar days before and after each note (note_id, site_id, date)."""
-    n = F.broadcast(notes.select("note_id", "site_id", F.col("date").alias("noted")))
+    n = notes.select("note_id", "site_id", F.col("date").alias("noted"))
     gap = F.datediff("date", "noted")
     rows = site_day.join(n, "site_id").filter(gap.between(-days, days - 1))
     zero = lambda c: F.coalesce(F.sum(F.when(c, F.col("clicks"))), F.lit(0))

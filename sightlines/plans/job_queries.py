@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from datetime import date
 
 from pyspark.sql import functions as F
 
 from sightlines.operators import change as C
-from sightlines.operators import search as S
 from sightlines.sources import ingest as I
+from sightlines.functions.payloads import classify_payload
 from sightlines.streaming import jobs as J
 
 from . import facts
@@ -34,19 +36,30 @@ def a19_crawler_stats(spark, d):
     return J.crawler_stats(J.crawler_daily(facts.hit(spark, d)))
 
 
-def _streamed(spark, df, job, mode, name):
-    """Runs a streaming job over a table's rows to its end and returns what it wrote."""
-    at = tempfile.mkdtemp(prefix="spark-") if spark.sparkContext.master.startswith("local") else spark.sparkContext.getCheckpointDir()
-    df.write.mode("overwrite").parquet(f"{at}/in-{name}")
-    q = job(spark.readStream.schema(df.schema).parquet(f"{at}/in-{name}")).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{at}/state-{name}").trigger(availableNow=True).start()
+def _shared(spark) -> str:
+    """A new folder below the one that driver and executors share; a local one only where a local session has none."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = tempfile.mkdtemp(prefix="spark-")
+    return f"{at.rstrip('/')}/stream-{uuid.uuid4().hex}"
+
+
+def _streamed(spark, df, job, sink, mode="update", files=1):
+    """Runs a stream over a table's rows, a file at a time, to its end into a foreachBatch sink; returns the sink's path."""
+    at = _shared(spark)
+    df.repartition(files).write.parquet(f"{at}/in") if files > 1 else df.write.parquet(f"{at}/in")
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 64).parquet(f"{at}/in")
+    q = job(source).writeStream.outputMode(mode).foreachBatch(sink(f"{at}/out")).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.table(name)
+    return f"{at}/out"
 
 
 @query("r1_stream_crawler_daily", f"WITH {_DAILY} SELECT * FROM dy", "hit")
 def r1_stream_crawler_daily(spark, d):
-    out = _streamed(spark, facts.hit(spark, d), J.stream_crawler_daily, "update", "r1_crawler")
-    return out.groupBy("domain", "day", "bot", "status").agg(F.max("hits").alias("hits"))
+    out = _streamed(spark, facts.hit(spark, d), J.stream_crawler_daily, lambda p: J.merge_totals(p, ["domain", "day", "bot", "status"], "hits"))
+    return J.read_days(spark, out).select("domain", "day", "bot", "status", "hits")
 
 
 @query("r2_retain_recent", "SELECT h.hit_id, domain FROM hit h JOIN (SELECT domain, max(CAST(ts AS DATE)) AS last FROM hit GROUP BY 1) l USING (domain) WHERE CAST(ts AS DATE) > last - 7", "hit")
@@ -61,31 +74,58 @@ def r2_retain_recent(spark, d):
     "rank_check",
 )
 def r5_stream_rank_state(spark, d):
-    out = _streamed(spark, facts.rank_check(spark, d), J.stream_rank_state, "update", "r5_rank")
-    return C.upsert_latest(out, ["site_id", "keyword"], "checked_at").select("site_id", "keyword", "last_position", "previous_position", "best_position")
+    out = _streamed(spark, facts.rank_check(spark, d), J.stream_rank_state, J.state_sink)
+    return J.read_states(spark, out, ["site_id", "keyword"]).select("site_id", "keyword", "last_position", "previous_position", "best_position")
 
 
 @query("r6_stream_verdict_state", "SELECT question, engine, arg_max(verdict, (checked_at, check_id)) FILTER (error IS NULL) AS verdict, CAST(count_if(error IS NOT NULL) AS BIGINT) AS errors FROM aeo_check GROUP BY ALL", "aeo_check")
 def r6_stream_verdict_state(spark, d):
-    return _streamed(spark, facts.aeo_check(spark, d), J.stream_verdict_state, "update", "r6_verdict").groupBy("question", "engine").agg(F.max("verdict").alias("verdict"), F.max("errors").alias("errors"))
+    return J.read_states(spark, _streamed(spark, facts.aeo_check(spark, d), J.stream_verdict_state, J.state_sink), ["question", "engine"])
 
 
 @query(
     "r3_evaluate_alerts",
     """WITH r AS (SELECT *, lag(position) OVER w AS previous, row_number() OVER (PARTITION BY site_id, keyword ORDER BY checked_at DESC, check_id DESC) AS n FROM rank_check WHERE error IS NULL WINDOW w AS (PARTITION BY site_id, keyword ORDER BY checked_at, check_id)),
-    a AS (SELECT site_id, 'rank_drop' AS kind, keyword AS subject FROM r WHERE n = 1 AND position - previous >= 5 UNION ALL SELECT site_id, 'certificate', site_id || '.example' FROM (SELECT DISTINCT site_id FROM event) WHERE right(site_id, 1)::INT < 2
-    UNION ALL SELECT site_id, 'traffic_drop', site_id FROM (SELECT site_id, sum(clicks) FILTER (date = DATE '2024-01-30') AS c, sum(clicks) FILTER (date = DATE '2024-01-29') AS p FROM site_day GROUP BY 1) WHERE p > 0 AND floor((c - p) / p::DOUBLE * 100 * 10 + 0.5) / 10 <= -30),
-    k AS (SELECT *, kind || ':' || site_id || ':' || subject AS dedupe_key FROM a) SELECT * FROM k WHERE subject <> 'q1'""",
-    "rank_check event site_day",
+    t AS (SELECT site_id, coalesce(sum(clicks * 5) FILTER (date >= DATE '2024-01-23' AND right(site_id, 1)::INT > 2), 0) AS c, sum(clicks * 5) FILTER (date BETWEEN DATE '2024-01-16' AND DATE '2024-01-22') AS p FROM site_day GROUP BY 1),
+    u AS (SELECT site_id, max_by(struct_pack(i := user_id, h := (user_id * 7) % 100), (ts, user_id)) AS a FROM event WHERE event_type <> 'error' GROUP BY 1),
+    a AS (SELECT site_id, 'rank_drop' AS kind, keyword AS subject, 'rank_drop:' || site_id || ':' || keyword || ':2024-01-30' AS dedupe_key FROM r WHERE n = 1 AND position - previous >= 5 AND CAST(checked_at AS DATE) >= DATE '2024-01-29'
+    UNION ALL SELECT site_id, 'ssl_expiry', site_id || '.example', 'ssl_expiry:' || site_id || ':2024w5' FROM (SELECT DISTINCT site_id FROM event) WHERE right(site_id, 1)::INT < 2
+    UNION ALL SELECT site_id, 'traffic_drop', site_id, 'traffic_drop:' || site_id || ':2024w5' FROM t WHERE p >= 50 AND c < p * (1 - 30.0 / 100)
+    UNION ALL SELECT site_id, 'audit_score', CAST(a.i AS VARCHAR), 'audit_score:' || a.i FROM u WHERE a.h < 50
+    UNION ALL SELECT target, 'lost_link', CAST(count(DISTINCT ref_domain) AS VARCHAR), 'lost_link:' || target || ':2024-01-30' FROM ref_domain WHERE dr >= 50 AND links % 9 = 0 GROUP BY target) SELECT * FROM a WHERE subject <> 'q1'""",
+    "rank_check event site_day ref_domain",
 )
 def r3_evaluate_alerts(spark, d):
     """R3 and R4: alerts that an earlier log does not hold."""
-    sites = facts.event(spark, d).select("site_id").distinct()
-    certs = sites.select("site_id", F.concat("site_id", F.lit(".example")).alias("host"), F.when(F.substring("site_id", -1, 1).cast("int") < 2, 3).otherwise(60).alias("days_left"))
-    alerts = J.evaluate_alerts(S.site_summary(facts.site_day(spark, d), AS_OF, 1), C.rank_state(facts.rank_check(spark, d)), certs)
+    e = facts.event(spark, d)
+    certs = e.select("site_id").distinct().select("site_id", F.concat("site_id", F.lit(".example")).alias("host"), F.when(F.substring("site_id", -1, 1).cast("int") < 2, 3).otherwise(60).alias("days_left"))
+    days = facts.site_day(spark, d).withColumn("clicks", F.when((F.col("date") >= F.lit(date(2024, 1, 23))) & (F.substring("site_id", -1, 1).cast("int") <= 2), 0).otherwise(F.col("clicks") * 5))
+    audits = e.select(F.col("user_id").alias("audit_id"), "site_id", F.col("ts").alias("started_at"), F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"), (F.col("user_id") * 7 % 100).alias("health"))
+    lost = facts.ref_domain(spark, d).filter("links % 9 = 0").select(F.col("target").alias("site_id"), "ref_domain", F.lit(AS_OF).alias("lost_at"), "dr")
+    alerts = J.evaluate_alerts(AS_OF, days, C.rank_state(facts.rank_check(spark, d)), certs, audits, lost)
     return J.once(alerts, alerts.filter("subject = 'q1'"))
 
 
+@query("r7_stream_snapshots", "SELECT site_id, CAST(ts AS DATE) AS day, max(ts) AS pulled_at, max_by(event_id, (ts, event_id)) AS event_id FROM event GROUP BY ALL", "event")
+def r7_stream_snapshots(spark, d):
+    """Pulls arrive as a stream, several of a day in different batches."""
+    e = facts.event(spark, d).select("site_id", F.col("ts").cast("timestamp").alias("pulled_at"), "event_id")
+    out = _streamed(spark, e, lambda s: s, lambda p: J.snapshot_sink(p, ["site_id"]), "append")
+    return J.read_days(spark, out).select("site_id", "day", F.col("pulled_at").cast("timestamp_ntz").alias("pulled_at"), "event_id")
+
+
+@query(
+    "r8_stream_behavior",
+    """WITH s AS (SELECT url, CAST(ts AS DATE) AS day, user_id AS sessions, k AS rage_clicks, event_id % 100 AS scroll FROM event QUALIFY row_number() OVER (PARTITION BY url, CAST(ts AS DATE) ORDER BY ts DESC, event_id % 100 DESC) = 1), w AS (SELECT * FROM s QUALIFY day > max(day) OVER (PARTITION BY url) - 14)
+    SELECT url, count(*) AS days, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(rage_clicks) AS BIGINT) AS rage_clicks, max(scroll) AS scroll FROM w GROUP BY url""",
+    "event",
+)
+def r8_stream_behavior(spark, d):
+    e = facts.event(spark, d).select("url", F.col("ts").cast("timestamp").alias("pulled_at"), F.col("user_id").alias("sessions"), F.col("k").alias("rage_clicks"), (F.col("event_id") % 100).alias("scroll"))
+    out = _streamed(spark, e, lambda s: s, lambda p: J.snapshot_sink(p, ["url"]), "append")
+    return J.behavior_of_days(spark, out, ["url"], 14)
+
+
 @query("r7_daily_snapshots", "SELECT site_id, CAST(ts AS DATE) AS day, event_id FROM event QUALIFY row_number() OVER (PARTITION BY site_id, CAST(ts AS DATE) ORDER BY ts DESC) = 1", "event")
 def r7_daily_snapshots(spark, d):
     e = facts.event(spark, d).select("site_id", F.col("ts").alias("pulled_at"), "event_id")
@@ -160,3 +200,16 @@ def s5_display_numbers(spark, d):
     k = F.col("p_partkey") % 4
     text = F.when(k == 0, F.concat(s, F.lit("K"))).when(k == 1, F.concat(s, F.lit(",300"))).when(k == 2, F.concat(F.lit("$"), s, F.lit(".50"))).otherwise("n/a")
     return spark.read.parquet(f"{d}/part.parquet").select("p_partkey", I.number(text).alias("n"))
+
+
+@query(
+    "f32_classify_payload",
+    """SELECT event_id, CASE event_id % 8 WHEN 0 THEN 'empty' WHEN 1 THEN 'json' WHEN 2 THEN 'fenced_json' WHEN 3 THEN 'embedded_json' WHEN 4 THEN 'plain_text' WHEN 5 THEN 'malformed_json' WHEN 6 THEN 'non_object_json' ELSE 'empty' END AS kind,
+    CASE event_id % 8 WHEN 1 THEN '{"a": ' || event_id || '}' WHEN 2 THEN '{"b": ' || event_id || '}' WHEN 3 THEN '{"c": ' || event_id || '}' END AS value FROM events""",
+)
+def f32_classify_payload(spark, d):
+    n = F.col("event_id").cast("string")
+    forms = ["", ' {"a": #}', '```json {"b": #} ```', 'it is {"c": #} so', "no answer #", '{"a": ', "[#]", None]
+    text = F.element_at(F.array(*[F.lit(f) for f in forms]), (F.col("event_id") % 8 + 1).cast("int"))
+    p = classify_payload(F.replace(text, F.lit("#"), n))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", p.alias("p")).select("event_id", "p.kind", "p.value")

@@ -159,6 +159,13 @@ def f23_content_fingerprint(spark, d):
     return f.groupBy("fingerprint").agg(F.count("*").alias("pages"), F.min("page_id").alias("first_page"))
 
 
+@query("f24_simhash")
+def f24_simhash(spark, d):
+    """Fingerprint of every page's text and whether it may prove identity; its hash is Spark's, so the tests hold it against a plain version."""
+    f = P.page_facts(pages(spark, d)).select("page_id", "text")
+    return P.simhash(f, "page_id").join(f.select("page_id", P.is_substantial(F.col("text")).alias("substantial")), "page_id")
+
+
 @query(
     "h12_dedupe_pages",
     """WITH p AS (SELECT url || '&id=' || page_id AS url, CASE WHEN page_id % 10 = 1 THEN url ELSE url || '&id=' || page_id || '/' END AS final_url, CASE WHEN page_id % 10 = 2 THEN 'https://canon.example/x' ELSE '' END AS canonical, 'f' || (page_id % 60) AS fingerprint, CASE WHEN page_id % 4 = 0 THEN 50 ELSE 300 END AS words FROM pages),

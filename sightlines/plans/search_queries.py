@@ -433,3 +433,45 @@ def scale_revenue_by_part_month(spark, d):
         S.bucket_start(F.col("l_shipdate"), "month").alias("bucket"), F.col("l_quantity").cast("bigint").alias("impressions"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("clicks"),
     )
     return rows.groupBy("query", "bucket").agg(F.sum("clicks").alias("clicks"), F.sum("impressions").alias("impressions"), F.countDistinct("url").alias("pages"))
+
+
+@query("p4_page_filter", "SELECT site_id, date, query, url, clicks FROM page_query WHERE contains(url, '.example/p1')", "page_query")
+def p4_page_filter(spark, d):
+    return S.page_filter(facts.page_query(spark, d), " .example/p1 ").select("site_id", "date", "query", "url", "clicks")
+
+
+@query("p6_regex_filter", "SELECT site_id, query, url, clicks FROM page_query WHERE regexp_matches(query, '(?i)Q[12]$') OR regexp_matches(url, '(?i)Q[12]$')", "page_query")
+def p6_regex_filter(spark, d):
+    return S.regex_filter(facts.page_query(spark, d), ["query", "url"], "Q[12]$").select("site_id", "query", "url", "clicks")
+
+
+@query(
+    "t3_in_order",
+    "SELECT n_name, CAST(row_number() OVER (ORDER BY CASE lower(n_name) WHEN 'japan' THEN 1 WHEN 'france' THEN 2 ELSE 3 END, lower(n_name)) AS INTEGER) AS place FROM nation",
+)
+def t3_in_order(spark, d):
+    """The order itself is shown by numbering the sorted rows of a table of fixed size."""
+    from pyspark.sql import Window
+
+    n = spark.read.parquet(f"{d}/nation.parquet").select("n_name")
+    top = S.in_order(n, "n_name", ["Japan", "France"]).withColumn("at", F.monotonically_increasing_id())
+    return top.select("n_name", F.row_number().over(Window.orderBy("at")).alias("place"))
+
+
+@query("t4_listing", "SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 20 OFFSET 40")
+def t4_listing(spark, d):
+    return S.listing(spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name"), ["p_name", "p_partkey"], 3, 20)
+
+
+_DEV = f"(SELECT *, CASE CAST(substr(query, 2) AS BIGINT) % 3 WHEN 0 THEN 'mobile' WHEN 1 THEN 'desktop' ELSE 'tablet' END AS device FROM page_query)"
+
+
+@query(
+    "a11_breakdown",
+    f"""SELECT *, {R(PCT('clicks', 'prev_clicks'), 1)} AS clicks_change, CASE WHEN impressions > 0 AND prev_impressions <= 0 THEN 'new' WHEN impressions <= 0 AND prev_impressions > 0 THEN 'lost' ELSE 'kept' END AS status FROM (SELECT site_id, device, {SUM('clicks', NOW)} AS clicks, {SUM('clicks', BEFORE)} AS prev_clicks, {SUM('impressions', NOW)} AS impressions, {SUM('impressions', BEFORE)} AS prev_impressions FROM {_DEV} WHERE {NOW} OR {BEFORE} GROUP BY ALL)""",
+    "page_query",
+)
+def a11_breakdown(spark, d):
+    n = F.substring("query", 2, 9).cast("bigint") % 3
+    x = facts.page_query(spark, d).withColumn("device", F.when(n == 0, "mobile").when(n == 1, "desktop").otherwise("tablet"))
+    return S.breakdown(x, "device", AS_OF, 15).select("site_id", "device", "clicks", "prev_clicks", "impressions", "prev_impressions", "clicks_change", "status")

@@ -155,9 +155,107 @@ def test_exports_and_imports(spark, tmp_path):
 
 
 def test_stream_totals_are_replay_safe(spark, tmp_path):
-    sink = jobs.merge_totals(str(tmp_path / "t"), ["k"], "n")
-    df = lambda *rows: spark.createDataFrame(list(rows), "k string, n bigint")
-    sink(df(("a", 1), ("b", 2)), 0)
-    sink(df(("a", 5)), 1)
-    sink(df(("a", 5)), 1)
-    assert {r.k: r.n for r in spark.read.parquet(str(tmp_path / "t" / "v1")).collect()} == {"a": 5, "b": 2}
+    at = str(tmp_path / "t")
+    sink = jobs.merge_totals(at, ["k", "day"], "n")
+    df = lambda *rows: spark.createDataFrame([(k, D(2024, 1, day), n) for k, day, n in rows], "k string, day date, n bigint")
+    assert jobs.read_days(spark, at) is None
+    sink(df(("a", 1, 1), ("b", 1, 2), ("a", 2, 9)), 0)
+    sink(df(("a", 1, 5)), 1)
+    sink(df(("a", 1, 5)), 1)
+    assert {(r.k, r.day.day): r.n for r in jobs.read_days(spark, at).collect()} == {("a", 1): 5, ("b", 1): 2, ("a", 2): 9}
+    assert sorted(p.name for p in (tmp_path / "t" / "epoch=1").iterdir() if p.is_dir()) == ["day=2024-01-01"]  # the other day is left alone
+
+
+def test_snapshots_keep_the_last_pull_of_a_day(spark, tmp_path):
+    at = str(tmp_path / "s")
+    sink = jobs.snapshot_sink(at, ["k"])
+    df = lambda *rows: spark.createDataFrame([("k", datetime(2024, 1, day, hour), n) for day, hour, n in rows], "k string, pulled_at timestamp, n bigint")
+    sink(df((1, 9, 1), (2, 9, 2)), 0)
+    sink(df((1, 12, 3), (2, 8, 4)), 1)
+    sink(df((1, 12, 3), (2, 8, 4)), 1)
+    assert sorted((r.day.day, r.n) for r in jobs.read_days(spark, at).collect()) == [(1, 3), (2, 2)]
+
+
+def test_payload_kinds(spark):
+    from sightlines.functions.payloads import classify_payload
+
+    cases = {
+        "": "empty", "  \n": "empty", '{"a": 1}': "json", '```json\n{"a": 1}\n```': "fenced_json", '```\n{"a": 1}\n```': "fenced_json", 'Sure: {"a": {"b": 2}} done': "embedded_json", "no json here": "plain_text",
+        '{"a": ': "malformed_json", "```json\nnope\n```": "malformed_json", "[1, 2]": "non_object_json", "12": "non_object_json", "null": "non_object_json", "{bad} then {\"a\": 1}": "embedded_json", "12 apples": "plain_text",
+    }
+    t = spark.createDataFrame([*[(k,) for k in cases], (None,)], "s string")
+    got = {r.s: (r.p.kind, r.p.value) for r in t.select("s", classify_payload(F.col("s")).alias("p")).collect()}
+    assert {k: got[k][0] for k in cases} == cases and got[None] == ("empty", None)
+    assert got['Sure: {"a": {"b": 2}} done'][1] == '{"a": {"b": 2}}' and got["12"][1] is None
+
+
+def test_filters_orders_and_pages(spark):
+    t = spark.createDataFrame([(1, "Alpha", "x"), (2, None, "ALPHABET"), (3, "beta", None)], "id int, a string, b string")
+    ids = lambda df: [r.id for r in df.collect()]
+    assert sorted(ids(search.regex_filter(t, ["a", "b"], "^alpha"))) == [1, 2] and ids(search.regex_filter(t, ["a"], "(")) == [] and sorted(ids(search.regex_filter(t, ["a"], None))) == [1, 3]
+    assert ids(search.in_order(t, "a", ["BETA"])) == [3, 1, 2] and ids(search.listing(t, ["id"], 2, 2)) == [3]
+
+
+def test_simhash_of_pages(spark):
+    import re
+
+    import xxhash
+
+    def brute(text):
+        v = [0] * 64
+        for w in re.findall("[a-z0-9]+", text.lower()):
+            h = xxhash.xxh64_intdigest(w.encode(), seed=42)
+            for i in range(64):
+                v[i] += 1 if h >> i & 1 else -1
+        x = sum(1 << i for i in range(64) if v[i] >= 0)
+        return x - (1 << 64) if x >> 63 else x
+
+    base = " ".join(f"token{i % 60}" for i in range(120))
+    rows = [("a", base + " tail one"), ("b", base + " other end"), ("c", "Entirely different words"), ("d", ""), ("e", None)]
+    t = spark.createDataFrame(rows, "url string, text string")
+    fp = {r.url: r.fingerprint for r in pages.simhash(t).collect()}
+    assert {k: fp[k] for k in "abc"} == {k: brute(v) for k, v in rows[:3]} and fp["d"] is None and fp["e"] is None
+    d = spark.createDataFrame([(fp["a"], fp["b"], fp["c"])], "a bigint, b bigint, c bigint").select(pages.hamming(F.col("a"), F.col("b")).alias("n"), pages.hamming(F.col("a"), F.lit(None).cast("bigint")).alias("m"), pages.hamming(F.col("a"), F.col("c")).alias("f")).first()
+    assert d.n <= 3 and d.m == 64 and d.f > 10
+    assert [r.s for r in t.select(pages.is_substantial(F.col("text")).alias("s")).collect()] == [True, True, False, False, False]
+
+
+def test_snapshot_comparison_names_every_change(spark):
+    old = [("c", "p1", "FAIL"), ("c", "p2", "PASS"), ("c", "p3", "FAIL"), ("c", "p4", "PARTIAL"), ("c", "gone", "PASS"), ("c", "p5", "MANUAL_REVIEW"), ("c", "p6", "UNKNOWN"), ("c", "p7", "FAIL"), ("c", "p8", "FAIL")]
+    new = [("c", "p1", "PASS"), ("c", "p2", "FAIL"), ("c", "p3", "PARTIAL"), ("c", "p4", "FAIL"), ("c", "new", "PASS"), ("c", "bad", "FAIL"), ("c", "p5", "PASS"), ("c", "p6", "PASS"), ("c", "p7", "NOT_APPLICABLE"), ("c", "p8", "FAIL")]
+    df = lambda rows: spark.createDataFrame(rows, "title string, page string, status string")
+    ch = checks.compare_snapshots(df(new), df(old))
+    assert {r.page: r.change for r in ch.collect()} == {
+        "p1": "resolved", "p2": "worsened", "p3": "improved", "p4": "worsened", "gone": "no_longer_assessed", "new": "new_page", "bad": "new_issue", "p5": "requires_review", "p6": "evidence_unavailable", "p7": "no_longer_applicable", "p8": "unchanged",
+    }
+    s = checks.snapshot_summary(ch).first()
+    assert (s.findings_resolved, s.findings_worsened, s.pages_improved, s.pages_regressed) == (1, 2, 2, 2)
+
+
+def test_fixed_values(spark):
+    """Values that other tools show for the same rows."""
+    v = lambda c: one(spark, c)
+    assert v(checks.value_to_fix(F.lit("high"), F.lit("PARTIAL"), F.lit(0.5), F.lit(1), F.lit(4))) == 3 * 0.65 * 2 * 1.25 and v(checks.value_to_fix(F.lit("info"), F.lit("FAIL"), F.lit(0.0), F.lit(0), F.lit(0))) == 1.0
+    assert [v(search.expected_ctr(F.lit(p))) for p in (1.0, 2.4, 10.4)] == [27.6, 15.8, 2.4]
+    url = lambda p: F.lit(f"https://s.example{p}")
+    assert [v(U.url_class(url(p))) for p in ("/", "/x/news/a", "/a/b/c", "/x/tag/y", "/f/a.pdf", "/x/research/y", "/press-release/z")] == ["core_page", "news_release", "unknown", "archive_taxonomy", "document_disclosure", "supporting_evidence", "news_release"]
+    assert v(U.url_class(url("/a/b"), F.lit("post-sitemap1.xml"))) == "article"
+    assert [tuple(v(U.page_type(url(p)))) for p in ("/", "/blog", "/blog/x", "/terms", "/x")] == [("homepage", "high"), ("blog_index", "medium"), ("blog_post", "medium"), ("privacy_legal", "high"), ("unknown", "low")]
+    assert v(U.priority_score(url("/x/2024/deal-completed"), F.lit("news_release"), F.lit("sitemap"))) == 520 + 250 - 30 - 80 + 90
+    assert v(U.candidate_score(url("/"), url("/"), F.lit(False), F.lit(False))) == 10_000 and v(U.candidate_score(url("/login"), url("/"), F.lit(True), F.lit(True))) == -10_000 and v(U.candidate_score(url("/about"), url("/"), F.lit(True), F.lit(False))) == 1000 + 175 + 180
+    assert v(text.fold(F.lit("раypal"))) == "paypal" and v(text.fold(F.lit("привет"))) == "привет" and v(text.fold(F.lit("приветa"))) == "привета"
+    assert v(U.candidate_identity(F.lit("http://www.s.example//a/?utm_x=1&b=2&a=#f"), F.lit("s.example"))) == "https://s.example/a/?a=&b=2" and v(U.candidate_identity(F.lit("https://t.example/"), F.lit("s.example"))) is None
+    assert v(U.event_family(url("/n/acme-announces-proposed-sale-of-unit-2024"))) == "acme-sale-unit"
+
+
+def test_alerts_of_every_kind(spark):
+    day = D(2024, 1, 30)
+    sites = spark.createDataFrame([("s", D(2024, 1, 20), 60), ("s", D(2024, 1, 25), 40), ("t", D(2024, 1, 20), 40), ("u", D(2024, 1, 20), 60), ("u", D(2024, 1, 24), 50)], "site_id string, date date, clicks bigint")
+    ranks = spark.createDataFrame([("s", "k", 9, 3, datetime(2024, 1, 30)), ("s", "old", 9, 3, datetime(2024, 1, 20))], "site_id string, keyword string, last_position bigint, previous_position bigint, checked_at timestamp")
+    certs = spark.createDataFrame([("s", "h", 14), ("t", "h", 15)], "site_id string, host string, days_left int")
+    audits = spark.createDataFrame([(1, "s", datetime(2024, 1, 1), "completed", 20), (2, "s", datetime(2024, 1, 2), "completed", 80), (3, "t", datetime(2024, 1, 2), "completed", 49), (4, "t", datetime(2024, 1, 3), "failed", 99)], "audit_id int, site_id string, started_at timestamp, status string, health int")
+    lost = spark.createDataFrame([("s", "a", day, 60), ("s", "b", day, 50), ("s", "c", day, 10), ("t", "d", D(2024, 1, 1), 90)], "site_id string, ref_domain string, lost_at date, dr int")
+    got = {(r.kind, r.site_id, r.subject, r.dedupe_key) for r in jobs.evaluate_alerts(day, sites, ranks, certs, audits, lost).collect()}
+    assert got == {
+        ("traffic_drop", "s", "s", "traffic_drop:s:2024w5"), ("rank_drop", "s", "k", "rank_drop:s:k:2024-01-30"), ("ssl_expiry", "s", "h", "ssl_expiry:s:2024w5"), ("audit_score", "t", "3", "audit_score:3"), ("lost_link", "s", "2", "lost_link:s:2024-01-30"),
+    }
