@@ -15,9 +15,8 @@ miss d(n) = n - ceil(n * percent / 100) of them.
   shingle in one set only cannot be shared, so a set whose shared shingles are
   fewer than percent of all is dropped.  The rest are ordered rarest first and
   a set enters the lists of its first d(n) + 1 shingles, unshared ones counted first.
-  Two sets that link meet in such a list.  A list is dealt to PARTS; in each part the set with
-  the fewest unshared shingles is held against the others, and the first of these against the rest.
-  Then come those pairs of a list that are still in different components and that size,
+  Two sets that link meet in such a list.  In each list, the set with the fewest unshared
+  shingles is held against all others.  Then come those pairs of a list that are still in different components and that size,
   unshared shingles and positions do not rule out.  A list is split by a second common shingle
   (two sets that link share two of their first d(n) + 2), a third and a fourth, where that
   is less work than its pairs.
@@ -48,8 +47,8 @@ from .textkit import WordTable, mix64, shingle_hashes, unique_by_document, word_
 
 #: Largest set that the light way is considered for; copies that a task remembers.
 LIGHT_MOST, SEEN_MOST = 26, 2_000_000
-#: Parts that a list is dealt to in its first round, pairs that one entry of longer lists has to save, most common shingles of a list.
-PARTS, SPLIT_GAIN, DEEPEST = 32, 64, 4
+#: Pairs that one entry of longer lists has to save, most common shingles of a list.
+SPLIT_GAIN, DEEPEST = 64, 4
 
 _WORDS = WordTable()
 
@@ -286,11 +285,11 @@ def longer_lists(lists: DataFrame, sets: DataFrame, level: int, percent: int) ->
 def heavy_edges(sets: DataFrame, percent: int, light: DataFrame) -> DataFrame:
     """Edges (a, b) that connect what links among the heavy sets, given those among the light ones."""
     lists = kept(sets.filter("size(prefix) > 0").select(F.col("key"), "n", "alone", F.explode("prefix").alias("p")).select("p.tok", "p.at", "key", "n", "alone"), "lists")
-    # First round: a long list is dealt to PARTS; each part's first set is held against the part, the list's first set against those.
+    # First round: the first set of each list against the others.  The minimum is combined before its shuffle,
+    # and where a list is long Spark deals its side of the join to several tasks.
     me = F.struct("alone", "key", "n")
-    dealt = lists.select("tok", me.alias("m"), F.pmod(F.xxhash64("key"), F.lit(PARTS)).alias("part")).withColumn("f", F.min("m").over(Window.partitionBy("tok", "part")))
-    heads = dealt.filter("f = m").withColumn("f", F.min("m").over(Window.partitionBy("tok")))
-    star = dealt.select("f", "m").unionByName(heads.select("f", "m")).filter("f.key <> m.key")
+    first = lists.groupBy(F.col("tok").alias("t")).agg(F.min(me).alias("f"), F.count("*").alias("c")).filter("c > 1").drop("c")
+    star = lists.select("tok", me.alias("m")).join(first.hint("merge"), F.col("tok") == F.col("t")).filter("f.key <> m.key")
     shared_only = F.least(F.col("f.n") - F.col("f.alone"), F.col("m.n") - F.col("m.alone")) >= _need(F.col("f.n"), F.col("m.n"), percent)
     pairs = star.filter(shared_only).select(F.least("f.key", "m.key").alias("a"), F.greatest("f.key", "m.key").alias("b")).distinct()
     one = kept(verified(pairs, sets, percent), "star")

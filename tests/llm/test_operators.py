@@ -348,7 +348,6 @@ def test_op9_long_lists_are_split(spark, monkeypatch):
     for gain, deep in ((4, 4), (0, 3), (-1, 2)):
         monkeypatch.setattr(jaccard, "SPLIT_GAIN", gain)
         monkeypatch.setattr(jaccard, "DEEPEST", deep)
-        monkeypatch.setattr(jaccard, "PARTS", 1 + deep % 3)
         assert sorted(tuple(x) for x in jaccard.link(df, 1, 90).collect()) == want
 
 
