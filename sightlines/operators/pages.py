@@ -72,7 +72,7 @@ def page_facts(pages: DataFrame) -> DataFrame:
         h.rlike(r"""(?is)(src|href)\s*=\s*["']http://[^"']*\.(js|css|png|jpe?g|gif|svg)""").alias("http_resources"),
         F.size(_all(h, r"(?is)<(ul|ol)\b")).alias("lists"),
         F.size(_all(h, r"(?is)<(table)\b")).alias("tables"),
-        F.transform(_all(h, r"(?is)<p\b[^>]*+>((?:(?!</?p\b).)*+)</p>"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " "))).alias("paragraphs"),
+        F.transform(_all(h, r"(?is)<p\b[^>]*+>((?:(?!</?p\b).)*+)"), lambda x: F.trim(F.regexp_replace(F.regexp_replace(x, "<[^>]*>", " "), r"\s+", " "))).alias("paragraphs"),
         visible_text(h).alias("text"),
         host.alias("host"),
         h.alias("html"),

@@ -43,23 +43,33 @@ def f6_uniqueness(spark, d):
 
 @query(
     "f8_keyword_coverage",
-    """WITH p AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), '  ') || ' ' AS b, ' ' || array_to_string(regexp_extract_all(lower(left(text, length(text) // 2)), '[\\p{L}\\p{N}]+'), '  ') || ' ' AS a FROM documents WHERE text IS NOT NULL),
+    """WITH p AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), '  ') || ' ' AS b, ' ' || array_to_string(regexp_extract_all(lower(left(text, length(text) // 2)), '[\\p{L}\\p{N}]+'), '  ') || ' ' AS a FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
     k AS (SELECT doc_id, kw, CAST((length(b) - length(replace(b, kp, ''))) // length(kp) AS INTEGER) AS before, CAST((length(a) - length(replace(a, kp, ''))) // length(kp) AS INTEGER) AS after FROM p, (VALUES ('the', ' the '), ('And the', ' and  the ')) v(kw, kp)) SELECT doc_id, kw AS keyword, before, after, before > 0 AND after = 0 AS lost FROM k""",
 )
 def f8_keyword_coverage(spark, d):
     half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
-    x = docs(spark, d).filter("text is not null").select("doc_id", F.explode(T.keyword_coverage(F.col("text"), half, F.array(F.lit("the"), F.lit("And the")))).alias("k"))
+    x = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.explode(T.keyword_coverage(F.col("text"), half, F.array(F.lit("the"), F.lit("And the")))).alias("k"))
     return x.select("doc_id", "k.*")
 
 
-@query("f9_fact_drift")
+_NUMS = "list_sort(list_distinct([replace(x, ',', '') FOR x IN regexp_extract_all({0}, '(?:^|[^\\w.])(\\d{{1,3}}(?:,\\d{{3}})+(?:\\.\\d+)?%?|\\d+(?:\\.\\d+)?%?)', 1)]))".format
+_IDS = "list_sort(list_distinct(list_filter(regexp_extract_all({0}, '\\b[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*\\b'), lambda x: regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]'))))".format
+_DIFF = "array_to_string(list_filter({0}, lambda x: NOT list_contains({1}, x)), '|')".format
+
+
+@query(
+    "f9_fact_drift",
+    f"""WITH h AS (SELECT doc_id, left(t, length(t) // 2) AS a, substr(t, length(t) // 2 + 1) AS b FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)), f AS (SELECT doc_id, {_NUMS('a')} AS na, {_NUMS('b')} AS nb, {_IDS('a')} AS ia, {_IDS('b')} AS ib FROM h)
+    SELECT doc_id, {_DIFF('na', 'nb')} AS lost_numbers, {_DIFF('nb', 'na')} AS added_numbers, {_DIFF('ia', 'ib')} AS lost_codes, {_DIFF('ib', 'ia')} AS added_codes, CASE WHEN {_DIFF('na', 'nb')} <> '' AND {_DIFF('nb', 'na')} <> '' THEN 'high' WHEN {_DIFF('na', 'nb')} <> '' THEN 'medium' WHEN {_DIFF('nb', 'na')} <> '' THEN 'low' ELSE 'none' END AS severity FROM f""",
+)
 def f9_fact_drift(spark, d):
     """Numbers and codes that the second half of a document loses or adds against the first."""
     half = F.floor(F.length("text") / 2).cast("int")
-    x = docs(spark, d).filter("text is not null").select("doc_id", F.substring("text", F.lit(1), half).alias("a"), F.substring("text", half + 1, F.length("text")).alias("b"))
+    x = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.substring("text", F.lit(1), half).alias("a"), F.substring("text", half + 1, F.length("text")).alias("b"))
     for name, f in (("numbers", T.numeric_facts), ("codes", T.identifiers)):
         x = x.withColumns({f"lost_{name}": F.array_sort(F.array_except(f(F.col("a")), f(F.col("b")))), f"added_{name}": F.array_sort(F.array_except(f(F.col("b")), f(F.col("a"))))})
-    return x.withColumn("severity", T.drift_severity(F.col("lost_numbers"), F.col("added_numbers"))).drop("a", "b")
+    x = x.withColumn("severity", T.drift_severity(F.col("lost_numbers"), F.col("added_numbers"))).drop("a", "b")
+    return x.withColumns({c: F.array_join(c, "|") for c in x.columns if c.endswith(("numbers", "codes"))})
 
 
 _CLEAN = "trim(regexp_replace(strip_accents(lower({0})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))".format
