@@ -189,7 +189,14 @@ def j23_overlap_edges(spark, d):
     return W.overlap_edges(serps(spark, d), 16)
 
 
-@query("j23_cluster_by_serp")
+@query(
+    "j23_cluster_by_serp",
+    """WITH RECURSIVE sp AS (SELECT query AS keyword, url FROM page_query GROUP BY ALL HAVING sum(impressions) >= 4), ed AS (SELECT x.keyword AS a, y.keyword AS b FROM sp x JOIN sp y ON x.url = y.url AND x.keyword <> y.keyword GROUP BY ALL HAVING count(*) >= 16),
+    nb AS (SELECT a, list(b) AS nb FROM ed GROUP BY a), o AS (SELECT query AS keyword, row_number() OVER (ORDER BY sum(impressions) DESC, query) AS i FROM page_query GROUP BY query), q AS (SELECT o.keyword, i, coalesce(nb, []) AS nb FROM o LEFT JOIN nb ON a = keyword),
+    r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS seeds, CAST(NULL AS VARCHAR) AS keyword, CAST(NULL AS VARCHAR) AS seed UNION ALL SELECT q.i, CASE WHEN list_has_any(seeds, nb) THEN seeds ELSE list_append(seeds, q.keyword) END, q.keyword, coalesce(list_filter(seeds, lambda s: list_contains(nb, s))[1], q.keyword) FROM r JOIN q ON q.i = r.i + 1)
+    SELECT keyword, seed FROM r WHERE keyword IS NOT NULL""",
+    "page_query",
+)
 def j23_cluster_by_serp(spark, d):
     v = facts.page_query(spark, d).groupBy(F.col("query").alias("keyword")).agg(F.sum("impressions").alias("volume"))
     return W.cluster_by_serp(serps(spark, d), v, 16)
@@ -383,3 +390,9 @@ def f12_aeo_verdict(spark, d):
     c = facts.citation(spark, d).groupBy("check_id", "question").agg(F.array_sort(F.collect_list("url")).alias("urls"))
     v = A.aeo_verdict(F.col("question"), F.lit("1"), F.lit("site0.example"), F.col("urls"))
     return c.withColumn("v", v).select("check_id", "v.verdict", "v.rank")
+
+
+@query("f11_links_from_text", "SELECT DISTINCT check_id, unnest([url, 'http://x.example/' || check_id]) AS link FROM citation", "citation")
+def f11_links_from_text(spark, d):
+    c = facts.citation(spark, d).select("check_id", F.concat(F.lit("See "), "url", F.lit(", and (http://x.example/"), F.col("check_id").cast("string"), F.lit("). Again: "), "url", F.lit(".")).alias("text"))
+    return c.select("check_id", F.explode(A.links_from_text(F.col("text"))).alias("link")).distinct()

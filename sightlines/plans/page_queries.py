@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from sightlines.functions import urls as U
@@ -145,7 +146,25 @@ def h11_crawl_issues(spark, d):
     return P.crawl_issues(f).select(F.col("url").cast("bigint").alias("page_id"), F.explode("issues").alias("issue"))
 
 
-@query("h3_main_content")
+def _main_sql() -> str:
+    h = "coalesce(html, '')"
+    for tag in ("script", "style", "nav", "footer", "header", "aside", "form"):
+        h = f"regexp_replace({h}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    h = f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
+    md = "region"
+    for level in range(1, 7):
+        md = f"regexp_replace({md}, '(?is)<h{level}\\b[^>]*>(.*?)</h{level}>', chr(10) || chr(10) || '{'#' * level} \\1' || chr(10) || chr(10), 'g')"
+    nl = "chr(10)"
+    for pattern, to in (("(?is)<li\\b[^>]*>", f"{nl} || '- '"), ("(?is)<br\\s*/?>", nl), ("(?is)</?(p|div|section|ul|ol|table|tr)\\b[^>]*>", f"{nl} || {nl}"), ("(?s)<[^>]*>", "''"), ("[ \\t]+", "' '"), (" ?\\n ?", nl), ("\\n{3,}", f"{nl} || {nl}")):
+        md = f"regexp_replace({md}, '{pattern}', {to}, 'g')"
+    plain = "regexp_replace({0}, '(?s)<[^>]*>', '', 'g')".format
+    some = "nullif(regexp_extract(h, '(?is)<{0}\\b[^>]*>(.*)</{0}>', 1), '')".format
+    return f"""WITH b AS (SELECT url, {h} AS h FROM pages), r AS (SELECT url, coalesce({some('article')}, {some('main')}, nullif(regexp_extract(h, '(?is)<body[^>]*>(.*?)(</body>|$)', 1), ''), h) AS region FROM b),
+    l AS (SELECT url, region, list_filter(string_split(trim({md}), chr(10)), lambda x: x <> '') AS ls FROM r), c AS (SELECT url, array_to_string([x FOR x, i IN ls IF NOT (length(x) <= 40 AND list_position(ls, x) < i)], chr(10)) AS markdown, CAST(length(trim({plain('region')})) AS INTEGER) AS chars, coalesce(list_sum([length(trim({plain('x')})) FOR x IN regexp_extract_all(region, '(?is)<a\\b[^>]*>(.*?)</a>', 1)]), 0) AS lc FROM l),
+    d AS (SELECT url, markdown, chars, {R('CASE WHEN chars > 0 THEN CAST(lc AS DOUBLE) / chars ELSE 0 END', 3)} AS link_density FROM c) SELECT *, link_density > 0.5 OR chars < 100 AS boilerplate FROM d"""
+
+
+@query("h3_main_content", _main_sql())
 def h3_main_content(spark, d):
     return P.main_content(pages(spark, d))
 
@@ -307,6 +326,54 @@ def f14_candidate_identity(spark, d):
 
 
 _QL = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_ALL_RULES = ["http_error", "fetch_failed", "redirect", "redirect_chain", "redirect_loop", "title_missing", "title_too_long", "title_duplicate", "description_missing", "description_too_long", "h1_missing", "h1_multiple", "noindex", "robots_conflict", "canonical_missing", "canonical_invalid", "canonical_mismatch", "thin_content", "images_no_alt", "broken_links", "orphan_sitemap_page", "slow_response", "js_rendered", "viewport_missing", "lang_missing", "jsonld_invalid", "organization_schema_incomplete", "open_graph_incomplete", "twitter_card_incomplete", "mixed_content", "security_headers_missing"]
+
+
+@query("h6_all_rules", f"SELECT page_id, {_QL(_ALL_RULES)}[1 + page_id % {len(_ALL_RULES)}] AS rule FROM pages")
+def h6_all_rules(spark, d):
+    """A sound page for every page of the table, each with the one fault of its number: every audit rule fires, and no other."""
+    i = F.col("page_id")
+    fault = F.element_at(F.array(*[F.lit(r) for r in _ALL_RULES]), (i % len(_ALL_RULES) + 1).cast("int"))
+    p = pages(spark, d).select("page_id", fault.alias("fault"), i.cast("string").alias("n"))
+    is_ = lambda *rules: F.col("fault").isin(*rules)
+    root = is_("organization_schema_incomplete", "security_headers_missing")
+    url = F.when(root, F.concat(F.lit("https://o"), "n", F.lit(".example/"))).otherwise(F.concat(F.lit("https://s.example/p/"), "n"))
+    p = p.withColumn("url", url)
+    tag = lambda rule, bad, good: F.when(is_(rule), bad if isinstance(bad, Column) else F.lit(bad)).otherwise(good if isinstance(good, Column) else F.lit(good))
+    meta = lambda key, value: f"<meta name='{key}' content='{value}'>"
+    own = F.concat(F.lit("Page "), "n")
+    title = F.when(is_("title_missing"), "").when(is_("title_too_long"), F.concat(own, F.lit(" long" * 15))).when(is_("title_duplicate"), "Same").otherwise(own)
+    canonical = F.when(is_("canonical_missing"), "").when(is_("canonical_invalid"), "<link rel='canonical' href='nowhere'>").when(is_("canonical_mismatch"), "<link rel='canonical' href='https://other.example/x'>").otherwise(F.concat(F.lit("<link rel='canonical' href='"), "url", F.lit("'>")))
+    robots = F.when(is_("noindex"), meta("robots", "noindex")).when(is_("robots_conflict"), meta("robots", "follow, nofollow")).otherwise("")
+    text = F.when(is_("js_rendered"), "<div id='root'></div>").when(is_("thin_content"), "word " * 50).otherwise("word " * 200)
+    html = F.concat(
+        tag("lang_missing", "<html>", "<html lang='en'>"), F.lit("<head><title>"), title, F.lit("</title>"), tag("viewport_missing", "", meta("viewport", "w")),
+        F.when(is_("description_missing"), "").when(is_("description_too_long"), meta("description", "d" * 170)).otherwise(meta("description", "d")), canonical, robots, F.lit(meta("og:title", "x") + meta("og:description", "x")), tag("open_graph_incomplete", "", meta("og:image", "x")),
+        tag("twitter_card_incomplete", meta("twitter:card", "x"), ""), tag("jsonld_invalid", "<script type='application/ld+json'>{bad</script>", ""), tag("organization_schema_incomplete", '<script type=\'application/ld+json\'>{"@type": "Organization", "name": "x"}</script>', ""),
+        F.lit("</head><body>"), F.when(is_("h1_missing"), "").when(is_("h1_multiple"), "<h1>A</h1><h1>B</h1>").otherwise("<h1>A</h1>"), tag("images_no_alt", "<img src='a.png'>", ""), tag("mixed_content", "<img alt='x' src='http://x.example/a.png'>", ""), text, F.lit("</body></html>"),
+    )
+    headers = F.when(is_("security_headers_missing"), F.expr("map('X-Frame-Options', 'deny')")).otherwise(F.create_map(*[F.lit(x) for h in P.SECURITY_HEADERS for x in (h, "on")]))
+    status = F.when(is_("http_error"), 404).when(is_("fetch_failed"), 0).when(is_("redirect"), 301).otherwise(200)
+    whole = p.select("page_id", "url", html.alias("html"), status.alias("http_status"), tag("slow_response", F.lit(4000), F.lit(100)).alias("load_ms"), headers.alias("headers"), is_("orphan_sitemap_page").alias("from_sitemap"))
+    health = p.select("url", tag("orphan_sitemap_page", F.lit(0), F.lit(2)).alias("inbound_links"), tag("broken_links", F.lit(1), F.lit(0)).alias("broken_links"))
+    traces = p.select("url", tag("redirect_chain", F.lit(2), F.lit(0)).alias("hops"), is_("redirect_loop").alias("loop"))
+    return P.audit_pages(P.page_facts(whole), health, traces).select("page_id", F.explode("issues").alias("rule"))
+
+
+@query("f15_url_variants", "SELECT page_id, rtrim(url, '/') AS bare, rtrim(url, '/') || '/' AS slashed FROM pages")
+def f15_url_variants(spark, d):
+    v = U.url_variants(F.col("url"))
+    return pages(spark, d).select("page_id", v[0].alias("bare"), v[1].alias("slashed"))
+
+
+@query("f21_resource_type", "SELECT page_id, ['html', 'document', 'image', 'xml', 'json', 'unknown', 'document', 'other'][1 + page_id % 8] AS kind FROM pages")
+def f21_resource_type(spark, d):
+    i = F.col("page_id") % 8
+    kinds = ["Text/HTML; charset=utf-8", "application/pdf", "image/png", "application/xml", "application/json", None, "", "video/mp4"]
+    given = F.element_at(F.array(*[F.lit(k) for k in kinds]), (i + 1).cast("int"))
+    return pages(spark, d).select("page_id", U.resource_type(given, F.when(i == 6, "https://s.example/a.PDF?x=1").otherwise("https://s.example/a")).alias("kind"))
+
+
 _CLASS = f"""CASE WHEN contains(sm, 'news-release') OR contains(path, 'news-release') OR contains(path, '/press-release') THEN 'news_release' WHEN contains(sm, 'page-sitemap') THEN 'core_page' WHEN contains(sm, 'post-sitemap') THEN 'article' WHEN contains(sm, 'corporate-media') THEN 'corporate_media' WHEN contains(sm, 'article') THEN 'article' WHEN contains(sm, 'webcast') THEN 'webcast'
  WHEN contains(sm, 'category') OR list_has_any(sg, {_QL(U.ARCHIVE_SEGMENTS)}) THEN 'archive_taxonomy' WHEN regexp_matches(path, '\\.(pdf|docx?|xlsx?)$') OR list_has_any(sg, {_QL(U.DISCLOSURE_SEGMENTS)}) THEN 'document_disclosure' WHEN list_has_any(sg, {_QL(U.CORE_SEGMENTS)}) OR len(sg) <= 1 THEN 'core_page'
  WHEN list_has_any(sg, {_QL(U.NEWS_SEGMENTS)}) THEN 'news_release' WHEN list_has_any(sg, {_QL(U.EVIDENCE_SEGMENTS)}) THEN 'supporting_evidence' ELSE 'unknown' END"""

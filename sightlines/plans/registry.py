@@ -30,7 +30,9 @@ def query(name: str, sql: str | None = None, facts: str = ""):
                 need(n)
             parts = [f"{n} AS ({SQL[n][1]})" for n in wanted]
             body = sql.strip()
-            if parts and body.upper().startswith("WITH "):
+            if parts and body.upper().startswith("WITH RECURSIVE "):
+                body = "WITH RECURSIVE " + ", ".join(parts) + ", " + body[15:]
+            elif parts and body.upper().startswith("WITH "):
                 body = "WITH " + ", ".join(parts) + ", " + body[5:]
             elif parts:
                 body = "WITH " + ", ".join(parts) + " " + body

@@ -475,3 +475,48 @@ def a11_breakdown(spark, d):
     n = F.substring("query", 2, 9).cast("bigint") % 3
     x = facts.page_query(spark, d).withColumn("device", F.when(n == 0, "mobile").when(n == 1, "desktop").otherwise("tablet"))
     return S.breakdown(x, "device", AS_OF, 15).select("site_id", "device", "clicks", "prev_clicks", "impressions", "prev_impressions", "clicks_change", "status")
+
+
+@query("n5_week_key", "SELECT DISTINCT date, year(date) || '-W' || lpad(CAST((dayofyear(date) - 1) // 7 + 1 AS VARCHAR), 2, '0') AS week FROM event", "event")
+def n5_week_key(spark, d):
+    from sightlines.functions.numbers import week_key
+
+    return facts.event(spark, d).select("date", week_key("date").alias("week")).distinct()
+
+
+@query("n6_rank_potential", f"SELECT keyword, country, provider, volume, greatest(0.0::DOUBLE, {R('volume * 0.1::DOUBLE', 0)} - kd) AS potential FROM keyword_metric WHERE kd IS NOT NULL", "keyword_metric")
+def n6_rank_potential(spark, d):
+    from sightlines.functions.numbers import rank_potential
+
+    return facts.keyword_metric(spark, d).filter("kd is not null").select("keyword", "country", "provider", "volume", rank_potential("volume", "kd").alias("potential"))
+
+
+@query("n7_checkpoint_due", "SELECT event_id, day, date_diff('day', date, DATE '2024-01-30') >= day + 3 AS due FROM event, (VALUES (0), (7), (28)) v(day)", "event")
+def n7_checkpoint_due(spark, d):
+    from sightlines.functions.numbers import checkpoint_due
+
+    e = facts.event(spark, d).select("event_id", "ts", F.explode(F.array(F.lit(0), F.lit(7), F.lit(28))).alias("day"))
+    return e.select("event_id", "day", checkpoint_due("ts", "day", AS_OF).alias("due"))
+
+
+@query("n8_parse_moment", "SELECT event_id, CASE WHEN event_id % 3 < 2 THEN date_trunc('second', ts) END AS ts FROM event", "event")
+def n8_parse_moment(spark, d):
+    from sightlines.functions.numbers import parse_moment
+
+    e, i = facts.event(spark, d), F.col("event_id") % 3
+    whole = F.date_trunc("second", F.col("ts").cast("timestamp"))
+    text = F.when(i == 0, F.unix_millis(whole).cast("string")).when(i == 1, F.date_format(whole, "yyyy-MM-dd'T'HH:mm:ss")).otherwise("soon")
+    return e.select("event_id", parse_moment(text).cast("timestamp_ntz").alias("ts"))
+
+
+@query("p1_grain", "SELECT 'site' AS grain, site_id, CAST(count(*) AS BIGINT) AS n FROM site_day GROUP BY 2 UNION ALL SELECT 'page', site_id, count(*) FROM page_day GROUP BY 2 UNION ALL SELECT 'page_query', site_id, count(*) FROM page_query GROUP BY 2", "site_day page_day page_query")
+def p1_grain(spark, d):
+    """Three grains told apart in one table by empty strings."""
+    s, p, q = (f(spark, d) for f in (facts.site_day, facts.page_day, facts.page_query))
+    none = F.lit("")
+    mixed = s.select("site_id", none.alias("url"), none.alias("query")).unionByName(p.select("site_id", "url", none.alias("query"))).unionByName(q.select("site_id", "url", "query"))
+    out = None
+    for g in ("site", "page", "page_query"):
+        part = S.grain(mixed, g).groupBy("site_id").agg(F.count("*").alias("n")).select(F.lit(g).alias("grain"), "site_id", "n")
+        out = part if out is None else out.unionByName(part)
+    return out
