@@ -191,8 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 
 def score(docs: DataFrame, model: Trees) -> DataFrame:
-    """docs, all columns, with quality_score appended."""
-    at, name = docs.columns.index("text"), "quality_score"
+    """docs, all columns, with quality_score appended; a column of that name is replaced."""
+    name = "quality_score"
+    docs = docs.select(*[c for c in docs.columns if c.lower() != name])
+    at = docs.columns.index("text")
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
