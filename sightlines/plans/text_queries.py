@@ -101,7 +101,7 @@ def a5_cannibalization_related(spark, d):
 @query(
     "a5_flip_flops",
     f"""WITH {_PROFILE}, dy AS (SELECT site_id, norm, date, url, sum(impressions) AS i, CAST(sum(CAST(position AS DECIMAL(18,6)) * greatest(1, impressions)) AS DOUBLE) / sum(greatest(1, impressions)) AS p FROM iq WHERE NOT contains(norm, site_id) GROUP BY ALL), wn AS (SELECT * FROM dy QUALIFY row_number() OVER (PARTITION BY site_id, norm, date ORDER BY i DESC, p, url) = 1),
-    lg AS (SELECT *, lag(url) OVER (PARTITION BY site_id, norm ORDER BY date) AS before FROM wn) SELECT site_id, norm, CAST(count_if(before <> url) AS BIGINT) AS flips FROM lg GROUP BY ALL""",
+    lg AS (SELECT *, lag(url) OVER (PARTITION BY site_id, norm ORDER BY date) AS before FROM wn) SELECT site_id, norm, CAST(coalesce(count_if(before <> url), 0) AS BIGINT) AS flips FROM lg GROUP BY ALL""",
     "intent_query",
 )
 def a5_flip_flops(spark, d):
