@@ -102,10 +102,16 @@ def parse_sitemaps(docs: DataFrame) -> DataFrame:
     )
 
 
+def read_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """(url, body) of inventory files, one row each; gzip files (.gz) are unpacked by Spark's reader."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("body"))
+
+
 def parse_inventory(docs: DataFrame) -> DataFrame:
-    """Urls of text lists, JSON and feeds as well: every absolute address of a document, with the kind of source."""
+    """Urls of text lists, JSON (however deep) and feeds as well: every absolute address of a document, with the kind of source."""
     kind = F.when(F.col("body").rlike("(?is)<(urlset|sitemapindex)"), "sitemap").when(F.col("body").rlike("(?is)<(rss|feed)[\\s>]"), "feed").when(F.col("body").rlike(r"^\s*[\[{]"), "json").otherwise("text")
-    found = F.regexp_extract_all("body", F.lit(r"""(https?://[^\s<>"'\\,\]}]+)"""), F.lit(1))
+    plain = F.when(kind == "json", F.replace("body", F.lit(r"\/"), F.lit("/"))).when(kind.isin("feed", "sitemap"), F.replace("body", F.lit("&amp;"), F.lit("&"))).otherwise(F.col("body"))
+    found = F.regexp_extract_all(plain, F.lit(r"""(https?://[^\s<>"'\\,\]}]+)"""), F.lit(1))
     return docs.select(F.col("url").alias("source"), kind.alias("source_type"), F.explode(F.array_distinct(found)).alias("url"))
 
 

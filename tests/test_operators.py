@@ -259,3 +259,16 @@ def test_alerts_of_every_kind(spark):
     assert got == {
         ("traffic_drop", "s", "s", "traffic_drop:s:2024w5"), ("rank_drop", "s", "k", "rank_drop:s:k:2024-01-30"), ("ssl_expiry", "s", "h", "ssl_expiry:s:2024w5"), ("audit_score", "t", "3", "audit_score:3"), ("lost_link", "s", "2", "lost_link:s:2024-01-30"),
     }
+
+
+def test_inventories_of_every_kind(spark, tmp_path):
+    import gzip
+
+    (tmp_path / "in").mkdir()
+    with gzip.open(tmp_path / "in" / "map.xml.gz", "wt") as f:
+        f.write("<urlset><url><loc>https://a.example/x?b=1&amp;c=2</loc></url></urlset>")
+    (tmp_path / "in" / "deep.json").write_text('{"a": [{"b": {"url": "https:\\/\\/a.example\\/j"}}, "https://a.example/k"]}')
+    (tmp_path / "in" / "list.txt").write_text("https://a.example/1\n\nhttps://a.example/2\nnothing\n")
+    (tmp_path / "in" / "feed.rss").write_text("<rss><item><link>https://a.example/f</link></item></rss>")
+    got = {(r.source_type, r.url) for r in ingest.parse_inventory(ingest.read_inventory(spark, str(tmp_path / "in"))).collect()}
+    assert got == {("sitemap", "https://a.example/x?b=1&c=2"), ("json", "https://a.example/j"), ("json", "https://a.example/k"), ("text", "https://a.example/1"), ("text", "https://a.example/2"), ("feed", "https://a.example/f")}
