@@ -150,14 +150,14 @@ def _active(rows: DataFrame, least: int = 3) -> DataFrame:
     return q.filter((F.col("i") >= least) & (F.size("tokens") > 0))
 
 
-def related_pairs(page_query: DataFrame, brands: DataFrame | None = None, most: int = 200) -> DataFrame:
+def related_pairs(page_query: DataFrame, brands: DataFrame | None = None, most: int = 200, keep=lambda df: df) -> DataFrame:
     """Query pairs (a, b: normalised) of a site whose words or pages overlap enough.
 
     Candidates come from two inverted lists, by token and by url; a list with more than
     `most` queries says nothing about intent and is left out, as the definition has it.  An edge
     needs weighted word similarity 0.45, or 0.2 with url overlap 0.25, or a shared word with url overlap 0.66.
     """
-    return _edges(_active(_profiles(page_query, brands)), most)
+    return _edges(keep(_active(_profiles(page_query, brands))), most)
 
 
 def _edges(q: DataFrame, most: int) -> DataFrame:
@@ -304,20 +304,17 @@ def tokens(text: Column) -> Column:
     return F.transform(found, lambda t: F.when(t.rlike("^[a-z0-9'-]*$"), t).otherwise(fold(t)))
 
 
-def doc_windows(docs: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, window, w, n): tokens in windows of `size`; a last one under LEAST_WINDOW is left out unless it is the only one.
+_DOC = "\0"  # stands once in every counted document, so its count is theirs; no word has it
 
-    A document without tokens has one window without a word; n counts its tokens.
-    """
-    t = docs.select("doc_id", tokens(F.col("text")).alias("t")).withColumn("n", F.size("t"))
-    t = t.select("doc_id", "n", F.posexplode_outer("t").alias("i", "w")).withColumn("window", F.coalesce(F.floor(F.col("i") / size).cast("int"), F.lit(0)))
-    return t.filter((F.col("window") == 0) | (F.least(F.col("n") - F.col("window") * size, F.lit(size)) >= LEAST_WINDOW)).select("doc_id", "window", "w", "n")
 
+def marker_counts(human: DataFrame, machine: DataFrame, documents: bool = False) -> DataFrame:
+    """(w, human_n, human_docs, machine_n, machine_docs) of every word, over documents of LEAST_WINDOW tokens or more.
 
-def marker_counts(human: DataFrame, machine: DataFrame) -> DataFrame:
-    """(w, human_n, human_docs, machine_n, machine_docs) of every word, over documents of LEAST_WINDOW tokens or more."""
+    With `documents`, one more row, named by a zero character, counts the documents of each side.
+    """
     def side(df: DataFrame, name: str) -> DataFrame:
-        w = df.select("doc_id", tokens(F.col("text")).alias("t")).filter(F.size("t") >= LEAST_WINDOW).select("doc_id", F.explode("t").alias("w"))
+        t = df.select("doc_id", tokens(F.col("text")).alias("t")).filter(F.size("t") >= LEAST_WINDOW)
+        w = t.select("doc_id", F.explode(F.array_append("t", F.lit(_DOC)) if documents else F.col("t")).alias("w"))
         each = w.groupBy("w", "doc_id").agg(F.count("*").alias("c"))
         return each.groupBy("w").agg(F.sum("c").alias(f"{name}_n"), F.count("*").alias(f"{name}_docs"))
 
@@ -330,11 +327,12 @@ def train_marker_model(human: DataFrame, machine: DataFrame, least_docs: int = 3
     weight is the log-odds of machine against human text for words in least_docs documents or more of a side.
     Fewer than three documents of a side, or LEAST_VOCABULARY words, give no model.  Callers hold documents for `calibrate` back.
     """
-    long_docs = lambda df: df.select(tokens(F.col("text")).alias("t")).filter(F.size("t") >= LEAST_WINDOW).agg(F.count("*").alias("k"))
-    counts = marker_counts(human, machine)
-    total = counts.agg(F.sum("human_n").alias("hn"), F.sum("machine_n").alias("mn"))  # one row, as the next ones
-    known = counts.filter((F.col("human_docs") >= least_docs) | (F.col("machine_docs") >= least_docs))
-    one = total.join(known.agg(F.count("*").alias("v"))).join(long_docs(human).withColumnRenamed("k", "hd")).join(long_docs(machine).withColumnRenamed("k", "md"))
+    counts = marker_counts(human, machine, documents=True)
+    word = F.col("w") != _DOC
+    often = word & ((F.col("human_docs") >= least_docs) | (F.col("machine_docs") >= least_docs))
+    known = counts.filter(often)
+    of = lambda c, on: F.coalesce(F.sum(F.when(on, F.col(c))), F.lit(0))
+    one = counts.agg(of("human_n", word).alias("hn"), of("machine_n", word).alias("mn"), F.count_if(often).alias("v"), of("human_docs", ~word).alias("hd"), of("machine_docs", ~word).alias("md"))  # one row
     odds = lambda n, of: F.log((n + smooth) / (of + smooth * F.col("v")))
     t = known.join(F.broadcast(one)).filter((F.col("v") >= LEAST_VOCABULARY) & (F.col("hd") >= 3) & (F.col("md") >= 3))
     t = t.withColumns({"raw": odds(F.col("machine_n"), F.col("mn")) - odds(F.col("human_n"), F.col("hn")), "docs": F.col("human_docs") + F.col("machine_docs")})
@@ -342,10 +340,25 @@ def train_marker_model(human: DataFrame, machine: DataFrame, least_docs: int = 3
     return t.orderBy(F.desc("pull"), "w").limit(size).drop("pull")
 
 
+def _windows(docs: DataFrame, model: DataFrame, size: int) -> DataFrame:
+    """(doc_id, window, words, hits, total): words of every window, those that the model knows and the sum of their weights."""
+    t = docs.select("doc_id", F.posexplode_outer(tokens(F.col("text"))).alias("i", "w")).withColumn("window", F.coalesce(F.floor(F.col("i") / size).cast("int"), F.lit(0)))
+    w = t.join(F.broadcast(model.select("w", "weight")), "w", "left")  # a model has `size` words at most
+    return w.groupBy("doc_id", "window").agg(F.count("w").alias("words"), F.count("weight").alias("hits"), F.sum(F.round(F.col("weight") * 1e4).cast("bigint")).alias("total"))
+
+
+def _llr() -> Column:
+    return F.coalesce(F.col("total") / (1e4 * F.col("hits")), F.lit(0.0))
+
+
+def _counted() -> Column:
+    """Whether a window counts: a last one under LEAST_WINDOW words does not, unless it is the only one."""
+    return (F.col("window") == 0) | (F.col("words") >= LEAST_WINDOW)
+
+
 def window_scores(docs: DataFrame, model: DataFrame, size: int = WINDOW) -> DataFrame:
-    """(doc_id, window, llr): mean weight of the words of each window that the model knows, 0 without one."""
-    w = doc_windows(docs, size).join(F.broadcast(model.select("w", "weight")), "w", "left")  # a model has `size` words at most
-    return w.groupBy("doc_id", "window").agg(F.coalesce(F.sum(F.round(F.col("weight") * 1e4).cast("bigint")) / (1e4 * F.count("weight")), F.lit(0.0)).alias("llr"))
+    """(doc_id, window, llr): mean weight of the words of each window that the model knows, 0 without one; an empty document has one window."""
+    return _windows(docs, model, size).filter(_counted()).select("doc_id", "window", _llr().alias("llr"))
 
 
 def calibrate(human_held: DataFrame, machine_held: DataFrame, model: DataFrame) -> DataFrame:
@@ -364,12 +377,9 @@ def calibrate(human_held: DataFrame, machine_held: DataFrame, model: DataFrame)
 def score_documents(docs: DataFrame, model: DataFrame, calibration: DataFrame, size: int = WINDOW) -> DataFrame:
     """doc_id, score (0..100: the mean of its windows' calibrated scores), verdict, words, markers (words that the model knows)."""
     span = F.col("cal_machine") - F.col("cal_human")
-    pct = F.when(span != 0, js_round((F.col("llr") - F.col("cal_human")) / span * 100))
-    s = window_scores(docs, model, size).join(F.broadcast(calibration)).withColumn("s", F.greatest(F.lit(0.0), F.least(F.lit(100.0), pct)))
-    per = s.groupBy("doc_id").agg(js_round(F.sum(F.col("s").cast("bigint")) / F.count("*")).cast("int").alias("score"), F.count("*").alias("windows"))
-    t = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    known = t.select("doc_id", F.explode("t").alias("w")).join(F.broadcast(model.select("w")), "w").groupBy("doc_id").agg(F.count("*").alias("markers"))
-    out = per.join(t.select("doc_id", F.size("t").alias("words")), "doc_id").join(known, "doc_id", "left").fillna(0, ["markers"])
+    pct = F.when(span != 0, js_round((_llr() - F.col("cal_human")) / span * 100))
+    s = _windows(docs, model, size).join(F.broadcast(calibration)).withColumn("s", F.when(_counted(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), pct)).cast("bigint")))
+    out = s.groupBy("doc_id").agg(js_round(F.sum("s") / F.count("s")).cast("int").alias("score"), F.count_if(_counted()).alias("windows"), F.sum("words").alias("words"), F.sum("hits").alias("markers"))
     return out.withColumn("verdict", F.when(F.col("score") < 15, "human").when(F.col("score") < 40, "mixed").otherwise("ai"))
 
 

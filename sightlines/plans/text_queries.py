@@ -89,7 +89,7 @@ def _sites(spark, d):
 
 @query("a5_related_pairs", f"WITH {_PROFILE} SELECT site_id, a, b, lexical, url_overlap, array_to_string(shared, '|') AS shared_tokens FROM ed WHERE lexical >= 0.45 OR (lexical >= 0.2 AND url_overlap >= 0.25) OR (len(shared) > 0 AND url_overlap >= 0.66)", "intent_query")
 def a5_related_pairs(spark, d):
-    return T.related_pairs(facts.intent_query(spark, d), _sites(spark, d)).withColumn("shared_tokens", F.array_join("shared_tokens", "|"))
+    return T.related_pairs(facts.intent_query(spark, d), _sites(spark, d), keep=keep).withColumn("shared_tokens", F.array_join("shared_tokens", "|"))
 
 
 @query("a5_cannibalization_related")
@@ -188,7 +188,7 @@ def m1_word_counts(spark, d):
 @query(
     "m2_score_documents",
     f"""WITH {_MODEL}, {_WINDOWS}, sc AS (SELECT doc_id, CAST(greatest(0.0, least(100.0, {R('(llr - cal_human) / (cal_machine - cal_human) * 100', 0)})) AS BIGINT) AS s FROM ws, ca), pd AS (SELECT doc_id, CAST({R('CAST(sum(s) AS DOUBLE) / count(*)', 0)} AS INTEGER) AS score, count(*) AS windows FROM sc GROUP BY 1),
-    mk AS (SELECT doc_id, count(*) AS markers FROM (SELECT doc_id, unnest(t) AS w FROM dk) JOIN md USING (w) GROUP BY 1) SELECT doc_id, score, windows, CAST(len(t) AS INTEGER) AS words, coalesce(markers, 0) AS markers, CASE WHEN score < 15 THEN 'human' WHEN score < 40 THEN 'mixed' ELSE 'ai' END AS verdict FROM pd JOIN dk USING (doc_id) LEFT JOIN mk USING (doc_id)""",
+    mk AS (SELECT doc_id, count(*) AS markers FROM (SELECT doc_id, unnest(t) AS w FROM dk) JOIN md USING (w) GROUP BY 1) SELECT doc_id, score, windows, CAST(len(t) AS BIGINT) AS words, coalesce(markers, 0) AS markers, CASE WHEN score < 15 THEN 'human' WHEN score < 40 THEN 'mixed' ELSE 'ai' END AS verdict FROM pd JOIN dk USING (doc_id) LEFT JOIN mk USING (doc_id)""",
 )
 def m2_score_documents(spark, d):
     return T.score_documents(docs(spark, d), *_model(spark, d))
