@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, pii, quality, repeats, secrets, simhash, urls
+from . import chat, decontaminate, jaccard, mixing, periodic, pii, quality, repeats, secrets, simhash, urls
 from .session import table, text_batches
 
 
@@ -70,9 +70,50 @@ def op10_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pareto_mix, op3_decontaminate, op4_pii, op5_secrets, op6_chat_examples, op7_quality, op8_repeats, op9_jaccard, op10_url_rules, simhash_near)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    found = periodic.find(table(spark, sf_dir, "documents").select("doc_id", "text"), rewrite=periodic.fold_tails)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return found.withColumn("top", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("top.start")).alias("start"), F.col("top.length").alias("length"), (-F.col("top.period")).alias("period"),
+        F.expr("1000 * top.length div -top.period").alias("exponent_milli"), digest(F.array_join(lines, "")).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pareto_mix, op3_decontaminate, op4_pii, op5_secrets, op6_chat_examples, op7_quality, op8_repeats, op9_jaccard, op10_url_rules, op11_periodic_runs, simhash_near)}
 _WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _crc(name: str, rows: str, text: str) -> str:
+    """CTEs for DuckDB: {name}(key, h) is the crc32 of `text` of each distinct key of `rows`, byte by byte with a derived table."""
+    return f"""{name}_bits(b, i, c) AS (SELECT range, 0, range FROM range(256) UNION ALL SELECT b, i + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM {name}_bits WHERE i < 8),
+{name}_table AS MATERIALIZED (SELECT list(c ORDER BY b) AS t FROM {name}_bits WHERE i = 8),
+{name}_keys AS (SELECT DISTINCT {text} AS key FROM {rows}),
+{name}_steps(key, rest, c) AS (SELECT key, hex(encode(key)), 4294967295 FROM {name}_keys WHERE key IS NOT NULL
+  UNION ALL SELECT key, rest[3:], xor(c >> 8, t[CAST(xor(c & 255, CAST('0x' || rest[1:2] AS BIGINT)) AS BIGINT) + 1]) FROM {name}_steps, {name}_table WHERE rest <> ''),
+{name} AS MATERIALIZED (SELECT key, xor(c, 4294967295) AS h FROM {name}_steps WHERE rest = '')"""
+
+
 ORACLES: dict[str, str] = {
+    "op11_periodic_runs": rf"""
+WITH RECURSIVE {_crc("crc", "documents", "CAST(doc_id AS VARCHAR)")},
+plain AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+numbers AS (SELECT r, doc_id, w, h, len(w) AS n, h // 10 AS g FROM plain LEFT JOIN crc ON key = CAST(doc_id AS VARCHAR)),
+folds AS (SELECT *, g % n AS a, 1 + (n - g % n) // (3 + g % 8) AS p FROM numbers WHERE h % 10 = 0 AND n > 0),
+docs AS MATERIALIZED (SELECT r, doc_id, w FROM numbers WHERE h IS NULL OR h % 10 <> 0 OR n = 0
+  UNION ALL SELECT r, doc_id, [w[CAST(CASE WHEN i >= a THEN a + (i - a) % p ELSE i END AS BIGINT) + 1] FOR i IN range(n)] FROM folds),
+words AS MATERIALIZED (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM docs),
+same AS (SELECT a.r, b.i - a.i AS q, a.i FROM words a JOIN words b ON a.r = b.r AND a.x = b.x AND a.i < b.i),
+spans AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS grp FROM same) GROUP BY r, q, grp HAVING count(*) + q >= greatest(12, 2 * q)),
+runs AS MATERIALIZED (SELECT r, start, length, min(q) AS period FROM spans GROUP BY r, start, length),
+gone AS (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM runs),
+per AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines, min(struct_pack(l := -length, s := start, p := period)) AS top FROM runs GROUP BY r),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS text FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, top.s AS start, -top.l AS length, top.p AS period, 1000 * -top.l // top.p AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM docs LEFT JOIN per USING (r) LEFT JOIN kept USING (r)
+""",
     "op9_jaccard": rf"""
 WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORDS}') AS w FROM documents),
 sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM docs),
