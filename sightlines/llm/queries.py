@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, periodic, pii, quality, repeats, secrets, simhash, urls
+from . import chat, decontaminate, jaccard, mixing, passages, periodic, pii, quality, repeats, secrets, simhash, urls
 from .session import table, text_batches
 
 
@@ -82,7 +82,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pareto_mix, op3_decontaminate, op4_pii, op5_secrets, op6_chat_examples, op7_quality, op8_repeats, op9_jaccard, op10_url_rules, op11_periodic_runs, simhash_near)}
+def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text_batches(spark)
+    out = passages.remove(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pareto_mix, op3_decontaminate, op4_pii, op5_secrets, op6_chat_examples, op7_quality, op8_repeats, op9_jaccard, op10_url_rules, op11_periodic_runs, op13_repeated_passages, simhash_near)}
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -97,6 +104,15 @@ def _crc(name: str, rows: str, text: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op13_repeated_passages": rf"""
+WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
+windows AS (SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
+hits AS (SELECT r, i FROM (SELECT r, i, doc_id, min(doc_id) OVER (PARTITION BY k) AS lo FROM windows) WHERE lo < doc_id),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 50)) AS i FROM hits),
+words AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM docs),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS text, count(*) AS n FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256 FROM docs LEFT JOIN kept USING (r)
+""",
     "op11_periodic_runs": rf"""
 WITH RECURSIVE {_crc("crc", "documents", "CAST(doc_id AS VARCHAR)")},
 plain AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
