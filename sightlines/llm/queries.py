@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, jaccard, mixing, passages, periodic, pii, quality, repeats, secrets, simhash, urls
+from . import chat, decontaminate, jaccard, mixing, passages, periodic, pii, quality, repeats, secrets, simhash, spelling, urls
 from .session import table, text_batches
 
 
@@ -82,6 +82,12 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"))
+    words = runs.select(spelling.one_dropped(F.col("doc_id"), F.col("run")).alias("word"))
+    return spelling.group(spelling.counted(words))
+
+
 def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     text_batches(spark)
     out = passages.remove(table(spark, sf_dir, "documents"))
@@ -89,7 +95,7 @@ def op13_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_removed.alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_pareto_mix, op3_decontaminate, op4_pii, op5_secrets, op6_chat_examples, op7_quality, op8_repeats, op9_jaccard, op10_url_rules, op11_periodic_runs, op13_repeated_passages, simhash_near)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_pareto_mix, op3_decontaminate, op4_pii, op5_secrets, op6_chat_examples, op7_quality, op8_repeats, op9_jaccard, op10_url_rules, op11_periodic_runs, op12_spelling_variants, op13_repeated_passages, simhash_near)}
 _WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -104,6 +110,19 @@ def _crc(name: str, rows: str, text: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op12_spelling_variants": rf"""
+WITH RECURSIVE runs AS MATERIALIZED (SELECT doc_id, run, CAST(count(*) AS BIGINT) AS m FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents) GROUP BY ALL),
+{_crc("crc", "runs", "CAST(doc_id AS VARCHAR) || ':' || run")},
+words AS MATERIALIZED (SELECT CASE WHEN h % 97 = 0 THEN left(run, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word, CAST(sum(m) AS BIGINT) AS n
+  FROM runs LEFT JOIN crc ON key = CAST(doc_id AS VARCHAR) || ':' || run GROUP BY 1 HAVING length(word) >= 5 AND sum(m) >= 3),
+shorter AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS v FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (SELECT a.word, b.word AS o, b.n AS m FROM shorter a JOIN shorter b ON a.i = b.i AND a.v = b.v AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM words a JOIN shorter b ON b.v = a.word UNION SELECT b.word, a.word, a.n FROM words a JOIN shorter b ON b.v = a.word),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(m := -m, o := o)) AS top FROM pairs GROUP BY word),
+formed AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -top.m >= 2 * n THEN top.o END AS form, CASE WHEN -top.m >= 2 * n THEN -top.m END AS form_n FROM words LEFT JOIN best USING (word)),
+walk(word, root) AS (SELECT word, coalesce(form, word) FROM formed UNION SELECT w.word, f.form FROM walk w JOIN formed f ON w.root = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n, f.n_near, f.form_n FROM formed f JOIN walk w USING (word) JOIN formed last ON w.root = last.word WHERE last.form IS NULL
+""",
     "op13_repeated_passages": rf"""
 WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '{_WORDS}') AS w FROM documents),
 windows AS (SELECT r, doc_id, i, array_to_string(w[i:i + 49], ' ') AS k FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM docs WHERE len(w) >= 50)),
