@@ -13,6 +13,7 @@ from sightlines.functions import urls as U
 from sightlines.operators.keywords import COMMON_DNS
 from sightlines.functions.check_catalogue import EXPECTED, WEIGHTS, catalogue
 from sightlines.functions.numbers import js_round
+from sightlines.operators import structured
 
 
 def _all(html: Column, pattern: str, group: int = 1) -> Column:
@@ -132,7 +133,6 @@ def audit_rules() -> list[tuple[str, str, bool, Column]]:
     html, js = c("has_html") & c("http_status").between(200, 299), c("js_rendered")
     root = F.regexp_replace(U.path_of(c("url")), "/", "") == ""
     has = lambda word: F.arrays_overlap(F.transform(F.split("robots", ","), lambda w: F.trim(w)), F.array(F.lit(word)))
-    org = F.array_join("jsonld", " ")
     bare = lambda x: F.regexp_replace(x, "/+$", "")
     return [
         ("http_error", "critical", True, c("http_status") >= 400),
@@ -161,7 +161,7 @@ def audit_rules() -> list[tuple[str, str, bool, Column]]:
         ("viewport_missing", "warning", True, html & ~c("viewport")),
         ("lang_missing", "info", True, html & (c("lang") == "")),
         ("jsonld_invalid", "warning", True, c("jsonld_bad") > 0),
-        ("organization_schema_incomplete", "info", True, html & root & org.contains('"Organization"') & ~(org.contains('"name"') & org.contains('"url"') & org.contains('"sameAs"'))),
+        ("organization_schema_incomplete", "info", True, html & root & c("organization_gap")),
         ("open_graph_incomplete", "info", True, html & (F.size("og_missing") > 0)),
         ("twitter_card_incomplete", "info", True, html & F.size("twitter_missing").between(1, 2)),
         ("mixed_content", "warning", True, c("mixed_content")),
@@ -201,6 +201,14 @@ def redirect_trace(redirects: DataFrame, most: int = 10) -> DataFrame:
     return open_.select("url", "final_url", F.size("path").alias("hops"), (F.col("loop") | F.coalesce("goes_on", F.lit(False))).alias("loop"))
 
 
+def with_structure(facts: DataFrame) -> DataFrame:
+    """facts and what their JSON-LD holds: types, fields, names, organization_gap; empty where there is none."""
+    own = structured.page_structure(facts).withColumnRenamed("key", "script_key")
+    none = F.expr("cast(array() as array<string>)")
+    joined = facts.join(own, structured.script_key(F.col("jsonld")) == F.col("script_key"), "left").drop("script_key")
+    return joined.withColumns({c: F.coalesce(c, none) for c in ("types", "fields", "names")} | {"organization_gap": F.coalesce("organization_gap", F.lit(False))})
+
+
 def audit_pages(facts: DataFrame, health: DataFrame | None = None, traces: DataFrame | None = None) -> DataFrame:
     """issues (array of rules) of every page of facts."""
     f = facts
@@ -214,6 +222,7 @@ def audit_pages(facts: DataFrame, health: DataFrame | None = None, traces: DataF
         f = f.withColumn("headers_missing", F.exists(F.array(*[F.lit(h) for h in SECURITY_HEADERS]), lambda h: ~F.array_contains(names, h)))
     else:
         f = f.withColumn("headers_missing", F.lit(False))
+    f = with_structure(f)
     copies = F.count(F.when(F.col("has_html") & (F.col("title") != ""), 1)).over(Window.partitionBy("host", F.lower(F.trim("title"))))
     f = f.withColumns({"js_rendered": (F.col("words") < 30) & (F.size("hrefs") <= 1) & (F.col("spa_marker") | (F.col("scripts") >= 10)), "title_copies": copies})
     rules = audit_rules()
@@ -394,7 +403,7 @@ def apply_crawl_policy(urls: DataFrame, allowed: list[str], excluded: list[str],
 
 def check_facts(pages: DataFrame) -> DataFrame:
     """The facts of `page_facts` and those that the check catalogue asks for besides."""
-    f = page_facts(pages)
+    f = with_structure(page_facts(pages))
     low, t = F.lower("html"), F.lower("text")
     kind = U.page_type(F.col("url"))["type"]
     levels = F.transform(F.regexp_extract_all(low, F.lit("<h([1-6])[ >]"), F.lit(1)), lambda x: x.cast("int"))
@@ -406,8 +415,8 @@ def check_facts(pages: DataFrame) -> DataFrame:
     table = F.create_map(*[F.lit(x) for kv in EXPECTED.items() for x in kv])
     return f.withColumns(
         {
-            "html_low": low, "t": t, "ld": F.array_join("jsonld", " "), "links": F.lower(F.array_join("hrefs", " ")), "page_kind": kind, "expected_type": F.element_at(table, kind), "depth": F.size(U.segments(F.col("url"))),
-            "ld_name": F.regexp_extract(F.array_join("jsonld", " "), r'"name"\s*:\s*"([^"]{3,})"', 1), "numbers": F.size(F.regexp_extract_all("text", F.lit(r"(?<![\w.])(\d+(?:[.,]\d+)?%?)"), F.lit(1))), "attributed": t.rlike("according to|source:|study|research|report|survey|cited by"),
+            "html_low": low, "t": t, "links": F.lower(F.array_join("hrefs", " ")), "page_kind": kind, "expected_type": F.element_at(table, kind), "depth": F.size(U.segments(F.col("url"))),
+            "name_shown": F.exists("names", lambda n: (F.length(n) > 2) & F.contains(t, F.lower(n))), "numbers": F.size(F.regexp_extract_all("text", F.lit(r"(?<![\w.])(\d+(?:[.,]\d+)?%?)"), F.lit(1))), "attributed": t.rlike("according to|source:|study|research|report|survey|cited by"),
             "dated": F.col("text").rlike(r"\b(19|20)\d{2}\b") | low.rlike("published_time|modified_time|<time"), "authored": F.col("text").rlike(r"\b([Bb]y|[Aa]uthor:?) [A-Z]\w+") | low.rlike('"author"|rel="author"'), "compares": t.rlike(r"compar|versus|\bvs\b|pros and cons|alternative"),
             "faq": t.rlike(r"frequently asked|\bfaq\b") | (F.size(asks) >= 2), "procedure": (F.col("lists") > 0) & t.rlike(r"how to|\bsteps?\b|\bfirst\b|\bthen\b"), "questions": F.size(asks), "hops": F.lit(0),
             "question_forms": F.size(F.array_distinct(F.transform(asks, lambda h: F.lower(F.regexp_extract(h, r"^(\w+)", 1))))), "opening": F.when(F.size(paragraphs) > 0, word_n(F.element_at(paragraphs, 1))).otherwise(0), "mean_paragraph": mean(paragraphs), "mean_sentence": mean(sentences),

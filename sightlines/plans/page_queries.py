@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sightlines.functions import urls as U
 from sightlines.operators import pages as P
+from sightlines.operators import structured as ST
 
 from . import facts
 from .facts import AS_OF
@@ -527,6 +528,45 @@ def _missing_sql(kind: str, names: tuple[str, ...]) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN {_meta_sql(f'{kind}:{n}')} = '' THEN '{n}' END" for n in names) + "], lambda x: x IS NOT NULL)"
 
 
+def _walk(scripts: str) -> str:
+    """CTEs: node (key, place, v, types, fields) of all nodes in scripts (key, body)."""
+    steps = "CASE json_type(v) WHEN 'ARRAY' THEN [struct_pack(step := '[' || i || ']', v := json_extract(v, '$[' || i || ']')) FOR i IN range(CAST(json_array_length(v) AS BIGINT))] ELSE [struct_pack(step := '.@graph', v := json_extract(v, '$.\"@graph\"')), struct_pack(step := '.mainEntity', v := json_extract(v, '$.mainEntity'))] END"
+    return f"""script AS ({scripts}), walk(key, place, v) AS (SELECT key, '$', CAST(trim(body) AS JSON) FROM script WHERE json_valid(trim(body)) UNION ALL SELECT key, place || x.step, x.v FROM (SELECT key, place, unnest({steps}) AS x FROM walk WHERE json_type(v) IN ('ARRAY', 'OBJECT'))),
+ node AS (SELECT key, place, v, CASE json_type(v->'$."@type"') WHEN 'VARCHAR' THEN [v->>'$."@type"'] WHEN 'ARRAY' THEN CAST(v->'$."@type"' AS VARCHAR[]) ELSE [] END AS types, list_sort(json_keys(v)) AS fields FROM walk WHERE json_type(v) = 'OBJECT')"""
+
+
+# Scripts of pages: whole, lists of types, lists in lists, graphs in graphs, broken, without nodes.
+_SCRIPTS = [
+    '{"@type": "Organization", "name": "N{i}", "url": "https://o{i}.example", "sameAs": ["https://x.example/{i}"]}', '{"@graph": [{"@type": ["WebSite", "Organization"], "name": " ", "sameAs": []}, {"@type": "Person", "name": "P", "mainEntity": {"@type": "Thing{i}"}}]}',
+    '[[{"@type": "A"}], {"@graph": {"@graph": [{"mainEntity": [{"@type": "FAQPage", "mainEntity": [{"@type": "Question", "name": "q{i}"}]}, {"@type": "Organization", "url": null}]}]}}]', "{bad {i}", '{"name": "no type", "@graph": null, "mainEntity": "text"}', '"text"',
+    '{"@type": "Person", "name": ["a"], "url": {"@id": "x"}, "sameAs": "  "}', '{"mainEntity": {"mainEntity": {"mainEntity": {"mainEntity": {"@type": "Person", "name": ["", ""], "url": 5, "sameAs": ["s"]}}}}}', '{"@type": "Organization", "name": [""], "url": "u", "sameAs": true}',
+]
+_SCRIPT_SQL = f"SELECT page_id AS key, replace([{', '.join(chr(39) + x + chr(39) for x in _SCRIPTS)}][1 + page_id % {len(_SCRIPTS)}], '{{i}}', CAST(page_id AS VARCHAR)) AS body FROM pages"
+
+
+def scripts(spark, d):
+    """A script for every page, of the form of its number."""
+    body = F.element_at(F.array(*map(F.lit, _SCRIPTS)), (F.col("page_id") % len(_SCRIPTS) + 1).cast("int"))
+    return pages(spark, d).select(F.col("page_id").alias("key"), F.replace(body, F.lit("{i}"), F.col("page_id").cast("string")).alias("body"))
+
+
+@query("h1_structured_nodes", f"WITH RECURSIVE {_walk(_SCRIPT_SQL)} SELECT key AS page_id, place, array_to_string(types, ',') AS types, array_to_string(fields, ',') AS fields FROM node")
+def h1_structured_nodes(spark, d):
+    return ST.nodes(scripts(spark, d)).select(F.col("key").alias("page_id"), "place", F.array_join("types", ",").alias("types"), F.array_join("fields", ",").alias("fields"))
+
+
+_SAYS = "CASE json_type({0}) WHEN 'ARRAY' THEN json_array_length({0}) > 1 OR (json_array_length({0}) = 1 AND trim(coalesce({0}->>'$[0]', '')) <> '') WHEN 'NULL' THEN FALSE ELSE coalesce(trim({0}->>'$') <> '', FALSE) END".format
+_SAME_AS = "CASE WHEN json_type({0}) = 'ARRAY' THEN json_array_length({0}) > 0 ELSE {1} END".format("(v->'$.sameAs')", _SAYS("(v->'$.sameAs')"))
+
+
+@query(
+    "h10_organization_gaps",
+    f"WITH RECURSIVE {_walk(_SCRIPT_SQL)} SELECT key AS page_id, place, concat_ws(',', CASE WHEN NOT {_SAYS(chr(40) + 'v->' + chr(39) + '$.name' + chr(39) + ')')} THEN 'name' END, CASE WHEN NOT {_SAYS(chr(40) + 'v->' + chr(39) + '$.url' + chr(39) + ')')} THEN 'url' END, CASE WHEN NOT {_SAME_AS} THEN 'sameAs' END) AS missing FROM node WHERE list_has_any(types, ['Organization', 'Person'])",
+)
+def h10_organization_gaps(spark, d):
+    return ST.organization_gaps(ST.nodes(scripts(spark, d))).select(F.col("key").alias("page_id"), "place", F.array_join("missing", ",").alias("missing"))
+
+
 _NW = "len(regexp_split_to_array({0}, '\\s+'))".format
 _BARE = "regexp_replace(regexp_replace(lower(u), '^https?://', ''), '[/?#:].*$', '')"
 _CHECK_FACTS = f"""{_FACTS}, g0 AS (SELECT fact.* EXCLUDE (url), fact.url || CASE WHEN contains(fact.url, '?') THEN '&id=' ELSE '?id=' END || fact.page_id AS url, coalesce(html, '') AS h, list_filter(string_split(lower(regexp_extract(fact.url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1)), '/'), lambda x: x <> '') AS sg FROM fact JOIN pages USING (page_id)),
@@ -534,20 +574,23 @@ _CHECK_FACTS = f"""{_FACTS}, g0 AS (SELECT fact.* EXCLUDE (url), fact.url || CAS
   [trim(regexp_replace(x, '<[^>]*>', ' ', 'g')) FOR x IN regexp_extract_all(h, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1)] AS headings, regexp_extract_all(h, '(?is)<script[^>]*type\\s*=\\s*["'']application/ld\\+json["''][^>]*>(.*?)</script>', 1) AS jsonld, {_missing_sql('og', ('title', 'description', 'image'))} AS og_missing, {_missing_sql('twitter', ('card', 'title', 'description'))} AS twitter_missing,
   len(regexp_extract_all(h, '(?is)<(ul|ol)\\b', 1)) AS lists, len(regexp_extract_all(h, '(?is)<(table)\\b', 1)) AS tables, list_filter([trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) FOR x IN [regexp_split_to_array(regexp_replace(y, '^[^>]*>', ''), '(?i)</p\\b')[1] FOR y IN list_filter(string_split(regexp_replace(h, '(?i)<p\\b', chr(1), 'g'), chr(1))[2:], lambda y: contains(y, '>'))]], lambda x: x <> '') AS ps, list_filter(hrefs, lambda u: regexp_matches(u, '(?i)^https?://')) AS away,
   lower(array_to_string(hrefs, ' ')) AS links, len(sg) AS depth FROM g0),
- g2 AS (SELECT *, array_to_string(jsonld, ' ') AS ld, len(list_filter(jsonld, lambda j: NOT json_valid(j))) AS jsonld_bad, len(hrefs) - len(away) + len(list_filter(away, lambda u: {_BARE} IN (host, 'www.' || host))) AS internal_links, len(list_filter(away, lambda u: {_BARE} NOT IN (host, 'www.' || host))) AS external_links,
+ {_walk("SELECT DISTINCT array_to_string(jsonld, chr(30)) AS key, unnest(jsonld) AS body FROM g1")},
+ tp AS (SELECT key, list_distinct(flatten(list(types))) AS types, list_distinct(flatten(list(fields))) AS fields, list(DISTINCT trim(v->>'$.name')) FILTER (trim(v->>'$.name') <> '') AS names FROM node GROUP BY key),
+ g2 AS (SELECT *, len(list_filter(jsonld, lambda j: NOT json_valid(j))) AS jsonld_bad, len(hrefs) - len(away) + len(list_filter(away, lambda u: {_BARE} IN (host, 'www.' || host))) AS internal_links, len(list_filter(away, lambda u: {_BARE} NOT IN (host, 'www.' || host))) AS external_links,
   string_split({_TYPED}, ':')[1] AS page_kind, len(regexp_extract_all(text, '(?:^|[^\\w.])(\\d+(?:[.,]\\d+)?%?)', 1)) AS numbers, regexp_matches(t, 'according to|source:|study|research|report|survey|cited by') AS attributed, regexp_matches(text, '\\b(19|20)\\d{{2}}\\b') OR regexp_matches(html_low, 'published_time|modified_time|<time') AS dated,
   regexp_matches(text, '\\b([Bb]y|[Aa]uthor:?) [A-Z]\\w+') OR regexp_matches(html_low, '"author"|rel="author"') AS authored, regexp_matches(t, 'compar|versus|\\bvs\\b|pros and cons|alternative') AS compares, list_filter(headings, lambda x: x LIKE '%?' OR regexp_matches(lower(x), '^(how|what|why|when|where|who|which|can|does|is) ')) AS asks,
   list_filter(regexp_split_to_array(text, '[.!?]+\\s'), lambda x: x <> '') AS sentences, [CAST(x AS INTEGER) FOR x IN regexp_extract_all(html_low, '<h([1-6])[ >]', 1)] AS levels FROM g1),
- hf AS (SELECT *, CASE page_kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.EXPECTED.items())} END AS expected_type, regexp_extract(ld, '"name"\\s*:\\s*"([^"]{{3,}})"', 1) AS ld_name, regexp_matches(t, 'frequently asked|\\bfaq\\b') OR len(asks) >= 2 AS faq, lists > 0 AND regexp_matches(t, 'how to|\\bsteps?\\b|\\bfirst\\b|\\bthen\\b') AS procedure, len(asks) AS questions, len(list_distinct([lower(regexp_extract(x, '^(\\w+)', 1)) FOR x IN asks])) AS question_forms,
+ hf AS (SELECT *, CASE page_kind {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in P.EXPECTED.items())} END AS expected_type, coalesce(tp.types, []) AS types, coalesce(tp.fields, []) AS fields, coalesce(len(list_filter(tp.names, lambda n: length(n) > 2 AND contains(t, lower(n)))) > 0, FALSE) AS name_shown, regexp_matches(t, 'frequently asked|\\bfaq\\b') OR len(asks) >= 2 AS faq, lists > 0 AND regexp_matches(t, 'how to|\\bsteps?\\b|\\bfirst\\b|\\bthen\\b') AS procedure, len(asks) AS questions, len(list_distinct([lower(regexp_extract(x, '^(\\w+)', 1)) FOR x IN asks])) AS question_forms,
   CASE WHEN len(ps) > 0 THEN {_NW('ps[1]')} ELSE 0 END AS opening, CASE WHEN len(ps) > 0 THEN CAST(list_sum([{_NW('x')} FOR x IN ps]) AS DOUBLE) / len(ps) ELSE 0 END AS mean_paragraph, CASE WHEN len(sentences) > 0 THEN CAST(list_sum([{_NW('x')} FOR x IN sentences]) AS DOUBLE) / len(sentences) ELSE 0 END AS mean_sentence, len(regexp_extract_all(html_low, '<h[1-6][^>]*\\b(id)=', 1)) AS heading_ids,
   coalesce(list_bool_or([levels[i + 1] > levels[i] + 1 FOR i IN range(1, len(levels))]), FALSE) AS jumps, regexp_matches(html_low, '>\\s*(click here|here|read more|more)\\s*</a>') AS vague_links, len(regexp_extract_all(text, '\\b([A-Z]{{2,6}})\\b', 1)) AS acronyms, len(list_filter(headings, lambda x: {_NW('x')} > 12)) AS long_headings, len(list_filter(regexp_extract_all(html_low, '<(?:input|select|textarea)\\b[^>]*'), lambda x: NOT regexp_matches(x, 'type=.hidden'))) AS inputs,
-  len(regexp_extract_all(html_low, '(<label\\b|aria-label)', 1)) AS labels, regexp_matches(html_low, '<button[^>]*>\\s*</button>') AS empty_buttons FROM g2)"""
+  len(regexp_extract_all(html_low, '(<label\\b|aria-label)', 1)) AS labels, regexp_matches(html_low, '<button[^>]*>\\s*</button>') AS empty_buttons FROM g2 LEFT JOIN tp ON tp.key = array_to_string(jsonld, chr(30)))"""
 
 
 def _condition(spark_sql: str) -> str:
     """A condition of the catalogue as DuckDB reads it."""
     out = re.sub(r"(\w+) RLIKE ('(?:[^']|'')*')", r"regexp_matches(\1, \2)", spark_sql)
-    out = re.sub(r"\bsize\(", "len(", out).replace("array_distinct(", "list_distinct(").replace("array_contains(", "list_contains(")
+    out = re.sub(r"\bsize\(", "len(", out).replace("array_distinct(", "list_distinct(").replace("array_contains(", "list_contains(").replace("arrays_overlap(", "list_has_any(")
+    out = re.sub(r"\barray\(([^)]*)\)", r"[\1]", out)
     return re.sub(r"rtrim\('/', (\w+)\)", r"rtrim(\1, '/')", out)
 
 
@@ -565,11 +608,11 @@ def page_checks(spark, d):
     return P.evaluate_checks(P.check_facts(p.withColumn("url", F.concat(F.col("url"), F.when(F.col("url").contains("?"), "&id=").otherwise("?id="), F.col("page_id").cast("string")))))
 
 
-@query("h9_evaluate_checks", f"WITH {_CHECK_FACTS}, ev AS (SELECT url, unnest([{_H9_ROWS}]) AS c FROM hf) SELECT url, c.family, c.category, c.title, c.status, c.severity, CAST(c.weight AS INTEGER) AS weight FROM ev")
+@query("h9_evaluate_checks", f"WITH RECURSIVE {_CHECK_FACTS}, ev AS (SELECT url, unnest([{_H9_ROWS}]) AS c FROM hf) SELECT url, c.family, c.category, c.title, c.status, c.severity, CAST(c.weight AS INTEGER) AS weight FROM ev")
 def h9_evaluate_checks(spark, d):
     return page_checks(spark, d)
 
 
-@query("h9_checks_passed", f"WITH {_CHECK_FACTS}, ev AS (SELECT url, unnest([{_H9_ROWS}]) AS c FROM hf) SELECT c.family, c.title, CAST(count_if(c.status = 'PASS') AS BIGINT) AS passed FROM ev GROUP BY ALL")
+@query("h9_checks_passed", f"WITH RECURSIVE {_CHECK_FACTS}, ev AS (SELECT url, unnest([{_H9_ROWS}]) AS c FROM hf) SELECT c.family, c.title, CAST(count_if(c.status = 'PASS') AS BIGINT) AS passed FROM ev GROUP BY ALL")
 def h9_checks_passed(spark, d):
     return page_checks(spark, d).groupBy("family", "title").agg(F.count_if(F.col("status") == "PASS").alias("passed"))
