@@ -36,6 +36,8 @@ def let(value: Column, body) -> Column:
 
 
 def words(text: Column) -> Column:
+    """Lower-case runs of letters and digits outside tags."""
+    text = F.regexp_replace(text, "<[^>]+>", " ")
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
@@ -44,22 +46,23 @@ def word_count(text: Column) -> Column:
 
 
 def shingles(text: Column, k: int = 3) -> Column:
-    """Distinct k-word runs; a shorter text is one run, an empty one none."""
+    """Distinct k-word runs; a shorter text has none."""
 
     def runs(w: Column) -> Column:
         all_ = F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.array_join(F.slice(w, i, k), " "))
-        return F.when(F.size(w) >= k, F.array_distinct(all_)).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.expr("cast(array() as array<string>)"))
+        return F.when(F.size(w) >= k, F.array_distinct(all_)).otherwise(F.expr("cast(array() as array<string>)"))
 
     return let(words(text), runs)
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    union = F.size(F.array_union(a, b))
-    return F.when(union == 0, 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
+def uniqueness_pct(text: Column, other: Column, k: int = 3) -> Column:
+    """Whole percents of word runs that two texts don't share; 100 where either has none."""
 
+    def percent(a: Column, b: Column) -> Column:
+        shared, both = F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))
+        return F.when((F.size(a) == 0) | (F.size(b) == 0), 100.0).otherwise(js_round((1 - shared / F.greatest(both, F.lit(1))) * 100, 0))
 
-def uniqueness_pct(text: Column, other: Column, k: int = 3) -> Column:
-    return let(shingles(text, k), lambda a: let(shingles(other, k), lambda b: js_round((1 - jaccard(a, b)) * 100, 1)))
+    return let(shingles(text, k), lambda a: let(shingles(other, k), lambda b: percent(a, b)))
 
 
 def keyword_coverage(before: Column, after: Column, keywords: Column) -> Column:
@@ -76,23 +79,6 @@ def keyword_coverage(before: Column, after: Column, keywords: Column) -> Column:
     return let(padded(before), lambda b: let(padded(after), lambda a: each(b, a)))
 
 
-def numeric_facts(text: Column) -> Column:
-    """Distinct numbers of a text with their percent sign, thousands marks removed."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?<![\w.])(\d{1,3}(?:,\d{3})+(?:\.\d+)?%?|\d+(?:\.\d+)?%?)"), F.lit(1))
-    return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.regexp_replace(x, ",", ""))))
-
-
-def identifiers(text: Column) -> Column:
-    """Distinct codes such as X-900, v1.2 or ABC123."""
-    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\b((?=[A-Za-z0-9.-]*[0-9])(?=[A-Za-z0-9.-]*[A-Za-z])[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*)\b"), F.lit(1))
-    return F.array_sort(F.array_distinct(found))
-
-
-def drift_severity(lost: Column, added: Column) -> Column:
-    n, m = F.size(lost), F.size(added)
-    return F.when((n > 0) & (m > 0), "high").when(n > 0, "medium").when(m > 0, "low").otherwise("none")
-
-
 # --------------------------------------------------------------- related intent
 
 intent_tokens = intent_words(STOP_WORDS)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sightlines.functions import drift as D
 from sightlines.operators import text as T
 
 from . import facts
@@ -15,61 +16,86 @@ def docs(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet")
 
 
+def tagged(spark, d):
+    """Documents as paragraphs of a page."""
+    return docs(spark, d).withColumn("text", F.concat(F.lit('<p class="a b">'), "text", F.lit("<br/>end</p>")))
+
+
 def keep(df):
     """Cuts lineage between rounds: a checkpoint where the session has a shared folder, else a cached table."""
     return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
 
 
-_W = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+')"
-_SH = "CASE WHEN len(w) >= 3 THEN list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+_W = "regexp_extract_all(regexp_replace(lower(coalesce(text, '')), '<[^>]+>', ' ', 'g'), '[\\p{L}\\p{N}]+')"
+# Documents as paragraphs of a page.
+_TAGGED = "(SELECT * REPLACE ('<p class=\"a b\">' || text || '<br/>end</p>' AS text) FROM documents)"
+_SH = "CASE WHEN len(w) >= 3 THEN list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) ELSE [] END"
 
 
-@query("f7_word_count", f"SELECT doc_id, CAST(len({_W}) AS INTEGER) AS words FROM documents")
+@query("f7_word_count", f"SELECT doc_id, CAST(len({_W}) AS INTEGER) AS words FROM {_TAGGED}")
 def f7_word_count(spark, d):
-    return docs(spark, d).select("doc_id", T.word_count(F.col("text")).alias("words"))
+    return tagged(spark, d).select("doc_id", T.word_count(F.col("text")).alias("words"))
 
 
 @query(
     "f6_uniqueness",
-    f"""WITH s AS (SELECT doc_id, lang, {_SH} AS s FROM (SELECT doc_id, lang, {_W} AS w FROM documents)), f AS (SELECT lang, first(s ORDER BY doc_id) AS o FROM s GROUP BY lang)
-    SELECT doc_id, {R("(1 - CASE WHEN len(list_distinct(list_concat(s, o))) = 0 THEN 0.0 ELSE CAST(len(list_intersect(s, o)) AS DOUBLE) / len(list_distinct(list_concat(s, o))) END) * 100", 1)} AS uniqueness FROM s JOIN f USING (lang)""",
+    f"""WITH s AS (SELECT doc_id, lang, {_SH} AS s FROM (SELECT doc_id, lang, {_W} AS w FROM {_TAGGED})), f AS (SELECT lang, first(s ORDER BY doc_id) AS o FROM s GROUP BY lang)
+    SELECT doc_id, CASE WHEN len(s) = 0 OR len(o) = 0 THEN 100.0 ELSE {R("(1 - CAST(len(list_intersect(s, o)) AS DOUBLE) / greatest(len(list_distinct(list_concat(s, o))), 1)) * 100", 0)} END AS uniqueness FROM s JOIN f USING (lang)""",
 )
 def f6_uniqueness(spark, d):
     """Every document against the first one of its language."""
-    x = docs(spark, d)
+    x = tagged(spark, d)
     first = x.groupBy("lang").agg(F.min_by("text", "doc_id").alias("other"))
-    return x.join(F.broadcast(first), "lang").select("doc_id", T.uniqueness_pct(F.col("text"), F.col("other")).alias("uniqueness"))
+    return x.join(first, "lang").select("doc_id", T.uniqueness_pct(F.col("text"), F.col("other")).alias("uniqueness"))
 
 
 @query(
     "f8_keyword_coverage",
-    """WITH p AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+'), '  ') || ' ' AS b, ' ' || array_to_string(regexp_extract_all(lower(left(text, length(text) // 2)), '[\\p{L}\\p{N}]+'), '  ') || ' ' AS a FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+    f"""WITH p AS (SELECT doc_id, ' ' || array_to_string({_W}, '  ') || ' ' AS b, ' ' || array_to_string({_W.replace("(text,", "(left(text, length(text) // 2),")}, '  ') || ' ' AS a FROM (SELECT doc_id, coalesce(text, '') AS text FROM {_TAGGED})),
     k AS (SELECT doc_id, kw, CAST((length(b) - length(replace(b, kp, ''))) // length(kp) AS INTEGER) AS before, CAST((length(a) - length(replace(a, kp, ''))) // length(kp) AS INTEGER) AS after FROM p, (VALUES ('the', ' the '), ('And the', ' and  the ')) v(kw, kp)) SELECT doc_id, kw AS keyword, before, after, before > 0 AND after = 0 AS lost FROM k""",
 )
 def f8_keyword_coverage(spark, d):
     half = F.substring("text", F.lit(1), F.floor(F.length("text") / 2).cast("int"))
-    x = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.explode(T.keyword_coverage(F.col("text"), half, F.array(F.lit("the"), F.lit("And the")))).alias("k"))
+    x = tagged(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.explode(T.keyword_coverage(F.col("text"), half, F.array(F.lit("the"), F.lit("And the")))).alias("k"))
     return x.select("doc_id", "k.*")
 
 
-_NUMS = "list_sort(list_distinct([replace(x, ',', '') FOR x IN regexp_extract_all({0}, '(?:^|[^\\w.])(\\d{{1,3}}(?:,\\d{{3}})+(?:\\.\\d+)?%?|\\d+(?:\\.\\d+)?%?)', 1)]))".format
-_IDS = "list_sort(list_distinct(list_filter(regexp_extract_all({0}, '\\b[A-Za-z0-9]+(?:[.-][A-Za-z0-9]+)*\\b'), lambda x: regexp_matches(x, '[0-9]') AND regexp_matches(x, '[A-Za-z]'))))".format
-_DIFF = "array_to_string(list_filter({0}, lambda x: NOT list_contains({1}, x)), '|')".format
+# Texts that write one fact in several forms; {i} is the document's number.
+_SAID = [
+    "Costs $5{i}.00 or 5{i} USD", "Kosten: 1.234,5{i} €", "EUR 1,234.5{i} and 1234.5{i} евро", "5 000 zł, 5,000 PLN", "**{i}%** of [AB{i}C](http://x.example/9)", "Ab{i}c, iPhone {i}, McDonald and SSL", "<b>0:00</b> is 00:00 for {i} гривень",
+    "`RTP` ```SKIPPED 77``` | €4{i} | 20-25 |", "no facts here", "5 USDT against 6 usd and 007 KM", "96.0 = 96; 96% != 96", "Über ÄÖ12 and ABÉ: 1,2,3 or 1.2.3 kr", "£{i} 000 000,50 £1000000.5",
+]
+_SPACE = r"[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_SIGN = "[%€$£₽₴]"
+_NUMBER = rf"(?:\d{{1,3}}(?:{_SPACE}\d{{3}})+(?:[.,]\d+)?|\d+(?:[.,]\d+)*)"
+_BARE_TEXT = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce({0}, ''), '(?s)```.*?```', ' ', 'g'), '<[^>]+>', ' ', 'g'), '\\[([^\\]]*)\\]\\([^)]*\\)', '\\1', 'g'), '[*_~`|#>]+', ' ', 'g')".format
+_UNIT_SQL = "CASE u " + " ".join(f"WHEN '{x}' THEN '{form}'" for form, spelt in D.UNIT_FORMS.items() for x in spelt) + " ELSE u END"
+_UNITS = "[" + ", ".join(f"'{x}'" for x in [*D.SIGNS, *D.UNIT_WORDS]) + "]"
+_FACTS = rf"""seen AS (SELECT doc_id, side, {_BARE_TEXT('text')} AS t FROM pairs, LATERAL (SELECT 0 AS side, before AS text UNION ALL SELECT 1, after)),
+ hit AS (SELECT doc_id, side, unnest(regexp_extract_all(t, '(?:{_SIGN}{_SPACE}*)?{_NUMBER}[ \x{{00A0}}]?(?:{_SIGN}|\pL+)?')) AS m FROM seen),
+ cut AS (SELECT doc_id, side, regexp_replace(regexp_extract(m, '{_NUMBER}'), '{_SPACE}', '', 'g') AS x, lower(regexp_extract(m, '({_SIGN}|\pL+)$', 1)) AS after_, regexp_extract(m, '^{_SIGN}') AS before_ FROM hit),
+ num AS (SELECT doc_id, side, CASE WHEN regexp_matches(x, '^\d{{1,3}}(,\d{{3}})+(\.\d+)?$') THEN replace(x, ',', '') WHEN regexp_matches(x, '^\d{{1,3}}(\.\d{{3}})+(,\d+)?$') THEN regexp_replace(replace(x, '.', ''), '^([^,]*),', '\1.') ELSE regexp_replace(x, '^([^,]*),', '\1.') END AS x, CASE WHEN list_contains({_UNITS}, after_) THEN after_ ELSE before_ END AS u FROM cut),
+ fact AS (SELECT doc_id, side, 'numbers' AS kind, regexp_replace(CASE WHEN contains(x, '.') THEN coalesce(nullif(regexp_replace(x, '\.?0+$', ''), ''), '0') ELSE x END, '^0+(\d)', '\1') || CASE WHEN u = '' THEN '' ELSE ' ' || {_UNIT_SQL} END AS value FROM num
+  UNION ALL SELECT doc_id, side, 'identifiers', w FROM (SELECT doc_id, side, unnest(regexp_extract_all(t, '\b[\pL\pN]*\p{{Lu}}[\pL\pN]*\b')) AS w FROM seen) WHERE length(w) >= 2 AND upper(w) NOT IN ({", ".join(f"'{c}'" for c in D.CODES)})
+   AND (regexp_matches(w, '\p{{Ll}}\p{{Lu}}') OR (length(regexp_replace(w, '[^\p{{Lu}}]', '', 'g')) >= 2 AND length(regexp_replace(w, '[^\p{{Lu}}]', '', 'g')) = length(regexp_replace(w, '\pN', '', 'g'))))),
+ cnt AS (SELECT doc_id, kind, value, count_if(side = 0) AS a, count_if(side = 1) AS b FROM fact GROUP BY ALL)"""
+_JOINED = "coalesce(string_agg(value, '|' ORDER BY value) FILTER (kind = '{0}' AND {1} = 0), '')".format
+_KEPT = "CAST(coalesce(sum(least(a, b)) FILTER (kind = '{0}'), 0) AS BIGINT)".format
+_HALVES = f"""pairs AS (SELECT doc_id, left(t, length(t) // 2) || ' ' || replace([{", ".join(f"'{x}'" for x in _SAID)}][1 + doc_id % {len(_SAID)}], '{{i}}', CAST(doc_id % 90 + 10 AS VARCHAR)) AS before, substr(t, length(t) // 2 + 1) || ' ' || replace([{", ".join(f"'{x}'" for x in _SAID)}][1 + (doc_id // 3) % {len(_SAID)}], '{{i}}', CAST(doc_id % 90 + 10 AS VARCHAR)) AS after FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"""
 
 
 @query(
     "f9_fact_drift",
-    f"""WITH h AS (SELECT doc_id, left(t, length(t) // 2) AS a, substr(t, length(t) // 2 + 1) AS b FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)), f AS (SELECT doc_id, {_NUMS('a')} AS na, {_NUMS('b')} AS nb, {_IDS('a')} AS ia, {_IDS('b')} AS ib FROM h)
-    SELECT doc_id, {_DIFF('na', 'nb')} AS lost_numbers, {_DIFF('nb', 'na')} AS added_numbers, {_DIFF('ia', 'ib')} AS lost_codes, {_DIFF('ib', 'ia')} AS added_codes, CASE WHEN {_DIFF('na', 'nb')} <> '' AND {_DIFF('nb', 'na')} <> '' THEN 'high' WHEN {_DIFF('na', 'nb')} <> '' THEN 'medium' WHEN {_DIFF('nb', 'na')} <> '' THEN 'low' ELSE 'none' END AS severity FROM f""",
+    f"""WITH {_HALVES}, {_FACTS}, d AS (SELECT doc_id, {_JOINED('numbers', 'b')} AS lost_numbers, {_JOINED('numbers', 'a')} AS added_numbers, {_JOINED('identifiers', 'b')} AS lost_identifiers, {_JOINED('identifiers', 'a')} AS added_identifiers, {_KEPT('numbers')} AS kept_numbers, {_KEPT('identifiers')} AS kept_identifiers FROM pairs LEFT JOIN cnt USING (doc_id) GROUP BY doc_id)
+    SELECT *, CASE WHEN added_numbers || added_identifiers <> '' THEN 'danger' WHEN lost_numbers || lost_identifiers <> '' THEN 'warn' ELSE 'clean' END AS severity FROM d""",
 )
 def f9_fact_drift(spark, d):
-    """Numbers and codes that the second half of a document loses or adds against the first."""
-    half = F.floor(F.length("text") / 2).cast("int")
-    x = docs(spark, d).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", F.substring("text", F.lit(1), half).alias("a"), F.substring("text", half + 1, F.length("text")).alias("b"))
-    for name, f in (("numbers", T.numeric_facts), ("codes", T.identifiers)):
-        x = x.withColumns({f"lost_{name}": F.array_sort(F.array_except(f(F.col("a")), f(F.col("b")))), f"added_{name}": F.array_sort(F.array_except(f(F.col("b")), f(F.col("a"))))})
-    x = x.withColumn("severity", T.drift_severity(F.col("lost_numbers"), F.col("added_numbers"))).drop("a", "b")
-    return x.withColumns({c: F.array_join(c, "|") for c in x.columns if c.endswith(("numbers", "codes"))})
+    """Facts that the second half of a document, and a phrase, lose or add against the first half and another phrase."""
+    t, half = F.coalesce("text", F.lit("")), F.floor(F.length(F.coalesce("text", F.lit(""))) / 2).cast("int")
+    said = lambda n: F.replace(F.element_at(F.array(*map(F.lit, _SAID)), (n % len(_SAID) + 1).cast("int")), F.lit("{i}"), (F.col("doc_id") % 90 + 10).cast("string"))
+    pairs = docs(spark, d).select("doc_id", F.concat_ws(" ", F.substring(t, F.lit(1), half), said(F.col("doc_id"))).alias("before"), F.concat_ws(" ", F.substring(t, half + 1, F.length(t)), said(F.floor(F.col("doc_id") / 3))).alias("after"))
+    x = D.fact_drift(pairs, "doc_id")
+    return x.withColumns({c: F.array_join(c, "|") for c in x.columns if c.startswith(("lost", "added"))})
 
 
 _CLEAN = "trim(regexp_replace(strip_accents(lower({0})), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))".format
