@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from sightlines.functions import urls as U
 from sightlines.operators.keywords import COMMON_DNS
 from sightlines.functions.check_catalogue import EXPECTED, WEIGHTS, catalogue
+from sightlines.functions.markup import main_parts
 from sightlines.functions.numbers import js_round
 from sightlines.operators import structured
 
@@ -104,24 +105,8 @@ def heading_sections(pages: DataFrame) -> DataFrame:
 
 
 def main_content(pages: DataFrame) -> DataFrame:
-    """Markdown of each page's main part, its link density, and whether it is mostly boilerplate."""
-    h = F.coalesce("html", F.lit(""))
-    for pattern in (r"(?is)<(script|style|nav|footer|header|aside|form)\b[^>]*>.*?</\1>", r"(?s)<!--.*?-->"):
-        h = F.regexp_replace(h, pattern, " ")
-    region = F.coalesce(F.nullif(F.regexp_extract(h, r"(?is)<(article|main)\b[^>]*>(.*)</\1>", 2), F.lit("")), F.nullif(F.regexp_extract(h, r"(?is)<body[^>]*>(.*?)(</body>|$)", 1), F.lit("")), h)
-    plain = lambda x: F.regexp_replace(x, r"(?s)<[^>]*>", "")
-    links = F.aggregate(F.transform(_all(F.col("region"), r"(?is)<a\b[^>]*>(.*?)</a>"), lambda x: F.length(F.trim(plain(x)))), F.lit(0), lambda s, n: s + n)
-    md = F.col("region")
-    for level in range(1, 7):
-        md = F.regexp_replace(md, rf"(?is)<h{level}\b[^>]*>(.*?)</h{level}>", "\n\n" + "#" * level + " $1\n\n")
-    for pattern, to in ((r"(?is)<li\b[^>]*>", "\n- "), (r"(?is)<br\s*/?>", "\n"), (r"(?is)</?(p|div|section|ul|ol|table|tr)\b[^>]*>", "\n\n"), (r"(?s)<[^>]*>", ""), (r"[ \t]+", " "), (r" ?\n ?", "\n"), (r"\n{3,}", "\n\n")):
-        md = F.regexp_replace(md, pattern, to)
-    # a label that a page repeats (buttons, captions) is kept once
-    lines = F.filter(F.split(F.trim(md), "\n"), lambda x: x != "")
-    kept = F.filter(F.transform(lines, lambda x, i: F.when((F.length(x) <= 40) & (F.array_position(lines, x) <= i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull())
-    t = pages.select("url", region.alias("region")).select("url", F.array_join(kept, "\n").alias("markdown"), F.length(F.trim(plain(F.col("region")))).alias("chars"), links.alias("link_chars"))
-    density = js_round(F.when(F.col("chars") > 0, F.col("link_chars") / F.col("chars")).otherwise(0.0), 3)
-    return t.select("url", "markdown", "chars", density.alias("link_density")).withColumn("boilerplate", (F.col("link_density") > 0.5) | (F.col("chars") < 100))
+    """Each page's main part as Markdown and text, its words and link density, and whether the page holds no article."""
+    return pages.select("url", main_parts(F.coalesce("html", F.lit(""))).alias("m")).select("url", "m.*")
 
 
 # ------------------------------------------------------------------ audit rules

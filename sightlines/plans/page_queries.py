@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sightlines.functions import markup as MK
 from sightlines.functions import urls as U
 from sightlines.operators import pages as P
 from sightlines.operators import structured as ST
@@ -147,29 +148,40 @@ def h11_crawl_issues(spark, d):
     return P.crawl_issues(f).select(F.col("url").cast("bigint").alias("page_id"), F.explode("issues").alias("issue"))
 
 
-def _main_sql() -> str:
-    h = "coalesce(html, '')"
-    for tag in ("script", "style", "nav", "footer", "header", "aside", "form"):
-        h = f"regexp_replace({h}, '(?is)<{tag}\\b[^>]*>.*?</{tag}>', ' ', 'g')"
-    h = f"regexp_replace({h}, '(?s)<!--.*?-->', ' ', 'g')"
-    md = "region"
-    for level in range(1, 7):
-        md = f"regexp_replace({md}, '(?is)<h{level}\\b[^>]*>(.*?)</h{level}>', chr(10) || chr(10) || '{'#' * level} \\1' || chr(10) || chr(10), 'g')"
-    nl = "chr(10)"
-    for pattern, to in (("(?is)<li\\b[^>]*>", f"{nl} || '- '"), ("(?is)<br\\s*/?>", nl), ("(?is)</?(p|div|section|ul|ol|table|tr)\\b[^>]*>", f"{nl} || {nl}"), ("(?s)<[^>]*>", "''"), ("[ \\t]+", "' '"), (" ?\\n ?", nl), ("\\n{3,}", f"{nl} || {nl}")):
-        md = f"regexp_replace({md}, '{pattern}', {to}, 'g')"
-    plain = "regexp_replace({0}, '(?s)<[^>]*>', '', 'g')".format
-    some = "nullif(regexp_extract(h, '(?is)<{0}\\b[^>]*>(.*)</{0}>', 1), '')".format
-    return f"""WITH b AS (SELECT url, {h} AS h FROM pages), r AS (SELECT url, coalesce({some('article')}, {some('main')}, nullif(regexp_extract(h, '(?is)<body[^>]*>(.*?)(</body>|$)', 1), ''), h) AS region FROM b),
-    l AS (SELECT url, region, list_filter(string_split(trim({md}), chr(10)), lambda x: x <> '') AS ls FROM r), c AS (SELECT url, array_to_string([x FOR x, i IN ls IF NOT (length(x) <= 40 AND list_position(ls, x) < i)], chr(10)) AS markdown, CAST(length(trim({plain('region')})) AS INTEGER) AS chars, coalesce(list_sum([length(trim({plain('x')})) FOR x IN regexp_extract_all(region, '(?is)<a\\b[^>]*>(.*?)</a>', 1)]), 0) AS lc FROM l),
-    d AS (SELECT url, markdown, chars, {R('CASE WHEN chars > 0 THEN CAST(lc AS DOUBLE) / chars ELSE 0 END', 3)} AS link_density FROM c) SELECT *, link_density > 0.5 OR chars < 100 AS boilerplate FROM d"""
-
-
-@query("h3_main_content", _main_sql())
+@query("h3_main_content")
 def h3_main_content(spark, d):
+    """Held against a plain version in the tests."""
     return P.main_content(pages(spark, d))
 
 
+# Pages in elements that are nested, never closed, closed before they open, or that overlap.
+_BOXES = [("", ""), ('<nav a="1"><nav>', "</nav></nav>x"), ("<div><nav class=x>", ""), ("</form><form><FORM>a</form ><b>", "</form>tail<form>"), ("<aside><header></aside>", "</header>z"), ("<svg><svg/><template></svg>y<script>", "<iframe></template></iframe>"), ("<header><header><header></header>q</header>", "<footer/><select></header></select>")]
+
+
+def _unboxed_sql(tags: list[str]) -> str:
+    """CTEs that take the elements of one name after the other out of box0 (page_id, h), by running depths; the last is `bare`."""
+    out = []
+    for i, t in enumerate(tags):
+        out.append(
+            f"""mk{i} AS (SELECT page_id, regexp_replace(regexp_replace(h, '(?i)<{t}\\b', chr(1) || '\\0', 'g'), '(?i)</{t}\\s*>', '\\0' || chr(2), 'g') AS m FROM box{i}), pc{i} AS (SELECT page_id, unnest(regexp_split_to_array(m, '[' || chr(1) || chr(2) || ']')) AS p, unnest(list_concat([''], regexp_extract_all(m, '[' || chr(1) || chr(2) || ']'))) AS k, unnest(range(len(regexp_extract_all(m, '[' || chr(1) || chr(2) || ']')) + 1)) AS i FROM mk{i}),
+ cu{i} AS (SELECT *, sum(CASE k WHEN chr(1) THEN 1 WHEN chr(2) THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY i) AS c FROM pc{i}), de{i} AS (SELECT *, c - least(0, min(c) OVER (PARTITION BY page_id ORDER BY i)) AS d FROM cu{i}), fu{i} AS (SELECT *, d > min(d) OVER (PARTITION BY page_id ORDER BY i DESC) AS gone FROM de{i}), wa{i} AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY page_id ORDER BY i), FALSE) AS before FROM fu{i}),
+ box{i + 1} AS (SELECT page_id, string_agg(CASE WHEN gone THEN CASE WHEN before THEN '' ELSE ' ' END WHEN k = chr(1) THEN ' ' || substr(p, {len(t) + 2}) ELSE p END, '' ORDER BY i) AS h FROM wa{i} GROUP BY page_id)"""
+        )
+    return ", ".join(out) + f", bare AS (SELECT * FROM box{len(tags)})"
+
+
+@query(
+    "h4_without_blocks",
+    f"""WITH box0 AS (SELECT page_id, [{", ".join(f"'{a}'" for a, _ in _BOXES)}][1 + page_id % {len(_BOXES)}] || coalesce(html, '') || [{", ".join(f"'{b}'" for _, b in _BOXES)}][1 + page_id % {len(_BOXES)}] AS h FROM pages), {_unboxed_sql(MK.BOILERPLATE_TAGS)}
+    SELECT page_id, CAST(length(h) AS INTEGER) AS chars, sha256(h) AS sha FROM bare""",
+)
+def h4_without_blocks(spark, d):
+    """Every page in a box of its number, without the elements that never hold an article."""
+    box = lambda side: F.element_at(F.array(*[F.lit(b[side]) for b in _BOXES]), (F.col("page_id") % len(_BOXES) + 1).cast("int"))
+    bare = pages(spark, d).select("page_id", MK.unboxed(F.concat(box(0), F.coalesce("html", F.lit("")), box(1))).alias("h"))
+    return bare.select("page_id", F.length("h").alias("chars"), F.sha2(F.col("h").cast("binary"), 256).alias("sha"))
+
+
 _PARTS = "string_split(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<script[^>]*>.*?</script>', ' ', 'g'), '(?is)<style[^>]*>.*?</style>', ' ', 'g'), '(?i)<(h[1-6][\\s>])', chr(1) || '<\\1', 'g'), chr(1))"
 
 
