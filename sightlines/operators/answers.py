@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sightlines.functions.citations import cited_sources
 from sightlines.functions.numbers import js_round
 from sightlines.functions.urls import source_type
 
@@ -27,42 +28,61 @@ def percent(part: Column, whole: Column) -> Column:
     return js_round(F.when(whole > 0, part / whole * 100), 1)
 
 
-def ai_metrics(checks: DataFrame, citations: DataFrame, first_party: list[str], by: list[str]) -> DataFrame:
-    """Mention, citation and first-party citation rates over answers without an error."""
-    own = citations.groupBy("check_id").agg(F.bool_or(controlled_by(host_of(F.col("url")), first_party)).alias("own"), F.count("*").alias("cites"))
-    good = checks.filter("error is null").join(own, "check_id", "left")
-    n = F.count("*")
-    return good.groupBy(*by).agg(
+def ai_metrics(checks: DataFrame, citations: DataFrame, domain: str, by: list[str]) -> DataFrame:
+    """Mention and citation rates over all answers, those with an error included, and the share of citations that are of the own domain."""
+    own = citations.groupBy("check_id").agg(F.count_if(host_of(F.col("url")) == domain.lower()).alias("own"), F.count("*").alias("cites"))
+    n, cites = F.count("*"), F.coalesce(F.sum("cites"), F.lit(0))
+    return checks.join(own, "check_id", "left").groupBy(*by).agg(
         n.alias("answers"), percent(F.count_if(F.col("verdict").isin("cited", "mentioned")), n).alias("mention_rate"), percent(F.count_if(F.col("verdict") == "cited"), n).alias("citation_rate"),
-        percent(F.count_if(F.coalesce("own", F.lit(False))), n).alias("first_party_rate"), F.coalesce(F.sum("cites"), F.lit(0)).alias("citations"),
+        percent(F.coalesce(F.sum("own"), F.lit(0)), cites).alias("first_party_rate"), cites.alias("citations"),
     )
 
 
-def source_analysis(citations: DataFrame, controlled: list[str], by: list[str]) -> DataFrame:
-    """Company-controlled share of citations, and counts of answers and citations with outside sources."""
-    c = citations.withColumn("host", host_of(F.col("url")))
-    own = controlled_by(F.col("host"), controlled)
-    return c.groupBy(*by).agg(F.count("*").alias("citations"), percent(F.count_if(own), F.count("*")).alias("controlled_share"), F.countDistinct(F.when(~own, F.col("host"))).alias("external_domains"), F.countDistinct(F.when(~own, F.col("check_id"))).alias("external_answers"))
+def answer_sources(responses: DataFrame, controlled: list[str]) -> DataFrame:
+    """responses (provider_status, citations, raw_answer, ...) and what each cites.
 
+    sources: its citations that have a domain; usable: whether there are any; own and external: the distinct domains of each
+    kind; company_source: whether an own one is among them, null where nothing is usable.
+    """
+    sources = F.filter(cited_sources(F.col("citations"), F.col("raw_answer")), lambda c: c["domain"].isNotNull())
+    t = responses.withColumn("sources", sources)
+    domains = F.array_sort(F.array_distinct(F.transform("sources", lambda c: c["domain"])))
+    t = t.withColumns({"own": F.filter(domains, lambda d: controlled_by(d, controlled)), "external": F.filter(domains, lambda d: ~controlled_by(d, controlled)), "usable": F.size("sources") > 0})
+    return t.withColumn("company_source", F.when(F.col("usable"), F.size("own") > 0))
+
+
+def source_analysis(responses: DataFrame, controlled: list[str], by: list[str]) -> DataFrame:
+    """Of the successful answers with usable sources, how many cite a company-controlled one."""
+    t, counts = answer_sources(responses, controlled), (F.col("provider_status") == "success") & F.col("usable")
+    own, all_ = F.count_if(counts & F.col("company_source")), F.count_if(counts)
+    return t.groupBy(*by).agg(own.alias("numerator"), all_.alias("denominator"), F.when(all_ > 0, own / all_ * 100).alias("percentage"))
 
-def external_domains(citations: DataFrame, controlled: list[str]) -> DataFrame:
-    c = citations.withColumn("domain", host_of(F.col("url"))).filter(~controlled_by(F.col("domain"), controlled) & (F.col("domain") != ""))
-    return c.groupBy("domain").agg(F.countDistinct("question").alias("questions"), F.countDistinct("engine").alias("engines"), F.count("*").alias("citations"))
 
+def external_domains(responses: DataFrame, controlled: list[str], by: list[str]) -> DataFrame:
+    """Answers that cite each domain outside the company, and citations of it."""
+    t = answer_sources(responses, controlled).select(*by, "external", F.col("sources.domain").alias("all_"))
+    each = F.transform("external", lambda d: F.struct(d.alias("domain"), F.size(F.filter("all_", lambda x: x == d)).alias("n")))
+    return t.select(*by, F.explode(each).alias("x")).groupBy(*by, F.col("x.domain").alias("domain")).agg(F.count("*").alias("responses"), F.sum("x.n").alias("citations"))
 
-def concept_metrics(concepts: DataFrame) -> DataFrame:
-    """Agreement of providers on concepts (question, engine, concept): mean pairwise Jaccard, shared and specific concepts.
 
-    Providers are few, so pairs of a question's providers stay few; two empty sets agree fully.
+def concept_metrics(presence: DataFrame) -> DataFrame:
+    """Agreement of a question's providers on concepts (question, engine, concept, present): mean pairwise Jaccard, and concepts by who has them.
+
+    Every provider of a question counts, also one without a present concept (its concept may be null); two empty sets agree fully.
+    A concept of all providers is shared, of exactly one specific, else inconsistent.  Providers are few, so are pairs of a question's.
     """
-    sets = concepts.groupBy("question", "engine").agg(F.array_sort(F.collect_set("concept")).alias("c"))
+    sets = presence.groupBy("question", "engine").agg(F.array_sort(F.collect_set(F.when(F.col("present"), F.col("concept")))).alias("c"))
     a, b = sets.select("question", F.col("engine").alias("e1"), F.col("c").alias("c1")), sets.select("question", F.col("engine").alias("e2"), F.col("c").alias("c2"))
     union = F.size(F.array_union("c1", "c2"))
     j = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect("c1", "c2")) / union)
     pairs = a.join(b, "question").filter("e1 < e2").groupBy("question").agg(js_round(F.sum(j.cast("decimal(20,12)")).cast("double") / F.count("*"), 3).alias("consistency"), F.count("*").alias("pairs"))
-    each = concepts.select("question", "engine", "concept").distinct().groupBy("question", "concept").agg(F.count("*").alias("n"))
+    each = presence.filter("concept is not null").groupBy("question", "concept").agg(F.countDistinct(F.when(F.col("present"), F.col("engine"))).alias("n"))
     n = sets.groupBy("question").agg(F.count("*").alias("engines"))
-    kinds = each.join(n, "question").groupBy("question").agg(F.first("engines").alias("engines"), F.count_if(F.col("n") == F.col("engines")).alias("shared"), F.count_if(F.col("n") == 1).alias("specific"), F.count("*").alias("concepts"))
+    shared, one = F.col("n") == F.col("engines"), F.col("n") == 1
+    known = F.col("concept").isNotNull()
+    kinds = n.join(each, "question", "left").groupBy("question").agg(
+        F.first("engines").alias("engines"), F.count_if(known & shared).alias("shared"), F.count_if(known & ~shared & one).alias("specific"), F.count_if(known & ~shared & ~one).alias("inconsistent"), F.count("concept").alias("concepts")
+    )
     return kinds.join(pairs, "question", "left")
 
 

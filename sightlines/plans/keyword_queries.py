@@ -259,38 +259,67 @@ OWN = ["site0.example"]
 
 @query(
     "a31_ai_metrics",
-    f"""WITH o AS (SELECT check_id, bool_or({_OWN}) AS own, count(*) AS cites FROM (SELECT *, {_HOST} AS host FROM citation) GROUP BY check_id), g AS (SELECT c.*, own, cites FROM aeo_check c LEFT JOIN o USING (check_id) WHERE error IS NULL)
-    SELECT engine, count(*) AS answers, {_pct("count_if(verdict IN ('cited', 'mentioned'))", 'count(*)')} AS mention_rate, {_pct("count_if(verdict = 'cited')", 'count(*)')} AS citation_rate, {_pct('count_if(coalesce(own, FALSE))', 'count(*)')} AS first_party_rate, CAST(coalesce(sum(cites), 0) AS BIGINT) AS citations FROM g GROUP BY engine""",
+    f"""WITH o AS (SELECT check_id, count_if(host = 'site0.example') AS own, count(*) AS cites FROM (SELECT *, {_HOST} AS host FROM citation) GROUP BY check_id), g AS (SELECT c.*, own, cites FROM aeo_check c LEFT JOIN o USING (check_id))
+    SELECT engine, count(*) AS answers, {_pct("count_if(verdict IN ('cited', 'mentioned'))", 'count(*)')} AS mention_rate, {_pct("count_if(verdict = 'cited')", 'count(*)')} AS citation_rate, {_pct('coalesce(sum(own), 0)', 'coalesce(sum(cites), 0)')} AS first_party_rate, CAST(coalesce(sum(cites), 0) AS BIGINT) AS citations FROM g GROUP BY engine""",
     "aeo_check citation",
 )
 def a31_ai_metrics(spark, d):
-    return A.ai_metrics(facts.aeo_check(spark, d), facts.citation(spark, d), OWN, ["engine"])
+    return A.ai_metrics(facts.aeo_check(spark, d), facts.citation(spark, d), "site0.example", ["engine"])
+
+
+# Lists of two sources a and b in the forms of providers, and answers; {n} is the check's number.
+_LISTS = [
+    '["{a}", "{b}", 5, null]', '{"citations": [{"url": "{a}"}, {"domain": "User@{h}:80."}]}', '{"citations": [], "sources": ["{b}", {"title": "no address"}]}', "{a}\n  {b}  \n\n", "  ", None, '{"url": "{b}", "domain": ""}', '"{a}"', '{"citations": {"url": "{a}"}}', '[{"url": "{a}", "domain": "WWW.ref{n}.example"}, {"url": "{a}"}, ["{b}"]]', "[]",
+]
+_ANSWER = "See {a}, (https:\\/\\/x{n}.example/y) and {b}."
+_FILL = lambda t: f"replace(replace(replace(replace({t}, '{{a}}', a), '{{b}}', b), '{{h}}', 'site0.example'), '{{n}}', CAST(check_id % 4 AS VARCHAR))"
+_SOURCE_HOST = "regexp_replace(regexp_replace(regexp_replace(regexp_extract(CASE WHEN contains(lower(trim({0})), '://') THEN lower(trim({0})) ELSE 'https://' || lower(trim({0})) END, '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[^:\\]]*$', ''), '\\.+$', '')".format
+_LIST_SQL = ", ".join("NULL" if x is None else "'" + x.replace("\n", "' || chr(10) || '") + "'" for x in _LISTS)
+_RESPONSE = f"""rp AS (SELECT c.check_id, question, engine, CASE WHEN c.check_id % 7 = 0 THEN 'error' ELSE 'success' END AS provider_status, {_FILL(f"[{_LIST_SQL}][1 + CAST(c.check_id % {len(_LISTS)} AS INTEGER)]")} AS citations, CASE WHEN c.check_id % 3 <> 0 THEN {_FILL("'" + _ANSWER + "'")} END AS raw_answer FROM (SELECT check_id, min(question) AS question, min(engine) AS engine, min(url) AS a, max(url) AS b FROM citation GROUP BY check_id) c),
+ it AS (SELECT *, CASE WHEN trim(coalesce(citations, '')) = '' THEN [] WHEN NOT json_valid(citations) THEN [to_json(x) FOR x IN list_filter([trim(y) FOR y IN string_split(citations, chr(10))], lambda y: y <> '')] WHEN json_type(citations) = 'ARRAY' THEN json_extract(citations, '$[*]') WHEN json_type(citations) <> 'OBJECT' THEN []
+   WHEN coalesce(CAST(citations->'$.citations' AS VARCHAR), '[]') <> '[]' THEN CASE WHEN json_type(citations->'$.citations') = 'ARRAY' THEN json_extract(citations, '$.citations[*]') ELSE [] END WHEN coalesce(CAST(citations->'$.sources' AS VARCHAR), '[]') <> '[]' THEN json_extract(citations, '$.sources[*]') ELSE [CAST(citations AS JSON)] END AS items FROM rp),
+ ls AS (SELECT *, list_filter([nullif({_SOURCE_HOST("coalesce(CASE json_type(x) WHEN 'VARCHAR' THEN x->>'$' ELSE coalesce(nullif(x->>'$.domain', ''), x->>'$.url') END, '')")}, '') FOR x IN list_filter(items, lambda y: json_type(y) IN ('VARCHAR', 'OBJECT'))], lambda z: z IS NOT NULL) AS listed FROM it),
+ sp AS (SELECT *, CASE WHEN len(listed) > 0 THEN listed ELSE [{_SOURCE_HOST('u')} FOR u IN list_distinct([regexp_replace(u, '[.,;:''"]+$', '') FOR u IN regexp_extract_all(replace(replace(coalesce(raw_answer, ''), '\\:', ':'), '\\/', '/'), 'https?://[^\\s<>"\\])]+')])] END AS domains FROM ls),
+ rs AS (SELECT *, len(domains) > 0 AS usable, len(list_filter(domains, lambda h: h = 'site0.example' OR ends_with(h, '.site0.example'))) > 0 AS own FROM sp)"""
+
+
+def responses(spark, d):
+    """An answer for every check, its sources listed in the form of its number."""
+    t = facts.citation(spark, d).groupBy("check_id").agg(F.min("question").alias("question"), F.min("engine").alias("engine"), F.min("url").alias("a"), F.max("url").alias("b"))
+    fill = lambda x: F.replace(F.replace(F.replace(F.replace(x, F.lit("{a}"), F.col("a")), F.lit("{b}"), F.col("b")), F.lit("{h}"), F.lit("site0.example")), F.lit("{n}"), (F.col("check_id") % 4).cast("string"))
+    form = F.element_at(F.array(*map(F.lit, _LISTS)), (F.col("check_id") % len(_LISTS) + 1).cast("int"))
+    status = F.when(F.col("check_id") % 7 == 0, "error").otherwise("success")
+    return t.select("check_id", "question", "engine", status.alias("provider_status"), fill(form).alias("citations"), F.when(F.col("check_id") % 3 != 0, fill(F.lit(_ANSWER))).alias("raw_answer"))
+
+
+@query("a32_source_analysis", f"WITH {_RESPONSE} SELECT question, CAST(count_if(provider_status = 'success' AND usable AND own) AS BIGINT) AS numerator, CAST(count_if(provider_status = 'success' AND usable) AS BIGINT) AS denominator, CAST(count_if(provider_status = 'success' AND usable AND own) AS DOUBLE) / nullif(count_if(provider_status = 'success' AND usable), 0) * 100 AS percentage FROM rs GROUP BY question", "citation")
+def a32_source_analysis(spark, d):
+    return A.source_analysis(responses(spark, d), OWN, ["question"])
 
 
-@query(
-    "a32_source_analysis",
-    f"WITH c AS (SELECT *, {_HOST} AS host FROM citation) SELECT question, count(*) AS citations, {_pct(f'count_if({_OWN})', 'count(*)')} AS controlled_share, count(DISTINCT CASE WHEN NOT {_OWN} THEN host END) AS external_domains, count(DISTINCT CASE WHEN NOT {_OWN} THEN check_id END) AS external_answers FROM c GROUP BY question",
-    "citation",
-)
-def a32_source_analysis(spark, d):
-    return A.source_analysis(facts.citation(spark, d), OWN, ["question"])
+@query("a32_answer_sources", f"WITH {_RESPONSE} SELECT check_id, CAST(len(domains) AS INTEGER) AS sources, CASE WHEN usable THEN own END AS company_source, array_to_string(list_sort(list_distinct(list_filter(domains, lambda h: NOT (h = 'site0.example' OR ends_with(h, '.site0.example'))))), ',') AS external FROM rs", "citation")
+def a32_answer_sources(spark, d):
+    return A.answer_sources(responses(spark, d), OWN).select("check_id", F.size("sources").alias("sources"), "company_source", F.array_join("external", ",").alias("external"))
 
 
-@query("a56_external_domains", f"WITH c AS (SELECT *, {_HOST} AS host FROM citation) SELECT host AS domain, count(DISTINCT question) AS questions, count(DISTINCT engine) AS engines, count(*) AS citations FROM c WHERE NOT {_OWN} AND host <> '' GROUP BY host", "citation")
+@query("a56_external_domains", f"WITH {_RESPONSE}, x AS (SELECT question, check_id, unnest(domains) AS domain FROM rs) SELECT question, domain, count(DISTINCT check_id) AS responses, count(*) AS citations FROM x WHERE NOT (domain = 'site0.example' OR ends_with(domain, '.site0.example')) GROUP BY ALL", "citation")
 def a56_external_domains(spark, d):
-    return A.external_domains(facts.citation(spark, d), OWN)
+    return A.external_domains(responses(spark, d), OWN, ["question"])
 
 
-_CON = """cn AS (SELECT DISTINCT question, engine, 'c' || (check_id % 17) AS concept FROM aeo_check WHERE check_id % 5 = 0), st AS (SELECT question, engine, list(concept) AS c FROM cn GROUP BY ALL),
- pr AS (SELECT a.question, CAST(len(list_intersect(a.c, b.c)) AS DOUBLE) / len(list_distinct(list_concat(a.c, b.c))) AS j FROM st a JOIN st b ON a.question = b.question AND a.engine < b.engine),
+# Providers of every question; a fifth of the checks finds a concept, one provider of some questions finds none.
+_CON = """cn AS (SELECT question, engine, 'c' || (check_id % 17) AS concept, check_id % 5 = 0 AND NOT (question LIKE '%3' AND engine = 'engine1') AS present FROM aeo_check), st AS (SELECT question, engine, coalesce(list(DISTINCT concept) FILTER (present), []) AS c FROM cn GROUP BY ALL),
+ pr AS (SELECT a.question, CASE WHEN len(a.c) + len(b.c) = 0 THEN 1.0 ELSE CAST(len(list_intersect(a.c, b.c)) AS DOUBLE) / len(list_distinct(list_concat(a.c, b.c))) END AS j FROM st a JOIN st b ON a.question = b.question AND a.engine < b.engine),
  ag AS (SELECT question, floor(CAST(sum(CAST(j AS DECIMAL(20,12))) AS DOUBLE) / count(*) * 1000.0 + 0.5) / 1000.0 AS consistency, count(*) AS pairs FROM pr GROUP BY question),
- ea AS (SELECT question, concept, count(*) AS n FROM cn GROUP BY ALL), nn AS (SELECT question, count(*) AS engines FROM st GROUP BY question),
- cm AS (SELECT question, any_value(engines) AS engines, CAST(count_if(n = engines) AS BIGINT) AS shared, CAST(count_if(n = 1) AS BIGINT) AS specific, count(*) AS concepts FROM ea JOIN nn USING (question) GROUP BY question),
+ ea AS (SELECT question, concept, count(DISTINCT CASE WHEN present THEN engine END) AS n FROM cn GROUP BY ALL), nn AS (SELECT question, count(*) AS engines FROM st GROUP BY question),
+ cm AS (SELECT question, any_value(engines) AS engines, CAST(count_if(n = engines) AS BIGINT) AS shared, CAST(count_if(n = 1 AND engines > 1) AS BIGINT) AS specific, CAST(count_if(n <> engines AND n <> 1) AS BIGINT) AS inconsistent, count(*) AS concepts FROM ea JOIN nn USING (question) GROUP BY question),
  fn AS (SELECT cm.*, consistency, pairs FROM cm LEFT JOIN ag USING (question))"""
 
 
 def _concepts(spark, d):
-    return A.concept_metrics(facts.aeo_check(spark, d).filter("check_id % 5 = 0").select("question", "engine", F.concat(F.lit("c"), (F.col("check_id") % 17).cast("string")).alias("concept")))
+    c = facts.aeo_check(spark, d)
+    present = (F.col("check_id") % 5 == 0) & ~(F.col("question").endswith("3") & (F.col("engine") == "engine1"))
+    return A.concept_metrics(c.select("question", "engine", F.concat(F.lit("c"), (F.col("check_id") % 17).cast("string")).alias("concept"), present.alias("present")))
 
 
 @query("a33_concept_metrics", f"WITH {_CON} SELECT * FROM fn", "aeo_check")
@@ -383,7 +412,7 @@ def a59_citation_sentiment(spark, d):
 @query(
     "f12_aeo_verdict",
     f"""WITH l AS (SELECT check_id, question, list({_HOST} ORDER BY url) AS h FROM citation GROUP BY ALL), v AS (SELECT check_id, list_position(list_transform(list_distinct_ordered, lambda x: x = 'site0.example' OR ends_with(x, '.site0.example')), TRUE) AS p, question FROM (SELECT check_id, question, CASE WHEN len(h) = 2 AND h[1] = h[2] THEN [h[1]] ELSE h END AS list_distinct_ordered FROM l))
-    SELECT check_id, CASE WHEN p > 0 THEN 'cited' WHEN question IN ('question 1', 'question 11') AND FALSE THEN 'mentioned' WHEN regexp_matches(question, '(^|[^0-9])1([^0-9]|$)') THEN 'mentioned' ELSE 'absent' END AS verdict, CASE WHEN p > 0 THEN CAST(p AS BIGINT) END AS rank FROM v""",
+    SELECT check_id, CASE WHEN p > 0 THEN 'cited' WHEN regexp_matches(question, '(^|[^0-9])1([^0-9]|$)') THEN 'mentioned' ELSE 'absent' END AS verdict, CASE WHEN p > 0 THEN CAST(p AS BIGINT) END AS rank FROM v""",
     "citation",
 )
 def f12_aeo_verdict(spark, d):
