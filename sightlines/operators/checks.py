@@ -163,60 +163,83 @@ def latest_snapshots(snapshots: DataFrame) -> DataFrame:
     return snapshots.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
 
 
-def change_label(status: Column, before: Column, seen_before: Column) -> Column:
-    """Change of one page on one check between two observations of that check."""
-    issue, was = is_issue(status), is_issue(before)
+def change_label(status: Column, before: Column) -> Column:
+    """Change of one page on one check against the observation before; before is null where that did not assess the page."""
+    either = lambda s: (status == s) | (before == s)
     return (
-        F.when(~seen_before, F.when(issue, "new_page").otherwise("new_page_clear"))
-        .when(before.isNull(), F.when(issue, "new_issue").otherwise("newly_clear"))
-        .when(issue & ~was, "new_issue")
-        .when(~issue & was, "resolved")
-        .when(issue & was & (status == "FAIL") & (before == "PARTIAL"), "worsened")
-        .when(issue & was & (status == "PARTIAL") & (before == "FAIL"), "improved")
-        .when(issue, "persisting")
-        .otherwise("clear")
+        F.when(before.isNull(), F.when(is_issue(status), "new_issue").otherwise("new_page"))
+        .when(status == before, "unchanged")
+        .when(either("MANUAL_REVIEW"), "requires_review")
+        .when(either("DATA_UNAVAILABLE"), "evidence_unavailable")
+        .when(either("NOT_APPLICABLE"), "no_longer_applicable")
+        .when(is_issue(before) & (status == "PASS"), "resolved")
+        .when((before == "FAIL") & (status == "PARTIAL"), "improved")
+        .when(is_issue(status) & before.isin("PARTIAL", "PASS"), "worsened")
+        .otherwise("requires_review")
     )
 
 
 def finding_history(signals: DataFrame) -> DataFrame:
     """Change of every (check, page) against the observation before *of that check*.
 
-    Runs are ranked densely for each check; rank r is joined with r - 1 on the page.
+    Runs are ranked for each check; rank r is joined with r - 1 on the page.
     """
-    s = signals.groupBy("run_id", "title", "page").agg(rollup_status(F.col("status")).alias("status"), F.first("family").alias("family"))
+    s = signals.groupBy("run_id", "title", "page").agg(rollup_status(F.col("status")).alias("status"), F.min("family").alias("family"))
     runs = s.select("title", "run_id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("title").orderBy("run_id")))
     now = s.join(runs, ["title", "run_id"])
     before = now.select("title", "page", (F.col("r") + 1).alias("r"), F.col("status").alias("before"))
     rows = now.join(before, ["title", "page", "r"], "left")
-    seen = F.min("r").over(Window.partitionBy("title", "page")) < F.col("r")
-    label = F.when(F.col("r") == 1, F.when(is_issue(F.col("status")), "baseline_issue").otherwise("baseline_clear")).otherwise(change_label(F.col("status"), F.col("before"), seen))
-    return rows.select("title", "page", "run_id", "family", "r", "status", label.alias("change"))
+    return rows.select("title", "page", "run_id", "family", "r", "status", change_label(F.col("status"), F.col("before")).alias("change"))
 
 
-MATERIAL = ["new_issue", "new_page", "resolved", "worsened", "improved"]
+#: Changes that move a finding; what comes first decides where several pages differ.
+WORSE, BETTER = ["worsened", "new_issue"], ["resolved", "improved"]
+MATERIAL = [*WORSE, *BETTER, "mixed"]
+STILL = ["requires_review", "evidence_unavailable", "no_longer_applicable", "new_page"]
 
 
-def last_material_change(history: DataFrame) -> DataFrame:
-    """Adds the last material change of each (check, page), carried forward."""
-    w = Window.partitionBy("title", "page").orderBy("r").rowsBetween(Window.unboundedPreceding, 0)
-    return history.withColumn("material", F.last(F.when(F.col("change").isin(MATERIAL), F.col("change")), ignorenulls=True).over(w))
+def _one_change(change: Column, still: bool) -> Column:
+    """Aggregate: mixed where pages went both ways, else the first of the changes; unchanged (null without still) where nothing moved."""
+    has = lambda *c: F.coalesce(F.bool_or(change.isin(*c)), F.lit(False))
+    label = F.when(has(*WORSE) & has(*BETTER), "mixed")
+    for c in [*WORSE, *BETTER, *(STILL if still else [])]:
+        label = label.when(has(c), c)
+    return label.otherwise("unchanged") if still else label
 
 
 def rollup_changes(history: DataFrame, by: list[str]) -> DataFrame:
-    """One change for each group: mixed, worsened, new, resolved, improved, persisting or clear."""
-    has = lambda *c: F.bool_or(F.col("change").isin(*c))
-    bad, good = has("worsened", "new_issue", "new_page"), has("resolved", "improved")
-    label = (
-        F.when(bad & good, "mixed").when(has("worsened"), "worsened").when(has("new_issue", "new_page"), "new_issue").when(has("resolved"), "resolved").when(has("improved"), "improved").when(has("persisting", "baseline_issue"), "persisting").otherwise("clear")
-    )
-    return history.groupBy(*by).agg(label.alias("change"), F.countDistinct("page").alias("pages"))
+    """The change of each finding in each run, with the pages assessed and affected."""
+    page = lambda when: F.countDistinct(F.when(when, F.col("page")))
+    return history.groupBy(*by).agg(_one_change(F.col("change"), True).alias("change"), F.countDistinct("page").alias("pages"), page(is_issue(F.col("status"))).alias("pages_affected"))
+
+
+def last_material_change(rolled: DataFrame) -> DataFrame:
+    """rolled (title, run_id, change) with the last change that moved the finding, and its run: confirmations don't erase it."""
+    w = Window.partitionBy("title").orderBy("run_id").rowsBetween(Window.unboundedPreceding, 0)
+    moved = F.last(F.when(F.col("change").isin(MATERIAL), F.struct("change", "run_id")), ignorenulls=True).over(w)
+    return rolled.withColumn("last", moved).select(*rolled.columns, F.col("last.change").alias("last_change"), F.col("last.run_id").alias("last_run"))
+
+
+def page_lifecycle(history: DataFrame) -> DataFrame:
+    """For every check and run but the first: pages that it newly observed, and pages of the run before that it no longer assessed."""
+    seen = history.select("title", "r", "page").distinct()
+    both = seen.select("title", "r", "page", F.lit(1).alias("now"), F.lit(0).alias("was")).unionByName(seen.select("title", (F.col("r") + 1).alias("r"), "page", F.lit(0).alias("now"), F.lit(1).alias("was")))
+    last = history.groupBy("title").agg(F.max("r").alias("top"))
+    each = both.groupBy("title", "r", "page").agg(F.max("now").alias("now"), F.max("was").alias("was")).join(last, "title").filter("r > 1 and r <= top and now <> was")
+    return each.select("title", "r", "page", F.when(F.col("now") == 1, "newly_observed").otherwise("no_longer_assessed").alias("event"))
 
 
 def change_summary(history: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    """Unique pages by their retained change, over pages that the newest run of the check still assesses."""
-    newest = history.groupBy("title").agg(F.max("r").alias("top"))
-    t = last_material_change(history).join(newest, "title").filter("r = top")
-    return t.groupBy(*by, F.coalesce("material", F.lit("none")).alias("material")).agg(F.countDistinct("page").alias("pages"), F.countDistinct(F.when(is_issue(F.col("status")), F.col("page"))).alias("open_pages"))
+    """Unique pages by their retained movement: of each check the last material change of a page that its newest run still assesses.
+
+    A page that moved both ways over its checks is mixed; by may hold family, which is that of a check's newest run.
+    """
+    newest = history.groupBy("title").agg(F.max("r").alias("top"), F.max_by("family", "r").alias("family"))
+    kept = F.max_by("change", F.when(F.col("change").isin(MATERIAL), F.col("r")))
+    pages = history.groupBy("title", "page").agg(kept.alias("change"), F.max("r").alias("r")).join(newest, "title").filter("r = top and change is not null")
+    one = pages.groupBy(*by, "page").agg(_one_change(F.col("change"), False).alias("change"))
+    names = {"improved": "improved", "worsened": "worsened", "resolved": "resolved", "new": "new_issue", "mixed": "mixed"}
+    return one.groupBy(*by).agg(*[F.count_if(F.col("change") == c).alias(n) for n, c in names.items()])
 
 
 def compare_snapshots(current: DataFrame, previous: DataFrame) -> DataFrame:

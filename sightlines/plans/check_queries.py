@@ -155,15 +155,15 @@ def w7_family_trend(spark, d):
     return K.family_trend(facts.signal(spark, d))
 
 
-_HIST = f"""sg AS (SELECT run_id, title, page, {STATUS} AS status, any_value(family) AS family FROM signal WHERE page NOT LIKE '%p1' OR run_id > 'run02' GROUP BY run_id, title, page),
+_HIST = f"""sg AS (SELECT run_id, title, page, {STATUS} AS status, min(family) AS family FROM signal WHERE page NOT LIKE '%p1' OR run_id > 'run02' GROUP BY run_id, title, page),
  rn AS (SELECT title, run_id, row_number() OVER (PARTITION BY title ORDER BY run_id) AS r FROM (SELECT DISTINCT title, run_id FROM sg)), nw AS (SELECT sg.*, r FROM sg JOIN rn USING (title, run_id)),
- jn AS (SELECT a.*, b.status AS before, min(a.r) OVER (PARTITION BY a.title, a.page) < a.r AS seen FROM nw a LEFT JOIN nw b ON a.title = b.title AND a.page = b.page AND b.r = a.r - 1),
- hs AS (SELECT title, page, run_id, family, CAST(r AS INTEGER) AS r, status, CASE WHEN r = 1 THEN CASE WHEN {_ISSUE} THEN 'baseline_issue' ELSE 'baseline_clear' END WHEN NOT seen THEN CASE WHEN {_ISSUE} THEN 'new_page' ELSE 'new_page_clear' END
-  WHEN before IS NULL THEN CASE WHEN {_ISSUE} THEN 'new_issue' ELSE 'newly_clear' END WHEN {_ISSUE} AND before NOT IN ('FAIL', 'PARTIAL') THEN 'new_issue' WHEN NOT ({_ISSUE}) AND before IN ('FAIL', 'PARTIAL') THEN 'resolved'
-  WHEN status = 'FAIL' AND before = 'PARTIAL' THEN 'worsened' WHEN status = 'PARTIAL' AND before = 'FAIL' THEN 'improved' WHEN {_ISSUE} THEN 'persisting' ELSE 'clear' END AS change FROM jn)"""
+ jn AS (SELECT a.*, b.status AS before FROM nw a LEFT JOIN nw b ON a.title = b.title AND a.page = b.page AND b.r = a.r - 1),
+ hs AS (SELECT title, page, run_id, family, CAST(r AS INTEGER) AS r, status, CASE WHEN before IS NULL AND {_ISSUE} THEN 'new_issue' WHEN before IS NULL THEN 'new_page' WHEN status = before THEN 'unchanged' WHEN 'MANUAL_REVIEW' IN (status, before) THEN 'requires_review' WHEN 'DATA_UNAVAILABLE' IN (status, before) THEN 'evidence_unavailable'
+  WHEN 'NOT_APPLICABLE' IN (status, before) THEN 'no_longer_applicable' WHEN before IN ('FAIL', 'PARTIAL') AND status = 'PASS' THEN 'resolved' WHEN before = 'FAIL' THEN 'improved' ELSE 'worsened' END AS change FROM jn)"""
 
 
 def _history(spark, d):
+    """Pages p1 are assessed from the fourth run on."""
     return K.finding_history(facts.signal(spark, d).filter(~F.col("page").endswith("p1") | (F.col("run_id") > "run02")))
 
 
@@ -172,33 +172,52 @@ def w1_finding_history(spark, d):
     return _history(spark, d)
 
 
-_MAT = "mt AS (SELECT *, last_value(CASE WHEN change IN ('new_issue', 'new_page', 'resolved', 'worsened', 'improved') THEN change END IGNORE NULLS) OVER (PARTITION BY title, page ORDER BY r ROWS UNBOUNDED PRECEDING) AS material FROM hs)"
-
-
-@query("w2_last_material_change", f"WITH {_HIST}, {_MAT} SELECT * FROM mt", "signal")
-def w2_last_material_change(spark, d):
-    return K.last_material_change(_history(spark, d))
+_FIRST_OF = lambda *names: " ".join(f"WHEN bool_or(change = '{c}') THEN '{c}'" for c in names)
+_MIXED = "CASE WHEN bool_or(change IN ('worsened', 'new_issue')) AND bool_or(change IN ('resolved', 'improved')) THEN 'mixed'"
+_ROLLED = f"rl AS (SELECT run_id, title, {_MIXED} {_FIRST_OF('worsened', 'new_issue', 'resolved', 'improved', 'requires_review', 'evidence_unavailable', 'no_longer_applicable', 'new_page')} ELSE 'unchanged' END AS change, count(DISTINCT page) AS pages, count(DISTINCT CASE WHEN {_ISSUE} THEN page END) AS pages_affected FROM hs GROUP BY ALL)"
 
 
 @query(
-    "w3_rollup_changes",
-    f"""WITH {_HIST}, f AS (SELECT run_id, title, bool_or(change IN ('worsened', 'new_issue', 'new_page')) AS bad, bool_or(change IN ('resolved', 'improved')) AS good, bool_or(change = 'worsened') AS w, bool_or(change IN ('new_issue', 'new_page')) AS n, bool_or(change = 'resolved') AS s, bool_or(change = 'improved') AS i, bool_or(change IN ('persisting', 'baseline_issue')) AS p, count(DISTINCT page) AS pages FROM hs GROUP BY ALL)
-    SELECT run_id, title, CASE WHEN bad AND good THEN 'mixed' WHEN w THEN 'worsened' WHEN n THEN 'new_issue' WHEN s THEN 'resolved' WHEN i THEN 'improved' WHEN p THEN 'persisting' ELSE 'clear' END AS change, pages FROM f""",
+    "w2_last_material_change",
+    f"""WITH {_HIST}, {_ROLLED}, mv AS (SELECT *, last_value(CASE WHEN change IN ('worsened', 'new_issue', 'resolved', 'improved', 'mixed') THEN run_id END IGNORE NULLS) OVER (PARTITION BY title ORDER BY run_id ROWS UNBOUNDED PRECEDING) AS last_run FROM rl)
+    SELECT mv.*, rl.change AS last_change FROM mv LEFT JOIN rl ON rl.title = mv.title AND rl.run_id = mv.last_run""",
     "signal",
 )
+def w2_last_material_change(spark, d):
+    return K.last_material_change(K.rollup_changes(_history(spark, d), ["run_id", "title"]))
+
+
+@query("w3_rollup_changes", f"WITH {_HIST}, {_ROLLED} SELECT * FROM rl", "signal")
 def w3_rollup_changes(spark, d):
     return K.rollup_changes(_history(spark, d), ["run_id", "title"])
 
 
 @query(
-    "w4_change_summary",
-    f"WITH {_HIST}, {_MAT}, t AS (SELECT * FROM mt QUALIFY r = max(r) OVER (PARTITION BY title)) SELECT family, coalesce(material, 'none') AS material, count(DISTINCT page) AS pages, count(DISTINCT CASE WHEN {_ISSUE} THEN page END) AS open_pages FROM t GROUP BY 1, 2",
+    "w3_page_lifecycle",
+    f"""WITH {_HIST}, sn AS (SELECT DISTINCT title, r, page FROM hs), tp AS (SELECT title, max(r) AS top FROM hs GROUP BY title)
+    SELECT a.title, a.r, a.page, 'newly_observed' AS event FROM sn a WHERE a.r > 1 AND NOT EXISTS (SELECT 1 FROM sn b WHERE b.title = a.title AND b.page = a.page AND b.r = a.r - 1)
+    UNION ALL SELECT a.title, a.r + 1, a.page, 'no_longer_assessed' FROM sn a JOIN tp USING (title) WHERE a.r < top AND NOT EXISTS (SELECT 1 FROM sn b WHERE b.title = a.title AND b.page = a.page AND b.r = a.r + 1)""",
     "signal",
 )
+def w3_page_lifecycle(spark, d):
+    return K.page_lifecycle(_history(spark, d))
+
+
+_SUMMARY = f"""tp AS (SELECT title, max(r) AS top, max_by(family, r) AS family FROM hs GROUP BY title), rt AS (SELECT title, page, arg_max(change, r) FILTER (change IN ('worsened', 'new_issue', 'resolved', 'improved')) AS change, max(r) AS r FROM hs GROUP BY title, page),
+ cu AS (SELECT rt.*, family FROM rt JOIN tp USING (title) WHERE r = top AND change IS NOT NULL)"""
+_COUNTED = ", ".join(f"CAST(count_if(change = '{c}') AS BIGINT) AS {n}" for n, c in (("improved", "improved"), ("worsened", "worsened"), ("resolved", "resolved"), ("new", "new_issue"), ("mixed", "mixed")))
+
+
+@query("w4_change_summary", f"WITH {_HIST}, {_SUMMARY}, pg AS (SELECT family, page, {_MIXED} {_FIRST_OF('worsened', 'new_issue', 'resolved', 'improved')} END AS change FROM cu GROUP BY family, page) SELECT family, {_COUNTED} FROM pg GROUP BY family", "signal")
 def w4_change_summary(spark, d):
     return K.change_summary(_history(spark, d), ("family",))
 
 
+@query("w4_pulse_summary", f"WITH {_HIST}, {_SUMMARY}, pg AS (SELECT page, {_MIXED} {_FIRST_OF('worsened', 'new_issue', 'resolved', 'improved')} END AS change FROM cu GROUP BY page) SELECT {_COUNTED} FROM pg", "signal")
+def w4_pulse_summary(spark, d):
+    return K.change_summary(_history(spark, d))
+
+
 _CMP = f"""a AS (SELECT title, page, {STATUS} AS now FROM signal WHERE run_id = 'run04' GROUP BY title, page), b AS (SELECT title, page, {STATUS} AS was FROM signal WHERE run_id = 'run02' GROUP BY title, page),
  cmp AS (SELECT title, page, now, was, CASE WHEN now IS NULL THEN 'no_longer_assessed' WHEN was IS NULL AND now IN ('FAIL', 'PARTIAL') THEN 'new_issue' WHEN was IS NULL THEN 'new_page' WHEN 'MANUAL_REVIEW' IN (now, was) THEN 'requires_review' WHEN now = 'NOT_APPLICABLE' AND was <> 'NOT_APPLICABLE' THEN 'no_longer_applicable'
   WHEN 'DATA_UNAVAILABLE' IN (now, was) THEN 'evidence_unavailable' WHEN now = was THEN 'unchanged' WHEN was IN ('FAIL', 'PARTIAL') AND now = 'PASS' THEN 'resolved' WHEN was = 'FAIL' AND now = 'PARTIAL' THEN 'improved' WHEN was = 'PARTIAL' AND now = 'FAIL' THEN 'worsened' WHEN was = 'PASS' AND now IN ('FAIL', 'PARTIAL') THEN 'worsened' ELSE 'requires_review' END AS change
