@@ -267,21 +267,6 @@ def content_fingerprint(text: Column) -> Column:
     return F.sha2(F.trim(F.regexp_replace(F.lower(text), r"\s+", " ")).cast("binary"), 256)
 
 
-def dedupe_pages(pages: DataFrame, least_words: int = 100) -> DataFrame:
-    """duplicate_of and why: redirect alias, canonical of another page, or equal content (url, final_url, canonical, fingerprint, words)."""
-    bare = lambda x: F.regexp_replace(x, "/+$", "")
-    w = Window.partitionBy("fingerprint")
-    lead = F.min(F.struct(F.length("url").alias("n"), "url")).over(w)["url"]
-    alias = F.col("final_url").isNotNull() & (bare(F.col("final_url")) != bare(F.col("url")))
-    canon = F.col("canonical").rlike("(?i)^https?://") & (bare(F.col("canonical")) != bare(F.col("url")))
-    same = (F.col("words") >= least_words) & F.col("fingerprint").isNotNull() & (F.col("lead") != F.col("url"))
-    t = pages.withColumn("lead", lead)
-    return t.select(
-        "url", F.when(alias, "redirect_alias").when(canon, "canonical").when(same, "exact_content").otherwise("unique").alias("decision"),
-        F.when(alias, F.col("final_url")).when(canon, F.col("canonical")).when(same, F.col("lead")).alias("duplicate_of"),
-    )
-
-
 def unchanged(runs: DataFrame) -> DataFrame:
     """Whether a url is as in its run before: 304 or the same fingerprint."""
     prev = F.lag("fingerprint").over(Window.partitionBy("url").orderBy("run_id"))

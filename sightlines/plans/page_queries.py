@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sightlines.functions import markup as MK
 from sightlines.functions import urls as U
+from sightlines.operators import duplicates as DU
 from sightlines.operators import pages as P
 from sightlines.operators import structured as ST
 
@@ -207,17 +208,68 @@ def f24_simhash(spark, d):
     return P.simhash(f, "page_id").join(f.select("page_id", P.is_substantial(F.col("text")).alias("substantial")), "page_id")
 
 
+# Pages of one site by number: aliases, canonical duplicates, copies, pages that are too short or say little.
+_CRAWLED = """cr AS (SELECT page_id, 's.example' AS domain, 'https://s.example/' || page_id AS url, CASE WHEN page_id % 10 IN (1, 2) THEN 'http://www.s.example/' || (page_id // 2) ELSE 'https://s.example/' || page_id END AS final_url, page_id % 10 = 1 AS redirected, CASE page_id % 10 WHEN 3 THEN 'https://s.example/' || (page_id + 1) WHEN 4 THEN 'https://other.example/x' ELSE '' END AS canonical,
+  CASE WHEN page_id % 7 = 0 THEN '' ELSE 'f' || (page_id % 30) END AS fingerprint, CASE WHEN page_id % 4 = 0 THEN 50 ELSE 300 END AS words, CASE WHEN page_id % 9 = 0 THEN 39 ELSE 40 END AS distinct_words, CAST(page_id * 7 % 11 AS INTEGER) AS priority FROM pages)"""
+
+
+def crawled(spark, d):
+    i, s = F.col("page_id"), lambda x: x.cast("bigint").cast("string")
+    m, own = i % 10, F.concat(F.lit("https://s.example/"), i.cast("string"))
+    return pages(spark, d).select(
+        "page_id", F.lit("s.example").alias("domain"), own.alias("url"), F.when(m.isin(1, 2), F.concat(F.lit("http://www.s.example/"), s(F.floor(i / 2)))).otherwise(own).alias("final_url"), (m == 1).alias("redirected"),
+        F.when(m == 3, F.concat(F.lit("https://s.example/"), s(i + 1))).when(m == 4, "https://other.example/x").otherwise("").alias("canonical"), F.when(i % 7 == 0, "").otherwise(F.concat(F.lit("f"), s(i % 30))).alias("fingerprint"),
+        F.when(i % 4 == 0, 50).otherwise(300).alias("words"), F.when(i % 9 == 0, 39).otherwise(40).alias("distinct_words"), (i * 7 % 11).cast("int").alias("priority"),
+    )
+
+
+_DECIDED = f"""{_CRAWLED}, ce AS (SELECT *, 'https://s.example/' || CASE WHEN page_id % 10 IN (1, 2) THEN page_id // 2 ELSE page_id END AS fin, CASE WHEN page_id % 10 = 3 THEN canonical END AS canon FROM cr), al AS (SELECT *, redirected AND fin <> url AS alias FROM ce),
+ ld AS (SELECT fingerprint, min(struct_pack(p := -priority, u := url, e := fin)) AS lead FROM al WHERE fingerprint <> '' AND NOT alias AND words >= 100 GROUP BY fingerprint), dc AS (SELECT al.*, lead, coalesce(words >= 100 AND distinct_words >= 40 AND lead.u <> url AND lead.e <> fin, FALSE) AS same FROM al LEFT JOIN ld USING (fingerprint)),
+ dd AS (SELECT domain, url, priority, CASE WHEN alias THEN 'redirect_alias' WHEN coalesce(canon <> fin, FALSE) THEN 'canonical_duplicate' WHEN same THEN 'exact_content_duplicate' ELSE 'unique' END AS decision, CASE WHEN alias THEN fin WHEN coalesce(canon <> fin, FALSE) THEN canon WHEN same THEN lead.u END AS duplicate_of FROM dc)"""
+
+
+@query("h12_dedupe_pages", f"WITH {_DECIDED} SELECT domain, url, decision, duplicate_of FROM dd")
+def h12_dedupe_pages(spark, d):
+    return DU.dedupe_pages(crawled(spark, d))
+
+
 @query(
-    "h12_dedupe_pages",
-    """WITH p AS (SELECT url || '&id=' || page_id AS url, CASE WHEN page_id % 10 = 1 THEN url ELSE url || '&id=' || page_id || '/' END AS final_url, CASE WHEN page_id % 10 = 2 THEN 'https://canon.example/x' ELSE '' END AS canonical, 'f' || (page_id % 60) AS fingerprint, CASE WHEN page_id % 4 = 0 THEN 50 ELSE 300 END AS words FROM pages),
-    l AS (SELECT *, first(url) OVER (PARTITION BY fingerprint ORDER BY length(url), url) AS lead FROM p), s AS (SELECT *, rtrim(final_url, '/') <> rtrim(url, '/') AS al, canonical <> '' AS ca, words >= 100 AND lead <> url AS sa FROM l)
-    SELECT url, CASE WHEN al THEN 'redirect_alias' WHEN ca THEN 'canonical' WHEN sa THEN 'exact_content' ELSE 'unique' END AS decision, CASE WHEN al THEN final_url WHEN ca THEN canonical WHEN sa THEN lead END AS duplicate_of FROM s""",
+    "h12_repair_aliases",
+    """WITH iv AS (SELECT page_id, 'https://s.example/' || page_id AS url, CASE WHEN page_id % 5 = 1 THEN 'https://s.example/' || (page_id + 1) || '#top' ELSE '' END AS final_url, CASE page_id % 5 WHEN 1 THEN ['exact_content_duplicate', 'legacy', 'canonical_or_content_duplicate'][1 + page_id % 3] WHEN 2 THEN 'exact_content_duplicate' WHEN 3 THEN 'exact_content_duplicate' ELSE 'crawled' END AS reason,
+      CASE page_id % 5 WHEN 1 THEN 'https://s.example/' || (page_id - 1) WHEN 2 THEN 'http://s.example/' || (page_id - 1) WHEN 3 THEN 'https://s.example/' || (page_id + 1) ELSE '' END AS dup, page_id % 4 = 0 AS noindex, CASE WHEN page_id % 5 IN (1, 2, 3) THEN 'duplicate' ELSE 'eligible' END AS eligibility FROM pages), mv AS (SELECT *, page_id % 5 = 1 AND reason <> 'legacy' AS moved FROM iv)
+    SELECT 's.example' AS domain, a.url, a.final_url, CASE WHEN a.page_id % 5 = 2 AND b.page_id IS NOT NULL THEN CASE WHEN a.noindex THEN 'excluded' ELSE 'eligible' END ELSE a.eligibility END AS eligibility, CASE WHEN a.page_id % 5 = 2 AND b.page_id IS NOT NULL THEN CASE WHEN a.noindex THEN 'noindex' ELSE 'redirect_final_resource' END WHEN a.moved OR (a.page_id % 5 = 1 AND n.page_id IS NOT NULL) THEN 'redirect_alias' ELSE a.reason END AS decision_reason,
+      CASE WHEN a.page_id % 5 = 2 AND b.page_id IS NOT NULL THEN '' WHEN a.moved OR (a.page_id % 5 = 1 AND n.page_id IS NOT NULL) THEN 'https://s.example/' || (a.page_id + 1) ELSE a.dup END AS duplicate_of, a.noindex
+    FROM mv a LEFT JOIN mv b ON b.page_id = a.page_id - 1 LEFT JOIN mv n ON n.page_id = a.page_id + 1""",
 )
-def h12_dedupe_pages(spark, d):
-    i = F.col("page_id")
-    own = F.concat("url", F.lit("&id="), i.cast("string"))
-    p = pages(spark, d).select(own.alias("u"), F.when(i % 10 == 1, F.col("url")).otherwise(F.concat(own, F.lit("/"))).alias("final_url"), F.when(i % 10 == 2, "https://canon.example/x").otherwise("").alias("canonical"), F.concat(F.lit("f"), (i % 60).cast("string")).alias("fingerprint"), F.when(i % 4 == 0, 50).otherwise(300).alias("words"))
-    return P.dedupe_pages(p.withColumnRenamed("u", "url"))
+def h12_repair_aliases(spark, d):
+    """Requests that redirect to the page after them, which was called their duplicate; some were known as aliases before."""
+    i, to = F.col("page_id"), lambda n, scheme="https": F.concat(F.lit(f"{scheme}://s.example/"), (F.col("page_id") + n).cast("string"))
+    m = i % 5
+    reasons = F.element_at(F.array(*map(F.lit, ("exact_content_duplicate", "legacy", "canonical_or_content_duplicate"))), (i % 3 + 1).cast("int"))
+    inventory = pages(spark, d).select(
+        F.lit("s.example").alias("domain"), to(0).alias("url"), F.when(m == 1, F.concat(to(1), F.lit("#top"))).otherwise("").alias("final_url"), F.when(m.isin(1, 2, 3), "duplicate").otherwise("eligible").alias("eligibility"),
+        F.when(m == 1, reasons).when(m.isin(2, 3), "exact_content_duplicate").otherwise("crawled").alias("decision_reason"), F.when(m == 1, to(-1)).when(m == 2, to(-1, "http")).when(m == 3, to(1)).otherwise("").alias("duplicate_of"), (i % 4 == 0).alias("noindex"),
+    )
+    return DU.repair_aliases(inventory)
+
+
+# Chains that halve, circles of five, links to themselves and to addresses that no page has.
+_LINK = "CASE WHEN page_id % 40 < 5 THEN 'u' || (page_id // 40 * 40 + (page_id + 1) % 5) WHEN page_id % 11 = 7 THEN 'gone' || (page_id % 3) WHEN page_id % 13 = 0 THEN '' WHEN page_id % 17 = 1 THEN 'u' || page_id ELSE 'u' || (page_id // 2) END"
+
+
+@query(
+    "h12_settle_duplicates",
+    f"""WITH RECURSIVE lk AS (SELECT 'u' || page_id AS url, nullif({_LINK}, '') AS dup, page_id * 7 % 11 AS priority FROM pages), rc(url, ad) AS (SELECT url, url FROM lk UNION SELECT rc.url, lk.dup FROM rc JOIN lk ON lk.url = rc.ad WHERE lk.dup IS NOT NULL),
+    ed AS (SELECT rc.url, rc.ad FROM rc LEFT JOIN lk ON lk.url = rc.ad WHERE lk.dup IS NULL OR lk.dup = lk.url), cy AS (SELECT DISTINCT a.url FROM lk a JOIN rc ON rc.url = a.dup AND rc.ad = a.url WHERE a.dup <> a.url),
+    best AS (SELECT rc.url, first(rc.ad ORDER BY lk.priority DESC, rc.ad) AS ad FROM rc JOIN cy ON cy.url = rc.ad JOIN lk ON lk.url = rc.ad GROUP BY rc.url)
+    SELECT lk.url, coalesce(ed.ad, best.ad) AS representative FROM lk LEFT JOIN ed USING (url) LEFT JOIN best USING (url)""",
+)
+def h12_settle_duplicates(spark, d):
+    i, s = F.col("page_id"), lambda x: x.cast("bigint").cast("string")
+    u = lambda x: F.concat(F.lit("u"), s(x))
+    ring = F.floor(i / 40) * 40 + (i + 1) % 5
+    to = F.when(i % 40 < 5, u(ring)).when(i % 11 == 7, F.concat(F.lit("gone"), s(i % 3))).when(i % 13 == 0, "").when(i % 17 == 1, u(i)).otherwise(u(F.floor(i / 2)))
+    return DU.settle_duplicates(pages(spark, d).select(u(i).alias("url"), to.alias("duplicate_of"), (i * 7 % 11).alias("priority")))
 
 
 _STEP = "CASE WHEN page_id % 8 = 7 THEN page_id + 1 WHEN page_id % 8 = 0 THEN page_id - 1 ELSE page_id // 2 END"
