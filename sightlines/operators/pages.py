@@ -345,13 +345,59 @@ def auditable_pages(crawl: DataFrame, pages: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ crawl plans
 
 
-def select_crawl_batch(inventory: DataFrame, quotas: dict[str, int], target: int) -> DataFrame:
-    """Urls of a crawl: up to a quota by class, one of each event family, then filled by priority."""
-    fam = F.when(F.col("url_class") == "news_release", F.coalesce(F.nullif(U.event_family(F.col("url")), F.lit("")), F.col("url"))).otherwise(F.col("url"))
-    t = inventory.withColumn("family", fam).withColumn("f", F.row_number().over(Window.partitionBy("domain", "url_class", "family").orderBy(F.desc("priority"), "url"))).filter("f = 1")
-    quota = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in quotas.items() for x in kv]), F.col("url_class")), F.lit(0))
-    t = t.withColumn("c", F.row_number().over(Window.partitionBy("domain", "url_class").orderBy(F.desc("priority"), "url"))).withColumn("in_quota", F.col("c") <= quota)
-    return t.withColumn("place", F.row_number().over(Window.partitionBy("domain").orderBy(F.desc("in_quota"), F.desc("priority"), "url"))).filter(F.col("place") <= target).select("domain", "url", "url_class", "priority", "in_quota", "place")
+# Fixed budgets of a first crawl by class; a class that is not listed has one place.
+INITIAL_BUDGETS = {"core_page": 12, "news_release": 4, "article": 3, "corporate_media": 2, "supporting_evidence": 3, "document_disclosure": 2, "webcast": 0, "unknown": 2}
+
+
+def initial_allocation(target: int) -> dict[str, int]:
+    """Places that each class is given first, in the order of giving."""
+    return {
+        "core_page": min(12, max(8 if target >= 10 else target, round(target * 0.60))), "news_release": 2 if target >= 12 else 1, "article": 2 if target >= 14 else 1,
+        "corporate_media": int(target >= 15), "supporting_evidence": int(target >= 16), "document_disclosure": int(target >= 18),
+    }
+
+
+def select_crawl_batch(inventory: DataFrame, target: int = 15) -> DataFrame:
+    """domain, url, url_class, priority, stage and place of the first crawl of every domain (domain, url, url_class, priority, operator_selected).
+
+    Four stages fill the target (1 to 100): what the operator selected; each class's allocation, with one news page for each
+    event family over both stages; class budgets in order of priority; whatever comes next.
+    """
+    target = max(1, min(100, target))
+    wanted, order = initial_allocation(target), [F.desc("operator_selected"), F.desc("priority"), "url"]
+    chosen_first = F.coalesce(F.col("operator_selected"), F.lit(False)) if "operator_selected" in inventory.columns else F.lit(False)
+    news = F.col("url_class") == "news_release"
+    t = inventory.withColumns({"operator_selected": chosen_first, "family": F.when(news, F.nullif(U.event_family(F.col("url")), F.lit("")))})
+    # no stage looks beyond twice the target of a class, or of the first pages of its families
+    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    top = t.withColumn("n", nth("domain", "url_class")).filter(F.col("n") <= 2 * target).drop("n")
+    heads = t.filter("family is not null").withColumn("n", nth("domain", "family")).filter("n = 1").withColumn("n", nth("domain")).filter(F.col("n") <= 2 * target).drop("n")
+    t = top.unionByName(heads).distinct()
+
+    domain, kind = Window.partitionBy("domain"), Window.partitionBy("domain", "url_class")
+    count = lambda flag, w: F.count_if(flag).over(w)
+    nth_of = lambda flag, w: F.when(flag, F.count_if(flag).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    places = lambda table, key, other: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), key), F.lit(other))
+
+    def fit(t: DataFrame, flag: Column, by: Column | str, stage: int) -> DataFrame:
+        """Gives the stage to rows with the flag, in the order of by, as long as the domain has room."""
+        t = t.withColumn("flag", flag)
+        t = t.withColumn("fits", F.col("flag") & (nth_of(F.col("flag"), domain.orderBy(by, "o")) <= target - count(F.col("stage").isNotNull(), domain)))
+        return t.withColumn("stage", F.when(F.col("stage").isNotNull(), F.col("stage")).when(F.col("fits"), stage)).drop("flag", "fits")
+
+    t = t.withColumn("o", nth("domain")).withColumn("stage", F.when(F.col("operator_selected") & (F.col("o") <= target), 1))
+    free = F.col("stage").isNull()
+    known = F.coalesce(F.max(F.col("stage").isNotNull()).over(Window.partitionBy("domain", "family")), F.lit(False))
+    first = F.col("family").isNull() | (~known & (nth_of(free, Window.partitionBy("domain", "family").orderBy("o")) == 1))
+    t = t.withColumn("fresh", free & first)
+    quota = places(wanted, F.col("url_class"), 0) - count(F.col("stage").isNotNull(), kind)
+    t = t.withColumn("given", F.coalesce(nth_of(F.col("fresh"), kind.orderBy("o")) <= quota, F.lit(False)))
+    t = fit(t, F.col("given"), places({c: i for i, c in enumerate(wanted)}, F.col("url_class"), len(wanted)), 2)
+    t = t.withColumn("within", F.coalesce(nth_of(F.col("stage").isNull(), kind.orderBy("o")) <= places(INITIAL_BUDGETS, F.col("url_class"), 1) - count(F.col("stage").isNotNull(), kind), F.lit(False)))
+    t = fit(t, F.col("within"), "o", 3)
+    t = fit(t, F.col("stage").isNull(), "o", 4)
+    names = F.element_at(F.array(*map(F.lit, ("selected", "allocation", "budget", "fill"))), F.col("stage"))
+    return t.filter("stage is not null").select("domain", "url", "url_class", "priority", names.alias("stage"), F.row_number().over(domain.orderBy(F.desc("priority"), "url")).alias("place"))
 
 
 def background_batch(inventory: DataFrame, as_of, day_budget: int, max_retries: int = 3, per_template: int = 3) -> DataFrame:

@@ -506,13 +506,42 @@ def f17_page_type(spark, d):
     return crawl_urls(spark, d).select("page_id", t["type"].alias("page_type"), t["confidence"].alias("confidence"))
 
 
-_BATCH = f"""{_SCORED}, fa AS (SELECT *, CASE WHEN url_class = 'news_release' THEN coalesce(nullif(array_to_string(list_filter(regexp_extract_all(lower(regexp_extract(url, '([^/?]*)(\\?.*)?$', 1)), '[a-z0-9]+'), lambda w: w NOT IN ({', '.join(repr(w) for w in U.STAGE_WORDS)}) AND NOT regexp_matches(w, '^20[0-9][0-9]$')), '-'), ''), url) ELSE url END AS family FROM pr),
- f1 AS (SELECT * FROM fa QUALIFY row_number() OVER (PARTITION BY domain, url_class, family ORDER BY priority DESC, url) = 1), f2 AS (SELECT *, row_number() OVER (PARTITION BY domain, url_class ORDER BY priority DESC, url) <= CASE url_class WHEN 'core_page' THEN 3 WHEN 'article' THEN 2 WHEN 'news_release' THEN 2 ELSE 0 END AS in_quota FROM f1)"""
+_FAMILY = f"array_to_string(list_filter(regexp_extract_all(lower(regexp_extract(rtrim(regexp_replace(url, '[?#].*$', ''), '/'), '^https://[^/]*(.*/)?([^/]*)$', 2)), '[a-z0-9]+'), lambda w: w NOT IN ({', '.join(repr(w) for w in U.STAGE_WORDS)}) AND NOT regexp_matches(w, '^20[0-9][0-9]$')), '-')"
 
 
-@query("t5_select_crawl_batch", f"WITH {_BATCH} SELECT domain, url, url_class, priority, in_quota, CAST(row_number() OVER (PARTITION BY domain ORDER BY in_quota DESC, priority DESC, url) AS INTEGER) AS place FROM f2 QUALIFY place <= 12")
+def _by_class(table: dict[str, int], other: int) -> str:
+    return "CASE url_class " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in table.items()) + f" ELSE {other} END"
+
+
+def _batch_sql(target: int) -> str:
+    """The four stages, each from the rows that the stages before left."""
+    room = lambda done: f"{target} - count(CASE WHEN {done} THEN 1 END) OVER (PARTITION BY domain)"
+    wanted = P.initial_allocation(target)
+    return f"""{_SCORED}, b0 AS (SELECT *, page_id % 50 = 7 AS op, CASE WHEN url_class = 'news_release' THEN nullif({_FAMILY}, '') END AS fam FROM (SELECT page_id, CASE WHEN page_id % 6 = 2 AND page_id % 4 = 2 THEN url || '/news-release/deal-' || (page_id % 3) || '-update' WHEN page_id % 6 = 2 THEN url || '/press-release/the' ELSE url || '-' || page_id END AS url, domain, CASE WHEN page_id % 6 = 2 THEN 'news_release' ELSE url_class END AS url_class, priority FROM pr)),
+ b1 AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY op DESC, priority DESC, url) AS o FROM b0), b2 AS (SELECT *, op AND o <= {target} AS s1 FROM b1),
+ b3 AS (SELECT *, NOT s1 AND (fam IS NULL OR (NOT bool_or(s1) OVER (PARTITION BY domain, fam) AND row_number() OVER (PARTITION BY domain, fam, s1 ORDER BY o) = 1)) AS fresh FROM b2),
+ b4 AS (SELECT *, fresh AND row_number() OVER (PARTITION BY domain, url_class, fresh ORDER BY o) <= {_by_class(wanted, 0)} - count(CASE WHEN s1 THEN 1 END) OVER (PARTITION BY domain, url_class) AS g FROM b3),
+ b5 AS (SELECT *, g AND row_number() OVER (PARTITION BY domain, g ORDER BY {_by_class({c: i for i, c in enumerate(wanted)}, 99)}, o) <= {room('s1')} AS s2 FROM b4),
+ b6 AS (SELECT *, NOT s1 AND NOT s2 AND row_number() OVER (PARTITION BY domain, url_class, s1 OR s2 ORDER BY o) <= {_by_class(P.INITIAL_BUDGETS, 1)} - count(CASE WHEN s1 OR s2 THEN 1 END) OVER (PARTITION BY domain, url_class) AS w FROM b5),
+ b7 AS (SELECT *, w AND row_number() OVER (PARTITION BY domain, w ORDER BY o) <= {room('s1 OR s2')} AS s3 FROM b6), b8 AS (SELECT *, NOT (s1 OR s2 OR s3) AND row_number() OVER (PARTITION BY domain, s1 OR s2 OR s3 ORDER BY o) <= {room('s1 OR s2 OR s3')} AS s4 FROM b7)
+ SELECT domain, url, url_class, priority, CASE WHEN s1 THEN 'selected' WHEN s2 THEN 'allocation' WHEN s3 THEN 'budget' ELSE 'fill' END AS stage, CAST(row_number() OVER (PARTITION BY domain ORDER BY priority DESC, url) AS INTEGER) AS place FROM b8 WHERE s1 OR s2 OR s3 OR s4"""
+
+
+def _batch_inventory(spark, d):
+    """Urls by number, a sixth of them news of few event families or of none."""
+    i, news = F.col("page_id"), F.col("page_id") % 6 == 2
+    url = F.when(news & (i % 4 == 2), F.concat("url", F.lit("/news-release/deal-"), (i % 3).cast("string"), F.lit("-update"))).when(news, F.concat("url", F.lit("/press-release/the"))).otherwise(F.concat("url", F.lit("-"), i.cast("string")))
+    return scored_urls(spark, d).select("page_id", url.alias("url"), "domain", F.when(news, "news_release").otherwise(F.col("url_class")).alias("url_class"), "priority", (i % 50 == 7).alias("operator_selected"))
+
+
+@query("t5_select_crawl_batch", f"WITH {_batch_sql(15)}")
 def t5_select_crawl_batch(spark, d):
-    return P.select_crawl_batch(scored_urls(spark, d), {"core_page": 3, "article": 2, "news_release": 2}, 12)
+    return P.select_crawl_batch(_batch_inventory(spark, d), 15)
+
+
+@query("t5_large_crawl_batch", f"WITH {_batch_sql(30)}")
+def t5_large_crawl_batch(spark, d):
+    return P.select_crawl_batch(_batch_inventory(spark, d), 30)
 
 
 @query(
