@@ -50,7 +50,7 @@ def parse_citations(raw: Column) -> Column:
     items = F.when(itself, F.array(v)).when(is_object, F.try_variant_get(wrapped, "$", "array<variant>")).otherwise(F.try_variant_get(v, "$", "array<variant>"))
     known = F.filter(items, lambda x: _text(x).isNotNull() | F.startswith(F.to_json(x), F.lit("{")))
     read = F.transform(known, lambda x: F.when(_text(x).isNotNull(), _cited(_text(x), F.lit(None).cast("string"))).otherwise(_cited(_text(member(x, "url")), _text(member(x, "domain")))))
-    lines = F.filter(F.transform(F.split(raw, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(raw, r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     by_line = F.transform(lines, lambda x: _cited(x, F.lit(None).cast("string")))
     none = F.expr(_NONE)
     return F.when(F.coalesce(F.trim(raw), F.lit("")) == "", none).when(v.isNull(), by_line).otherwise(F.coalesce(read, none))

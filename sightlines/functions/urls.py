@@ -58,17 +58,8 @@ def norm_domain(value: Column) -> Column:
     return F.regexp_replace(bare, "^www\\.", "")
 
 
-def crawl_identity(url: Column) -> Column:
-    """Keeps scheme, path, slash and sorted query; drops the fragment and lower-cases the host."""
-    scheme = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1))
-    host = F.regexp_replace(F.lower(F.regexp_extract(url, r"^[^:]+://([^/?#]*)", 1)), ":(80|443)$", "")
-    query = F.array_join(F.array_sort(F.filter(F.split(query_of(url), "&"), lambda q: q != "")), "&")
-    path = F.when(path_of(url) == "", "/").otherwise(path_of(url))
-    return F.concat(scheme, F.lit("://"), host, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
-
-
-def page_identity(url: Column) -> Column:
-    """One identity for http and https, with and without www and last slash; no query."""
+def _page_of_site(url: Column) -> Column:
+    """Host and path, whatever scheme, www and last slash."""
     return F.concat(norm_domain(url), F.regexp_replace(path_of(url), "/+$", ""))
 
 
@@ -171,7 +162,7 @@ def priority_score(url: Column, kind: Column, source: Column, sitemap_priority:
 def candidate_score(url: Column, base_url: Column, on_homepage: Column, in_sitemap: Column) -> Column:
     """Points of a page for a small selection: the homepage first, utility pages last."""
     s = segments(url)
-    home = F.regexp_replace(page_identity(url), "/+$", "") == F.regexp_replace(page_identity(base_url), "/+$", "")
+    home = _page_of_site(url) == _page_of_site(base_url)
     score = F.when(on_homepage, 1000).otherwise(0) + F.when(in_sitemap, 300).otherwise(0) + F.greatest(F.lit(0), 220 - F.size(s) * 45) + F.when(_has(s, IMPORTANT_SEGMENTS), 180).otherwise(0)
     score = score - F.when(F.exists(s, lambda x: x.rlike("^20[0-9]{2}$")), 80).otherwise(0) - F.when(F.size(s) >= 4, 100).otherwise(0)
     return F.when(home, 10_000).when(_has(s, UNSELECTED_SEGMENTS), -10_000).otherwise(score).cast("int")

