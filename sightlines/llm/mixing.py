@@ -145,14 +145,28 @@ def sample_rest(docs: DataFrame, targets: DataFrame, seed: int) -> DataFrame:
     counts = F.col("q").isNotNull() & (F.col("size") > 0)
     placed = placed.withColumn("extra", F.when(counts & (F.col("q") < F.col("low")), 1).otherwise(0))
     may = F.coalesce(counts & (F.col("q") >= F.col("low")) & (F.col("size") <= F.col("rest")), F.lit(False))
-    # The gap only shrinks, so documents of one size are taken in order until that size no longer fits:
-    # none after the first rest / size of them can be, in any of the shares that a size is dealt to.
-    share = Window.partitionBy("source", "size", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))).orderBy("q", "doc_id")
-    ahead = placed.filter(may).withColumn("nth", F.row_number().over(share))
-    first = F.col("nth") <= F.floor(F.col("rest") / F.col("size"))
-    tried = filled(ahead.filter(first).drop("nth"))
-    out = placed.filter(~may).unionByName(ahead.filter(~first).drop("nth")).unionByName(tried)
-    return out.drop("rest", "low", "high", "q")
+    # The bin that holds the cut is walked first: what then is left of a gap is less than a document of it, so
+    # that of the documents behind the bin only few are short enough to be tried.
+    bin_ = F.coalesce(may & (F.col("q") < F.col("high")), F.lit(False))
+    names = placed.columns
+    walked = kept(filled(placed.filter(bin_)), "walked")
+    spent = walked.groupBy(F.col("source").alias("s")).agg(F.sum(F.col("extra") * F.col("size")).alias("spent"))
+    behind = placed.filter(may & ~bin_).join(F.broadcast(spent) if few(spent) else spent, F.col("source").eqNullSafe(F.col("s")), "left").withColumn("rest", F.col("rest") - F.coalesce("spent", F.lit(0))).select(*names)
+    tried, untried = first_fits(behind)
+    return placed.filter(~may).unionByName(walked).unionByName(untried).unionByName(filled(tried)).drop("rest", "low", "high", "q")
+
+
+def first_fits(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each source's documents of one size the first rest / size in its order, and the others: a gap that only shrinks takes no more.
+
+    They are found in SHARES parts of each size first, so that no task orders a whole source.
+    """
+    most = F.floor(F.col("rest") / F.col("size"))
+    part = Window.partitionBy("source", "size", F.pmod(F.xxhash64("doc_id"), F.lit(SHARES))).orderBy("q", "doc_id")
+    parted = rows.filter(most >= 1).withColumn("nth", F.row_number().over(part))
+    whole = parted.filter(F.col("nth") <= most).withColumn("nth", F.row_number().over(Window.partitionBy("source", "size").orderBy("q", "doc_id")))
+    untried = rows.filter(most < 1).unionByName(parted.filter(F.col("nth") > most).drop("nth")).unionByName(whole.filter(F.col("nth") > most).drop("nth"))
+    return whole.filter(F.col("nth") <= most).drop("nth"), untried
 
 
 def filled(tried: DataFrame) -> DataFrame:

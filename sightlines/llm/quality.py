@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .session import hash_bound
 from .textkit import SEGMENT, WordTable, unique_by_document, utf8, word_hashes
 
 #: Labelled rows that a fit sees at most (in expectation: rows are picked by a hash of their id).
@@ -177,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     known = known.filter(F.col("y").isin(0, 1) & F.col("label_id").isNotNull() & ~held_out(F.col("label_id")))
     n = known.count()
     if n > max_labelled:
-        known = known.filter(F.pmod(F.xxhash64(F.lit(3), "label_id"), F.lit(1_000_000)) < int(1_000_000 * max_labelled / n))
+        known = known.filter(F.xxhash64(F.lit(3), "label_id") < hash_bound(n, max_labelled))
     rows = docs.select("doc_id", "text").join(F.broadcast(known), F.col("doc_id") == F.col("label_id")).select("label_id", "y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import kept
+from .session import hash_bound, kept
 
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: Runs are taken whole, so a run that is long enough is found by its length alone, where it begins.
@@ -102,8 +102,10 @@ def base_spans(text: Column) -> dict[str, Column]:
 def labelled_strings(docs: DataFrame) -> DataFrame:
     """The default labelled sample: rows of string and label ('random' or 'plain')."""
     spark = docs.sparkSession
-    n = docs.count()
-    some = docs if n <= SAMPLE_DOCS else docs.filter(F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(1_000_000)) < int(1e6 * SAMPLE_DOCS / n))
+    texts = docs.select("text").filter("text is not null")
+    n = texts.select(F.xxhash64(F.lit(4), "text").alias("h")).distinct().count()
+    some = texts if n <= SAMPLE_DOCS else texts.filter(F.xxhash64(F.lit(5), "text") < hash_bound(n, SAMPLE_DOCS))
+    some = some.distinct()  # a text that rows repeat counts once
     words = some.select(F.explode(F.split("text", r"[^A-Za-z]+")).alias("w")).filter("length(w) between 2 and 40").groupBy("w").count()
     keyed = words.select("w", F.xxhash64("w").alias("h"), F.lower("w").alias("l"), F.initcap("w").alias("c"))
     plain = keyed.select(F.explode(F.array("w", F.concat_ws("_", "l", F.lower("w")), F.concat("l", "c"), F.concat_ws("-", "l", F.pmod("h", F.lit(1000)).cast("string")))).alias("string"))

@@ -67,6 +67,11 @@ def few(df: DataFrame, most: int = 100_000) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def hash_bound(n: int, most: int) -> int:
+    """The signed 64-bit bound below which about `most` of n hashes lie; at any n at least one in 2^64 does."""
+    return -(1 << 63) + min((1 << 64) - 1, max(1, (most << 64) // max(n, 1)))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of finished steps, which it does once nothing refers to them."""
     gc.collect()
