@@ -419,17 +419,28 @@ def with_neighbours(updates: DataFrame) -> DataFrame:
     return updates.withColumns({"prev_end": F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1)), "next_start": F.lead("start").over(w)})
 
 
+#: Days of a bin by which dates meet intervals.
+BIN = 32
+
+
+def in_intervals(rows: DataFrame, intervals: DataFrame, day: str = "date") -> DataFrame:
+    """rows with every interval (low, high: the first and last day) that holds their day; by equality on bins of days, then exactly."""
+    number = lambda c: F.floor(F.datediff(c, F.lit(date(1970, 1, 1))) / BIN)
+    binned = intervals.filter("low <= high").withColumn("__bin", F.explode(F.sequence(number(F.col("low")), number(F.col("high")))))
+    return rows.withColumn("__bin", number(F.col(day))).join(binned, "__bin").filter(F.col(day).between(F.col("low"), F.col("high"))).drop("__bin")
+
+
 def event_impact(site_day: DataFrame, updates: DataFrame, days: int = 14, least: int = 3) -> DataFrame:
-    """Mean clicks of the nearest observed days before and after each dated interval.
+    """Mean clicks of the nearest observed days before and after each dated interval (update_id, start, end).
 
-    `updates` (update_id, start, end) is a small table; windows stop at its neighbours.
+    Windows stop at the neighbours, and 8 times `days` away.
     """
     e = with_neighbours(updates)
-    lo, hi = F.coalesce("prev_end", F.lit(date(1900, 1, 1))), F.coalesce("next_start", F.lit(date(9999, 1, 1)))
-    far = F.lit(8 * days)
-    before = (F.col("date") < F.col("start")) & (F.col("date") > lo) & (F.datediff("start", "date") <= far)
-    after = (F.col("date") > F.col("end")) & (F.col("date") < hi) & (F.datediff("date", "end") <= far)
-    rows = site_day.join(e, before | after).withColumn("side", F.when(F.col("date") < F.col("start"), "before").otherwise("after"))
+    low = F.greatest(F.date_add(F.coalesce("prev_end", F.lit(date(1900, 1, 1))), 1), F.date_sub("start", 8 * days))
+    high = F.least(F.date_sub(F.coalesce("next_start", F.lit(date(9999, 1, 1))), 1), F.date_add("end", 8 * days))
+    side = lambda name, a, b: F.struct(F.lit(name).alias("side"), a.alias("low"), b.alias("high"))
+    sides = e.select("update_id", F.explode(F.array(side("before", low, F.date_sub("start", 1)), side("after", F.date_add("end", 1), high))).alias("w")).select("update_id", "w.*")
+    rows = in_intervals(site_day, sides)
     near = F.when(F.col("side") == "before", -F.datediff("date", F.lit(date(1970, 1, 1)))).otherwise(F.datediff("date", F.lit(date(1970, 1, 1))))
     kept = rows.withColumn("n", F.row_number().over(Window.partitionBy("site_id", "update_id", "side").orderBy(near))).filter(F.col("n") <= days)
     t = kept.groupBy("site_id", "update_id").agg(

@@ -12,6 +12,7 @@ from sightlines.operators import change as C
 from sightlines.sources import ingest as I
 from sightlines.functions.payloads import classify_payload
 from sightlines.streaming import jobs as J
+from sightlines.streaming import states as SS
 
 from . import facts
 from .facts import AS_OF
@@ -74,13 +75,15 @@ def r2_retain_recent(spark, d):
     "rank_check",
 )
 def r5_stream_rank_state(spark, d):
-    out = _streamed(spark, facts.rank_check(spark, d), J.stream_rank_state, J.state_sink)
+    SS.use_rocksdb(spark)
+    out = _streamed(spark, facts.rank_check(spark, d), SS.stream_rank_state, J.state_sink)
     return J.read_states(spark, out, ["site_id", "keyword"]).select("site_id", "keyword", "last_position", "previous_position", "best_position")
 
 
 @query("r6_stream_verdict_state", "SELECT question, engine, arg_max(verdict, (checked_at, check_id)) FILTER (error IS NULL) AS verdict, CAST(count_if(error IS NOT NULL) AS BIGINT) AS errors FROM aeo_check GROUP BY ALL", "aeo_check")
 def r6_stream_verdict_state(spark, d):
-    return J.read_states(spark, _streamed(spark, facts.aeo_check(spark, d), J.stream_verdict_state, J.state_sink), ["question", "engine"])
+    SS.use_rocksdb(spark)
+    return J.read_states(spark, _streamed(spark, facts.aeo_check(spark, d), SS.stream_verdict_state, J.state_sink), ["question", "engine"])
 
 
 @query(
@@ -126,6 +129,31 @@ def r8_stream_behavior(spark, d):
     return J.behavior_of_days(spark, out, ["url"], 14)
 
 
+@query(
+    "r8_sliding_behavior",
+    """WITH s AS (SELECT url AS key, CAST(ts AS DATE) AS day, user_id AS sessions, k AS rage_clicks, event_id % 100 AS scroll FROM event QUALIFY row_number() OVER (PARTITION BY url, CAST(ts AS DATE) ORDER BY ts DESC, user_id DESC, k DESC, event_id % 100 DESC) = 1), w AS (SELECT *, max(day) OVER (PARTITION BY key) AS last_day FROM s QUALIFY day > max(day) OVER (PARTITION BY key) - 14)
+    SELECT key, any_value(last_day) AS last_day, count(*) AS days, CAST(sum(sessions) AS BIGINT) AS sessions, CAST(sum(rage_clicks) AS BIGINT) AS rage_clicks, max(scroll) AS scroll FROM w GROUP BY key""",
+    "event",
+)
+def r8_sliding_behavior(spark, d):
+    """The window of A39 kept in state, as pulls arrive."""
+    SS.use_rocksdb(spark)
+    e = facts.event(spark, d).select(F.col("url").alias("key"), F.col("ts").cast("timestamp").alias("pulled_at"), F.col("user_id").alias("sessions"), F.col("k").alias("rage_clicks"), (F.col("event_id") % 100).alias("scroll"))
+    return J.read_states(spark, _streamed(spark, e, lambda s: SS.stream_behavior_window(s, 14), J.state_sink), ["key"])
+
+
+@query(
+    "r4_stream_once",
+    "SELECT DISTINCT 'rank_drop:' || site_id || ':' || query || ':' || CAST(CAST(ts AS DATE) AS VARCHAR) AS dedupe_key FROM event WHERE event_type = 'error'",
+    "event",
+)
+def r4_stream_once(spark, d):
+    """Alerts of every failed event, written twice: each key fires once."""
+    e = facts.event(spark, d).filter("event_type = 'error'").select("ts", F.concat_ws(":", F.lit("rank_drop"), "site_id", "query", F.to_date("ts").cast("string")).alias("dedupe_key"))
+    out = _streamed(spark, e.unionByName(e), J.stream_once, J.state_sink, "append")
+    return spark.read.parquet(out).select("dedupe_key")
+
+
 @query("r7_daily_snapshots", "SELECT site_id, CAST(ts AS DATE) AS day, event_id FROM event QUALIFY row_number() OVER (PARTITION BY site_id, CAST(ts AS DATE) ORDER BY ts DESC) = 1", "event")
 def r7_daily_snapshots(spark, d):
     e = facts.event(spark, d).select("site_id", F.col("ts").alias("pulled_at"), "event_id")

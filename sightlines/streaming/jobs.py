@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from datetime import date, timedelta
 from functools import reduce
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sightlines.functions.urls import bot_type
 
@@ -155,52 +152,6 @@ def stream_once(alerts: DataFrame, delay: str = "8 days") -> DataFrame:
     return alerts.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["dedupe_key"])
 
 
-# ----------------------------------------------------------------------- state
-
-RANK = "site_id string, keyword string, last_position bigint, previous_position bigint, best_position bigint, checked_at timestamp"
-_RANK_STATE = "last bigint, previous bigint, best bigint, at bigint"
-
-
-def _rank(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    last, prev, best, at = state.get if state.exists else (None, None, None, -1)
-    rows = pd.concat(list(frames)).sort_values(["checked_at", "check_id"])
-    for position, when, error in zip(rows["position"], rows["checked_at"], rows["error"]):
-        us = when.value // 1000
-        if error is not None or us < at:  # failed checks, and checks older than the state, change nothing
-            continue
-        now = None if pd.isna(position) else int(position)
-        last, prev, at = now, last, us
-        best = now if best is None else best if now is None else min(best, now)
-    state.update((last, prev, best, at))
-    if at >= 0:
-        yield pd.DataFrame({"site_id": [key[0]], "keyword": [key[1]], "last_position": pd.array([last], "Int64"), "previous_position": pd.array([prev], "Int64"), "best_position": pd.array([best], "Int64"), "checked_at": [pd.Timestamp(at * 1000)]})
-
-
-def stream_rank_state(checks: DataFrame) -> DataFrame:
-    """Rank state of every keyword, emitted whenever checks of it arrive; the batch twin is `rank_state`."""
-    return checks.groupBy("site_id", "keyword").applyInPandasWithState(_rank, RANK, _RANK_STATE, "update", GroupStateTimeout.NoTimeout)
-
-
-VERDICT = "question string, engine string, verdict string, errors bigint"
-
-
-def _verdict(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    verdict, errors, at = state.get if state.exists else (None, 0, -1)
-    rows = pd.concat(list(frames)).sort_values(["checked_at", "check_id"])
-    for v, when, error in zip(rows["verdict"], rows["checked_at"], rows["error"]):
-        if error is not None:
-            errors += 1
-        elif when.value // 1000 >= at:
-            verdict, at = v, when.value // 1000
-    state.update((verdict, errors, at))
-    yield pd.DataFrame({"question": [key[0]], "engine": [key[1]], "verdict": [verdict], "errors": [errors]})
-
-
-def stream_verdict_state(checks: DataFrame) -> DataFrame:
-    """Verdict of every (question, engine); an errored check keeps the last one."""
-    return checks.groupBy("question", "engine").applyInPandasWithState(_verdict, VERDICT, "verdict string, errors bigint, at bigint", "update", GroupStateTimeout.NoTimeout)
-
-
 # ------------------------------------------------------------------- snapshots
 
 

@@ -327,3 +327,18 @@ def test_batches_equal_the_list_that_is_filled(spark):
         for x in pages.select_crawl_batch(t, target).orderBy("domain", "place").collect():
             got.setdefault(x.domain, []).append(x.url)
         assert got == {d: plain_batch(xs, target) for d, xs in inventory.items() if xs}
+
+
+def test_dates_meet_intervals_without_a_nested_loop(spark):
+    from datetime import date, timedelta
+
+    from sightlines.operators import search
+
+    r = random.Random(4)
+    day = lambda: date(2024, 1, 1) + timedelta(days=r.randrange(-900, 900))
+    rows, spans = [(i, day()) for i in range(400)], [(i, day(), r.randrange(-3, 200)) for i in range(60)]
+    spans = [(i, a, a + timedelta(days=n)) for i, a, n in spans]
+    joined = search.in_intervals(spark.createDataFrame(rows, "i int, date date"), spark.createDataFrame(spans, "j int, low date, high date"))
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert sorted((x.i, x.j) for x in joined.collect()) == sorted((i, j) for i, d in rows for j, a, b in spans if a <= d <= b)
