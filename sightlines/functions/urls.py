@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed country codes that are read as markets.
-MARKET_TLDS = ("de", "fr", "es", "it", "nl", "pl", "se", "pt", "br", "ca", "au", "in", "jp", "ch", "at", "be", "uk", "us", "mx", "dk", "no", "fi", "cz", "tr", "ru")
+# Fixed country domains that name a market; uk stands for gb, all others for themselves.
+MARKET_TLDS = (
+    "gr fr de es it pt nl be pl cz sk hu ro bg hr rs ba si mk al ua ru by kz se no dk fi ie at ch uk ca au nz jp kr cn in br mx ar cl tr il za eg ae sg my th vn id ph"
+).split()
 # Fixed path segments by class of url.
 UTILITY_SEGMENTS = ["login", "signin", "sign-in", "register", "account", "cart", "checkout", "wp-admin", "wp-login", "search", "print", "attachment", "feed", "feeds"]
 CORE_SEGMENTS = ["about", "company", "contact", "leadership", "team", "investors", "investor", "projects", "project", "assets", "asset", "products", "product", "services", "service", "solutions", "sustainability", "governance", "disclosures", "technical", "operations", "corporate", "indigenous", "partners", "partnerships"]
@@ -173,31 +175,54 @@ def next_crawl(last: Column, kind: Column, changed: Column) -> Column:
     return F.date_add(last, F.when(kind == "core_page", 7).when(changed, 30).otherwise(90))
 
 
+# Fixed parts of agent names by kind of crawler; whoever has none of them was sent on as a person.
+BOTS = {
+    "google": ["googlebot", "google-inspectiontool", "googleother", "storebot-google", "google-site-verification", "google-co"],
+    "bing": ["bingbot", "bingpreview", "msnbot"],
+    "yandex": ["yandex"],
+    "mailru": ["mail.ru", "mailru"],
+    "ai": [
+        "gptbot", "oai-searchbot", "chatgpt-user", "claudebot", "claude-user", "anthropic-ai", "perplexitybot", "perplexity-user", "deepseekbot", "deepseek", "bytespider", "google-extended", "applebot-extended", "ccbot",
+        "meta-externalagent", "meta-externalfetcher", "cohere-ai", "cohere-training", "amazonbot", "youbot", "diffbot", "imagesift", "timpibot", "omgili",
+    ],
+    "other": ["bot", "crawler", "spider"],
+}
+BOT_TYPES = [*BOTS, "redirect"]
+
+
 def bot_type(agent: Column) -> Column:
-    a = F.lower(F.coalesce(agent, F.lit("")))
-    any_ = lambda *names: a.rlike("|".join(names))
-    return (
-        F.when(any_("googlebot", "google-inspectiontool", "adsbot-google"), "google").when(any_("bingbot", "msnbot"), "bing").when(any_("yandex"), "yandex").when(any_("mail\\.ru"), "mailru")
-        .when(any_("gptbot", "chatgpt-user", "oai-searchbot", "claudebot", "anthropic", "perplexity", "google-extended", "ccbot", "bytespider"), "ai").when(any_("bot", "crawl", "spider", "slurp"), "other").otherwise("human")
-    )
+    """Kind of crawler by its name; redirect for a person."""
+    a, out = F.lower(F.coalesce(agent, F.lit(""))), None
+    for kind, parts in BOTS.items():
+        out = F.when(_holds(a, parts), kind) if out is None else out.when(_holds(a, parts), kind)
+    return out.otherwise("redirect")
 
 
 def resource_type(content_type: Column, url: Column) -> Column:
-    c = F.lower(F.coalesce(content_type, F.lit("")))
-    return F.when(c.rlike("html"), "html").when(c.rlike("pdf") | url.rlike(r"(?i)\.pdf($|\?)"), "document").when(c.rlike("^image/"), "image").when(c.rlike("xml"), "xml").when(c.rlike("json"), "json").when(c == "", "unknown").otherwise("other")
+    """html, feed, xml, json, text, pdf, image, binary or unsupported, by content type, then by the end of the path."""
+    c = F.trim(F.lower(F.substring_index(F.coalesce(content_type, F.lit("")), ";", 1)))
+    path = F.substring_index(F.lower(F.coalesce(url, F.lit(""))), "?", 1)
+    return (
+        F.when(c.contains("html"), "html").when(c.contains("rss") | c.contains("atom") | path.endswith(".rss") | path.endswith(".atom"), "feed").when(c.contains("xml"), "xml").when(c.contains("json"), "json").when(c.startswith("text/"), "text")
+        .when(c.contains("pdf") | path.endswith(".pdf"), "pdf").when(c.startswith("image/"), "image").when(c.isin("", "application/octet-stream", "application/binary"), "binary").otherwise("unsupported")
+    )
 
 
 def failure_kind(status: Column, error: Column) -> Column:
+    """Why a fetch failed, by status 429 and 5xx, then by the error, then by other statuses; empty where it did not."""
     e = F.lower(F.coalesce(error, F.lit("")))
     return (
-        F.when(e.rlike("timeout|timed out"), "timeout").when(e.rlike("dns|resolve"), "dns").when(e.rlike("ssl|certificate"), "tls").when(e.rlike("robots"), "robots_blocked").when(e != "", "network")
-        .when(status.isin(401, 403), "forbidden").when(status == 404, "not_found").when(status == 410, "gone").when(status == 429, "rate_limited").when(status >= 500, "server_error").when(status >= 400, "client_error")
+        F.when(status == 429, "rate_limited").when(status >= 500, "server_failure").when(e.contains("timed out") | e.contains("timeout"), "timed_out").when(e.contains("refused"), "connection_refused")
+        .when(e.contains("robots"), "blocked").when(status >= 400, "http_error").when(e != "", "fetch_failure").otherwise("")
     )
 
 
 def market(explicit: Column, host: Column) -> Column:
-    tld = F.element_at(F.split(norm_domain(host), r"\."), -1)
-    return F.coalesce(F.upper(explicit), F.when(tld.isin(*MARKET_TLDS), F.upper(tld)))
+    """The market that was set, else the one that a country's domain implies, else null."""
+    bare = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(host, "(?i)^sc-domain:", ""), "(?i)^https?://", ""), "/.*$", ""), "(?i)^www\\.", "")
+    parts = F.filter(F.split(F.trim(F.lower(bare)), r"\."), lambda p: p != "")
+    tld = F.when(F.size(parts) > 1, F.element_at(parts, -1))
+    return F.coalesce(F.nullif(F.lower(F.trim(explicit)), F.lit("")), F.when(tld.isin(*MARKET_TLDS), F.when(tld == "uk", "gb").otherwise(tld)))
 
 
 # Fixed parts of host names and addresses that tell a site's type.

@@ -146,11 +146,17 @@ def answer_coverage(runs: DataFrame, expected: int) -> DataFrame:
 
 
 def citation_sentiment(rows: DataFrame, emotions: list[str]) -> DataFrame:
-    """Counts by domain and polarity, and the strongest emotion of each group (rows carry one score column for each)."""
-    top = F.array_max(F.array(*[F.struct(F.coalesce(F.col(e), F.lit(0)).alias("score"), F.lit(e).alias("name")) for e in emotions]))["name"]
-    polarity = F.when(F.col("positive") > F.col("negative"), "positive").when(F.col("negative") > F.col("positive"), "negative").otherwise("neutral")
-    t = rows.withColumns({"emotion": top, "polarity": polarity}).groupBy("domain", "polarity", "emotion").agg(F.count("*").alias("n"))
-    return t.groupBy("domain", "polarity").agg(F.sum("n").alias("pages"), F.max_by("emotion", F.struct("n", "emotion")).alias("top_emotion"))
+    """Counts by domain and polarity, and the strongest emotion of each group (rows carry one score column for each, and positive, neutral and negative).
+
+    The largest score above zero decides, of equal ones the first named; without one a row is neutral, or has no emotion.
+    """
+
+    def strongest(names: list[str]) -> Column:
+        scores = F.array(*[F.struct(F.coalesce(F.col(n), F.lit(0)).cast("double").alias("score"), F.lit(-i).alias("i"), F.lit(n).alias("name")) for i, n in enumerate(names)])
+        return F.when(F.array_max(scores)["score"] > 0, F.array_max(scores)["name"])
+
+    t = rows.withColumns({"emotion": strongest(emotions), "polarity": F.coalesce(strongest(["positive", "neutral", "negative"]), F.lit("neutral"))}).groupBy("domain", "polarity", "emotion").agg(F.count("*").alias("n"))
+    return t.groupBy("domain", "polarity").agg(F.sum("n").alias("pages"), F.max_by("emotion", F.when(F.col("emotion").isNotNull(), F.struct("n", "emotion"))).alias("top_emotion"))
 
 
 def aeo_verdict(answer: Column, brand: Column, domain: Column, urls: Column) -> Column:

@@ -342,17 +342,36 @@ def executive_findings(checks: DataFrame, roots: DataFrame, k: int = 5) -> DataF
 
 
 def data_coverage(sources: DataFrame) -> DataFrame:
-    """State of every data source (source, configured, rows, last_error) and why."""
-    state = F.when(~F.col("configured"), "not_configured").when(F.col("last_error").isNotNull() & (F.col("rows") == 0), "failed").when(F.col("last_error").isNotNull(), "partial").when(F.col("rows") == 0, "empty").otherwise("available")
+    """State of every data source (source, present, and as the inventory has it: status, selected; null where it is not listed)."""
+    status, listed = F.lower(F.coalesce("status", F.lit(""))), F.col("selected").isNotNull() | F.col("status").isNotNull()
+    unwanted = ~F.coalesce("selected", F.lit(False)) & (status.contains("not selected") | ~listed)
+    state = F.when(status.contains("failed") | status.contains("error"), "failed").when(status.contains("stale"), "stale").when(F.coalesce("present", F.lit(False)), "connected").when(unwanted, "not_selected").otherwise("missing")
     return sources.withColumn("state", state)
 
 
-def monitoring_inventory(inventory: DataFrame, frontier: DataFrame, pages: DataFrame) -> DataFrame:
-    """Counts of inventory urls by outcome: audited, crawled, queued, excluded or not reached."""
-    a = pages.select("url").distinct().withColumn("audited", F.lit(True))
+def url_outcomes(inventory: DataFrame, frontier: DataFrame, pages: DataFrame) -> DataFrame:
+    """inventory (url, eligibility, last_error, last_crawled_at, ...) with outcome: duplicate, excluded, failed, unchanged, crawled or deferred.
+
+    What the frontier (url, state) says comes before what the inventory knows; pages (url, unchanged) are of the crawl.
+    """
     f = frontier.groupBy("url").agg(F.max("state").alias("state"))
-    o = F.when(F.col("audited"), "audited").when(F.col("state") == "done", "crawled").when(F.col("state").isNotNull(), "queued").when(~F.col("eligible"), "excluded").otherwise("not_reached")
-    return inventory.join(a, "url", "left").join(f, "url", "left").groupBy("url_class", o.alias("outcome")).agg(F.count("*").alias("urls"))
+    p = pages.groupBy("url").agg(F.max(F.coalesce("unchanged", F.lit(False))).alias("unchanged"))
+    has = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    kind = F.col("eligibility")
+    guess = F.when(kind == "duplicate", "duplicate").when(kind == "excluded", "excluded").when(has("last_error"), "failed").when(has("last_crawled_at"), "crawled").otherwise("deferred")
+    first = F.coalesce(F.nullif("state", F.lit("")), guess)
+    either = lambda x: F.coalesce(kind == x, F.lit(False)) | (F.col("first") == x)
+    t = inventory.join(f, "url", "left").join(p, "url", "left").withColumn("first", first)
+    outcome = (
+        F.when(either("duplicate"), "duplicate").when(either("excluded"), "excluded").when(F.col("first") == "failed", "failed")
+        .when((F.col("first") == "unchanged") | F.coalesce("unchanged", F.lit(False)), "unchanged").when(F.col("first").isin("completed", "crawled"), "crawled").otherwise("deferred")
+    )
+    return t.select(*inventory.columns, outcome.alias("outcome"))
+
+
+def monitoring_inventory(inventory: DataFrame, frontier: DataFrame, pages: DataFrame) -> DataFrame:
+    """Counts of inventory urls by class and outcome."""
+    return url_outcomes(inventory, frontier, pages).groupBy("url_class", "outcome").agg(F.count("*").alias("urls"))
 
 
 # ---------------------------------------------------------------------- titles

@@ -319,24 +319,36 @@ def a47_recommendation_updates(spark, d):
     return K.recommendation_updates(rec, s.filter("run_id = 'run03' and page like '%p1'"), s.select("title", F.col("category").alias("root")).distinct())
 
 
+_SOURCE_STATUS = ["Sync FAILED", "http error", "stale since May", "ok", "not selected", "", None]
+
+
 @query(
     "a44_data_coverage",
-    """WITH s AS (SELECT site_id AS source, site_id <> 'site4' AS configured, CAST(count_if(event_type = 'click' AND user_id % 5 <> 3) AS BIGINT) AS rows, CASE WHEN user_id % 5 IN (1, 3) THEN 'timeout' END AS last_error FROM event GROUP BY site_id, user_id % 5)
-    SELECT *, CASE WHEN NOT configured THEN 'not_configured' WHEN last_error IS NOT NULL AND rows = 0 THEN 'failed' WHEN last_error IS NOT NULL THEN 'partial' WHEN rows = 0 THEN 'empty' ELSE 'available' END AS state FROM s""",
+    f"""WITH s AS (SELECT site_id || '-' || user_id AS source, bool_or(event_type = 'click') AS present, [{", ".join("NULL" if x is None else f"'{x}'" for x in _SOURCE_STATUS)}][1 + user_id % 7] AS status, CASE user_id % 3 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS selected FROM event GROUP BY site_id, user_id)
+    SELECT *, CASE WHEN status IN ('Sync FAILED', 'http error') THEN 'failed' WHEN status = 'stale since May' THEN 'stale' WHEN present THEN 'connected' WHEN selected THEN 'missing' WHEN status = 'not selected' OR (status IS NULL AND selected IS NULL) THEN 'not_selected' ELSE 'missing' END AS state FROM s""",
     "event",
 )
 def a44_data_coverage(spark, d):
-    e = facts.event(spark, d).withColumn("u", F.col("user_id") % 5)
-    s = e.groupBy(F.col("site_id").alias("source"), "u").agg(F.count_if((F.col("event_type") == "click") & (F.col("u") != 3)).alias("rows"))
-    return K.data_coverage(s.select("source", (F.col("source") != "site4").alias("configured"), "rows", F.when(F.col("u").isin(1, 3), "timeout").alias("last_error")))
+    u = F.col("user_id")
+    s = facts.event(spark, d).groupBy("site_id", "user_id").agg(F.bool_or(F.col("event_type") == "click").alias("present"))
+    status = F.element_at(F.array(*map(F.lit, _SOURCE_STATUS)), (u % 7 + 1).cast("int"))
+    return K.data_coverage(s.select(F.concat_ws("-", "site_id", u.cast("string")).alias("source"), "present", status.alias("status"), F.when(u % 3 == 0, True).when(u % 3 == 1, False).alias("selected")))
+
+
+_INV = "i AS (SELECT page_id AS i, url || '#' || page_id AS url, 'c' || (page_id % 3) AS url_class, ['eligible', 'duplicate', 'excluded', 'deferred', NULL][1 + page_id % 5] AS eligibility, CASE WHEN page_id % 7 = 1 THEN 'timeout' WHEN page_id % 7 = 2 THEN '' END AS last_error, CASE WHEN page_id % 4 = 1 THEN DATE '2024-01-01' END AS last_crawled_at, CASE WHEN page_id % 6 < 5 THEN ['queued', 'completed', 'failed', 'unchanged', 'excluded'][1 + page_id % 6] END AS state, CASE WHEN page_id % 9 = 1 THEN TRUE WHEN page_id % 9 = 2 THEN FALSE END AS unchanged FROM pages)"
 
 
 @query(
     "a43_monitoring_inventory",
-    """WITH i AS (SELECT url || '#' || page_id AS url, 'c' || (page_id % 3) AS url_class, page_id % 5 <> 0 AS eligible, page_id FROM pages) SELECT url_class, CASE WHEN page_id % 4 = 1 THEN 'audited' WHEN page_id % 6 = 2 THEN 'crawled' WHEN page_id % 6 = 3 THEN 'queued' WHEN NOT eligible THEN 'excluded' ELSE 'not_reached' END AS outcome, count(*) AS urls FROM i GROUP BY ALL""",
+    f"""WITH {_INV}, o AS (SELECT *, coalesce(state, CASE WHEN eligibility IN ('duplicate', 'excluded') THEN eligibility WHEN coalesce(last_error, '') <> '' THEN 'failed' WHEN last_crawled_at IS NOT NULL THEN 'crawled' ELSE 'deferred' END) AS f FROM i)
+    SELECT url_class, CASE WHEN eligibility = 'duplicate' OR f = 'duplicate' THEN 'duplicate' WHEN eligibility = 'excluded' OR f = 'excluded' THEN 'excluded' WHEN f = 'failed' THEN 'failed' WHEN f = 'unchanged' OR unchanged THEN 'unchanged' WHEN f IN ('completed', 'crawled') THEN 'crawled' ELSE 'deferred' END AS outcome, count(*) AS urls FROM o GROUP BY ALL""",
 )
 def a43_monitoring_inventory(spark, d):
     p, i = spark.read.parquet(f"{d}/pages.parquet"), F.col("page_id")
-    inv = p.select(F.concat_ws("#", "url", i.cast("string")).alias("url"), F.concat(F.lit("c"), (i % 3).cast("string")).alias("url_class"), (i % 5 != 0).alias("eligible"), "page_id")
-    frontier = inv.filter("page_id % 6 in (2, 3)").select("url", F.when(i % 6 == 2, "done").otherwise("queued").alias("state"))
-    return K.monitoring_inventory(inv, frontier, inv.filter("page_id % 4 = 1"))
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), (i % len(xs) + 1).cast("int"))
+    inv = p.select(
+        F.concat_ws("#", "url", i.cast("string")).alias("url"), F.concat(F.lit("c"), (i % 3).cast("string")).alias("url_class"), pick(["eligible", "duplicate", "excluded", "deferred", None]).alias("eligibility"),
+        F.when(i % 7 == 1, "timeout").when(i % 7 == 2, "").alias("last_error"), F.when(i % 4 == 1, F.lit("2024-01-01").cast("date")).alias("last_crawled_at"), "page_id",
+    )
+    frontier = inv.select("url", pick(["queued", "completed", "failed", "unchanged", "excluded", None]).alias("state")).filter("state is not null")
+    return K.monitoring_inventory(inv, frontier, inv.filter("page_id % 9 in (1, 2)").select("url", (i % 9 == 1).alias("unchanged")))

@@ -29,7 +29,7 @@ def a18_crawler_daily(spark, d):
 
 @query(
     "a19_crawler_stats",
-    f"""WITH {_DAILY}, t AS (SELECT domain, CAST(sum(hits) AS BIGINT) AS hits, {", ".join(f"CAST(coalesce(sum(hits) FILTER (bot = '{b}'), 0) AS BIGINT) AS {b}" for b in ("google", "bing", "yandex", "mailru", "ai", "other", "human"))}, CAST(coalesce(sum(hits) FILTER (status = 304), 0) AS BIGINT) AS not_modified FROM dy GROUP BY domain)
+    f"""WITH {_DAILY}, t AS (SELECT domain, CAST(sum(hits) AS BIGINT) AS hits, {", ".join(f"CAST(coalesce(sum(hits) FILTER (bot = '{b}'), 0) AS BIGINT) AS {b}" for b in ("google", "bing", "yandex", "mailru", "ai", "other", "redirect"))}, CAST(coalesce(sum(hits) FILTER (status = 304), 0) AS BIGINT) AS not_modified FROM dy GROUP BY domain)
     SELECT *, floor(CAST(hits AS DOUBLE) / (SELECT sum(hits) FROM t) * 1000 + 0.5) / 10.0 AS share FROM t""",
     "hit",
 )

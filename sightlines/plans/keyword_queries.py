@@ -398,14 +398,14 @@ def a58_answer_coverage(spark, d):
 
 @query(
     "a59_citation_sentiment",
-    f"""WITH r AS (SELECT {_HOST} AS domain, check_id % 5 AS positive, check_id % 4 AS negative, check_id % 7 AS joy, check_id % 6 AS fear, check_id % 9 AS anger FROM citation),
-    e AS (SELECT domain, CASE WHEN positive > negative THEN 'positive' WHEN negative > positive THEN 'negative' ELSE 'neutral' END AS polarity, list_max([{{'s': joy, 'n': 'joy'}}, {{'s': fear, 'n': 'fear'}}, {{'s': anger, 'n': 'anger'}}]).n AS emotion FROM r), t AS (SELECT domain, polarity, emotion, count(*) AS n FROM e GROUP BY ALL)
-    SELECT domain, polarity, CAST(sum(n) AS BIGINT) AS pages, arg_max(emotion, (n, emotion)) AS top_emotion FROM t GROUP BY ALL""",
+    f"""WITH r AS (SELECT {_HOST} AS domain, check_id % 5 AS positive, check_id % 3 AS neutral, check_id % 4 AS negative, check_id % 7 AS joy, check_id % 6 AS fear, check_id % 9 AS anger FROM citation),
+    e AS (SELECT domain, CASE WHEN greatest(positive, neutral, negative) <= 0 THEN 'neutral' WHEN positive >= greatest(neutral, negative) THEN 'positive' WHEN neutral >= negative THEN 'neutral' ELSE 'negative' END AS polarity, CASE WHEN greatest(joy, fear, anger) <= 0 THEN NULL WHEN joy >= greatest(fear, anger) THEN 'joy' WHEN fear >= anger THEN 'fear' ELSE 'anger' END AS emotion FROM r), t AS (SELECT domain, polarity, emotion, count(*) AS n FROM e GROUP BY ALL)
+    SELECT domain, polarity, CAST(sum(n) AS BIGINT) AS pages, arg_max(emotion, (n, emotion)) FILTER (emotion IS NOT NULL) AS top_emotion FROM t GROUP BY ALL""",
     "citation",
 )
 def a59_citation_sentiment(spark, d):
     i = F.col("check_id")
-    c = facts.citation(spark, d).select(A.host_of(F.col("url")).alias("domain"), (i % 5).alias("positive"), (i % 4).alias("negative"), (i % 7).alias("joy"), (i % 6).alias("fear"), (i % 9).alias("anger"))
+    c = facts.citation(spark, d).select(A.host_of(F.col("url")).alias("domain"), (i % 5).alias("positive"), (i % 3).alias("neutral"), (i % 4).alias("negative"), (i % 7).alias("joy"), (i % 6).alias("fear"), (i % 9).alias("anger"))
     return A.citation_sentiment(c, ["joy", "fear", "anger"])
 
 

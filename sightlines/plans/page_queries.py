@@ -461,12 +461,17 @@ def f15_url_variants(spark, d):
     return pages(spark, d).select("page_id", v[0].alias("bare"), v[1].alias("slashed"))
 
 
-@query("f21_resource_type", "SELECT page_id, ['html', 'document', 'image', 'xml', 'json', 'unknown', 'document', 'other'][1 + page_id % 8] AS kind FROM pages")
+# Content types and addresses, and the kind that each is.
+_RESOURCES = [
+    ("Text/HTML; charset=utf-8", "/a.pdf", "html"), ("application/xhtml+xml", "/a", "html"), ("application/rss+xml", "/a", "feed"), ("application/xml", "/a.ATOM?x=1", "feed"), ("application/xml", "/a", "xml"), ("image/svg+xml", "/a", "xml"), ("application/ld+json", "/a", "json"), ("text/plain", "/a.pdf", "text"),
+    ("application/pdf", "/a", "pdf"), ("application/octet-stream", "/a.PDF?x", "pdf"), ("image/png", "/a", "image"), ("application/binary", "/a", "binary"), ("", "/a", "binary"), (None, "/a", "binary"), ("video/mp4", "/a", "unsupported"),
+]
+
+
+@query("f21_resource_type", f"SELECT page_id, {_QL([k for *_, k in _RESOURCES])}[1 + page_id % {len(_RESOURCES)}] AS kind FROM pages")
 def f21_resource_type(spark, d):
-    i = F.col("page_id") % 8
-    kinds = ["Text/HTML; charset=utf-8", "application/pdf", "image/png", "application/xml", "application/json", None, "", "video/mp4"]
-    given = F.element_at(F.array(*[F.lit(k) for k in kinds]), (i + 1).cast("int"))
-    return pages(spark, d).select("page_id", U.resource_type(given, F.when(i == 6, "https://s.example/a.PDF?x=1").otherwise("https://s.example/a")).alias("kind"))
+    pick = lambda n: F.element_at(F.array(*[F.lit(r[n]) for r in _RESOURCES]), (F.col("page_id") % len(_RESOURCES) + 1).cast("int"))
+    return pages(spark, d).select("page_id", U.resource_type(pick(0), F.concat(F.lit("https://s.example"), pick(1))).alias("kind"))
 
 
 _CLASS = f"""CASE WHEN contains(sm, 'news-release') OR contains(path, 'news-release') OR contains(path, '/press-release') THEN 'news_release' WHEN contains(sm, 'page-sitemap') THEN 'core_page' WHEN contains(sm, 'post-sitemap') THEN 'article' WHEN contains(sm, 'corporate-media') THEN 'corporate_media' WHEN contains(sm, 'article') THEN 'article' WHEN contains(sm, 'webcast') THEN 'webcast'
@@ -591,7 +596,7 @@ def p11_apply_crawl_policy(spark, d):
     return P.apply_crawl_policy(scored_urls(spark, d), [], ["/blog/"], ["https://s4.example/x/login"]).select("page_id", "eligibility")
 
 
-_BOT = "CASE WHEN regexp_matches(lower(user_agent), 'googlebot') THEN 'google' WHEN regexp_matches(lower(user_agent), 'bingbot') THEN 'bing' WHEN regexp_matches(lower(user_agent), 'yandex') THEN 'yandex' WHEN regexp_matches(lower(user_agent), 'mail\\.ru') THEN 'mailru' WHEN regexp_matches(lower(user_agent), 'gptbot') THEN 'ai' WHEN regexp_matches(lower(user_agent), 'bot') THEN 'other' ELSE 'human' END"
+_BOT = "CASE " + " ".join("WHEN " + " OR ".join(f"contains(lower(coalesce(user_agent, '')), '{x}')" for x in parts) + f" THEN '{kind}'" for kind, parts in U.BOTS.items()) + " ELSE 'redirect' END"
 
 
 @query("f20_bot_type", f"SELECT {_BOT} AS bot_type, count(*) AS hits FROM hit GROUP BY 1", "hit")
@@ -599,10 +604,33 @@ def f20_bot_type(spark, d):
     return facts.hit(spark, d).groupBy(U.bot_type(F.col("user_agent")).alias("bot_type")).agg(F.count("*").alias("hits"))
 
 
-@query("f22_failure_kind", "SELECT CASE WHEN error = 'Timed out' THEN 'timeout' WHEN error = 'DNS failure' THEN 'dns' WHEN s = 404 THEN 'not_found' WHEN s = 503 THEN 'server_error' WHEN s = 418 THEN 'client_error' END AS kind, count(*) AS n FROM (SELECT CASE event_id % 6 WHEN 0 THEN 'Timed out' WHEN 1 THEN 'DNS failure' END AS error, [200, 404, 503, 418][1 + event_id % 4] AS s FROM event) GROUP BY 1", "event")
+# Agents and the kind that each is known as.
+_AGENTS = {
+    "Mozilla/5.0 (compatible; GoogleOther)": "google", "Google-InspectionTool/1.0": "google", "Storebot-Google/1.0": "google", "BingPreview/1.0b": "bing", "YandexImages/3.0": "yandex", "Mail.RU_Bot/2.1": "mailru", "Amazonbot/0.1": "ai", "meta-externalagent/1.1": "ai",
+    "DeepSeekBot": "ai", "Applebot-Extended/0.1": "ai", "Google-Extended": "ai", "cohere-ai": "ai", "Applebot/0.1": "other", "AdsBot-Google": "other", "SeoCrawler 2": "other", "Yahoo! Slurp": "redirect", "anthropic": "redirect", "Mozilla/5.0 (Windows NT 10.0)": "redirect", "": "redirect",
+}
+
+
+@query("f20_agents", f"SELECT page_id, {_QL(_AGENTS.values())}[1 + page_id % {len(_AGENTS)}] AS kind FROM pages")
+def f20_agents(spark, d):
+    agent = F.element_at(F.array(*map(F.lit, _AGENTS)), (F.col("page_id") % len(_AGENTS) + 1).cast("int"))
+    return pages(spark, d).select("page_id", U.bot_type(agent).alias("kind"))
+
+
+_ERRORS = ["Timed out", "read TIMEOUT", "Connection refused", "blocked by robots", "DNS failure", None]
+_STATUSES = [200, 404, 503, 418, 429, None, 301]
+
+
+@query(
+    "f22_failure_kind",
+    f"""WITH e AS (SELECT [{", ".join("NULL" if x is None else f"'{x}'" for x in _ERRORS)}][1 + event_id % 6] AS error, [200, 404, 503, 418, 429, NULL, 301][1 + event_id // 6 % 7] AS s FROM event)
+    SELECT CASE WHEN s = 429 THEN 'rate_limited' WHEN s = 503 THEN 'server_failure' WHEN error IN ('Timed out', 'read TIMEOUT') THEN 'timed_out' WHEN error = 'Connection refused' THEN 'connection_refused' WHEN error = 'blocked by robots' THEN 'blocked' WHEN s >= 400 THEN 'http_error' WHEN error IS NOT NULL THEN 'fetch_failure' ELSE '' END AS kind, count(*) AS n FROM e GROUP BY 1""",
+    "event",
+)
 def f22_failure_kind(spark, d):
     i = F.col("event_id")
-    e = facts.event(spark, d).select(F.when(i % 6 == 0, "Timed out").when(i % 6 == 1, "DNS failure").alias("error"), F.element_at(F.array(*map(F.lit, (200, 404, 503, 418))), (i % 4 + 1).cast("int")).alias("s"))
+    pick = lambda xs, n: F.element_at(F.array(*map(F.lit, xs)), (n % len(xs) + 1).cast("int"))
+    e = facts.event(spark, d).select(pick(_ERRORS, i).alias("error"), pick(_STATUSES, F.floor(i / 6)).alias("s"))
     return e.groupBy(U.failure_kind(F.col("s"), F.col("error")).alias("kind")).agg(F.count("*").alias("n"))
 
 
@@ -625,11 +653,14 @@ def f19_site_types(spark, d):
     return o.select("o_orderkey", U.site_type(F.col("host"), F.col("path"), F.col("title")).alias("site_type"), U.source_type(F.col("host")).alias("source_type"), U.serp_intent_of(F.col("path"), F.col("title")).alias("intent"))
 
 
-@query("f31_market", "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'NL' WHEN c_nationkey % 3 = 0 THEN 'DE' WHEN c_nationkey % 3 = 1 THEN 'FR' END AS market FROM customer")
+_MARKETS = ["de", "uk", "co.uk", "io", "gr", "example", "vn", "me"]
+
+
+@query("f31_market", f"SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'nl' ELSE ['de', 'gb', 'gb', NULL, 'gr', NULL, 'vn', NULL][1 + c_nationkey % {len(_MARKETS)}] END AS market FROM customer")
 def f31_market(spark, d):
-    n = F.col("c_nationkey") % 3
-    host = F.concat(F.lit("https://www.shop."), F.when(n == 0, "de").when(n == 1, "fr").otherwise("example"), F.lit("/x"))
-    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", U.market(F.when(F.col("c_custkey") % 4 == 0, "nl"), host).alias("market"))
+    n, i = F.element_at(F.array(*map(F.lit, _MARKETS)), (F.col("c_nationkey") % len(_MARKETS) + 1).cast("int")), F.col("c_custkey")
+    host = F.when(i % 2 == 0, F.concat(F.lit("https://www.shop."), n, F.lit("/x.fr"))).otherwise(F.concat(F.lit("sc-domain:Shop."), n))
+    return spark.read.parquet(f"{d}/customer.parquet").select("c_custkey", U.market(F.when(i % 5 == 0, " NL ").when(i % 5 == 1, ""), host).alias("market"))
 
 
 @query("p8_has_tag", "SELECT c_custkey FROM customer WHERE c_custkey % 6 IN (1, 2)")

@@ -186,8 +186,18 @@ def export_domain(page_query: DataFrame, site: str, path: str) -> None:
 
 
 def query(spark: SparkSession, sql: str, limit: int = 500) -> DataFrame:
-    """One read-only statement over registered views, capped."""
-    bare = sql.strip().rstrip(";")
-    if ";" in bare or bare.split(None, 1)[0].lower() not in ("select", "with"):
+    """One read-only statement over registered views, capped; a statement whose plan holds a command is refused."""
+    bare = (sql or "").strip().rstrip(";").strip()
+    if not bare or ";" in bare:
+        raise ValueError("one SELECT statement only")
+    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(bare)  # reads the text; nothing runs
+    kinds = [spark._jvm.java.lang.Class.forName(f"org.apache.spark.sql.catalyst.plans.logical.{k}") for k in ("Command", "ParsedStatement")]
+    if _any_node(plan, lambda node: any(k.isInstance(node) for k in kinds)):
         raise ValueError("one SELECT statement only")
     return spark.sql(bare).limit(limit)
+
+
+def _any_node(plan, is_it) -> bool:
+    """Whether a parsed plan or a plan below it is such a node."""
+    below = plan.children()
+    return is_it(plan) or any(_any_node(below.apply(i), is_it) for i in range(below.size()))

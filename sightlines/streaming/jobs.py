@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sightlines.functions.urls import bot_type
+from sightlines.functions.urls import BOT_TYPES, bot_type
 
 
 def crawler_daily(hits: DataFrame) -> DataFrame:
@@ -91,7 +91,7 @@ def retain_recent(hits: DataFrame, days: int) -> DataFrame:
 
 def crawler_stats(daily: DataFrame) -> DataFrame:
     """Hits of each domain by bot, those answered 304, and the domain's share of all."""
-    t = daily.groupBy("domain").agg(F.sum("hits").alias("hits"), *[F.coalesce(F.sum(F.when(F.col("bot") == b, F.col("hits"))), F.lit(0)).alias(b) for b in ("google", "bing", "yandex", "mailru", "ai", "other", "human")], F.coalesce(F.sum(F.when(F.col("status") == 304, F.col("hits"))), F.lit(0)).alias("not_modified"))
+    t = daily.groupBy("domain").agg(F.sum("hits").alias("hits"), *[F.coalesce(F.sum(F.when(F.col("bot") == b, F.col("hits"))), F.lit(0)).alias(b) for b in BOT_TYPES], F.coalesce(F.sum(F.when(F.col("status") == 304, F.col("hits"))), F.lit(0)).alias("not_modified"))
     total = t.agg(F.sum("hits").alias("all"))  # one row
     return t.join(F.broadcast(total)).withColumn("share", F.floor(F.col("hits") / F.col("all") * 1000 + 0.5) / 10.0).drop("all")
 

@@ -342,3 +342,37 @@ def test_dates_meet_intervals_without_a_nested_loop(spark):
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert sorted((x.i, x.j) for x in joined.collect()) == sorted((i, j) for i, d in rows for j, a, b in spans if a <= d <= b)
+
+
+@pytest.mark.parametrize(
+    "sql",
+    [
+        "with x as (select 7 as a) insert into zz select a from x", "insert into zz values (1)", "from zz insert into zz select *", "drop table zz", "create table y as select 1", "create or replace temp view y as select 1", "set a = b", "delete from zz", "refresh table zz", "cache table zz", "use x", "explain select 1", "select 1; select 2", "", "  ", ";", None,
+    ],
+)
+def test_no_command_gets_through(spark, sql):
+    from sightlines.sources import ingest
+
+    spark.range(1).createOrReplaceTempView("zz")
+    with pytest.raises(ValueError):
+        ingest.query(spark, sql)
+
+
+def test_reading_statements_pass(spark):
+    from sightlines.sources import ingest
+
+    for sql in ("select 1", "WITH x AS (SELECT 1 AS a) SELECT a FROM x UNION ALL SELECT 2", "(select 3)", "values (1), (2)", "select ';' as a".replace(";", ","), "select * from range(900)"):
+        assert ingest.query(spark, sql).count() in (1, 2, 500)
+
+
+def test_agents_kinds_and_markets(spark):
+    from sightlines.functions import urls as U
+
+    agents = {"GoogleOther": "google", "BingPreview/1.0b": "bing", "Mail.RU_Bot": "mailru", "mailru": "mailru", "Amazonbot": "ai", "ClaudeBot/1.0": "ai", "Google-Extended": "ai", "AhrefsBot": "other", "Mozilla/5.0": "redirect", "": "redirect"}
+    assert values(spark, U.bot_type(F.col("x")), list(agents)) == list(agents.values())
+    kinds = {("text/html", "https://a/x.pdf"): "html", ("application/atom+xml", "u"): "feed", ("text/csv", "u"): "text", ("", "https://a/b.PDF?x"): "pdf", ("", "https://a/b.rss"): "feed", (None, "u"): "binary", ("font/woff", "u"): "unsupported"}
+    assert values(spark, U.resource_type(F.col("c"), F.col("u")), list(kinds), "c string, u string") == list(kinds.values())
+    failures = {(429, "Timed out"): "rate_limited", (503, "refused"): "server_failure", (None, "read timeout"): "timed_out", (None, "Connection refused"): "connection_refused", (None, "robots"): "blocked", (404, ""): "http_error", (None, "dns"): "fetch_failure", (200, None): ""}
+    assert values(spark, U.failure_kind(F.col("s"), F.col("e")), list(failures), "s int, e string") == list(failures.values())
+    markets = {(None, "sc-domain:foo.co.uk"): "gb", ("", "https://www.x.gr/a.de"): "gr", (None, "x.io"): None, (None, "me"): None, ("FR ", "x.gr"): "fr", (None, None): None}
+    assert values(spark, U.market(F.col("m"), F.col("u")), list(markets), "m string, u string") == list(markets.values())
