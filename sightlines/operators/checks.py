@@ -306,7 +306,7 @@ def family_trend(signals: DataFrame) -> DataFrame:
 
 def recommendation_updates(recommendations: DataFrame, signals: DataFrame, roots: DataFrame) -> DataFrame:
     """implemented -> verified when all checks of the root pass; verified -> reopened when one fails."""
-    s = signals.join(roots, "title").groupBy("root").agg(F.bool_and(F.col("status").isin("PASS", "NOT_APPLICABLE")).alias("clean"), F.bool_or(is_issue(F.col("status"))).alias("broken"))
+    s = signals.join(roots, "title").groupBy("root").agg(F.bool_and(normal_status(F.col("status")) == "PASS").alias("clean"), F.bool_or(is_issue(F.col("status"))).alias("broken"))
     r = recommendations.join(s, "root", "left")
     state = F.when((F.col("state") == "implemented") & F.col("clean"), "verified").when((F.col("state") == "verified") & F.col("broken"), "reopened").otherwise(F.col("state"))
     return r.select("root", F.col("state").alias("old_state"), state.alias("state"))

@@ -15,21 +15,29 @@ CLOSE_POSITION = 30
 COMMON_DNS = ("cloudflare.com", "awsdns", "googledomains.com", "google.com", "domaincontrol.com", "registrar-servers.com", "namecheaphosting.com", "azure-dns", "digitalocean.com", "hostinger.com", "dnsimple.com", "nsone.net", "vercel-dns.com", "netlify.com")
 
 
+def own_positions(page_query: DataFrame) -> DataFrame:
+    """site_id, keyword, own_position, own_url, impressions: each query's page of best mean position."""
+    mean = F.sum(F.col("position").cast("decimal(20,6)")).cast("double") / F.count("position")
+    t = page_query.withColumn("keyword", F.lower(F.trim("query"))).filter("keyword <> ''").groupBy("site_id", "keyword", "url").agg(F.coalesce(mean, F.lit(0.0)).alias("p"), F.coalesce(F.sum("impressions"), F.lit(0)).alias("impressions"))
+    best = t.groupBy("site_id", "keyword").agg(F.min(F.struct("p", "url", "impressions")).alias("b"))
+    return best.select("site_id", "keyword", F.col("b.p").alias("own_position"), F.col("b.url").alias("own_url"), "b.impressions")
+
+
 def keyword_gap(competitor: DataFrame, page_query: DataFrame, limit_position: int = CLOSE_POSITION) -> DataFrame:
-    """Competitor keywords with our best position and page: ahead, close, weak or missing."""
-    own = page_query.groupBy("site_id", F.col("query").alias("keyword")).agg(F.min(F.struct("position", "url")).alias("b")).select("site_id", "keyword", F.col("b.position").alias("own_position"), F.col("b.url").alias("own_url"))
-    j = competitor.join(own, ["site_id", "keyword"], "left")
-    verdict = F.when(F.col("own_position").isNull(), "missing").when(F.col("own_position") <= F.col("position"), "ahead").when(F.col("own_position") <= limit_position, "close").otherwise("weak")
-    return j.withColumn("verdict", verdict)
+    """Competitor keywords with our mean position on our best page: close, weak (shown, but further down) or missing."""
+    j = competitor.join(own_positions(page_query), ["site_id", "keyword"], "left")
+    verdict = F.when(F.col("own_position") <= limit_position, "close").when(F.col("impressions") > 0, "weak").otherwise("missing")
+    return j.withColumns({"verdict": verdict, "own_position": js_round("own_position", 1)}).drop("impressions")
 
 
-def demand_verdicts(keywords: DataFrame, page_query: DataFrame, target: Column | None = None, reach: float = 20.0) -> DataFrame:
-    """none, reach or wrong_page for each keyword (site_id, keyword, target_url); a missing volume stays null."""
-    own = page_query.groupBy("site_id", F.col("query").alias("keyword")).agg(F.min(F.struct("position", "url")).alias("b"))
-    j = keywords.join(own, ["site_id", "keyword"], "left")
-    wrong = F.col("target_url").isNotNull() & (F.col("b.url") != F.col("target_url"))
-    verdict = F.when(F.col("b").isNull() | (F.col("b.position") > reach), "none").when(wrong, "wrong_page").otherwise("reach")
-    return j.select("site_id", "keyword", "target_url", F.col("b.position").alias("position"), F.col("b.url").alias("url"), verdict.alias("verdict"))
+def demand_verdicts(keywords: DataFrame, page_query: DataFrame, reach: float = CLOSE_POSITION) -> DataFrame:
+    """none, reach or wrong_page for each keyword (site_id, keyword) by position alone; null where a site has no queries at all."""
+    own = own_positions(page_query).withColumnRenamed("keyword", "k").drop("impressions")
+    known = page_query.select("site_id").distinct().withColumn("known", F.lit(True))
+    j = keywords.withColumn("k", F.lower(F.trim("keyword"))).join(own, ["site_id", "k"], "left").join(known, "site_id", "left")
+    shown = js_round("own_position", 1)
+    verdict = F.when(shown.isNull(), "none").when(shown <= reach, "reach").otherwise("wrong_page")
+    return j.select(*keywords.columns, shown.alias("own_position"), "own_url", F.when(F.col("known"), verdict).alias("verdict"))
 
 
 def verdict_counts(verdicts: DataFrame) -> DataFrame:
@@ -74,12 +82,12 @@ def execution_matrix(questions: DataFrame, providers: list[str], modes: list[str
 
 
 def demand_trend(points: Column) -> Column:
-    """Newer half of a volume series (array<struct<date,volume>>) against the older one, in percent."""
+    """Newer half of a volume series (array<struct<date,volume>>) against the older one, in whole percents; null for under six points."""
     v = F.transform(F.array_sort(F.filter(points, lambda p: p["volume"].isNotNull())), lambda p: p["volume"].cast("double"))
     half = F.floor(F.size(v) / 2).cast("int")
     mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x) / F.size(a)
     old, new = mean(F.slice(v, 1, half)), mean(F.slice(v, F.size(v) - half + 1, half))
-    return F.when(half >= 1, F.when(old > 0, js_round((new - old) / old * 100, 1)))
+    return F.when(F.size(v) >= 6, F.when(old > 0, js_round((new - old) / old * 100, 0).cast("int")))
 
 
 def spend_by_month(ledger: DataFrame, caps: DataFrame) -> DataFrame:

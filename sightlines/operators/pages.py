@@ -117,7 +117,7 @@ def audit_rules() -> list[tuple[str, str, bool, Column]]:
     c = F.col
     html, js = c("has_html") & c("http_status").between(200, 299), c("js_rendered")
     root = F.regexp_replace(U.path_of(c("url")), "/", "") == ""
-    has = lambda word: F.arrays_overlap(F.transform(F.split("robots", ","), lambda w: F.trim(w)), F.array(F.lit(word)))
+    has = lambda word: c("robots").rlike(rf"(?i)(^|[\s,;:]){word}($|[\s,;])")
     bare = lambda x: F.regexp_replace(x, "/+$", "")
     return [
         ("http_error", "critical", True, c("http_status") >= 400),
@@ -139,8 +139,8 @@ def audit_rules() -> list[tuple[str, str, bool, Column]]:
         ("canonical_mismatch", "warning", True, html & c("canonical").rlike("(?i)^https?://") & (bare(c("canonical")) != bare(c("url")))),
         ("thin_content", "warning", True, html & ~js & (c("words") < 150)),
         ("images_no_alt", "warning", True, html & (c("images_no_alt") > 0)),
-        ("broken_links", "critical", True, c("broken_links") > 0),
-        ("orphan_sitemap_page", "warning", False, c("from_sitemap") & (c("inbound_links") == 0)),
+        ("broken_links", "critical", True, html & (c("broken_links") > 0)),
+        ("orphan_sitemap_page", "warning", False, html & c("from_sitemap") & (c("inbound_links") == 0)),
         ("slow_response", "warning", True, c("load_ms") > 3000),
         ("js_rendered", "info", True, html & js),
         ("viewport_missing", "warning", True, html & ~c("viewport")),
@@ -149,12 +149,21 @@ def audit_rules() -> list[tuple[str, str, bool, Column]]:
         ("organization_schema_incomplete", "info", True, html & root & c("organization_gap")),
         ("open_graph_incomplete", "info", True, html & (F.size("og_missing") > 0)),
         ("twitter_card_incomplete", "info", True, html & F.size("twitter_missing").between(1, 2)),
-        ("mixed_content", "warning", True, c("mixed_content")),
+        ("mixed_content", "warning", True, html & c("mixed_content")),
         ("security_headers_missing", "warning", False, html & root & c("headers_missing")),
     ]
 
 
-SECURITY_HEADERS = ("strict-transport-security", "content-security-policy", "x-content-type-options", "x-frame-options", "referrer-policy")
+def missing_headers(headers: Column, https: Column) -> Column:
+    """Protections that a page's answer headers (a map, names in any case) do not give; HSTS is asked of https alone."""
+    given = F.map_from_entries(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value"))))
+    of = lambda name: F.coalesce(F.try_element_at(given, F.lit(name)), F.lit(""))
+    policy = of("content-security-policy")
+    rules = [
+        ("Content-Security-Policy", policy == ""), ("X-Content-Type-Options", ~F.lower(of("x-content-type-options")).contains("nosniff")), ("Referrer-Policy", of("referrer-policy") == ""),
+        ("frame protection", (of("x-frame-options") == "") & ~F.lower(policy).contains("frame-ancestors")), ("Strict-Transport-Security", https & (of("strict-transport-security") == "")),
+    ]
+    return F.array_compact(F.array(*[F.when(p, n) for n, p in rules]))
 
 
 def link_health(edges: DataFrame, pages: DataFrame) -> DataFrame:
@@ -203,8 +212,7 @@ def audit_pages(facts: DataFrame, health: DataFrame | None = None, traces: DataF
     if "load_ms" not in f.columns:
         f = f.withColumn("load_ms", F.lit(None).cast("int"))
     if "headers" in f.columns:
-        names = F.transform(F.map_keys("headers"), F.lower)
-        f = f.withColumn("headers_missing", F.exists(F.array(*[F.lit(h) for h in SECURITY_HEADERS]), lambda h: ~F.array_contains(names, h)))
+        f = f.withColumn("headers_missing", F.size(missing_headers(F.coalesce("headers", F.expr("cast(map() as map<string, string>)")), F.startswith(F.lower("url"), F.lit("https://")))) > 0)
     else:
         f = f.withColumn("headers_missing", F.lit(False))
     f = with_structure(f)
@@ -252,11 +260,11 @@ def crawl_issues(facts: DataFrame) -> DataFrame:
     c = F.col
     html = c("has_html") & c("http_status").between(200, 299)
     rules = [
-        ("http_error", c("http_status") >= 400), ("redirect", c("http_status").between(300, 399)), ("missing_title", html & (c("title") == "")), ("short_title", html & F.length("title").between(1, 19)), ("long_title", html & (F.length("title") > 70)),
+        ("http_error", c("http_status").isNull() | (c("http_status") == 0) | (c("http_status") >= 400)), ("redirect", c("http_status").between(300, 399)), ("missing_title", html & (c("title") == "")), ("short_title", html & F.length("title").between(1, 19)), ("long_title", html & (F.length("title") > 70)),
         ("missing_description", html & (c("description") == "")), ("missing_h1", html & (c("h1_count") == 0)), ("multiple_h1", html & (c("h1_count") > 1)), ("missing_canonical", html & (c("canonical") == "")), ("missing_viewport", html & ~c("viewport")),
         ("missing_alt", html & (c("images_no_alt") > 0)), ("no_schema", html & (F.size("jsonld") == 0)), ("thin_content", html & (c("words") < 150)), ("noindex", html & c("robots").contains("noindex")), ("robots_blocked", c("http_status") == -1),
     ]
-    return facts.filter("http_status <> 304").select("url", F.array_compact(F.array(*[F.when(p, k) for k, p in rules])).alias("issues"))
+    return facts.filter("http_status is null or http_status <> 304").select("url", F.array_compact(F.array(*[F.when(p, k) for k, p in rules])).alias("issues"))
 
 
 # ------------------------------------------------------- fingerprints, duplicates

@@ -384,10 +384,10 @@ def decay_matrix(page_day: DataFrame, metric: str, unit: str, buckets: list[date
 
 
 def decay_flags(matrix: DataFrame, n: int, warn: float = -5.0, critical: float = -25.0) -> DataFrame:
-    """The last two of n buckets against the two before."""
+    """Pages whose last two of n buckets are over 5 % (in whole percents) below the two before: Warning, or Critical from 25 % on."""
     now, old = F.col(f"b{n - 1}") + F.col(f"b{n - 2}"), F.col(f"b{n - 3}") + F.col(f"b{n - 4}")
-    change = F.when(old > 0, (now - old) / old * 100)
-    return matrix.withColumn("change", js_round(change, 1)).withColumn("flag", F.when(change <= critical, "Critical").when(change <= warn, "Warning").otherwise("Stable"))
+    t = matrix.withColumn("change", F.when(old > 0, js_round((now - old) / old * 100, 0)).otherwise(0.0).cast("int")).filter(F.col("change") < warn)
+    return t.withColumn("flag", F.when(F.col("change") <= critical, "Critical").otherwise("Warning"))
 
 
 # ------------------------------------------------------------ series and events

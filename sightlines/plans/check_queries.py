@@ -309,14 +309,16 @@ def p14_apply_exclusions(spark, d):
 
 @query(
     "a47_recommendation_updates",
-    f"""WITH s AS (SELECT category AS root, bool_and(status IN ('PASS', 'NOT_APPLICABLE')) AS clean, bool_or({_ISSUE}) AS broken FROM signal WHERE run_id = 'run03' AND page LIKE '%p1' GROUP BY 1),
-    r AS (SELECT DISTINCT category AS root, CASE WHEN category < 'Category 3' THEN 'verified' ELSE 'implemented' END AS st FROM signal) SELECT root, st AS old_state, CASE WHEN st = 'implemented' AND clean THEN 'verified' WHEN st = 'verified' AND broken THEN 'reopened' ELSE st END AS state FROM r LEFT JOIN s USING (root)""",
+    f"""WITH s AS (SELECT title || '|' || page AS root, bool_and(status = 'PASS') AS clean, bool_or({_ISSUE}) AS broken FROM signal GROUP BY 1),
+    r AS (SELECT DISTINCT title || '|' || page AS root, CASE WHEN title < 'Check 12' THEN 'verified' WHEN title < 'Check 20' THEN 'implemented' ELSE 'open' END AS st FROM signal UNION ALL SELECT 'no check', 'implemented') SELECT root, st AS old_state, CASE WHEN st = 'implemented' AND clean THEN 'verified' WHEN st = 'verified' AND broken THEN 'reopened' ELSE st END AS state FROM r LEFT JOIN s USING (root)""",
     "signal",
 )
 def a47_recommendation_updates(spark, d):
-    s = facts.signal(spark, d)
-    rec = s.select(F.col("category").alias("root")).distinct().withColumn("state", F.when(F.col("root") < "Category 3", "verified").otherwise("implemented"))
-    return K.recommendation_updates(rec, s.filter("run_id = 'run03' and page like '%p1'"), s.select("title", F.col("category").alias("root")).distinct())
+    """A recommendation for every check of every page, over all runs, and one that no check belongs to."""
+    s = facts.signal(spark, d).select(F.concat_ws("|", "title", "page").alias("title"), F.col("title").alias("check"), "status")
+    state = F.when(F.col("check") < "Check 12", "verified").when(F.col("check") < "Check 20", "implemented").otherwise("open")
+    rec = s.select(F.col("title").alias("root"), state.alias("state")).distinct().unionByName(spark.createDataFrame([("no check", "implemented")], "root string, state string"))
+    return K.recommendation_updates(rec, s, s.select("title", F.col("title").alias("root")).distinct())
 
 
 _SOURCE_STATUS = ["Sync FAILED", "http error", "stale since May", "ok", "not selected", "", None]

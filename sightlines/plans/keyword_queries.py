@@ -20,26 +20,25 @@ def _pct(part: str, whole: str) -> str:
     return R(f"CASE WHEN {whole} > 0 THEN CAST({part} AS DOUBLE) / {whole} * 100 END", 1)
 
 
-@query(
-    "j7_keyword_gap",
-    """WITH o AS (SELECT site_id, query AS keyword, min((position, url)) AS b FROM page_query WHERE url LIKE '%p1%' GROUP BY ALL)
-    SELECT c.*, b[1] AS own_position, b[2] AS own_url, CASE WHEN b IS NULL THEN 'missing' WHEN b[1] <= c.position THEN 'ahead' WHEN b[1] <= 8 THEN 'close' ELSE 'weak' END AS verdict FROM competitor_keyword c LEFT JOIN o USING (site_id, keyword)""".replace("min((position, url))", "min({'p': position, 'u': url})").replace("b[1]", "b.p").replace("b[2]", "b.u"),
-    "competitor_keyword page_query",
-)
+# Our positions, four times as far down as derived, so that some are out of reach; site4 has none.
+_OWN_AT = f"""ow AS (SELECT site_id, keyword, min({{'p': p, 'u': url, 'i': i}}) AS b FROM (SELECT site_id, lower(trim(query)) AS keyword, url, CAST(sum(CAST(position * 4 AS DECIMAL(20,6))) AS DOUBLE) / count(*) AS p, sum(impressions) AS i FROM page_query WHERE site_id <> 'site4' GROUP BY ALL) GROUP BY ALL)"""
+
+
+def _far(spark, d):
+    return facts.page_query(spark, d).filter("site_id <> 'site4'").withColumn("position", F.col("position") * 4)
+
+
+@query("j7_keyword_gap", f"WITH {_OWN_AT} SELECT c.*, {R('b.p', 1)} AS own_position, b.u AS own_url, CASE WHEN b.p <= 30 THEN 'close' WHEN b.i > 0 THEN 'weak' ELSE 'missing' END AS verdict FROM competitor_keyword c LEFT JOIN ow USING (site_id, keyword)", "competitor_keyword page_query")
 def j7_keyword_gap(spark, d):
-    own = facts.page_query(spark, d).filter(F.col("url").contains("p1"))
-    return W.keyword_gap(facts.competitor_keyword(spark, d), own, 8).select("competitor", "site_id", "keyword", "position", "volume", "own_position", "own_url", "verdict")
+    return W.keyword_gap(facts.competitor_keyword(spark, d), _far(spark, d)).select("competitor", "site_id", "keyword", "position", "volume", "own_position", "own_url", "verdict")
 
 
-_J8 = """k AS (SELECT DISTINCT site_id, keyword, CASE WHEN volume % 3 = 0 THEN NULL ELSE 'https://' || site_id || '.example/p' || (volume % 17) END AS target_url FROM competitor_keyword WHERE competitor = 'rival1'),
- o AS (SELECT site_id, query AS keyword, min({'p': position, 'u': url}) AS b FROM page_query GROUP BY ALL),
- v AS (SELECT site_id, keyword, target_url, b.p AS position, b.u AS url, CASE WHEN b IS NULL OR b.p > 1.5 THEN 'none' WHEN target_url IS NOT NULL AND b.u <> target_url THEN 'wrong_page' ELSE 'reach' END AS verdict FROM k LEFT JOIN o USING (site_id, keyword))"""
+_J8 = f"""{_OWN_AT}, k AS (SELECT competitor, site_id, upper(keyword) || ' ' AS keyword FROM competitor_keyword), v AS (SELECT k.*, {R('b.p', 1)} AS own_position, b.u AS own_url, CASE WHEN k.site_id = 'site4' THEN NULL WHEN b IS NULL THEN 'none' WHEN {R('b.p', 1)} <= 30 THEN 'reach' ELSE 'wrong_page' END AS verdict FROM k LEFT JOIN ow ON ow.site_id = k.site_id AND ow.keyword = lower(trim(k.keyword)))"""
 
 
 def _verdicts(spark, d):
-    c = facts.competitor_keyword(spark, d).filter("competitor = 'rival1'")
-    target = F.when(F.col("volume") % 3 != 0, F.concat(F.lit("https://"), "site_id", F.lit(".example/p"), (F.col("volume") % 17).cast("string")))
-    return W.demand_verdicts(c.select("site_id", "keyword", target.alias("target_url")).distinct(), facts.page_query(spark, d), reach=1.5)
+    c = facts.competitor_keyword(spark, d).select("competitor", "site_id", F.concat(F.upper("keyword"), F.lit(" ")).alias("keyword"))
+    return W.demand_verdicts(c, _far(spark, d))
 
 
 @query("j8_demand_verdicts", f"WITH {_J8} SELECT * FROM v", "competitor_keyword page_query")
@@ -99,7 +98,7 @@ def u5_execution_matrix(spark, d):
 @query(
     "a40_demand_trend",
     f"""WITH m AS (SELECT query, date, sum(impressions) AS v, row_number() OVER (PARTITION BY query ORDER BY date) AS n, count(*) OVER (PARTITION BY query) AS c FROM page_query GROUP BY query, date),
-    h AS (SELECT query, c, CAST(sum(v) FILTER (n <= c // 2) AS DOUBLE) / (c // 2) AS a, CAST(sum(v) FILTER (n > c - c // 2) AS DOUBLE) / (c // 2) AS b FROM m GROUP BY query, c) SELECT query, CASE WHEN c // 2 >= 1 AND a > 0 THEN {R('(b - a) / a * 100', 1)} END AS trend FROM h""",
+    h AS (SELECT query, c, CAST(sum(v) FILTER (n <= c // 2) AS DOUBLE) / (c // 2) AS a, CAST(sum(v) FILTER (n > c - c // 2) AS DOUBLE) / (c // 2) AS b FROM m GROUP BY query, c) SELECT query, CAST(CASE WHEN c >= 6 AND a > 0 THEN {R('(b - a) / a * 100', 0)} END AS INTEGER) AS trend FROM h""",
     "page_query",
 )
 def a40_demand_trend(spark, d):

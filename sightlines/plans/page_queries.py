@@ -142,7 +142,7 @@ def h8_finding_evidence(spark, d):
 
 @query(
     "h11_crawl_issues",
-    f"""WITH {_AUDIT} SELECT page_id, unnest(list_filter([CASE WHEN s >= 400 THEN 'http_error' END, CASE WHEN s BETWEEN 300 AND 399 THEN 'redirect' END, CASE WHEN {_HTML} AND title = '' THEN 'missing_title' END, CASE WHEN {_HTML} AND length(title) BETWEEN 1 AND 19 THEN 'short_title' END, CASE WHEN {_HTML} AND length(title) > 70 THEN 'long_title' END,
+    f"""WITH {_AUDIT} SELECT page_id, unnest(list_filter([CASE WHEN s >= 400 OR s = 0 THEN 'http_error' END, CASE WHEN s BETWEEN 300 AND 399 THEN 'redirect' END, CASE WHEN {_HTML} AND title = '' THEN 'missing_title' END, CASE WHEN {_HTML} AND length(title) BETWEEN 1 AND 19 THEN 'short_title' END, CASE WHEN {_HTML} AND length(title) > 70 THEN 'long_title' END,
     CASE WHEN {_HTML} AND description = '' THEN 'missing_description' END, CASE WHEN {_HTML} AND h1_count = 0 THEN 'missing_h1' END, CASE WHEN {_HTML} AND h1_count > 1 THEN 'multiple_h1' END, CASE WHEN {_HTML} THEN 'missing_canonical' END, CASE WHEN {_HTML} AND NOT viewport THEN 'missing_viewport' END, CASE WHEN {_HTML} AND images_no_alt > 0 THEN 'missing_alt' END, CASE WHEN {_HTML} THEN 'no_schema' END, CASE WHEN {_HTML} AND words < 150 THEN 'thin_content' END], lambda x: x IS NOT NULL)) AS issue FROM st""",
 )
 def h11_crawl_issues(spark, d):
@@ -447,7 +447,7 @@ def h6_all_rules(spark, d):
         tag("twitter_card_incomplete", meta("twitter:card", "x"), ""), tag("jsonld_invalid", "<script type='application/ld+json'>{bad</script>", ""), tag("organization_schema_incomplete", '<script type=\'application/ld+json\'>{"@type": "Organization", "name": "x"}</script>', ""),
         F.lit("</head><body>"), F.when(is_("h1_missing"), "").when(is_("h1_multiple"), "<h1>A</h1><h1>B</h1>").otherwise("<h1>A</h1>"), tag("images_no_alt", "<img src='a.png'>", ""), tag("mixed_content", "<img alt='x' src='http://x.example/a.png'>", ""), text, F.lit("</body></html>"),
     )
-    headers = F.when(is_("security_headers_missing"), F.expr("map('X-Frame-Options', 'deny')")).otherwise(F.create_map(*[F.lit(x) for h in P.SECURITY_HEADERS for x in (h, "on")]))
+    headers = F.when(is_("security_headers_missing"), F.expr("map('X-Frame-Options', 'deny')")).otherwise(F.create_map(*[F.lit(x) for h in ("Strict-Transport-Security", "Content-Security-Policy", "X-Frame-Options", "Referrer-Policy") for x in (h, "on")], F.lit("X-Content-Type-Options"), F.lit("NoSniff")))
     status = F.when(is_("http_error"), 404).when(is_("fetch_failed"), 0).when(is_("redirect"), 301).otherwise(200)
     whole = p.select("page_id", "url", html.alias("html"), status.alias("http_status"), tag("slow_response", F.lit(4000), F.lit(100)).alias("load_ms"), headers.alias("headers"), is_("orphan_sitemap_page").alias("from_sitemap"))
     health = p.select("url", tag("orphan_sitemap_page", F.lit(0), F.lit(2)).alias("inbound_links"), tag("broken_links", F.lit(1), F.lit(0)).alias("broken_links"))
@@ -455,6 +455,21 @@ def h6_all_rules(spark, d):
     return P.audit_pages(P.page_facts(whole), health, traces).select("page_id", F.explode("issues").alias("rule"))
 
 
+@query(
+    "h2_missing_headers",
+    """SELECT page_id, concat_ws(',', CASE WHEN page_id % 3 = 0 THEN 'Content-Security-Policy' END, CASE WHEN page_id % 5 <> 1 THEN 'X-Content-Type-Options' END, CASE WHEN page_id % 7 = 0 THEN 'Referrer-Policy' END, CASE WHEN page_id % 4 = 0 AND page_id % 3 <> 1 THEN 'frame protection' END, CASE WHEN page_id % 2 = 0 AND page_id % 11 < 5 THEN 'Strict-Transport-Security' END) AS missing FROM pages""",
+)
+def h2_missing_headers(spark, d):
+    """Headers by number: with or without a policy, one that names frames, other values, names in any case, on http and https."""
+    i = F.col("page_id")
+    value = lambda when, v: F.when(when, v).otherwise("")
+    headers = F.create_map(
+        F.lit("Content-Security-POLICY"), F.when(i % 3 == 0, "").when(i % 3 == 1, "default-src 'self'; Frame-Ancestors 'none'").otherwise("default-src 'self'"), F.lit("x-content-type-options"), F.when(i % 5 == 1, "NoSniff").when(i % 5 == 2, "on").otherwise(""),
+        F.lit("Referrer-Policy"), value(i % 7 != 0, "origin"), F.lit("X-FRAME-options"), value(i % 4 != 0, "DENY"), F.lit("Strict-Transport-Security"), value(i % 11 >= 5, "max-age=1"),
+    )
+    return pages(spark, d).select("page_id", F.array_join(P.missing_headers(headers, i % 2 == 0), ",").alias("missing"))
+
+
 @query("f15_url_variants", "SELECT page_id, rtrim(url, '/') AS bare, rtrim(url, '/') || '/' AS slashed FROM pages")
 def f15_url_variants(spark, d):
     v = U.url_variants(F.col("url"))

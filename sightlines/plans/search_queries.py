@@ -283,8 +283,8 @@ def a6_decay_matrix(spark, d):
 
 @query(
     "a7_decay_flags",
-    f"""WITH {_MATRIX}, c AS (SELECT *, CASE WHEN b1 + b0 > 0 THEN CAST(b3 + b2 - (b1 + b0) AS DOUBLE) / (b1 + b0) * 100 END AS x FROM k)
-    SELECT * EXCLUDE (x), {R('x', 1)} AS change, CASE WHEN x <= -25 THEN 'Critical' WHEN x <= -5 THEN 'Warning' ELSE 'Stable' END AS flag FROM c""",
+    f"""WITH {_MATRIX}, c AS (SELECT *, CAST(CASE WHEN b1 + b0 > 0 THEN {R('CAST(b3 + b2 - (b1 + b0) AS DOUBLE) / (b1 + b0) * 100', 0)} ELSE 0 END AS INTEGER) AS change FROM k)
+    SELECT *, CASE WHEN change <= -25 THEN 'Critical' ELSE 'Warning' END AS flag FROM c WHERE change < -5""",
     "page_day",
 )
 def a7_decay_flags(spark, d):
