@@ -204,10 +204,11 @@ def _marks(pieces: DataFrame, most: int) -> DataFrame:
     kind 0: a smaller id has the whole piece; 1: its windows are to be compared; 2: the same, for an anchor with many classes.
     """
     class_ = ["seed", "one", "two"]
-    seeds = pieces.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select(F.col("seed").alias("s"))
+    # aggregates are written before they are joined: only then Spark may split a key that very many pieces have
+    seeds = kept(pieces.groupBy("seed").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select(F.col("seed").alias("s")), "seeds")
     joined = kept(pieces.join(seeds, F.col("seed") == F.col("s")).drop("s"), "joined")
     classes = kept(joined.groupBy(*class_).agg(F.min("id").alias("lead"), F.max("id").alias("last")), "classes")
-    many = classes.groupBy(F.col("seed").alias("s")).agg(F.count("*").alias("n"))
+    many = kept(classes.groupBy(F.col("seed").alias("s")).agg(F.count("*").alias("n")), "many")
     fate = classes.join(many, F.col("seed") == F.col("s")).filter("n > 1 or lead < last").select(*[F.col(c).alias(f"c_{c}") for c in class_], "lead", "n")
     met = joined.join(fate, [F.col(c) == F.col(f"c_{c}") for c in class_]).filter("id > lead or n > 1")
     kind = F.when(F.col("id") > F.col("lead"), 0).when(F.col("n") <= most, 1).otherwise(2)
