@@ -4,7 +4,6 @@ import tempfile
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from sightlines.streaming import jobs, states
 
