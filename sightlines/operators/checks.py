@@ -102,13 +102,17 @@ def apply_exclusions(signals: DataFrame, exclusions: DataFrame) -> DataFrame:
     return out
 
 
-def merge_checks(signals: DataFrame, aliases: DataFrame, domain_titles: list[str] | None = None) -> DataFrame:
-    """One row per canonical check of a run: pages affected, tested, to review, unavailable.  A domain-wide check counts one page."""
-    s = signals.join(aliases, "title", "left").withColumn("check", F.coalesce("canonical", "title")).withColumn("s", normal_status(F.col("status")))
+def merge_checks(signals: DataFrame, aliases: DataFrame | None = None, domain_titles: list[str] | None = None) -> DataFrame:
+    """One row per canonical check of a run: pages affected, tested, to review, unavailable.  A domain-wide check counts one page.
+
+    Tested are all pages with an observation.  Names come from aliases (title, canonical), by default from the fixed ones.
+    """
+    named = signals.join(aliases, "title", "left").withColumn("check", F.coalesce("canonical", "title")) if aliases is not None else signals.withColumn("check", canonical_check_title(F.col("title")))
+    s = named.withColumn("s", normal_status(F.col("status")))
     on = lambda c: F.countDistinct(F.when(c, F.col("page")))
     t = s.groupBy("run_id", "check").agg(
-        rollup_status(F.col("status")).alias("status"), rollup_severity(F.col("severity")).alias("severity"), on(is_issue(F.col("s"))).alias("affected"),
-        on(F.col("s").isin("PASS", "PARTIAL", "FAIL")).alias("tested"), on(F.col("s") == "MANUAL_REVIEW").alias("review"), on(F.col("s") == "DATA_UNAVAILABLE").alias("unavailable"),
+        F.min("family").alias("family"), rollup_status(F.col("status")).alias("status"), rollup_severity(F.col("severity")).alias("severity"), on(is_issue(F.col("s"))).alias("affected"),
+        F.countDistinct("page").alias("tested"), on(F.col("s") == "MANUAL_REVIEW").alias("review"), on(F.col("s") == "DATA_UNAVAILABLE").alias("unavailable"),
     )
     wide = F.col("check").isin(domain_titles or [])
     for c in ("affected", "tested", "review", "unavailable"):
@@ -117,18 +121,29 @@ def merge_checks(signals: DataFrame, aliases: DataFrame, domain_titles: list[str
 
 
 def traffic_exposure(signals: DataFrame, page_impressions: DataFrame) -> DataFrame:
-    """exposure of each check of a run: mean over affected pages of log1p(impressions) / log1p(most).
+    """exposure of each check of a run: mean over affected pages of log1p(impressions) / log1p(most of the domain).
 
-    A page without its own row takes that of its path, if that path is unique on the host.
+    signals carry the domain of their run; a page is a URL, or a path of the domain where it begins with /.
+    page_impressions: (domain, url, impressions).  A page without its own row takes that of its exact path on the
+    domain's own host if one URL alone has that path (else it is ambiguous); pages of other hosts count as 0.
     """
-    path = lambda c: F.regexp_replace(F.regexp_extract(c, "^https?://[^/]*([^?#]*)", 1), "/+$", "")
-    imp = page_impressions.groupBy("url").agg(F.sum("impressions").alias("i")).withColumn("path", path(F.col("url")))
-    unique = imp.groupBy("path").agg(F.count("*").alias("n"), F.first("i").alias("pi")).filter("n = 1").drop("n")
-    top = imp.agg(F.log1p(F.max("i")).alias("top"))  # one row
-    affected = signals.filter(is_issue(F.col("status"))).select("run_id", "title", "page").distinct().withColumn("path", path(F.col("page")))
-    rows = affected.join(imp.select(F.col("url").alias("page"), "i"), "page", "left").join(unique, "path", "left").join(F.broadcast(top))
-    level = F.when(F.col("top") > 0, F.log1p(F.coalesce("i", "pi", F.lit(0))) / F.col("top")).otherwise(0.0)
-    return rows.groupBy("run_id", "title").agg(js_round(F.sum(level.cast("decimal(20,12)")).cast("double") / F.count("*"), 4).alias("exposure"))
+    scheme = "^[A-Za-z][A-Za-z0-9+.-]*://"
+    host = lambda c: F.lower(F.regexp_extract(c, scheme + "(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    path = lambda c: F.regexp_extract(F.regexp_replace(c, scheme + "[^/?#]*", ""), "^[^?#]*", 0)
+    own = F.lower("domain")
+    imp = page_impressions.filter("url <> ''").groupBy("domain", "url").agg(F.sum("impressions").alias("i"))
+    by_path = imp.filter(host(F.col("url")) == own).groupBy("domain", path(F.col("url")).alias("path")).agg(F.count("*").alias("n"), F.max("i").alias("pi"))
+    top = imp.groupBy("domain").agg(F.max("i").alias("top"))
+    affected = signals.filter(is_issue(F.col("status")) & (F.col("page") != "")).select("run_id", "title", "domain", "page").distinct().withColumn("path", path(F.col("page")))
+    rows = affected.join(imp.select("domain", F.col("url").alias("page"), "i"), ["domain", "page"], "left").join(by_path, ["domain", "path"], "left").join(top, "domain", "left")
+    here = F.col("page").startswith("/") | (host(F.col("page")) == own)
+    known, unlisted = F.col("top") > 0, here & F.col("i").isNull() & (F.col("path") != "")
+    found = F.when(known & here, F.coalesce("i", F.when(unlisted & (F.col("n") == 1), F.col("pi")), F.lit(0))).otherwise(0)
+    level = F.when(known, F.log1p("found") / F.log1p("top")).otherwise(0.0).cast("decimal(20,12)")
+    return rows.withColumn("found", found).groupBy("run_id", "title").agg(
+        (F.sum(level).cast("double") / F.count("*")).alias("exposure"), F.count_if(known).alias("affected_pages"), F.count_if(F.col("found") > 0).alias("matched_pages"),
+        F.count_if(known & unlisted & (F.col("n") > 1)).alias("ambiguous_pages"),
+    )
 
 
 def value_to_fix(severity: Column, status: Column, exposure: Column, affected: Column, tested: Column) -> Column:
@@ -137,14 +152,6 @@ def value_to_fix(severity: Column, status: Column, exposure: Column, affected: C
     return js_round(base * (1 + 2 * exposure) * (1 + prevalence), 3)
 
 
-def root_causes(checks: DataFrame, rules: DataFrame) -> DataFrame:
-    """Issues by root cause (rules: check, root; a check without a rule is its own): worst severity, most pages, the checks."""
-    c = checks.filter(is_issue(F.col("status"))).join(rules, "check", "left").withColumn("root", F.coalesce("root", "check"))
-    return c.groupBy("run_id", "root").agg(
-        rollup_severity(F.col("severity")).alias("severity"), rollup_status(F.col("status")).alias("status"), F.max("affected").alias("affected"), F.countDistinct("check").alias("checks"), F.array_join(F.array_sort(F.collect_set("check")), "|").alias("titles")
-    )
-
-
 def family_view(signals: DataFrame, by: tuple[str, ...] = ("run_id", "family", "category")) -> DataFrame:
     """Checks and pages of every category, with their worst status."""
     per_check = signals.groupBy(*by, "title").agg(rollup_status(F.col("status")).alias("status"), rollup_severity(F.col("severity")).alias("severity"), F.countDistinct(F.when(is_issue(F.col("status")), F.col("page"))).alias("affected"))
@@ -312,35 +319,6 @@ def recommendation_updates(recommendations: DataFrame, signals: DataFrame, roots
     return r.select("root", F.col("state").alias("old_state"), state.alias("state"))
 
 
-def validate_report(checks: DataFrame) -> DataFrame:
-    """Rows that break a rule of reports, with the rule's name."""
-    w = Window.partitionBy("run_id", F.lower(F.trim("check")))
-    c = checks.withColumn("n", F.count("*").over(w))
-    bad = F.filter(
-        F.array(
-            F.when(F.col("n") > 1, "duplicate_finding"), F.when(F.col("affected") > F.col("tested"), "affected_exceeds_tested"), F.when(is_issue(F.col("status")) & (F.col("affected") == 0), "issue_without_pages"),
-            F.when(~is_issue(F.col("status")) & (F.col("affected") > 0), "pages_without_issue"),
-        ),
-        lambda x: x.isNotNull(),
-    )
-    return c.select("run_id", "check", F.explode(bad).alias("violation"))
-
-
-def high_signal(checks: DataFrame, extra: DataFrame, k: int = 10) -> DataFrame:
-    """Rule findings and the most valuable checks of a run, one for each normalised title."""
-    norm = F.regexp_replace(F.lower("title"), "[^a-z0-9]+", " ")
-    rows = checks.select("run_id", F.col("check").alias("title"), "value").withColumn("kind", F.lit("check")).unionByName(extra.select("run_id", "title", "value").withColumn("kind", F.lit("rule")))
-    once = rows.withColumn("norm", F.trim(norm)).withColumn("n", F.row_number().over(Window.partitionBy("run_id", "norm").orderBy(F.desc("value"), "kind", "title"))).filter("n = 1")
-    return once.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("value"), "norm"))).filter(F.col("place") <= k).select("run_id", "title", "value", "kind", "place")
-
-
-def executive_findings(checks: DataFrame, roots: DataFrame, k: int = 5) -> DataFrame:
-    """The most valuable check of every root cause, top k by run."""
-    c = checks.filter(is_issue(F.col("status"))).join(roots, "check", "left").withColumn("root", F.coalesce("root", "check"))
-    best = c.withColumn("n", F.row_number().over(Window.partitionBy("run_id", "root").orderBy(F.desc("value"), "check"))).filter("n = 1")
-    return best.withColumn("place", F.row_number().over(Window.partitionBy("run_id").orderBy(F.desc("value"), "root"))).filter(F.col("place") <= k).select("run_id", "root", "check", "value", "place")
-
-
 def data_coverage(sources: DataFrame) -> DataFrame:
     """State of every data source (source, present, and as the inventory has it: status, selected; null where it is not listed)."""
     status, listed = F.lower(F.coalesce("status", F.lit(""))), F.col("selected").isNotNull() | F.col("status").isNotNull()

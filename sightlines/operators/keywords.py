@@ -197,11 +197,26 @@ def cluster_by_serp(serps: DataFrame, volumes: DataFrame, least: int = 3, keep=N
     return state
 
 
+# Fixed page types of the kinds of sites that answer a query.
+PAGE_TYPES = {"official_store": "product_offer", "aggregator": "aggregator_listing", "forum_ugc": "ugc_thread", "editorial": "guide", "monobrand": "brand_page"}
+
+
 def serp_intent(results: DataFrame) -> DataFrame:
-    """Dominant page type of each keyword's results and its share."""
-    t = results.groupBy("keyword", "page_type").agg(F.count("*").alias("n"))
-    top = F.max_by("page_type", F.struct("n", "page_type"))
-    return t.groupBy("keyword").agg(top.alias("page_type"), js_round(F.max("n") / F.sum("n") * 100, 1).alias("share"), F.sum("n").alias("results"))
+    """Dominant intent of each keyword's results (keyword, position, intent, site_type), their commonest page type and its share in whole percent.
+
+    Transactional where half or more of the results want to sell (intent buy).  Of page types with equal counts the one that
+    ranks first wins; without any site type the intent decides, with a share of 0.
+    """
+    label = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in PAGE_TYPES.items() for x in kv]), F.col("site_type")), F.nullif("site_type", F.lit("")))
+    t = results.withColumn("page_type", label).groupBy("keyword", "page_type").agg(F.count("*").alias("n"), F.count_if(F.col("intent") == "buy").alias("buy"), F.min("position").alias("first"))
+    known = F.col("page_type").isNotNull()
+    best = F.max_by(F.struct("page_type", "n"), F.when(known, F.struct("n", (-F.col("first")).alias("first"), "page_type"))).alias("best")
+    g = t.groupBy("keyword").agg(best, F.sum("n").alias("results"), F.sum("buy").alias("buy"))
+    intent = F.when(2 * F.col("buy") >= F.col("results"), "transactional").otherwise("informational")
+    plain = F.when(F.col("intent") == "transactional", "product_offer").otherwise("guide")
+    return g.withColumn("intent", intent).select(
+        "keyword", F.col("intent").alias("dominant_intent"), F.coalesce("best.page_type", plain).alias("page_type"), js_round(F.coalesce("best.n", F.lit(0)) / F.col("results") * 100, 0).cast("int").alias("share"), "results"
+    )
 
 
 def inspection_targets(page_day: DataFrame, sitemap: DataFrame, inspected: DataFrame, as_of: date, k: int = 20, ttl_days: int = 1) -> DataFrame:

@@ -321,14 +321,37 @@ def fingerprints(pages: DataFrame, most: int = 6) -> DataFrame:
 
 
 def cloaking_diff(views: DataFrame) -> DataFrame:
-    """Difference of what a person and a crawler get (url, view, status, title, words, robots, final_url)."""
-    side = lambda v: views.filter(F.col("view") == v).select("url", F.struct("status", "title", "words", "robots", "final_url").alias(v))
-    j = side("human").join(side("bot"), "url")
-    a, b = F.col("human"), F.col("bot")
-    gap = F.abs(a["words"] - b["words"]) / F.greatest(a["words"], b["words"], F.lit(1))
-    flags = [("status", 30, a["status"] != b["status"]), ("redirect", 25, ~a["final_url"].eqNullSafe(b["final_url"])), ("title", 15, ~a["title"].eqNullSafe(b["title"])), ("content", 20, gap > 0.3), ("robots", 10, ~a["robots"].eqNullSafe(b["robots"]))]
-    score = sum((F.when(f, n).otherwise(0) for _, n, f in flags[1:]), F.when(flags[0][2], flags[0][1]).otherwise(0))
-    return j.select("url", score.alias("score"), F.array_compact(F.array(*[F.when(f, k) for k, _, f in flags])).alias("flags"))
+    """(url, verdict, score, flags) of what a crawler and a person get: cloaking from 50 points on, suspicious from 20.
+
+    views: (url, view: bot or human, ok, blocked, final_url, status, canonical, indexable, words, body_hash, js_redirects);
+    of repeated rows of a view the greatest counts.  Contents are compared where both views are fine; a crawler
+    that is turned away while a person is served is a flag of its own.
+    """
+    names = ["ok", "blocked", "final_url", "status", "canonical", "indexable", "words", "body_hash", "js_redirects"]
+    side = lambda v: F.max(F.when(F.col("view") == v, F.struct(*names))).alias(v)
+    j = views.groupBy("url").agg(side("bot"), side("human")).filter("bot is not null and human is not null")
+    a, b = F.col("bot"), F.col("human")
+    port = lambda c, scheme, n: F.regexp_replace(c, f"^({scheme}://[^/?#]*):{n}(?=[/?#]|$)", "$1")
+    host = lambda c: F.regexp_extract(port(port(F.lower(c), "https", 443), "http", 80), "^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]*)", 1)
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    fine = yes(a["ok"]) & yes(b["ok"])
+    differ = lambda k: yes((a[k] != "") & (b[k] != "") & (a[k] != b[k]))
+    hosts = host(F.coalesce(a["final_url"], F.lit(""))), host(F.coalesce(b["final_url"], F.lit("")))
+    same_status, scripted = a["status"].eqNullSafe(b["status"]), lambda x: F.coalesce(F.size(x["js_redirects"]), F.lit(0)) > 0
+    flags = [
+        ("host", 50, fine & (hosts[0] != "") & (hosts[1] != "") & (hosts[0] != hosts[1])),
+        ("status", 40, fine & ~same_status),
+        ("canonical", 30, fine & differ("canonical")),
+        ("indexable", 30, fine & (yes(a["indexable"]) != yes(b["indexable"]))),
+        ("words", 25, fine & yes((a["words"] > 0) & (b["words"] > 0) & (F.abs(a["words"] - b["words"]) / F.greatest(a["words"], b["words"], F.lit(1)) > 0.4))),
+        ("content", 15, fine & differ("body_hash") & same_status & (hosts[0] == hosts[1])),
+        ("js_redirect", 25, fine & (scripted(a) != scripted(b))),
+        ("bot_blocked", 20, yes(a["blocked"]) & yes(b["ok"])),
+    ]
+    points = F.aggregate(F.array(*[F.when(f, n).otherwise(0) for _, n, f in flags]), F.lit(0), lambda x, y: x + y)
+    t = j.select("url", points.alias("points"), F.array_compact(F.array(*[F.when(f, k) for k, _, f in flags])).alias("flags"))
+    verdict = F.when(F.col("points") >= 50, "cloaking").when(F.col("points") >= 20, "suspicious").otherwise("clean")
+    return t.select("url", verdict.alias("verdict"), F.least("points", F.lit(100)).alias("score"), "flags")
 
 
 def auditable_pages(crawl: DataFrame, pages: DataFrame) -> DataFrame:

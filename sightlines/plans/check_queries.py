@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sightlines.functions.numbers import js_round
 from sightlines.operators import checks as K
+from sightlines.operators import reports as P
 
 from . import facts
 from .registry import query
@@ -42,98 +44,194 @@ def a25_rollup(spark, d):
     return facts.signal(spark, d).groupBy("run_id", "page").agg(K.rollup_status(F.col("status")).alias("status"), K.rollup_severity(F.col("severity")).alias("severity"))
 
 
-_ALIAS = [("Check 01", "Canonical A"), ("Check 07", "Canonical A"), ("Check 02", "Canonical B"), ("Check 13", "Canonical A")]
-_ALIAS_SQL = "al AS (SELECT * FROM (VALUES " + ", ".join(map(str, _ALIAS)) + ") v(title, canonical))"
+# Names and families that the numbered checks of `signal` take in reports, so that aliases and root causes meet.
+_NAMED = [
+    ("One clear H1", "Content & Answer Readiness"), ("Single primary heading", "Content & Answer Readiness"), ("Sections use H2 headings", "Content & Answer Readiness"),
+    ("Common follow-up questions addressed", "Content & Answer Readiness"), ("FAQ content is visible", "Content & Answer Readiness"), ("Question-led headings", "Content & Answer Readiness"),
+    ("Headed answer blocks", "Content & Answer Readiness"), ("References or methodology section", "Evidence & Trust"), ("Quantified claims supported", "Evidence & Trust"),
+    ("External supporting sources", "Evidence & Trust"), ("Indexing permitted", "Machine Readability & Eligibility"), ("Page is technically indexable!", "Machine Readability & Eligibility"),
+    ("Canonical URL declared", "Machine Readability & Eligibility"), ("Canonical relationship is explicit", "Machine Readability & Eligibility"), ("Buttons have accessible names", "Onsite Audit"),
+    ("Skip navigation is offered", "Onsite Audit"), ("Organization or person identified", "Identity & Authority"), ("Contact path reachable", "Identity & Authority"),
+    ("All images declare alt behavior", "Onsite Audit"), ("Informative images have text alternatives", "Onsite Audit"), ("Official profiles connected", "Identity & Authority"),
+    ("Title is concise and descriptive", "SEO Audit"), ("Markup matches the page type", "Machine Readability & Eligibility"), ("Relevant structured data is available", "Machine Readability & Eligibility"),
+]
+_WIDE = "Skip navigation is offered"
+_LIST = lambda i: "[" + ", ".join("'" + x[i] + "'" for x in _NAMED) + "][1 + CAST(right(title, 2) AS INT)]"
+_NORM = lambda c: f"trim(regexp_replace(lower({c}), '[^a-z0-9]+', ' ', 'g'))"
+# The domain of a run is one of five; some observations know the path alone.
+_SIGNALS = f"""sn AS (SELECT run_id, CASE WHEN page LIKE '%p1' OR page LIKE '%p6' THEN regexp_extract(page, '/p[0-9]+$') ELSE page END AS page, status, severity, {_LIST(0)} AS title, {_LIST(1)} AS family,
+ 'Site' || (CAST(right(run_id, 2) AS INT) % 5) || '.example' AS domain FROM signal), sc AS (SELECT * REPLACE (CASE {_NORM('title')} {' '.join(f"WHEN '{k}' THEN '{v}'" for k, v in K.CHECK_ALIASES.items())} ELSE trim(title) END AS title) FROM sn)"""
+
+
+def _named(spark, d):
+    n = (F.substring("title", -2, 2).cast("int") + 1).alias("n")
+    of = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in _NAMED]), n)
+    page = F.when(F.col("page").rlike("p[16]$"), F.regexp_extract("page", "/p[0-9]+$", 0)).otherwise(F.col("page"))
+    domain = F.concat(F.lit("Site"), (F.substring("run_id", -2, 2).cast("int") % 5).cast("string"), F.lit(".example"))
+    return facts.signal(spark, d).select("run_id", page.alias("page"), "status", "severity", of(0).alias("title"), of(1).alias("family"), domain.alias("domain"))
+
+
+def _canonical(spark, d):
+    return _named(spark, d).withColumn("title", K.canonical_check_title(F.col("title")))
 
 
 def _count(on: str) -> str:
-    return f'CASE WHEN "check" = \'Check 03\' THEN least(count(DISTINCT CASE WHEN {on} THEN page END), 1) ELSE count(DISTINCT CASE WHEN {on} THEN page END) END'
+    return f"CASE WHEN title = '{_WIDE}' THEN least(count(DISTINCT CASE WHEN {on} THEN page END), 1) ELSE count(DISTINCT CASE WHEN {on} THEN page END) END"
 
 
-_MERGED = f"""mg AS (SELECT run_id, "check", {STATUS} AS status, {SEVERITY} AS severity, {_count(_ISSUE)} AS affected, {_count("status IN ('PASS', 'PARTIAL', 'FAIL')")} AS tested, {_count("status = 'MANUAL_REVIEW'")} AS review, {_count("status = 'UNKNOWN'")} AS unavailable
- FROM (SELECT s.*, coalesce(canonical, title) AS "check" FROM signal s LEFT JOIN al USING (title)) GROUP BY run_id, "check")"""
+_MERGED = f"""{_SIGNALS}, mg AS (SELECT run_id, title AS "check", min(family) AS family, {STATUS} AS status, {SEVERITY} AS severity, {_count(_ISSUE)} AS affected, {_count("TRUE")} AS tested, {_count("status = 'MANUAL_REVIEW'")} AS review, {_count("status = 'UNKNOWN'")} AS unavailable
+ FROM sc GROUP BY run_id, title)"""
 
 
 def _merged(spark, d):
-    return K.merge_checks(facts.signal(spark, d), spark.createDataFrame(_ALIAS, "title string, canonical string"), ["Check 03"])
+    return K.merge_checks(_named(spark, d), domain_titles=[_WIDE])
 
 
-@query("a26_merge_checks", f"WITH {_ALIAS_SQL}, {_MERGED} SELECT * FROM mg", "signal")
+@query("a26_merge_checks", f"WITH {_MERGED} SELECT * FROM mg", "signal")
 def a26_merge_checks(spark, d):
     return _merged(spark, d)
 
 
-_EXPOSED = f"""im AS (SELECT url, sum(impressions) AS i, rtrim(regexp_extract(url, '^https?://[^/]*([^?#]*)', 1), '/') AS path FROM page_day WHERE url NOT LIKE '%site4%' AND url NOT LIKE '%p3' GROUP BY url),
- un AS (SELECT path, any_value(i) AS pi FROM im GROUP BY path HAVING count(*) = 1), af AS (SELECT DISTINCT run_id, title, page, rtrim(regexp_extract(page, '^https?://[^/]*([^?#]*)', 1), '/') AS path FROM signal WHERE {_ISSUE}),
- lv AS (SELECT run_id, title, ln(1 + coalesce(im.i, pi, 0)) / (SELECT ln(1 + max(i)) FROM im) AS x FROM af LEFT JOIN im ON im.url = page LEFT JOIN un ON un.path = af.path),
- ex AS (SELECT run_id, title, {R('CAST(sum(CAST(x AS DECIMAL(20,12))) AS DOUBLE) / count(*)', 4)} AS exposure FROM lv GROUP BY ALL)"""
+# Traffic of a domain: p3 has none, p4 and p6 are seen with a query string, p5 and p1 under two of them.
+_SEEN = "CASE WHEN url LIKE '%p4' OR url LIKE '%p6' THEN url || '?a=1' WHEN url LIKE '%p5' OR url LIKE '%p1' THEN url || '?a=' || (day(date) % 2) ELSE url END"
+_EXPOSED = f"""pi AS (SELECT 'S' || substr(site_id, 2) || '.example' AS domain, {_SEEN} AS url, sum(impressions) AS i FROM page_day WHERE url NOT LIKE '%p3' GROUP BY ALL), im AS (SELECT *, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pi),
+ un AS (SELECT domain, path, count(*) AS n, max(i) AS pi FROM im WHERE host = lower(domain) GROUP BY ALL), tp AS (SELECT domain, max(i) AS top FROM im GROUP BY domain),
+ af AS (SELECT DISTINCT run_id, title, domain, page, regexp_replace(page, '^https?://[^/?#]*', '') AS path, page LIKE '/%' OR regexp_extract(page, '^https?://([^/?#]*)', 1) = lower(domain) AS here FROM sc WHERE {_ISSUE}),
+ fd AS (SELECT af.*, top, n, im.i IS NULL AND here AS unlisted, CASE WHEN top IS NULL OR NOT here THEN 0 ELSE coalesce(im.i, CASE WHEN n = 1 THEN pi END, 0) END AS found FROM af LEFT JOIN im ON im.domain = af.domain AND im.url = page LEFT JOIN un ON un.domain = af.domain AND un.path = af.path LEFT JOIN tp ON tp.domain = af.domain),
+ ex AS (SELECT run_id, title, CAST(sum(CAST(CASE WHEN top IS NOT NULL THEN ln(1 + found) / ln(1 + top) ELSE 0 END AS DECIMAL(20,12))) AS DOUBLE) / count(*) AS exposure, count(top) AS affected_pages, CAST(count_if(found > 0) AS BIGINT) AS matched_pages, CAST(count_if(top IS NOT NULL AND unlisted AND n > 1) AS BIGINT) AS ambiguous_pages FROM fd GROUP BY ALL)"""
 
 
 def _exposed(spark, d):
-    p = facts.page_day(spark, d).filter(~F.col("url").contains("site4") & ~F.col("url").endswith("p3"))
-    return K.traffic_exposure(facts.signal(spark, d), p)
+    u, q = F.col("url"), (F.dayofmonth("date") % 2).cast("string")
+    seen = F.when(u.rlike("p[46]$"), F.concat(u, F.lit("?a=1"))).when(u.rlike("p[15]$"), F.concat(u, F.lit("?a="), q)).otherwise(u)
+    p = facts.page_day(spark, d).filter(~u.endswith("p3")).select(F.concat(F.lit("S"), F.substring("site_id", 2, 99), F.lit(".example")).alias("domain"), seen.alias("url"), "impressions")
+    return K.traffic_exposure(_canonical(spark, d), p)
 
 
-@query("a27_traffic_exposure", f"WITH {_EXPOSED} SELECT * FROM ex", "signal page_day")
+@query("a27_traffic_exposure", f"WITH {_SIGNALS}, {_EXPOSED} SELECT * REPLACE ({R('exposure', 4)} AS exposure) FROM ex", "signal page_day")
 def a27_traffic_exposure(spark, d):
-    return _exposed(spark, d)
+    return _exposed(spark, d).withColumn("exposure", js_round("exposure", 4))
 
 
 _SEV = "CASE severity WHEN 'critical' THEN 4.0::DOUBLE WHEN 'high' THEN 3.0 WHEN 'medium' THEN 2.0 ELSE 1.0 END"
 _STA = "CASE status WHEN 'FAIL' THEN 1.0::DOUBLE WHEN 'PARTIAL' THEN 0.65 ELSE 0.0 END"
-_VALUED = f"""vl AS (SELECT mg.*, coalesce(exposure, 0.0) AS exposure, {R(f"{_SEV} * {_STA} * (1 + 2 * coalesce(exposure, 0.0)) * (1 + CASE WHEN tested > 0 THEN CAST(affected AS DOUBLE) / tested ELSE 0.0 END)", 3)} AS value FROM mg LEFT JOIN ex ON ex.run_id = mg.run_id AND ex.title = mg."check")"""
+# A check can be looked into if it affects an even number of pages.
+_VALUED = f"""{_MERGED}, {_EXPOSED}, vl AS (SELECT mg.*, affected % 2 = 0 AS evidence, {R(f"{_SEV} * {_STA} * (1 + 2 * coalesce(exposure, 0.0)) * (1 + CASE WHEN tested > 0 THEN CAST(affected AS DOUBLE) / tested ELSE 0.0 END)", 3)} AS value FROM mg LEFT JOIN ex ON ex.run_id = mg.run_id AND ex.title = mg."check")"""
 
 
 def _valued(spark, d):
-    m = _merged(spark, d).join(_exposed(spark, d).withColumnRenamed("title", "check"), ["run_id", "check"], "left").fillna(0.0, ["exposure"])
-    return m.withColumn("value", K.value_to_fix(F.col("severity"), F.col("status"), F.col("exposure"), F.col("affected"), F.col("tested")))
+    m = _merged(spark, d).join(_exposed(spark, d).select("run_id", F.col("title").alias("check"), "exposure"), ["run_id", "check"], "left").fillna(0.0, ["exposure"])
+    return m.withColumns({"evidence": F.col("affected") % 2 == 0, "value": K.value_to_fix(F.col("severity"), F.col("status"), F.col("exposure"), F.col("affected"), F.col("tested"))}).drop("exposure")
 
 
-@query("a28_value_to_fix", f"WITH {_ALIAS_SQL}, {_MERGED}, {_EXPOSED}, {_VALUED} SELECT * FROM vl", "signal page_day")
+@query("a28_value_to_fix", f"WITH {_VALUED} SELECT * FROM vl", "signal page_day")
 def a28_value_to_fix(spark, d):
     return _valued(spark, d)
 
 
-_ROOT = [("Check 04", "Root 1"), ("Check 05", "Root 1"), ("Check 06", "Root 1"), ("Check 08", "Root 2"), ("Check 09", "Root 2")]
-_ROOT_SQL = 'rt AS (SELECT * FROM (VALUES ' + ", ".join(map(str, _ROOT)) + ') v("check", root))'
+_ROOT_OF = lambda c, i: f"CASE lower(trim({c})) " + " ".join(f"WHEN '{t}' THEN '{r[i]}'" for r in P.ROOT_CAUSES for t in r[2])
+_KEY = lambda c: _ROOT_OF(c, 0) + f" ELSE 'check:' || replace(lower(trim({c})), ' ', '-') END"
+_NAME = lambda c: _ROOT_OF(c, 1) + " " + " ".join(f"WHEN '{t}' THEN '{n}'" for t, n in P.ISSUE_NAMES.items()) + f" ELSE {c} END"
+_ROOTS = f"""bd AS (SELECT *, {_KEY('"check"')} AS root, {_NAME('"check"')} AS name FROM vl WHERE {_ISSUE}), pg AS (SELECT bd.run_id, root, count(DISTINCT page) AS pages_affected FROM bd JOIN sc ON sc.run_id = bd.run_id AND sc.title = bd."check" WHERE sc.{_ISSUE} GROUP BY ALL),
+ gr AS (SELECT run_id, root, min(name) AS title, {SEVERITY} AS severity, max(value) AS value, count(*) AS checks, string_agg("check", '|' ORDER BY "check") AS titles, list_sort(list(DISTINCT family)) AS families, CASE WHEN bool_and(evidence) THEN 'high' ELSE 'medium' END AS confidence FROM bd GROUP BY run_id, root),
+ rt AS (SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY value DESC, pages_affected DESC, title) AS INTEGER) AS place FROM gr JOIN pg USING (run_id, root))"""
 
 
-@query(
-    "a29_root_causes",
-    f"""WITH {_ALIAS_SQL}, {_MERGED}, {_ROOT_SQL} SELECT run_id, coalesce(root, "check") AS root, {SEVERITY} AS severity, {STATUS} AS status, max(affected) AS affected, count(DISTINCT "check") AS checks, string_agg(DISTINCT "check", '|' ORDER BY "check") AS titles FROM mg LEFT JOIN rt USING ("check") WHERE {_ISSUE} GROUP BY 1, 2""",
-    "signal",
-)
+def _roots(spark, d, v):
+    return P.root_causes(v, _canonical(spark, d).withColumnRenamed("title", "check"))
+
+
+@query("a29_root_causes", f"WITH {_VALUED}, {_ROOTS} SELECT * REPLACE (array_to_string(families, '|') AS families) FROM rt", "signal page_day")
 def a29_root_causes(spark, d):
-    return K.root_causes(_merged(spark, d), spark.createDataFrame(_ROOT, "check string, root string"))
+    r = _roots(spark, d, _valued(spark, d))
+    return r.withColumns({c: F.array_join(c, "|") for c in ("titles", "families")})
 
 
-@query(
-    "a57_executive_findings",
-    f"""WITH {_ALIAS_SQL}, {_MERGED}, {_EXPOSED}, {_VALUED}, {_ROOT_SQL}, b AS (SELECT run_id, coalesce(root, "check") AS root, "check", value FROM vl LEFT JOIN rt USING ("check") WHERE {_ISSUE} QUALIFY row_number() OVER (PARTITION BY run_id, coalesce(root, "check") ORDER BY value DESC, "check") = 1)
-    SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY value DESC, root) AS INTEGER) AS place FROM b QUALIFY place <= 5""",
-    "signal page_day",
-)
-def a57_executive_findings(spark, d):
-    return K.executive_findings(_valued(spark, d), spark.createDataFrame(_ROOT, "check string, root string"))
+# Search totals of each run: runs that end with 3 have no end of their period, three of four few clicks.
+_SEARCH = """se AS (SELECT *, CASE WHEN run_id NOT LIKE '%3' THEN '2024-12-31' END AS period_end FROM (SELECT run_id, CAST(sum(impressions) AS BIGINT) AS impressions, CASE WHEN CAST(right(run_id, 2) AS INT) % 4 = 1 THEN CAST(sum(clicks) // 1 AS BIGINT) ELSE CAST(sum(clicks) // 1000 AS BIGINT) END AS clicks
+ FROM (SELECT *, 'run' || lpad(CAST(CAST(date - DATE '2024-01-01' AS BIGINT) // 5 AS VARCHAR), 2, '0') AS run_id FROM site_day) GROUP BY run_id))"""
 
 
-@query(
-    "a49_high_signal",
-    f"""WITH {_ALIAS_SQL}, {_MERGED}, {_EXPOSED}, {_VALUED}, x AS (SELECT run_id, "check" AS title, value, 'check' AS kind FROM vl UNION ALL SELECT run_id, 'canonical-a!', 7.5, 'rule' FROM (SELECT DISTINCT run_id FROM mg)),
-    o AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS norm FROM x QUALIFY row_number() OVER (PARTITION BY run_id, norm ORDER BY value DESC, kind, title) = 1)
-    SELECT run_id, title, value, kind, CAST(row_number() OVER (PARTITION BY run_id ORDER BY value DESC, norm) AS INTEGER) AS place FROM o QUALIFY place <= 10""",
-    "signal page_day",
-)
+def _search(spark, d):
+    two = F.lpad(F.floor(F.datediff("date", F.lit("2024-01-01").cast("date")) / 5).cast("string"), 2, "0")
+    s = facts.site_day(spark, d).groupBy(F.concat(F.lit("run"), two).alias("run_id")).agg(F.sum("impressions").alias("impressions"), F.sum("clicks").alias("c"))
+    clicks = F.when(F.substring("run_id", -2, 2).cast("int") % 4 == 1, F.col("c")).otherwise(F.floor(F.col("c") / 1000))
+    return s.select("run_id", "impressions", clicks.alias("clicks"), F.lit("2024-01-01").alias("period_start"), F.when(~F.col("run_id").endswith("3"), "2024-12-31").alias("period_end"))
+
+
+_HIGH = f"""{_SEARCH}, al AS (SELECT run_id, '{P.LOW_CLICKS[0]}' AS title, 20 + ln(1 + impressions) AS value, '{P.LOW_CLICKS[1]}' AS source FROM se WHERE impressions >= 100 AND CAST(clicks AS DOUBLE) / impressions < 0.01 AND period_end IS NOT NULL
+ UNION ALL SELECT run_id, '{P.TRUST_GAP[0]}', 18 + max(value), '{P.TRUST_GAP[1]}' FROM vl WHERE {_ISSUE} AND family = '{P.TRUST_GAP[1]}' AND CAST(affected AS DOUBLE) / tested >= 0.5 GROUP BY run_id UNION ALL SELECT run_id, "check", value, family FROM vl WHERE {_ISSUE} AND affected > 0),
+ on_ AS (SELECT *, {_NORM('title')} AS norm FROM al QUALIFY row_number() OVER (PARTITION BY run_id, norm ORDER BY value DESC, title) = 1),
+ hi AS (SELECT run_id, title, value, source, CAST(row_number() OVER (PARTITION BY run_id ORDER BY value DESC, title) AS INTEGER) AS place FROM on_ QUALIFY place <= 5)"""
+
+
+@query("a49_high_signal", f"WITH {_VALUED}, {_HIGH} SELECT * REPLACE ({R('value', 3)} AS value) FROM hi", "signal page_day site_day")
 def a49_high_signal(spark, d):
+    return P.high_signal(_valued(spark, d), _search(spark, d)).withColumn("value", js_round("value", 3))
+
+
+_ANSWERS = "lower(trim(title)) IN (" + ", ".join(f"'{t}'" for t in P.ANSWER_TITLES) + ")"
+_EXEC = f"""fi AS (SELECT run_id, "check" AS title, value, family AS source FROM vl WHERE {_ISSUE}),
+ f1 AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY value DESC, title) AS p FROM (SELECT * FROM fi WHERE NOT ({_ANSWERS}) UNION ALL SELECT run_id, '{P.ANSWER_FINDING[0]}', max(value) + 1, '{P.ANSWER_FINDING[1]}' FROM fi WHERE {_ANSWERS} GROUP BY run_id) QUALIFY p <= 5),
+ f2 AS (SELECT *, {_KEY('title')} AS root FROM f1 QUALIFY row_number() OVER (PARTITION BY run_id, root ORDER BY p) = 1),
+ f3 AS (SELECT f2.run_id, coalesce(rt.title, f2.title) AS title, CASE WHEN checks > 1 THEN greatest(f2.value, rt.value) ELSE f2.value END AS value, CASE WHEN checks > 1 THEN array_to_string(families, ' · ') ELSE source END AS source, CASE WHEN checks > 1 THEN f2.root END AS root,
+  CASE WHEN checks > 1 THEN confidence ELSE 'medium' END AS confidence, CASE WHEN checks > 1 THEN pages_affected END AS pages_affected, CASE WHEN checks > 1 THEN 'root_cause_group' ELSE 'derived_report_summary' END AS evidence_type FROM f2 LEFT JOIN rt ON rt.run_id = f2.run_id AND rt.root = f2.root)"""
+
+
+@query("a57_executive_findings", f"WITH {_VALUED}, {_ROOTS}, {_EXEC} SELECT *, CAST(row_number() OVER (PARTITION BY run_id ORDER BY value DESC, title) AS INTEGER) AS place FROM f3", "signal page_day")
+def a57_executive_findings(spark, d):
+    """All issues of a run as findings, so that the answer cluster and root causes with several checks meet."""
     v = _valued(spark, d)
-    extra = facts.signal(spark, d).select("run_id").distinct().select("run_id", F.lit("canonical-a!").alias("title"), F.lit(7.5).alias("value"))
-    return K.high_signal(v, extra)
+    findings = v.filter(K.is_issue(F.col("status"))).select("run_id", F.col("check").alias("title"), "value", F.col("family").alias("source"))
+    return P.executive_findings(findings, _roots(spark, d, v))
 
 
-@query("a48_validate_report", f"""WITH {_ALIAS_SQL}, {_MERGED}, x AS (SELECT run_id, 'Finding ' || (CAST(right("check", 1) AS VARCHAR)) AS "check", status, affected, tested FROM mg),
-    v AS (SELECT *, count(*) OVER (PARTITION BY run_id, lower(trim("check"))) AS n FROM x) SELECT run_id, "check", unnest(list_filter([CASE WHEN n > 1 THEN 'duplicate_finding' END, CASE WHEN affected > tested THEN 'affected_exceeds_tested' END, CASE WHEN {_ISSUE} AND affected = 0 THEN 'issue_without_pages' END, CASE WHEN NOT ({_ISSUE}) AND affected > 0 THEN 'pages_without_issue' END], lambda y: y IS NOT NULL)) AS violation FROM v""", "signal")
+# Reports with every kind of contradiction, by number of pages, site, user and run.
+_REPORTED = f"""{_MERGED}, ck AS (SELECT *, affected % 2 = 0 AS evidence, ['improved', 'new_issue', 'unchanged'][1 + affected % 3] AS latest_change, CASE WHEN affected % 5 = 3 THEN affected - 1 ELSE tested END AS tried FROM mg),
+ fn AS (SELECT run_id, lower(trim(title)) AS subject, count(*) AS n FROM (SELECT run_id, "check" AS title FROM mg UNION ALL SELECT run_id, ' ' || upper("check") FROM mg WHERE affected % 4 = 0) GROUP BY ALL),
+ fm AS (SELECT run_id, family, count_if({_ISSUE}) AS confirmed, count_if({_ISSUE} AND affected % 7 <> 1) AS listed FROM mg GROUP BY ALL),
+ so AS (SELECT run_id, CASE WHEN family LIKE 'C%' THEN 'ga4' ELSE family END AS key, family AS label, CASE WHEN sum(affected) % 3 = 0 THEN 'missing' ELSE 'connected' END AS state, CASE WHEN sum(affected) % 2 = 0 THEN '2024-05-01' END AS observed_at FROM mg GROUP BY run_id, family),
+ rp AS (SELECT run_id, CAST(sum(affected) AS BIGINT) AS n FROM mg GROUP BY run_id)"""
+
+
+@query(
+    "a48_validate_report",
+    f"""WITH {_REPORTED} SELECT run_id, 'error' AS level, 'duplicate_finding' AS rule, subject FROM fn WHERE n > 1 UNION ALL SELECT run_id, 'error', 'confirmed_count_differs', family FROM fm WHERE confirmed <> listed
+    UNION ALL SELECT run_id, 'error', 'affected_exceeds_tested', "check" FROM ck WHERE affected > tried UNION ALL SELECT run_id, 'warning', 'priority_without_evidence', "check" FROM ck WHERE {_ISSUE} AND severity IN ('critical', 'high') AND NOT evidence
+    UNION ALL SELECT run_id, 'error', 'review_as_movement', "check" FROM ck WHERE status = 'MANUAL_REVIEW' AND latest_change <> 'unchanged' UNION ALL SELECT run_id, 'warning', 'source_missing', label FROM so WHERE state = 'missing' UNION ALL SELECT run_id, 'warning', 'source_without_time', label FROM so WHERE state = 'connected' AND observed_at IS NULL
+    UNION ALL SELECT run_id, 'error', 'unbounded_period', run_id FROM rp WHERE n > 0 AND n % 2 = 1 UNION ALL SELECT run_id, 'error', 'clarity_as_ga4', run_id FROM rp JOIN so USING (run_id) WHERE key = 'ga4' AND state = 'connected' AND n % 3 <> 0
+    UNION ALL SELECT run_id, 'warning', 'legacy_unlinked', run_id FROM rp WHERE n % 5 <> 0 AND n % 4 = 0 UNION ALL SELECT run_id, 'error', 'inputs_unlinked', run_id FROM rp WHERE n % 5 <> 0 AND n % 4 IN (1, 2)""",
+    "signal",
+)
 def a48_validate_report(spark, d):
-    return K.validate_report(_merged(spark, d).withColumn("check", F.concat(F.lit("Finding "), F.substring("check", -1, 1))))
+    return _violations(spark, d)[1]
+
+
+@query("a48_report_verdicts", f"""WITH {_REPORTED}, e AS (SELECT run_id, count(*) AS errors FROM (SELECT run_id FROM fn WHERE n > 1 UNION ALL SELECT run_id FROM fm WHERE confirmed <> listed UNION ALL SELECT run_id FROM ck WHERE affected > tried UNION ALL SELECT run_id FROM ck WHERE status = 'MANUAL_REVIEW' AND latest_change <> 'unchanged'
+    UNION ALL SELECT run_id FROM rp WHERE n % 2 = 1 UNION ALL SELECT run_id FROM rp JOIN so USING (run_id) WHERE key = 'ga4' AND state = 'connected' AND n % 3 <> 0 UNION ALL SELECT run_id FROM rp WHERE n % 5 <> 0 AND n % 4 IN (1, 2)) GROUP BY run_id),
+    w AS (SELECT run_id, count(*) AS warnings FROM (SELECT run_id FROM ck WHERE {_ISSUE} AND severity IN ('critical', 'high') AND NOT evidence UNION ALL SELECT run_id FROM so WHERE state = 'missing' OR observed_at IS NULL UNION ALL SELECT run_id FROM rp WHERE n % 5 <> 0 AND n % 4 = 0) GROUP BY run_id)
+    SELECT run_id, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, coalesce(errors, 0) > 0 AS blocking FROM rp LEFT JOIN e USING (run_id) LEFT JOIN w USING (run_id)""", "signal")
+def a48_report_verdicts(spark, d):
+    return P.report_verdicts(*_violations(spark, d))
+
+
+def _violations(spark, d):
+    m, n = _merged(spark, d), F.col("affected")
+    checks = m.withColumns({
+        "evidence": n % 2 == 0, "latest_change": F.element_at(F.array(*map(F.lit, ["improved", "new_issue", "unchanged"])), (n % 3 + 1).cast("int")), "tested": F.when(n % 5 == 3, n - 1).otherwise(F.col("tested")),
+    })
+    findings = m.select("run_id", F.col("check").alias("title")).unionByName(m.filter(n % 4 == 0).select("run_id", F.concat(F.lit(" "), F.upper("check")).alias("title")))
+    bad = K.is_issue(F.col("status"))
+    families = m.groupBy("run_id", "family").agg(F.count_if(bad).alias("confirmed"), F.count_if(bad & (n % 7 != 1)).alias("listed"))
+    sources = m.groupBy("run_id", "family").agg(F.sum(n).alias("n")).select(
+        "run_id", F.when(F.col("family").startswith("C"), "ga4").otherwise(F.col("family")).alias("key"), F.col("family").alias("label"), F.when(F.col("n") % 3 == 0, "missing").otherwise("connected").alias("state"), F.when(F.col("n") % 2 == 0, "2024-05-01").alias("observed_at")
+    )
+    t = F.col("impressions")
+    reports = m.groupBy("run_id").agg(F.sum(n).alias("impressions")).select(
+        "run_id", "impressions", F.lit(0).alias("clicks"), F.lit(0).alias("keywords"), F.lit("2024-01-01").alias("period_start"), F.when(t % 2 == 0, "2024-06-30").alias("period_end"), F.lit(True).alias("clarity"), (t % 3 == 0).alias("ga4"),
+        F.when(t % 5 != 0, "a1").alias("audit_run_id"), F.lit("c1").alias("crawl_run_id"), (t % 4 == 0).alias("legacy_unlinked"), (t % 4 == 3).alias("inputs_linked"),
+    )
+    return reports, P.validate_report(checks, findings, families, sources, reports)
 
 
 @query(

@@ -201,15 +201,22 @@ def j23_cluster_by_serp(spark, d):
     return W.cluster_by_serp(serps(spark, d), v, 16)
 
 
+_SITES = ["official_store", "aggregator", "forum_ugc", "editorial", "monobrand", "own_kind", "", None]
+
+
 @query(
     "a45_serp_intent",
-    f"""WITH t AS (SELECT query AS keyword, CASE WHEN user_id % 3 = 0 THEN 'product' WHEN user_id % 3 = 1 THEN 'article' ELSE 'category' END AS page_type, count(*) AS n FROM event GROUP BY ALL)
-    SELECT keyword, arg_max(page_type, (n, page_type)) AS page_type, {R('CAST(max(n) AS DOUBLE) / sum(n) * 100', 1)} AS share, CAST(sum(n) AS BIGINT) AS results FROM t GROUP BY keyword""",
+    f"""WITH r AS (SELECT query || '-' || (user_id % 20) AS keyword, event_id AS position, CASE WHEN k % 2 = 0 THEN 'buy' WHEN k % 3 = 0 THEN 'info' END AS intent, CASE WHEN user_id % 20 <> 7 THEN [{", ".join("NULL" if x is None else f"'{x}'" for x in _SITES)}][1 + CAST(k AS INT) % 8] END AS site FROM event),
+    t AS (SELECT keyword, position, intent, CASE site {" ".join(f"WHEN '{k}' THEN '{v}'" for k, v in W.PAGE_TYPES.items())} WHEN '' THEN NULL ELSE site END AS page_type FROM r), c AS (SELECT keyword, page_type, count(*) AS n FROM t WHERE page_type IS NOT NULL GROUP BY keyword, page_type QUALIFY row_number() OVER (PARTITION BY keyword ORDER BY count(*) DESC, min(position)) = 1),
+    a AS (SELECT keyword, count(*) AS results, CASE WHEN avg(CASE WHEN intent = 'buy' THEN 1.0 ELSE 0.0 END) >= 0.5 THEN 'transactional' ELSE 'informational' END AS dominant_intent FROM t GROUP BY keyword)
+    SELECT keyword, dominant_intent, coalesce(page_type, CASE dominant_intent WHEN 'transactional' THEN 'product_offer' ELSE 'guide' END) AS page_type, CAST(floor(coalesce(n, 0) * 100.0::DOUBLE / results + 0.5) AS INTEGER) AS share, results FROM a LEFT JOIN c USING (keyword)""",
     "event",
 )
 def a45_serp_intent(spark, d):
-    u = F.col("user_id") % 3
-    return W.serp_intent(facts.event(spark, d).select(F.col("query").alias("keyword"), F.when(u == 0, "product").when(u == 1, "article").otherwise("category").alias("page_type")))
+    k, u = F.col("k"), F.col("user_id") % 20
+    site = F.when(u != 7, F.element_at(F.array(*map(F.lit, _SITES)), (k % 8 + 1).cast("int")))
+    r = facts.event(spark, d).select(F.concat_ws("-", "query", u.cast("string")).alias("keyword"), F.col("event_id").alias("position"), F.when(k % 2 == 0, "buy").when(k % 3 == 0, "info").alias("intent"), site.alias("site_type"))
+    return W.serp_intent(r)
 
 
 @query(

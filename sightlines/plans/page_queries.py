@@ -319,17 +319,34 @@ def f28_fingerprints(spark, d):
     return P.fingerprints(hosts)
 
 
+_FLAGS = {
+    "host": (50, "ok AND i % 11 = 0"), "status": (40, "ok AND i % 13 = 0"), "canonical": (30, "ok AND i % 7 = 0 AND i % 2 = 0"), "indexable": (30, "ok AND i % 5 = 0"), "words": (25, "ok AND i % 3 = 0 AND i % 4 <> 0"),
+    "content": (15, "ok AND i % 6 = 1 AND i % 13 <> 0 AND i % 11 <> 0"), "js_redirect": (25, "ok AND i % 9 IN (4, 5)"), "bot_blocked": (20, "i % 17 = 3"),
+}
+
+
 @query(
     "f29_cloaking_diff",
-    """WITH v AS (SELECT 'u' || page_id AS url, page_id % 7 = 0 AS a, page_id % 5 = 0 AS b, page_id % 3 = 0 AS c, page_id % 11 = 0 AS e FROM pages)
-    SELECT url, (CASE WHEN a THEN 30 ELSE 0 END + CASE WHEN b THEN 15 ELSE 0 END + CASE WHEN c THEN 20 ELSE 0 END + CASE WHEN e THEN 10 ELSE 0 END)::INTEGER AS score, array_to_string(list_filter([CASE WHEN a THEN 'status' END, CASE WHEN b THEN 'title' END, CASE WHEN c THEN 'content' END, CASE WHEN e THEN 'robots' END], lambda x: x IS NOT NULL), ',') AS flags FROM v""",
+    f"""WITH v AS (SELECT 'u' || page_id AS url, page_id AS i, page_id % 17 <> 3 AND page_id % 23 <> 7 AS ok FROM pages), f AS (SELECT url, {" + ".join(f"CASE WHEN {c} THEN {n} ELSE 0 END" for n, c in _FLAGS.values())} AS points,
+    concat_ws(',', {", ".join(f"CASE WHEN {c} THEN '{k}' END" for k, (_, c) in _FLAGS.items())}) AS flags FROM v) SELECT url, flags, least(points, 100)::INTEGER AS score, CASE WHEN points >= 50 THEN 'cloaking' WHEN points >= 20 THEN 'suspicious' ELSE 'clean' END AS verdict FROM f""",
 )
 def f29_cloaking_diff(spark, d):
+    """Two views of every page, of which one in seventeen turns the crawler away and one in 23 a crawler meets an error."""
     i = F.col("page_id")
-    u = F.concat(F.lit("u"), i.cast("string")).alias("url")
-    human = pages(spark, d).select(u, F.lit("human").alias("view"), F.lit(200).alias("status"), F.lit("t").alias("title"), F.lit(100).alias("words"), F.lit("index").alias("robots"), F.lit("f").alias("final_url"))
-    bot = pages(spark, d).select(u, F.lit("bot").alias("view"), F.when(i % 7 == 0, 404).otherwise(200).alias("status"), F.when(i % 5 == 0, "x").otherwise("t").alias("title"), F.when(i % 3 == 0, 40).otherwise(90).alias("words"), F.when(i % 11 == 0, "noindex").otherwise("index").alias("robots"), F.lit("f").alias("final_url"))
-    return P.cloaking_diff(human.unionByName(bot)).withColumn("flags", F.array_join("flags", ","))
+
+    def view(bot: bool):
+        pick = lambda c, x, y: F.when(c, x).otherwise(y) if bot else F.lit(y)
+        when = lambda c, x, y: F.when(c, x).otherwise(y)
+        none = F.array().cast("array<string>")
+        return pages(spark, d).select(
+            F.concat(F.lit("u"), i.cast("string")).alias("url"), F.lit("bot" if bot else "human").alias("view"), pick((i % 17 == 3) | (i % 23 == 7), False, True).alias("ok"), pick(i % 17 == 3, True, False).alias("blocked"),
+            pick(i % 11 == 0, "https://else.example/", "https://HOST.example:443/x").alias("final_url") if bot else F.lit("https://host.example/y").alias("final_url"), pick(i % 13 == 0, 404, 200).alias("status"),
+            when(i % 2 == 0, pick(i % 7 == 0, "c1", "c2"), F.lit(None if bot else "c3")).alias("canonical"), pick(i % 5 == 0, False, True).alias("indexable"),
+            when(i % 4 == 0, F.lit(0), pick(i % 3 == 0, 59, 60)).alias("words") if bot else F.lit(100).alias("words"), pick(i % 6 == 1, "h1", "h2").alias("body_hash"),
+            when((i % 9 == 4) if bot else (i % 9 == 5), F.array(F.lit("https://x.example/")), none).alias("js_redirects"),
+        )
+
+    return P.cloaking_diff(view(True).unionByName(view(False))).withColumn("flags", F.array_join("flags", ","))
 
 
 @query(
