@@ -94,28 +94,41 @@ def learn(labelled: DataFrame, min_support: float = 0.002, min_confidence: float
         return spark.createDataFrame([], kind)
     least = max(min_urls, math.ceil(min_support * total))
     names = kept(merged_tokens(rows).filter((F.col("cover") >= least) & (F.col("cover") < total)), "tokens")
-    bare = rows.select("url_key", "label", F.explode("tokens").alias("token")).join(names.filter("token = merged").select("token"), "token")
-    items = bare.groupBy("url_key").agg(F.array_append(F.array_sort(F.collect_list("token")), F.concat(F.lit("label="), F.min("label"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=least / total, minConfidence=min_confidence).fit(kept(items.select("items"), "items"))
-    found = model.associationRules.filter(F.col("consequent")[0].startswith("label=") & ~F.exists("antecedent", lambda t: t.startswith("label="))).select(
-        F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 7, 99).alias("label"), "confidence", "support"
+    had = rows.select("url_key", "label", F.explode("tokens").alias("token")).join(names.filter("token = merged").select("token"), "token")
+    items = had.groupBy("url_key").agg(F.array_append(F.array_sort(F.collect_list("token")), F.concat(F.lit("label="), F.min("label"))).alias("items"))
+    items = kept(items.select("items"), "items")
+    mined = FPGrowth(itemsCol="items", minSupport=least / total).fit(items).freqItemsets
+    is_label = lambda t: t.startswith("label=")
+    tokens = F.array_sort(F.filter("items", lambda t: ~is_label(t))).alias("tokens")
+    sets = kept(mined.select(tokens, F.substring(F.get(F.filter("items", is_label), F.lit(0)), 7, 99).alias("label"), "freq"), "sets")
+    bare = sets.filter("label is null").select("tokens", F.col("freq").alias("of"))
+    rules = sets.filter("label is not null and size(tokens) > 0").join(bare, "tokens").select(
+        F.xxhash64("tokens", "label").alias("rule_id"), "tokens", "label", (F.col("freq") / F.col("of")).alias("confidence"), (F.col("freq") / F.lit(items.count())).alias("support")
     )
-    found = kept(found.withColumn("rule_id", F.xxhash64("tokens", "label")), "rules")
-    # A rule falls if leaving out one token, or several, keeps its confidence: looked up by the shorter token lists, not by shared tokens.
-    short = found.select(F.xxhash64("tokens", "label").alias("part"), F.col("confidence").alias("c2"))
-    parts = found.select("rule_id", "confidence", F.explode(proper_subsets(F.col("tokens"))).alias("sub"), "label").select("rule_id", "confidence", F.xxhash64("sub", "label").alias("part"))
-    beaten = parts.join(short, "part").filter("c2 >= confidence").select("rule_id").distinct()
-    best = found.join(beaten, "rule_id", "left_anti")
+    best = unbeaten(kept(rules, "rules"), min_confidence)
     each = best.select("rule_id", F.explode("tokens").alias("merged")).join(names.filter("token = merged").select("merged", "members", "cover"), "merged")
     whole = each.groupBy("rule_id").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("all"), F.min(F.struct("cover", "merged"))["merged"].alias("rarest"))
     return kept(best.join(whole, "rule_id").select("rule_id", F.col("all").alias("tokens"), "rarest", "label", "confidence", "support"), "best")
 
 
-def proper_subsets(tokens: Column) -> Column:
-    """All non-empty proper subsets of a sorted array, in the array's order."""
-    n = F.size(tokens)
-    numbers = F.when(n > 1, F.sequence(F.lit(1), F.greatest(F.lit(1), F.pow(F.lit(2), n).cast("int") - 2))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(numbers, lambda m: F.filter(tokens, lambda t, i: F.floor(m / F.pow(F.lit(2), i)) % 2 == 1))
+def unbeaten(rules: DataFrame, min_confidence: float) -> DataFrame:
+    """The rules with min_confidence that are more confident than every rule of fewer of their tokens and the same label.
+
+    rules hold every frequent combination, so each part of a rule is there too.  Level by level, a rule hears from the
+    parts that lack one token what is best among them and all of theirs: as many rows as a rule has tokens, not as it has parts.
+    """
+    size, sure = F.size("tokens"), F.col("confidence") >= min_confidence
+    longest = rules.filter(sure).agg(F.max(size)).first()[0] or 1
+    level = rules.filter(size == 1)
+    best, level = level.filter(sure), level.select("rule_id", F.col("confidence").alias("top"))
+    for n in range(2, longest + 1):
+        here = rules.filter(size == n)
+        parts = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.xxhash64(F.filter("tokens", lambda t, j: j != i), F.col("label")))
+        heard = here.select("rule_id", F.explode(parts).alias("part")).join(level.withColumnRenamed("rule_id", "part"), "part").groupBy("rule_id").agg(F.max("top").alias("most"))
+        rows = kept(here.join(heard, "rule_id"), "level")
+        best = best.unionByName(rows.filter(sure & (F.col("confidence") > F.col("most"))).drop("most"))
+        level = rows.select("rule_id", F.greatest("confidence", "most").alias("top"))
+    return best
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators against plain versions that share no code with them, and stages on odd tables."""
 
+import itertools
 import math
 import random
 import re
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from sightlines.llm import mixing, quality, simhash, textkit
+from sightlines.llm import jaccard, mixing, quality, simhash, textkit, urls
 
 M = (1 << 64) - 1
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, key string, row1 string, mix_copies int, quality_score string"
@@ -175,3 +176,54 @@ def test_stages_on_odd_and_empty_tables(spark, folder, name):
     elif name == "mixing sources to target weights":
         assert all(1 <= x.mix_copies <= 3 and x.text.strip() for x in got)
     assert stage(spark, docs.limit(0), folder).count() == 0
+
+
+# ----------------------------------------------------- url rules, buckets of shingles
+
+
+def test_rules_are_held_against_all_their_parts(spark):
+    """Parts that fall short of the confidence must not hide the better ones below them; long rules cost a row a token."""
+    r = random.Random(3)
+    names, all_ = "abcdefg", []
+    for n in range(1, 8):
+        all_ += list(itertools.combinations(names, n))
+    conf = {c: r.choice([0.5, 0.7, 0.8, 0.85, 0.9, 1.0]) for c in all_}
+    rows = spark.createDataFrame([(list(c), lab, v if lab == "block" else 1 - v, 0.1) for c, v in conf.items() for lab in ("block", "allow")], "tokens array<string>, label string, confidence double, support double")
+    rules = rows.select(F.xxhash64("tokens", "label").alias("rule_id"), "*")
+    got = {tuple(x.tokens) for x in urls.unbeaten(rules, 0.8).collect() if x.label == "block"}
+    want = {c for c, v in conf.items() if v >= 0.8 and not any(set(d) < set(c) and w >= v for d, w in conf.items())}
+    assert got == want and max(map(len, got)) > 1
+    assert urls.unbeaten(rules.filter("label = 'allow'"), 0.8).count() == urls.unbeaten(rules.limit(0), 0.8).count() == 0
+
+
+def test_rules_of_urls_with_many_query_keys(spark):
+    """Fourteen keys that come and go freely, one of which decides: its rule alone is left of all combinations with it."""
+    r = random.Random(8)
+    rows = []
+    for i in range(400):
+        keys = [f"k{j}" for j in range(14) if r.random() < 0.9]
+        rows.append((f"http://a.example/{i}?" + "&".join(f"{k}=1" for k in keys), "block" if "k3" in keys else "allow"))
+    got = {(tuple(x.tokens), x.label, x.confidence) for x in urls.learn(spark.createDataFrame(rows, "url string, label string"), 0.25, 1.0).collect()}
+    assert got == {(("k=k3",), "block", 1.0)}
+
+
+def test_buckets_grow_with_the_shingles():
+    sizes = [jaccard.n_buckets(8, n) for n in (0, 10**9, 10**11, 16 * 10**12)]
+    assert sizes == sorted(sizes) and sizes[0] == 64 and all(n // b <= jaccard.BUCKET_SHINGLES for n, b in zip((0, 10**9, 10**11, 16 * 10**12), sizes))
+    assert jaccard.n_buckets(1000, 0) == 1024
+
+
+def test_links_do_not_depend_on_the_buckets(spark, monkeypatch):
+    r = random.Random(4)
+    base = [[r.choice("abcdefghij") * r.randint(1, 3) for _ in range(60)] for _ in range(12)]
+    texts = [(i, " ".join(b[:-1] + [str(i)] if i % 3 else b)) for i, b in enumerate(base * 6)]
+    docs = spark.createDataFrame([*texts, (900, None), (901, "")], "doc_id long, text string")
+    want = sorted(tuple(x) for x in jaccard.link(docs, 4, 85).collect())
+    monkeypatch.setattr(jaccard, "BUCKET_SHINGLES", 3)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        assert sorted(tuple(x) for x in jaccard.link(docs, 4, 85).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len({c for _, _, c in want}) < len(want)
