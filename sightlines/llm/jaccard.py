@@ -49,6 +49,8 @@ from .textkit import WordTable, mix64, shingle_hashes, unique_by_document, word_
 LIGHT_MOST, SEEN_MOST = 26, 2_000_000
 #: Pairs that one entry of longer lists has to save, most common shingles of a list.
 SPLIT_GAIN, DEEPEST = 64, 4
+#: Shingles of a bucket (16 bytes each), of which a worker holds one at a time.
+BUCKET_SHINGLES = 1 << 24
 
 _WORDS = WordTable()
 
@@ -180,16 +182,22 @@ _LISTED, _SHARED = ["bucket", "nodes", "toks", "m_nodes", "m_n"], ["bucket", "no
 _I8, _U8, _I4 = np.int64, np.uint64, np.int32
 
 
-def heavy_sets(docs: DataFrame, k: int, percent: int, least: int) -> DataFrame:
+def n_buckets(parts: int, shingles: int) -> int:
+    """A power of two: as many buckets as partitions, and one for each BUCKET_SHINGLES, at least."""
+    buckets = 64
+    while buckets < max(parts, shingles // BUCKET_SHINGLES):
+        buckets *= 2
+    return buckets
+
+
+def heavy_sets(docs: DataFrame, k: int, percent: int, least: int, shingles: int) -> DataFrame:
     """key, n, alone (shingles in no other set), toks (the others), prefix (struct(tok, at)) of every set that can link.
 
     Shingles travel packed by bucket: to the bucket of their hash, where those of
-    one set only fall out, and on to the bucket of their set.
+    one set only fall out, and on to the bucket of their set.  A worker holds one bucket, whose size does not grow with the input
+    (shingles: how many all texts have).
     """
-    buckets = 64
-    while buckets < int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        buckets *= 2
-    mask = np.uint64(buckets - 1)
+    mask = np.uint64(n_buckets(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), shingles) - 1)
     home = lambda node: ((node.view(_U8) >> np.uint64(20)) & mask).astype(_I4)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -326,7 +334,8 @@ def links(docs: DataFrame, k: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     counts = {r.n: r["count"] for r in sets.groupBy("n").count().collect()}  # at most LIGHT_MOST rows
     most = boundary(counts, percent)
     light = kept(light_edges(sets, most, percent).distinct(), "light")
-    heavy = kept(heavy_sets(docs, k, percent, max(1, most + 1 - int(missing(most + 1, percent)))), "heavy")
+    shingles = int(all_.agg(F.sum("n")).first()[0] or 0)
+    heavy = kept(heavy_sets(docs, k, percent, max(1, most + 1 - int(missing(most + 1, percent))), shingles), "heavy")
     return all_, kept(heavy_edges(heavy, percent, light).unionByName(light), "links")
 
 
