@@ -3,6 +3,8 @@
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
 from sightlines.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -26,8 +28,17 @@ def same_as_sql(spark, path, name):
     return got
 
 
-@pytest.mark.parametrize("name", ["f16_url_class", "t5_select_crawl_batch"])
+@pytest.mark.parametrize("name", ["f16_url_class", "t8_candidate_score", "t5_select_crawl_batch"])
 def test_page_numbers_are_no_years(spark, tmp_path, name):
     ids = [9, 2009, 2024, 2037, 2065]
     spark.createDataFrame([(i, f"https://h{i}.example/", "") for i in ids], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert len(same_as_sql(spark, tmp_path, name)) == len(ids)
+
+
+def test_years_cost_points_unless_named_otherwise(spark):
+    from sightlines.functions import urls as U
+
+    url, no = F.lit("https://a.example/x/2009"), F.lit(False)
+    scores = [U.candidate_score(url, F.lit("https://a.example/"), no, no, *year) for year in ((), ("2024",))]
+    points = [U.priority_score(url, F.lit("unknown"), F.lit(""), None, None, None, *year) for year in ((), ("2024",))]
+    assert tuple(spark.range(1).select(*scores, *points).first()) == (50, 130, 170, 250)
