@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import kept
 from .textkit import WordTable, shingle_hashes, word_hashes
 
 BITS, TERM_WORDS, VOTES_AT_ONCE = 64, 3, 1 << 17
@@ -88,24 +89,25 @@ def near(queries: DataFrame, all_: DataFrame, radius: int = 3) -> DataFrame:
     """query_fp, fp, distance for every pair of different fingerprints within radius.
 
     Both sides are made distinct first, so copies cost nothing; the caller joins members back by fp.
+    Both grow with the input, so they are merged and neither passes through the driver.
     """
     q = _tables(queries.select(F.col("fp").alias("query_fp")).distinct(), "query_fp", radius)
     a = _tables(all_.select("fp").distinct(), "fp", radius)
     distance = F.bit_count(F.col("query_fp").bitwiseXOR(F.col("fp"))).alias("distance")
-    return q.join(a, "key").select("query_fp", "fp", distance).filter((F.col("distance") <= radius) & (F.col("query_fp") != F.col("fp"))).distinct()
+    return q.join(a.hint("merge"), "key").select("query_fp", "fp", distance).filter((F.col("distance") <= radius) & (F.col("query_fp") != F.col("fp"))).distinct()
 
 
 def near_documents(docs: DataFrame, queries: Column, radius: int = 3) -> DataFrame:
     """doc_id, fp, n_equal, n_near, near_fps for the documents that `queries` selects, against all."""
-    fps = fingerprint_table(docs)
+    fps = kept(fingerprint_table(docs), "simhash")
     asked = fps.filter(queries)
     members = fps.groupBy("fp").agg(F.count("*").alias("members"))
-    pairs = near(asked, members, radius).join(members, "fp").groupBy("query_fp").agg(
+    pairs = near(asked, members, radius).join(members.hint("merge"), "fp").groupBy("query_fp").agg(
         F.sum("members").alias("n_near"), F.array_sort(F.collect_list("fp")).alias("near_fps")
     )
     return (
-        asked.join(members, "fp")
-        .join(pairs, F.col("fp") == F.col("query_fp"), "left")
+        asked.join(members.hint("merge"), "fp")
+        .join(pairs.hint("merge"), F.col("fp") == F.col("query_fp"), "left")
         .select("doc_id", "fp", (F.col("members") - 1).alias("n_equal"), F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("near_fps", F.expr("array()").cast("array<bigint>")).alias("near_fps"))
     )
 

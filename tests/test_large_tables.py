@@ -5,6 +5,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
+from sightlines.llm import simhash
 from sightlines.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -28,6 +29,13 @@ def same_as_sql(spark, path, name):
     return got
 
 
+def test_near_search_sends_nothing_whole_to_the_driver(spark):
+    docs = spark.createDataFrame([(i, f"one two three four {i // 3}") for i in range(60)], "doc_id long, text string")
+    found = simhash.near_documents(docs, F.col("doc_id") % 20 == 0)
+    assert "Broadcast" not in plan(found)
+    assert {(r.doc_id, r.n_equal) for r in found.collect()} == {(0, 2), (20, 2), (40, 2)}
+
+
 @pytest.mark.parametrize("name", ["f16_url_class", "t8_candidate_score", "t5_select_crawl_batch"])
 def test_page_numbers_are_no_years(spark, tmp_path, name):
     ids = [9, 2009, 2024, 2037, 2065]
