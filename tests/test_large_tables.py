@@ -50,3 +50,10 @@ def test_years_cost_points_unless_named_otherwise(spark):
     scores = [U.candidate_score(url, F.lit("https://a.example/"), no, no, *year) for year in ((), ("2024",))]
     points = [U.priority_score(url, F.lit("unknown"), F.lit(""), None, None, None, *year) for year in ((), ("2024",))]
     assert tuple(spark.range(1).select(*scores, *points).first()) == (50, 130, 170, 250)
+
+
+def test_link_health_counts_classes_of_pages(spark, tmp_path):
+    """Urls with several numbers, without a number's partner, and of several sites; pairs are not made."""
+    rows = [(i, f"https://h{i % 3}.example/p{i % 17}", "") for i in range(40)] + [(50, "https://alone.example/", ""), (51, None, "")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert len(same_as_sql(spark, tmp_path, "j17_link_health")) == 42
