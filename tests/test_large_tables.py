@@ -57,3 +57,9 @@ def test_link_health_counts_classes_of_pages(spark, tmp_path):
     rows = [(i, f"https://h{i % 3}.example/p{i % 17}", "") for i in range(40)] + [(50, "https://alone.example/", ""), (51, None, "")]
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
     assert len(same_as_sql(spark, tmp_path, "j17_link_health")) == 42
+
+
+def test_fingerprints_deal_hosts_before_they_are_made_distinct(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in range(50)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    same_as_sql(spark, tmp_path, "f28_fingerprints")
+    assert plan(QUERIES["f28_fingerprints"](spark, str(tmp_path))).split("Initial Plan")[-1].count("Exchange") == 1
