@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sightlines.functions import drift as D
+from sightlines.functions.batches import text_batches
 from sightlines.operators import text as T
 
 from . import facts
@@ -165,6 +166,7 @@ def f4_page_role(spark, d):
 
 def _labelled(spark, d):
     """Good documents, poor ones, and the held-out fifth of each, by the quality label."""
+    text_batches(spark)
     lab = spark.read.parquet(f"{d}/labels.parquet").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     x = docs(spark, d).join(lab, "doc_id").select("doc_id", "text", "quality")
     part = lambda q, held: x.filter((F.col("quality") == q) & ((F.col("doc_id") % 5 == 4) == held))

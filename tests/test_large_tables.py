@@ -63,3 +63,10 @@ def test_fingerprints_deal_hosts_before_they_are_made_distinct(spark, tmp_path):
     spark.createDataFrame([(i,) for i in range(50)], "c_custkey long").write.parquet(f"{tmp_path}/customer.parquet")
     same_as_sql(spark, tmp_path, "f28_fingerprints")
     assert plan(QUERIES["f28_fingerprints"](spark, str(tmp_path))).split("Initial Plan")[-1].count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["m1_word_counts", "h4_without_blocks"])
+def test_python_workers_get_small_batches_of_texts(spark, name):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    QUERIES[name](spark, SF)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
