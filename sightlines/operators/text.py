@@ -304,8 +304,9 @@ def marker_counts(human: DataFrame, machine: DataFrame, documents: bool = False)
     With `documents`, one more row, named by a zero character, counts the documents of each side.
     """
     def side(df: DataFrame, name: str) -> DataFrame:
-        t = df.select("doc_id", tokens(F.col("text")).alias("t")).filter(F.size("t") >= LEAST_WINDOW)
-        w = t.select("doc_id", F.explode(F.array_append("t", F.lit(_DOC)) if documents else F.col("t")).alias("w"))
+        # not a filter: Spark would move it below the words and take every text apart twice
+        whole = lambda t: F.when(F.size(t) >= LEAST_WINDOW, F.array_append(t, F.lit(_DOC)) if documents else t)
+        w = df.select("doc_id", F.explode(let(tokens(F.col("text")), whole)).alias("w"))
         each = w.groupBy("w", "doc_id").agg(F.count("*").alias("c"))
         return each.groupBy("w").agg(F.sum("c").alias(f"{name}_n"), F.count("*").alias(f"{name}_docs"))
 

@@ -173,10 +173,16 @@ def _labelled(spark, d):
     return part(1, False), part(0, False), part(1, True), part(0, True)
 
 
+def _words(spark, d):
+    """The model alone, of bounded size."""
+    h, m, _, _ = _labelled(spark, d)
+    return keep(T.train_marker_model(h, m))
+
+
 def _model(spark, d):
     """(model, calibration), both of bounded size."""
-    h, m, hh, mh = _labelled(spark, d)
-    model = keep(T.train_marker_model(h, m))
+    model = _words(spark, d)
+    _, _, hh, mh = _labelled(spark, d)
     return model, keep(T.calibrate(hh, mh, model))
 
 
@@ -227,7 +233,7 @@ def m2_score_documents(spark, d):
     f"WITH {_MODEL}, c AS (SELECT doc_id, w, count(*) AS count FROM (SELECT doc_id, unnest(t) AS w FROM dk) GROUP BY ALL), x AS (SELECT doc_id, w, weight, count, {R('weight * count', 4)} AS contribution FROM c JOIN md USING (w)) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY contribution DESC, w) AS INTEGER) AS place FROM x WHERE contribution > 0 QUALIFY place <= 40",
 )
 def m2_document_markers(spark, d):
-    return T.document_markers(docs(spark, d), _model(spark, d)[0])
+    return T.document_markers(docs(spark, d), _words(spark, d))
 
 
 @query(
@@ -235,12 +241,12 @@ def m2_document_markers(spark, d):
     f"WITH {_MODEL}, ne AS (SELECT list(w ORDER BY weight, w) AS ws FROM md WHERE weight < 0 AND length(w) > 2) SELECT doc_id, array_to_string(list_filter(ws, lambda x: NOT list_contains(t, x))[1:40], '|') AS words FROM dk, ne",
 )
 def m2_missing_words(spark, d):
-    return T.missing_words(docs(spark, d), _model(spark, d)[0]).withColumn("words", F.array_join("words", "|"))
+    return T.missing_words(docs(spark, d), _words(spark, d)).withColumn("words", F.array_join("words", "|"))
 
 
 @query("m3_ban_candidates", f"WITH {_MODEL} SELECT * FROM md WHERE weight > 0 AND length(w) >= 4 AND NOT regexp_matches(w, '^[0-9]') AND human_share < 0.4 ORDER BY weight DESC, w LIMIT 60")
 def m3_ban_candidates(spark, d):
-    return T.ban_candidates(_model(spark, d)[0])
+    return T.ban_candidates(_words(spark, d))
 
 
 @query("m4_model_stats", f"WITH {_MODEL}, {_WINDOWS} SELECT (SELECT count(*) FROM md) AS vocabulary, ca.*, CASE WHEN separation >= 0.6 THEN 'good' WHEN separation >= 0.35 THEN 'fair' ELSE 'weak' END AS quality FROM ca")

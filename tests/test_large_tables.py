@@ -70,3 +70,11 @@ def test_python_workers_get_small_batches_of_texts(spark, name):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     QUERIES[name](spark, SF)
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 512
+
+
+@pytest.mark.parametrize("name", ["m2_missing_words", "m2_document_markers", "m3_ban_candidates"])
+def test_queries_of_the_model_alone_do_not_calibrate(spark, monkeypatch, name):
+    from sightlines.operators import text
+
+    monkeypatch.setattr(text, "calibrate", None)
+    QUERIES[name](spark, SF)
