@@ -44,10 +44,10 @@ def f7_word_count(spark, d):
     SELECT doc_id, CASE WHEN len(s) = 0 OR len(o) = 0 THEN 100.0 ELSE {R("(1 - CAST(len(list_intersect(s, o)) AS DOUBLE) / greatest(len(list_distinct(list_concat(s, o))), 1)) * 100", 0)} END AS uniqueness FROM s JOIN f USING (lang)""",
 )
 def f6_uniqueness(spark, d):
-    """Every document against the first one of its language."""
+    """Every document against the first one of its language; those few texts are sent to all tasks, so that no task gets a whole language."""
     x = tagged(spark, d)
     first = x.groupBy("lang").agg(F.min_by("text", "doc_id").alias("other"))
-    return x.join(first, "lang").select("doc_id", T.uniqueness_pct(F.col("text"), F.col("other")).alias("uniqueness"))
+    return x.join(F.broadcast(first), "lang").select("doc_id", T.uniqueness_pct(F.col("text"), F.col("other")).alias("uniqueness"))
 
 
 @query(

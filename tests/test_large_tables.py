@@ -78,3 +78,11 @@ def test_queries_of_the_model_alone_do_not_calibrate(spark, monkeypatch, name):
 
     monkeypatch.setattr(text, "calibrate", None)
     QUERIES[name](spark, SF)
+
+
+def test_a_language_is_not_one_task(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "SortMergeJoin" not in plan(QUERIES["f6_uniqueness"](spark, SF))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
