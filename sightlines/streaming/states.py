@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -128,6 +129,29 @@ class VerdictState(Forgetting):
 BEHAVIOR = "key string, last_day date, days bigint, sessions bigint, rage_clicks bigint, scroll bigint"
 
 
+PULLS = ["pulled_at", "sessions", "rage_clicks", "scroll"]
+#: Pulls that a task holds before it gives them out.
+PULLS_AT_ONCE = 20_000
+
+
+def _latest(pulls: pd.DataFrame) -> pd.DataFrame:
+    """The latest pull of each key and day."""
+    t = pulls.iloc[np.lexsort([pulls[c].to_numpy() for c in reversed(PULLS)])]
+    return t[~t.assign(day=t["pulled_at"].dt.normalize()).duplicated(["key", "day"], keep="last").to_numpy()]
+
+
+def latest_pulls(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A task's pulls without those that a later one of the same key and day replaces; what is held between pieces is bounded."""
+    held = None
+    for piece in pieces:
+        held = _latest(piece if held is None else pd.concat([held, piece]))
+        if len(held) >= PULLS_AT_ONCE:
+            yield held
+            held = None
+    if held is not None:
+        yield held
+
+
 class BehaviorWindow(Forgetting):
     """The latest pull of each day of the window that ends at a key's last day; a later pull of a day replaces an earlier one."""
 
@@ -142,19 +166,25 @@ class BehaviorWindow(Forgetting):
         self.pulls.clear()
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        held = {k[0]: tuple(v) for k, v in self.pulls.iterator()}
-        newest = 0
-        for r in pd.concat(list(rows)).itertuples():
-            us = r.pulled_at.value // 1000
-            newest, day = max(newest, us), us // (1000 * DAY_MS)
-            pull = (us, int(r.sessions), int(r.rage_clicks), int(r.scroll))
-            if day not in held or pull > held[day]:
-                held[day] = pull
-                self.pulls.updateValue((int(day),), pull)
+        stored = {k[0]: tuple(v) for k, v in self.pulls.iterator()}
+        held, newest = dict(stored), 0
+        for r in rows:  # a piece at a time, and of that only the latest pull of each day
+            us = r["pulled_at"].to_numpy("datetime64[ns]").astype("int64") // 1000
+            values = [us, *(r[c].to_numpy("int64") for c in PULLS[1:])]
+            order = np.lexsort(values[::-1])
+            day = us[order] // (1000 * DAY_MS)
+            for i in np.flatnonzero(np.append(day[1:] != day[:-1], True)):
+                d, pull = int(day[i]), tuple(int(v[order[i]]) for v in values)
+                held[d] = max(held.get(d, pull), pull)
+            newest = max(newest, int(us.max()))
         last = max(held)
-        for day in [d for d in held if d <= last - self.days]:
-            del held[day]
-            self.pulls.removeKey((int(day),))
+        held = {d: pull for d, pull in held.items() if d > last - self.days}
+        # the state is told once of each day that differs: a call is a round trip to the JVM
+        for d in stored.keys() - held.keys():
+            self.pulls.removeKey((d,))
+        for d, pull in held.items():
+            if pull != stored.get(d):
+                self.pulls.updateValue((d,), pull)
         self.renew(newest // 1000)
         sums = [sum(v[i] for v in held.values()) for i in (1, 2)]
         yield pd.DataFrame({"key": [key[0]], "last_day": [date(1970, 1, 1) + timedelta(days=int(last))], "days": [len(held)], "sessions": [sums[0]], "rage_clicks": [sums[1]], "scroll": [max(v[3] for v in held.values())]})
@@ -176,4 +206,7 @@ def stream_verdict_state(checks: DataFrame, delay: str = "60 days", ttl_days: in
 
 def stream_behavior_window(pulls: DataFrame, days: int = 30, delay: str = "60 days", ttl_days: int = 400) -> DataFrame:
     """Sums of each key (key, pulled_at, sessions, rage_clicks, scroll) over the `days` days that end at its last, one pull a day."""
-    return _timed(pulls, "pulled_at", delay).groupBy("key").transformWithStateInPandas(BehaviorWindow(days, ttl_days), BEHAVIOR, "Update", "EventTime")
+    rows = pulls.select("key", F.col("pulled_at").cast("timestamp"), *PULLS[1:])
+    # the state takes its rows one by one in Python: what a later pull of the task replaces does not get there
+    rows = rows.mapInPandas(latest_pulls, rows.schema)
+    return _timed(rows, "pulled_at", delay).groupBy("key").transformWithStateInPandas(BehaviorWindow(days, ttl_days), BEHAVIOR, "Update", "EventTime")

@@ -1,8 +1,10 @@
 """Streams over files that arrive one after the other: state, expiry, late rows, replays."""
 
+import random
 import tempfile
-from datetime import datetime
+from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from sightlines.streaming import jobs, states
@@ -26,6 +28,7 @@ def fed(spark):
 
 
 D = datetime
+PULL_COLUMNS = ["pulled_at", "sessions", "rage_clicks", "scroll"]
 CHECKS = "site_id string, keyword string, check_id long, checked_at timestamp, position long, error string"
 
 
@@ -57,6 +60,47 @@ def test_behavior_slides_with_one_pull_a_day(fed):
     assert [(str(day), days, n, rage, scroll) for _, day, days, n, rage, scroll in out] == [("2024-01-01", 1, 20, 2, 40), ("2024-01-01", 1, 20, 2, 40), ("2024-01-02", 2, 25, 2, 60), ("2024-01-04", 2, 12, 1, 60)]
 
 
+class Told(dict):
+    """State variables that count how often they are written."""
+
+    calls = 0
+
+    def iterator(self):
+        return iter(list(self.items()))
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+def test_behavior_state_is_written_once_a_day_whatever_the_pulls(monkeypatch):
+    rng = random.Random(3)
+    pulls = pd.DataFrame([("k", pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=rng.randrange(20 * 1440)), rng.randrange(3), rng.randrange(3), i % 100) for i in range(5000)], columns=["key", *PULL_COLUMNS])
+    pulls = pulls.sort_values("pulled_at", ignore_index=True)  # each pull replaces the one before
+    best = {}
+    for _, *pull in pulls.itertuples(index=False):
+        best[pull[0].date()] = max(best.get(pull[0].date(), pull), pull)
+    window = [best[d] for d in best if d > max(best) - timedelta(days=14)]
+    want = (len(window), sum(p[1] for p in window), sum(p[2] for p in window), max(p[3] for p in window))
+    for rows in ([pulls], [pulls[i : i + 700] for i in range(0, 5000, 700)], [pulls.sample(frac=1, random_state=1)]):
+        w = states.BehaviorWindow(14, 400)
+        w.pulls, w.renew = Told(), lambda newest: None
+        (out,) = w.handleInputRows(("k",), iter(rows), None)
+        assert tuple(out.iloc[0, 2:]) == want and w.pulls.calls == 14
+
+    both = pd.concat([pulls, pulls.assign(key="l")])
+    for most, pieces in ((20_000, 7), (30, 7), (1, 3)):
+        monkeypatch.setattr(states, "PULLS_AT_ONCE", most)
+        kept = pd.concat(states.latest_pulls(both[i::pieces] for i in range(pieces)))
+        assert len(kept) <= len(best) * 2 * (1 if most == 20_000 else pieces)
+        got = {k: max(map(tuple, g[PULL_COLUMNS].itertuples(index=False))) for k, g in kept.groupby(["key", kept["pulled_at"].dt.date])}
+        assert got == {(k, d): tuple(p) for k in "kl" for d, p in best.items()}
+
+
 def test_replayed_and_late_alerts_fire_once(fed):
     rows = [[("k1", D(2024, 1, 1)), ("k1", D(2024, 1, 1)), ("k2", D(2024, 1, 2))], [("k1", D(2024, 1, 3)), ("k3", D(2024, 1, 3))], [("k4", D(2024, 3, 1))], [("k5", D(2024, 1, 1)), ("k4", D(2024, 3, 2))]]
     out = fed("dedupe_key string, ts timestamp", rows, jobs.stream_once, "append")
