@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sightlines.llm import simhash
+from sightlines.operators import pages
 from sightlines.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -86,3 +87,33 @@ def test_a_language_is_not_one_task(spark):
         assert "SortMergeJoin" not in plan(QUERIES["f6_uniqueness"](spark, SF))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("script, status", [("", "FAIL"), ("""<script type="application/ld+json">{"@type": "Organization"}</script>""", "PASS")])
+def test_pages_meet_their_scripts_in_many_tasks(spark, script, status):
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    p = spark.createDataFrame([(f"https://s.example/{i}", f"<title>T{i}</title>{script}") for i in range(64)], "url string, html string")
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    try:
+        checks = pages.evaluate_checks(pages.check_facts(p))
+        rows = checks.filter("title = 'Names an organization or person type'").select("status", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for k in held:
+            spark.conf.unset(k)
+    assert len(rows) == 64 and {r.status for r in rows} == {status} and len({r.task for r in rows}) > 1
+
+
+def test_no_text_of_a_page_travels_to_its_scripts(spark):
+    p = spark.createDataFrame([("https://s.example/", "<title>T</title>")], "url string, html string")
+    node = pages.evaluate_checks(pages.check_facts(p))._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    sent = node.children().apply(0).output()
+    assert not {"html", "text", "html_low", "t", "links"} & {sent.apply(i).name() for i in range(sent.size())}
+
+
+def test_words_of_the_catalogue_are_found_as_its_conditions_say(spark):
+    texts = ["", "about", "team", "it is a rule", "it is able", "means ", " means ", "refers to x", "<main>", "<maine>", "<nav ", "12 eur", "12  eur", "usd", "7usd", "skip-link", "rel=\"icon", "charset", "opening hours", "such as", "certification"]
+    t = spark.createDataFrame([(x, x, x) for x in texts], "t string, links string, html_low string")
+    assert set(t.select(*[F.count_if(pages._asked(c) != F.expr(c)) for c in pages.ASKED]).first()) == {0}
